@@ -7,8 +7,6 @@ from them) in full.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +16,10 @@ from riskloom.operators import cohort as E
 from riskloom.operators.features import FEATURES
 from riskloom.plans import hospital as H
 from riskloom.plans.oracle import diag_group_sql, with_views
+from riskloom.plans.registry import ORACLE, QUERIES, Query, register  # noqa: F401
 from riskloom.session import table_path
 from riskloom.sources.encounters import load_encounters
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
@@ -264,7 +248,7 @@ def e5_correlation(spark, sf_dir):
 
 
 @register("e6_histogram_stay", with_views("""
-SELECT b.bin, 1.0 + b.bin AS bin_lo, 2.0 + b.bin AS bin_hi, CAST(coalesce(h.n, 0) AS BIGINT) AS n
+SELECT b.bin, CAST(1.0 + b.bin AS DOUBLE) AS bin_lo, CAST(2.0 + b.bin AS DOUBLE) AS bin_hi, CAST(coalesce(h.n, 0) AS BIGINT) AS n
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(14)) b
 LEFT JOIN (SELECT CAST(least(floor((time_in_hospital - 1.0) / 1.0), 13) AS INTEGER) AS bin, count(*) AS n
            FROM enc WHERE time_in_hospital >= 1 AND time_in_hospital <= 15 GROUP BY 1) h ON b.bin = h.bin"""))
@@ -294,3 +278,7 @@ SELECT count(*) AS n_encounters, CAST(24 AS BIGINT) AS n_features,
        avg(CAST(readmitted_binary AS DOUBLE)) AS positive_rate FROM feat""", "feat"))
 def a6_dataset_summary(spark, sf_dir):
     return E.dataset_summary(_feat(spark, sf_dir), "readmitted_binary", FEATURES)
+
+
+# the other catalog modules register on import
+from riskloom.plans import catalog_eval  # noqa: E402,F401

@@ -66,3 +66,28 @@ def rational_score(df: DataFrame, out: str = "score") -> DataFrame:
     used to exercise the evaluation operators without a model fit."""
     return df.withColumn(out, ((F.col("number_inpatient") * 90 + F.col("time_in_hospital") * 10
                                 + F.col("num_medications")) % 1000) / F.lit(1000.0))
+
+
+def alt_score(df: DataFrame, out: str = "alt_score") -> DataFrame:
+    """A second deterministic score, so model-comparison operators have two
+    scorers to rank."""
+    return df.withColumn(out, ((F.col("num_lab_procedures") * 7 + F.col("num_procedures") * 13) % 100)
+                         / F.lit(100.0))
+
+
+def scored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Featured rows with split flag, fold, age group and the two
+    deterministic scores (evaluation operators run on these)."""
+    from riskloom.functions.clinical import AGE_BIN_EDGES, AGE_BIN_LABELS, bin_right_closed
+    from riskloom.operators.prep import assign_folds, stratified_split
+
+    df = hospital_features(spark, sf_dir)
+    df = assign_folds(stratified_split(df, KEY, LABEL), KEY, LABEL)
+    df = alt_score(rational_score(df))
+    return df.select(KEY, F.col(LABEL).alias("label"), "race", "gender", "age_numeric",
+                     bin_right_closed("age_numeric", AGE_BIN_EDGES, AGE_BIN_LABELS).alias("age_group"),
+                     "score", "alt_score", "is_test", "fold")
+
+
+def scored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_all(spark, sf_dir).filter(F.col("is_test"))

@@ -98,7 +98,7 @@ def feat_cte() -> str:
   FROM clean
 ),
 feat AS (
-  SELECT encounter_id, patient_nbr, readmitted_binary, race, gender, age, A1Cresult, insulin,
+  SELECT encounter_id, patient_nbr, readmitted_binary, race, gender, age, A1Cresult, insulin, medical_specialty,
     diag_1_group, diag_2_group, diag_3_group,
     time_in_hospital, num_lab_procedures, num_procedures, num_medications,
     number_outpatient, number_emergency, number_inpatient, number_diagnoses,
@@ -133,3 +133,31 @@ def with_views(select_sql: str, *views: str, extra: str = "") -> str:
     if extra.strip():
         parts.append(extra.strip().rstrip(","))
     return "WITH " + ",\n".join(parts) + "\n" + select_sql
+
+
+def hash_bits_sql(key: str, salt: str) -> str:
+    """DuckDB twin of ``functions.clinical.hash_bits``."""
+    return f"('0x' || substring(md5(CAST({key} AS VARCHAR) || ':{salt}'), 1, 8))::BIGINT"
+
+
+AGE_GROUP_SQL = ("CASE WHEN age_numeric > 0 AND age_numeric <= 40 THEN '<40' "
+                 "WHEN age_numeric > 40 AND age_numeric <= 60 THEN '40-60' "
+                 "WHEN age_numeric > 60 AND age_numeric <= 75 THEN '60-75' "
+                 "WHEN age_numeric > 75 AND age_numeric <= 100 THEN '75+' ELSE 'nan' END")
+
+RATIONAL_SCORE_SQL = ("CAST((number_inpatient * 90 + time_in_hospital * 10 + num_medications) % 1000 AS DOUBLE)"
+                      " / 1000.0::DOUBLE")
+ALT_SCORE_SQL = "CAST((num_lab_procedures * 7 + num_procedures * 13) % 100 AS DOUBLE) / 100.0::DOUBLE"
+
+
+def scored_cte(split_salt: str = "split42", test_cut: int = 858993459) -> str:
+    """``scored_all``: every featured row with split flag, fold, age group and
+    two deterministic scores; ``scored``: its test rows."""
+    return f"""scored_all AS (
+  SELECT encounter_id, readmitted_binary AS label, race, gender, age_numeric, {AGE_GROUP_SQL} AS age_group,
+         {RATIONAL_SCORE_SQL} AS score, {ALT_SCORE_SQL} AS alt_score,
+         {hash_bits_sql('encounter_id', split_salt)} < {test_cut} AS is_test,
+         CAST({hash_bits_sql('encounter_id', 'fold42')} % 5 AS INTEGER) AS fold
+  FROM feat
+),
+scored AS (SELECT * FROM scored_all WHERE is_test)"""

@@ -283,3 +283,4 @@ def a6_dataset_summary(spark, sf_dir):
 # the other catalog modules register on import
 from riskloom.plans import catalog_eval  # noqa: E402,F401
 from riskloom.plans import catalog_smote  # noqa: E402,F401
+from riskloom.plans import catalog_ml  # noqa: E402,F401

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.prefix import prefix_sum
+from riskloom.operators.prefix import SMALL_ROWS, prefix_sum
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -64,13 +64,13 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
-               n_buckets: int = 1024) -> DataFrame:
+               n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
     """H3: one point per distinct score, thresholds descending, plus the
     (0, 0) point at threshold +inf. Columns: by..., threshold, tp, fp, tpr,
     fpr, n_pos, n_neg (group totals)."""
     by = list(by)
     counts = score_counts(df, label, score, by)
-    cum = prefix_sum(counts, score, ["pos", "neg"], by, descending=True, n_buckets=n_buckets)
+    cum = prefix_sum(counts, score, ["pos", "neg"], by, descending=True, n_buckets=n_buckets, small_rows=small_rows)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = attach(cum, totals, by).select(
         *by, F.col(score).cast("double").alias("threshold"),
@@ -85,13 +85,13 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
-            n_buckets: int = 1024, out: str = "auc") -> DataFrame:
+            n_buckets: int = 1024, out: str = "auc", small_rows: int = SMALL_ROWS) -> DataFrame:
     """H4: exact ROC AUC per group, tied scores at half weight; null when a
     group has only one class. AUC = sum_s pos_s (N - cum_neg_s + neg_s / 2) / (P N)
     with cum_neg_s the negatives scoring >= s."""
     by = list(by)
     counts = score_counts(df, label, score, by)
-    cum = prefix_sum(counts, score, ["neg"], by, descending=True, n_buckets=n_buckets)
+    cum = prefix_sum(counts, score, ["neg"], by, descending=True, n_buckets=n_buckets, small_rows=small_rows)
     part = cum.groupBy(*by).agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
         F.sum(F.col("pos").cast("double") * (F.col("cum_neg") - F.col("neg"))).alias("__above"),

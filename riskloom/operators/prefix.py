@@ -24,26 +24,49 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import sized_broadcast
+from riskloom.session import BROADCAST_MAX_ROWS
 
 
-def bucket_edges(df: DataFrame, order: str, n_buckets: int = 1024) -> list[float]:
+# Up to this many rows a prefix sum is one window per ``by`` group: the row
+# count is checked first, so such a task holds a proven, small number of rows.
+SMALL_ROWS = 50_000
+
+
+def _first_pass(df: DataFrame, order: str, by: Sequence[str], n_buckets: int):
+    """One aggregate: row count, estimated number of groups and the bucket
+    edges (a bounded array of at most n_buckets numbers)."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, max(10_000, 10 * n_buckets))
-                 .alias("q")).first()
+    aggs = [F.count(F.lit(1)).alias("n"),
+            F.percentile_approx(F.col(order).cast("double"), probs, max(10_000, 10 * n_buckets)).alias("q")]
+    if by:
+        aggs.append(F.approx_count_distinct(F.struct(*by)).alias("g"))
+    row = df.agg(*aggs).first()
     qs = (row["q"] if row is not None else None) or []
     inner = sorted({float(x) for x in qs if x is not None and not math.isnan(x) and not math.isinf(x)})
-    return [-math.inf] + (inner or [0.0]) + [math.inf]  # Bucketizer needs >= 3 splits
+    edges = [-math.inf] + (inner or [0.0]) + [math.inf]  # Bucketizer needs >= 3 splits
+    groups = int(row["g"]) if by and row is not None and row["g"] is not None else 1
+    return (row["n"] if row is not None else 0), groups, edges
+
+
+def bucket_edges(df: DataFrame, order: str, n_buckets: int = 1024) -> list[float]:
+    return _first_pass(df, order, [], n_buckets)[2]
 
 
 def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = (),
                descending: bool = False, tiebreak: Sequence[str] = (), n_buckets: int = 1024,
-               prefix: str = "cum_", inclusive: bool = True) -> DataFrame:
+               prefix: str = "cum_", inclusive: bool = True, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add ``<prefix><value>``: the running sum of each value column over
     rows ordered by ``order`` (then ``tiebreak``) within each ``by`` group.
-    ``inclusive`` counts the row itself."""
+    ``inclusive`` counts the row itself. ``small_rows`` is the checked row
+    bound under which one window per group is used (0 forces buckets)."""
     by, values, tiebreak = list(by), list(values), list(tiebreak)
-    edges = bucket_edges(df, order, n_buckets)
+    n, groups, edges = _first_pass(df, order, by, n_buckets)
+    row_order = [F.col(order).desc() if descending else F.col(order).asc()] + [F.col(t).asc() for t in tiebreak]
+    end = Window.currentRow if inclusive else -1
+    if n <= small_rows:
+        w = Window.partitionBy(*by).orderBy(*row_order).rowsBetween(Window.unboundedPreceding, end)
+        return df.select(*[F.col(c) for c in df.columns],
+                         *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{prefix}{v}") for v in values])
     with_o = df.withColumn("__o", F.col(order).cast("double"))
     bucketed = (Bucketizer(splits=edges, inputCol="__o", outputCol="__bd", handleInvalid="keep")
                 .transform(with_o)
@@ -54,10 +77,11 @@ def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[st
     w_off = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__b", *[
         F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}") for v in values])
-
-    joined = bucketed.join(sized_broadcast(offsets), on=[*by, "__b"], how="left")
-    row_order = [F.col(order).desc() if descending else F.col(order).asc()] + [F.col(t).asc() for t in tiebreak]
-    end = Window.currentRow if inclusive else -1
+    # offsets hold at most groups x buckets rows; broadcast only under the bound
+    # (2x margin on the group estimate), else a shuffle join
+    bound = 2 * groups * (len(edges) - 1)
+    side = F.broadcast(offsets) if bound <= BROADCAST_MAX_ROWS else offsets
+    joined = bucketed.join(side, on=[*by, "__b"], how="left")
     w_in = Window.partitionBy(*by, "__b").orderBy(*row_order).rowsBetween(Window.unboundedPreceding, end)
     out_cols = [F.col(c) for c in df.columns] + [
         (F.coalesce(F.sum(v).over(w_in), F.lit(0)) + F.col(f"__off_{v}")).alias(f"{prefix}{v}") for v in values]
@@ -65,9 +89,9 @@ def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[st
 
 
 def global_rank(df: DataFrame, order: str, by: Sequence[str] = (), tiebreak: Sequence[str] = (),
-                out: str = "rank", n_buckets: int = 1024) -> DataFrame:
+                out: str = "rank", n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
     """1-based row number by ``order`` (+ ``tiebreak``) within ``by`` groups,
     computed through ``prefix_sum`` of a constant 1."""
     ranked = prefix_sum(df.withColumn("__one", F.lit(1).cast("bigint")), order, ["__one"], by,
-                        tiebreak=tiebreak, n_buckets=n_buckets)
+                        tiebreak=tiebreak, n_buckets=n_buckets, small_rows=small_rows)
     return ranked.withColumnRenamed("cum___one", out).drop("__one")

@@ -30,12 +30,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.clinical import hash_bits, hash_unit
-from riskloom.operators.prefix import global_rank, prefix_sum
+from riskloom.operators.prefix import SMALL_ROWS, global_rank, prefix_sum
 from riskloom.session import cut_lineage
 
 KNN_SCHEMA = "__q long, __nbr long, __dist double"
@@ -77,29 +76,37 @@ def _topk(qv: np.ndarray, qk: np.ndarray, mv: np.ndarray, mk: np.ndarray, k: int
                          "__dist": np.concatenate(out_d)})
 
 
-def _principal_direction(df: DataFrame, cols: Sequence[str]) -> list[float]:
-    """First principal component (a unit vector of len(cols) numbers)."""
-    va = VectorAssembler(inputCols=list(cols), outputCol="__vec", handleInvalid="skip")
-    model = PCA(k=1, inputCol="__vec", outputCol="__pc").fit(va.transform(df.select(*cols)))
-    u = model.pc.toArray()[:, 0]
-    n = float(np.sqrt((u * u).sum())) or 1.0
-    return [float(x) / n for x in u]
+def _principal_direction(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], int]:
+    """First principal component (unit vector) and the row count, from one
+    aggregate of the covariance entries (len(cols)^2 numbers, bounded)."""
+    m = len(cols)
+    x = [F.col(c).cast("double") for c in cols]
+    aggs = [F.count(F.lit(1)).alias("n")] + [
+        F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(m) for j in range(i, m)]
+    row = df.agg(*aggs).first()
+    cov = np.zeros((m, m))
+    for i in range(m):
+        for j in range(i, m):
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    vals, vecs = np.linalg.eigh(cov)
+    u = vecs[:, int(np.argmax(vals))]
+    norm = float(np.sqrt((u * u).sum())) or 1.0
+    return [float(v) / norm for v in u], int(row["n"])
 
 
 def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int = 2048,
-              chunk_size: int = 2048, n_buckets: int = 1024) -> DataFrame:
+              chunk_size: int = 2048, n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every row among the other
     rows: (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key)."""
     cols = list(cols)
     df = cut_lineage(df.select(key, *cols))  # read by several jobs below
-    u = _principal_direction(df, cols)
+    u, n = _principal_direction(df, cols)
     proj = sum((F.col(c).cast("double") * F.lit(w) for c, w in zip(cols, u)), F.lit(0.0))
     pts = df.select(F.col(key).cast("long").alias("__key"),
                     F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"),
                     proj.alias("__p"))
-    n = pts.count()
     n_blocks = max(1, n // block_size)
-    ranked = global_rank(pts, "__p", tiebreak=["__key"], out="__r", n_buckets=n_buckets)
+    ranked = global_rank(pts, "__p", tiebreak=["__key"], out="__r", n_buckets=n_buckets, small_rows=small_rows)
     blocked = cut_lineage(ranked.withColumn("__b", F.least(((F.col("__r") - 1) / block_size).cast("long"),
                                                            F.lit(n_blocks - 1))).drop("__r"))
 
@@ -139,7 +146,8 @@ def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_si
                               F.col("__key").alias("__qk"), F.lit("hi").alias("__end"),
                               F.lit(0).cast("long").alias("__is_lo"), F.lit(0).cast("long").alias("__is_hi"))
         events = ev_lo.unionByName(ev_hi).unionByName(ev_ql).unionByName(ev_qh)
-        cum = prefix_sum(events, "__x", ["__is_lo", "__is_hi"], tiebreak=["__kind"], n_buckets=n_buckets)
+        cum = prefix_sum(events, "__x", ["__is_lo", "__is_hi"], tiebreak=["__kind"], n_buckets=n_buckets,
+                         small_rows=small_rows)
         ends = (cum.filter(F.col("__kind") == 1)
                 .groupBy("__qk").agg(
                     F.max(F.when(F.col("__end") == "lo", F.col("cum___is_hi"))).alias("__blo"),

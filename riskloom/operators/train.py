@@ -43,7 +43,7 @@ def base_models(fast: bool = False) -> dict[str, ModelSpec]:
     trees, depth_rf, rounds = (20, 6, 20) if fast else (200, 12, 200)
     return {
         "logreg": ModelSpec("logreg", lambda p: LogisticRegression(
-            maxIter=p.get("maxIter", 1000), elasticNetParam=0.0, standardization=False,
+            maxIter=p.get("maxIter", 1000), tol=p.get("tol", 1e-4), elasticNetParam=0.0, standardization=False,
             regParam=p["regParam"], weightCol="__w"), "balanced", {"C": 1.0}),
         "forest": ModelSpec("forest", lambda p: RandomForestClassifier(
             numTrees=p.get("numTrees", trees), maxDepth=p.get("maxDepth", depth_rf),
@@ -127,6 +127,18 @@ def _metrics_row(scored: DataFrame, label: str, prob: str = "prob", threshold: f
     return r.asDict()
 
 
+def cv_folds(train: DataFrame, key: str, label: str, k: int = 5, resample: Callable | None = None,
+             full: DataFrame | None = None):
+    """Fold tables for CV: resampled training part and untouched validation
+    part per fold, plus the resampled full table. Each is checkpointed once
+    and can be shared by any number of models or trials."""
+    folds = cut_lineage(assign_folds(train, key, label, k))
+    rs = resample or (lambda d: d)
+    fold_train = {f: cut_lineage(rs(folds.filter(F.col("fold") != f).drop("fold"))) for f in range(k)}
+    fold_val = {f: folds.filter(F.col("fold") == f).drop("fold") for f in range(k)}
+    return fold_train, fold_val, (full if full is not None else cut_lineage(rs(train)))
+
+
 @dataclass
 class CompareResult:
     rows: list[dict]
@@ -136,17 +148,13 @@ class CompareResult:
 
 def compare_models(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
                    models: dict[str, ModelSpec], resample: Callable[[DataFrame], DataFrame] | None = None,
-                   k: int = 5, threshold: float = 0.5, parallelism: int = 4,
-                   pos_weight: float | None = None) -> CompareResult:
+                   k: int = 5, threshold: float = 0.5, parallelism: int = 8,
+                   pos_weight: float | None = None, folds=None) -> CompareResult:
     """Per model, k-fold CV with ``resample`` (SMOTE) on the training
     folds only, mean AUC / F1 / recall; then fit on the resampled full
     training table and evaluate on test. Resampled folds are computed once
     and shared by all models (checkpointed)."""
-    folds = cut_lineage(assign_folds(train, key, label, k))
-    rs = resample or (lambda d: d)
-    fold_train = {f: cut_lineage(rs(folds.filter(F.col("fold") != f).drop("fold"))) for f in range(k)}
-    fold_val = {f: folds.filter(F.col("fold") == f).drop("fold") for f in range(k)}
-    full_train = cut_lineage(rs(train))
+    fold_train, fold_val, full_train = folds or cv_folds(train, key, label, k, resample)
 
     def run_fold(args):
         name, f = args
@@ -213,15 +221,12 @@ def sample_params(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 def random_search(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
                   spec: ModelSpec, space: dict, n_trials: int, resample: Callable | None = None,
-                  k: int = 5, seed: int = 42, parallelism: int = 4, cap: dict | None = None,
-                  threshold: float = 0.5):
+                  k: int = 5, seed: int = 42, parallelism: int = 8, cap: dict | None = None,
+                  threshold: float = 0.5, folds=None):
     """``n_trials`` seeded random trials scored by mean CV AUC; the best
     is refit on the resampled training table and evaluated on test.
     ``cap`` optionally bounds parameters (e.g. rounds) for small runs."""
-    folds = cut_lineage(assign_folds(train, key, label, k))
-    rs = resample or (lambda d: d)
-    fold_train = {f: cut_lineage(rs(folds.filter(F.col("fold") != f).drop("fold"))) for f in range(k)}
-    fold_val = {f: folds.filter(F.col("fold") == f).drop("fold") for f in range(k)}
+    fold_train, fold_val, full_train = folds or cv_folds(train, key, label, k, resample)
     trials = sample_params(space, n_trials, seed)
     if cap:
         trials = [{p: (min(v, cap[p]) if p in cap else v) for p, v in t.items()} for t in trials]
@@ -236,7 +241,7 @@ def random_search(train: DataFrame, test: DataFrame, key: str, label: str, featu
     cv = [(_mean([a for j, a in res if j == i]) or 0.0, -i) for i in range(len(trials))]
     best_auc, neg_i = max(cv)
     best = trials[-neg_i]
-    model = fit_model(spec, cut_lineage(rs(train)), key, label, features, params=best)
+    model = fit_model(spec, full_train, key, label, features, params=best)
     test_row = _metrics_row(score(model, test, threshold), label, threshold=threshold)
     trial_rows = [{"trial": i, **{k_: float(v) for k_, v in t.items()}, "cv_auc": cv[i][0]} for i, t in enumerate(trials)]
     return model, best, best_auc, test_row, trial_rows

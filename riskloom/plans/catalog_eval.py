@@ -109,7 +109,9 @@ DOCS_SQL = ("docs AS (SELECT l.doc_id, d.lang, d.source, l.quality AS label, CAS
 @register("p1_global_rank", ev_sql(
     "SELECT encounter_id, score, CAST(row_number() OVER (ORDER BY score, encounter_id) AS BIGINT) AS rank FROM scored"))
 def p1_global_rank(spark, sf_dir):
-    return global_rank(_scored(spark, sf_dir).select("encounter_id", "score"), "score", tiebreak=["encounter_id"])
+    # small_rows=0: the bucketed, distributed path even on small inputs
+    return global_rank(_scored(spark, sf_dir).select("encounter_id", "score"), "score", tiebreak=["encounter_id"],
+                       n_buckets=64, small_rows=0)
 
 
 @register("p1_prefix_sum_by_race", ev_sql("""
@@ -118,7 +120,8 @@ SELECT encounter_id, race, score, label,
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_label FROM scored"""))
 def p1_prefix_sum_by_race(spark, sf_dir):
     df = _scored(spark, sf_dir).select("encounter_id", "race", "score", F.col("label").cast("long").alias("label"))
-    return prefix_sum(df, "score", ["label"], by=["race"], descending=True, tiebreak=["encounter_id"])
+    return prefix_sum(df, "score", ["label"], by=["race"], descending=True, tiebreak=["encounter_id"],
+                      n_buckets=64, small_rows=0)
 
 
 # ---------------------------------------------------------------- F1-F4
@@ -202,7 +205,7 @@ def h2_metrics_at_half(spark, sf_dir):
 
 @register("h3_roc_points", ev_sql("SELECT * FROM roc", extra=roc_sql("scored", [])))
 def h3_roc_points(spark, sf_dir):
-    return Ev.roc_points(_scored(spark, sf_dir), "label", "score")
+    return Ev.roc_points(_scored(spark, sf_dir), "label", "score", n_buckets=32, small_rows=0)
 
 
 @register("h3_roc_points_by_age_group", ev_sql("SELECT * FROM roc", extra=roc_sql("scored", ["age_group"])))
@@ -212,12 +215,12 @@ def h3_roc_points_by_age_group(spark, sf_dir):
 
 @register("h4_auc", ev_sql("SELECT auc FROM a", extra=auc_sql("scored", [])))
 def h4_auc(spark, sf_dir):
-    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score")
+    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score", n_buckets=32, small_rows=0)
 
 
 @register("h4_auc_by_race", ev_sql("SELECT race, auc FROM a", extra=auc_sql("scored", ["race"])))
 def h4_auc_by_race(spark, sf_dir):
-    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score", by=["race"])
+    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score", by=["race"], n_buckets=32, small_rows=0)
 
 
 @register("h4_auc_documents_by_lang", "WITH " + DOCS_SQL + ",\n" + auc_sql("docs", ["lang"]) + "\nSELECT lang, auc FROM a")

@@ -47,6 +47,20 @@ def data_bundle(spark, sf_dir):
     return _BUNDLES[k]
 
 
+def _resample(df):
+    return smote(df, H.KEY, FEATURES, H.LABEL, k=5, block_size=KNN_BLOCK)
+
+
+def cv_bundle(spark, sf_dir):
+    """The five SMOTE'd training folds (+ validation folds), built once and
+    shared by the model comparison and the random search."""
+    k = ("cv", id(spark), sf_dir)
+    if k not in _BUNDLES:
+        d = data_bundle(spark, sf_dir)
+        _BUNDLES[k] = G.cv_folds(d["train"].drop(*SENSITIVE), H.KEY, H.LABEL, 5, _resample, full=d["resampled"])
+    return _BUNDLES[k]
+
+
 def model_bundle(spark, sf_dir, name: str):
     k = ("model", id(spark), sf_dir, name)
     if k not in _BUNDLES:
@@ -86,12 +100,13 @@ def g5_compare_models(spark, sf_dir):
     def rs(df):
         return smote(df, H.KEY, FEATURES, H.LABEL, k=5, block_size=KNN_BLOCK)
 
-    res = G.compare_models(train, test, H.KEY, H.LABEL, FEATURES, models, resample=rs, k=5)
+    res = G.compare_models(train, test, H.KEY, H.LABEL, FEATURES, models, resample=rs, k=5,
+                           folds=cv_bundle(spark, sf_dir))
     base = spark.createDataFrame(res.rows)
     best = max(res.rows, key=lambda r: (r["test_auc"] or 0.0, -r["position"]))["model"]
     _, params, cv_auc, test_row, _ = G.random_search(
         train, test, H.KEY, H.LABEL, FEATURES, models[best], G.SEARCH_SPACES[best], n_trials=2,
-        resample=rs, k=5, cap={"maxIter": 20, "numTrees": 20, "maxDepth": 5})
+        resample=rs, k=5, cap={"maxIter": 20, "numTrees": 20, "maxDepth": 5}, folds=cv_bundle(spark, sf_dir))
     tuned = spark.createDataFrame([{
         "model": f"{best} (tuned)", "position": len(res.rows), "cv_auc": cv_auc,
         "test_auc": test_row["auc"], "test_f1": test_row["f1"], "test_recall": test_row["recall"],
@@ -113,7 +128,7 @@ def g7_random_search_trials(spark, sf_dir):
 
     _, best, best_auc, test_row, trials = G.random_search(
         train, d["test"], H.KEY, H.LABEL, FEATURES, models["logreg"], G.SEARCH_SPACES["logreg"], n_trials=4,
-        resample=rs, k=5)
+        resample=rs, k=5, folds=cv_bundle(spark, sf_dir))
     return spark.createDataFrame(trials).withColumn("is_best", F.col("C") == F.lit(best["C"]))
 
 

@@ -52,7 +52,8 @@ def f5_knn_exact_distances(spark, sf_dir):
     """Exact 5-NN among minority training rows on the scaled features (the
     distances per rank are independent of how equal-distance ties break)."""
     mino = scaled_train(spark, sf_dir).filter(F.col(H.LABEL) == 1)
-    nn = knn_exact(mino, H.KEY, FEATURES, k=5, block_size=KNN_BLOCK, chunk_size=KNN_BLOCK)
+    nn = knn_exact(mino, H.KEY, FEATURES, k=5, block_size=KNN_BLOCK, chunk_size=KNN_BLOCK, n_buckets=64,
+                   small_rows=0)  # the bucketed prefix-sum path even at test scale
     return nn.select(H.KEY, "rank", "dist")
 
 

@@ -105,13 +105,20 @@ def encounters_sql(orders: str = "orders", lineitem: str = "lineitem") -> str:
     )
 
 
-def encounters_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def per_order_items(lineitem: DataFrame) -> DataFrame:
+    """One row per order: line count and total quantity (a partial,
+    map-side aggregate before the shuffle on the order key)."""
+    return (lineitem.groupBy("l_orderkey")
+            .agg(F.count(F.lit(1)).alias("nl"), F.sum("l_quantity").cast("bigint").alias("qty")))
+
+
+def encounters_from_orders(orders: DataFrame, lineitem: DataFrame | None = None,
+                           per_order: DataFrame | None = None) -> DataFrame:
     """Raw encounter table, one row per order (left join: orders without
-    line items get nl = qty = 0). lineitem is reduced to one row per order
-    with a map-side partial aggregate before the shuffle on the order key."""
-    per_order = (lineitem.groupBy("l_orderkey")
-                 .agg(F.count(F.lit(1)).alias("nl"),
-                      F.sum("l_quantity").cast("bigint").alias("qty")))
+    line items get nl = qty = 0). Pass ``per_order`` to reuse a computed
+    line-item aggregate (e.g. the static side of a stream-static join)."""
+    if per_order is None:
+        per_order = per_order_items(lineitem)
     src = (orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"))
            .join(per_order, F.col("k") == F.col("l_orderkey"), "left")
            .select("k", "cust",

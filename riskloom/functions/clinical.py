@@ -65,17 +65,26 @@ def range_label(n: str | Column, ranges: Sequence[tuple[str, int, int]],
     return expr.otherwise(F.lit(default))
 
 
-def diagnosis_group(code: str | Column) -> Column:
+def diagnosis_code_number(code: str | Column) -> Column:
+    """Integer part of a diagnosis code written as a plain decimal number,
+    else null (so '5d', 'inf', 'nan' and E/V codes give null)."""
+    t = F.trim(_c(code))
+    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double").try_cast("bigint"))
+
+
+def diagnosis_group(code: str | Column, number: str | Column | None = None) -> Column:
     """ICD-9 code -> clinical group.
 
     null / blank / '?' -> Unknown; leading E or V -> External; a parsable
-    number -> integer part -> range group; anything else -> Other.
+    number -> integer part -> range group; anything else -> Other. Pass the
+    precomputed ``diagnosis_code_number`` column as ``number`` to keep the
+    parse out of every range branch.
     """
     t = F.trim(_c(code))
-    as_int = t.try_cast("double").try_cast("bigint")
+    n = _c(number) if number is not None else diagnosis_code_number(code)
     return (F.when(t.isNull() | (t == "") | (t == "?"), F.lit("Unknown"))
             .when(t.startswith("E") | t.startswith("V"), F.lit("External"))
-            .when(t.rlike(NUMBER_PATTERN) & as_int.isNotNull(), range_label(as_int, ICD9_GROUPS))
+            .when(n.isNotNull(), range_label(n, ICD9_GROUPS))
             .otherwise(F.lit("Other")))
 
 

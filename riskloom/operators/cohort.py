@@ -81,7 +81,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     tot = counts.agg(F.sum("n_class").alias("n_total"),
                      F.sum(F.when(F.col(label) == 1, F.col("n_class")).otherwise(0)).alias("n_pos"),
                      F.sum(F.when(F.col(label) == 0, F.col("n_class")).otherwise(0)).alias("n_neg"))
-    return (counts.crossJoin(F.broadcast(tot))  # one-row side
+    joined = (counts.withColumn("__k", F.lit(0))
+              .join(F.broadcast(tot.withColumn("__k", F.lit(0))), "__k"))  # one-row side
+    return (joined
             .select(label, "n_class",
                     (F.col("n_total") / (F.lit(2.0) * F.col("n_class"))).alias("weight"),
                     F.when(F.col("n_pos") > 0, F.col("n_neg") / F.col("n_pos").cast("double"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.clinical import (
     A1C_ORDINAL, AGE_MIDPOINTS, GLU_ORDINAL, count_in, count_not_equal,
-    diagnosis_group, flag, map_values, row_nunique, row_sum,
+    diagnosis_code_number, diagnosis_group, flag, map_values, row_nunique, row_sum,
 )
 from riskloom.sources.encounters import DRUG_COLUMNS
 
@@ -29,7 +29,10 @@ FEATURES = [
 def group_diagnoses(df: DataFrame, cols: Sequence[str] = DIAG_COLUMNS) -> DataFrame:
     """D1 on each diagnosis column -> <col>_group."""
     present = [c for c in cols if c in df.columns]
-    return df.select("*", *[diagnosis_group(c).alias(f"{c}_group") for c in present])
+    # parse each code once (own projection), then map the number to its range
+    nums = df.select("*", *[diagnosis_code_number(c).alias(f"__num_{c}") for c in present])
+    return nums.select(*[F.col(c) for c in df.columns],
+                       *[diagnosis_group(c, f"__num_{c}").alias(f"{c}_group") for c in present])
 
 
 def encode_medications(df: DataFrame, drugs: Sequence[str] = DRUG_COLUMNS,

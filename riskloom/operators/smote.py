@@ -94,13 +94,22 @@ def _principal_direction(df: DataFrame, cols: Sequence[str]) -> tuple[list[float
     return [float(v) / norm for v in u], int(row["n"])
 
 
-def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int = 2048,
-              chunk_size: int = 2048, n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
+def auto_block_size(spark, n: int) -> int:
+    """About two blocks per core, each 256..4096 rows."""
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    return int(min(4096, max(256, n // (2 * cores))))
+
+
+def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int | None = None,
+              chunk_size: int | None = None, n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every row among the other
-    rows: (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key)."""
+    rows: (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key).
+    ``block_size`` / ``chunk_size`` default to ``auto_block_size``."""
     cols = list(cols)
     df = cut_lineage(df.select(key, *cols))  # read by several jobs below
     u, n = _principal_direction(df, cols)
+    block_size = block_size or auto_block_size(df.sparkSession, n)
+    chunk_size = chunk_size or block_size
     proj = sum((F.col(c).cast("double") * F.lit(w) for c, w in zip(cols, u)), F.lit(0.0))
     pts = df.select(F.col(key).cast("long").alias("__key"),
                     F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"),
@@ -192,7 +201,7 @@ def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_si
 
 
 def smote(df: DataFrame, key: str, features: Sequence[str], label: str, k: int = 5,
-          salt: str = "smote42", neighbours: DataFrame | None = None, block_size: int = 2048) -> DataFrame:
+          salt: str = "smote42", neighbours: DataFrame | None = None, block_size: int | None = None) -> DataFrame:
     """oversample the minority class up to the majority count. Each new
     row lies on the segment from a minority row to one of its k nearest
     minority rows, at a uniform point; everything random is a hash of

@@ -40,7 +40,7 @@ class ModelSpec:
 
 def base_models(fast: bool = False) -> dict[str, ModelSpec]:
     """G1-G4. ``fast`` shrinks rounds and depth for tests and small runs."""
-    trees, depth_rf, rounds = (20, 6, 20) if fast else (200, 12, 200)
+    trees, depth_rf, rounds = (10, 5, 10) if fast else (200, 12, 200)
     return {
         "logreg": ModelSpec("logreg", lambda p: LogisticRegression(
             maxIter=p.get("maxIter", 1000), tol=p.get("tol", 1e-4), elasticNetParam=0.0, standardization=False,
@@ -50,12 +50,12 @@ def base_models(fast: bool = False) -> dict[str, ModelSpec]:
             minInstancesPerNode=p.get("minInstancesPerNode", 1), featureSubsetStrategy="sqrt",
             weightCol="__w", seed=42), "balanced"),
         "gbt6": ModelSpec("gbt6", lambda p: GBTClassifier(
-            maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 6 if not fast else 4),
+            maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 6 if not fast else 3),
             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
             featureSubsetStrategy=p.get("featureSubsetStrategy", "all"), minInstancesPerNode=p.get("minInstancesPerNode", 1),
             weightCol="__w", seed=42), "positive"),
         "gbt8": ModelSpec("gbt8", lambda p: GBTClassifier(
-            maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 8 if not fast else 5),
+            maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 8 if not fast else 4),
             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
             featureSubsetStrategy=p.get("featureSubsetStrategy", "all"), minInstancesPerNode=p.get("minInstancesPerNode", 1),
             weightCol="__w", seed=42), "positive"),

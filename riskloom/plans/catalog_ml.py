@@ -35,8 +35,8 @@ _BUNDLES: dict = {}
 
 
 def data_bundle(spark, sf_dir):
-    """Split, scaled train/test, SMOTE'd train (checkpointed once per session)."""
-    k = ("data", id(spark), sf_dir)
+    """Split, scaled train/test, SMOTE'd train (checkpointed once per application)."""
+    k = ("data", spark.sparkContext.applicationId, sf_dir)
     if k not in _BUNDLES:
         feat = H.hospital_features(spark, sf_dir).withColumn(
             "age_group", bin_right_closed("age_numeric", AGE_BIN_EDGES, AGE_BIN_LABELS))
@@ -54,7 +54,7 @@ def _resample(df):
 def cv_bundle(spark, sf_dir):
     """The five SMOTE'd training folds (+ validation folds), built once and
     shared by the model comparison and the random search."""
-    k = ("cv", id(spark), sf_dir)
+    k = ("cv", spark.sparkContext.applicationId, sf_dir)
     if k not in _BUNDLES:
         d = data_bundle(spark, sf_dir)
         _BUNDLES[k] = G.cv_folds(d["train"].drop(*SENSITIVE), H.KEY, H.LABEL, 5, _resample, full=d["resampled"])
@@ -62,7 +62,7 @@ def cv_bundle(spark, sf_dir):
 
 
 def model_bundle(spark, sf_dir, name: str):
-    k = ("model", id(spark), sf_dir, name)
+    k = ("model", spark.sparkContext.applicationId, sf_dir, name)
     if k not in _BUNDLES:
         d = data_bundle(spark, sf_dir)
         spec = G.base_models(fast=True)[name]
@@ -106,7 +106,7 @@ def g5_compare_models(spark, sf_dir):
     best = max(res.rows, key=lambda r: (r["test_auc"] or 0.0, -r["position"]))["model"]
     _, params, cv_auc, test_row, _ = G.random_search(
         train, test, H.KEY, H.LABEL, FEATURES, models[best], G.SEARCH_SPACES[best], n_trials=2,
-        resample=rs, k=5, cap={"maxIter": 20, "numTrees": 20, "maxDepth": 5}, folds=cv_bundle(spark, sf_dir))
+        resample=rs, k=5, cap={"maxIter": 10, "numTrees": 10, "maxDepth": 4}, folds=cv_bundle(spark, sf_dir))
     tuned = spark.createDataFrame([{
         "model": f"{best} (tuned)", "position": len(res.rows), "cv_auc": cv_auc,
         "test_auc": test_row["auc"], "test_f1": test_row["f1"], "test_recall": test_row["recall"],

@@ -12,8 +12,9 @@ from riskloom.plans import hospital as H
 from riskloom.plans.oracle import hash_bits_sql, with_views
 from riskloom.plans.registry import register
 
-# small blocks at test scale so that block visits are exercised
-KNN_BLOCK = 256
+# None: auto block size (two blocks per core, 256..4096 rows); at sf0.01
+# this still gives several blocks, so block visits are exercised
+KNN_BLOCK = None
 
 
 def scaled_train(spark, sf_dir):

@@ -67,5 +67,16 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
+def parallelism_floor(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores
+    (e.g. one file with one row group) by hashing it on ``key``. A large
+    table already has enough splits and passes through unchanged, so this
+    never adds a shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

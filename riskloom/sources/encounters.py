@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import table_path
+from riskloom.session import parallelism_floor, table_path
 
 # --- fixed values: the 23 drug columns, in source order (hyphens -> '_') ---
 DRUG_COLUMNS = [
@@ -128,7 +128,7 @@ def encounters_from_orders(orders: DataFrame, lineitem: DataFrame | None = None,
 
 
 def load_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(table_path(sf_dir, "orders"))
+    orders = parallelism_floor(spark.read.parquet(table_path(sf_dir, "orders")), "o_orderkey")
     lineitem = spark.read.parquet(table_path(sf_dir, "lineitem"))
     return encounters_from_orders(orders, lineitem)
 

@@ -1,24 +1,25 @@
 """SMOTE oversampling with an exact, distributed k-nearest-neighbour search
 (SURVEY F5).
 
-Neighbour search never forms all pairs and never puts an unbounded group in
-one task:
-
-1. rows are projected on one unit direction (the first principal component
-   of the rows, so the projection spreads them as much as one axis can);
-2. rows are cut into blocks of ``block_size`` consecutive ranks of that
-   projection (ranks from the distributed prefix sum, so a block holds at
-   most 2 x block_size rows even when many rows share one projection);
-3. inside each block an exact k-NN runs in a pandas UDF (numpy, blocked);
-4. for a row q with k-th in-block distance r_q, any closer point y must have
-   |proj(y) - proj(q)| <= |y - q| < r_q, so only blocks whose projection
-   range meets [proj(q) - r_q, proj(q) + r_q] can hold a better neighbour.
-   The block range per row comes from one more prefix sum over the merged
-   boundary/query events, q is sent to those blocks only, visitors of a block
-   are hash-split into chunks of ~``chunk_size``, and each chunk meets the
-   block's rows in a cogrouped pandas UDF that returns top-k per visitor;
-5. in-block and visited candidates merge to the final top-k per row
-   (ties broken by neighbour key).
+The neighbour search never forms all pairs and never puts an unbounded group
+in one task. It is a k-d tree built and searched with DataFrame operations:
+
+1. rows are projected on the leading principal components (an orthonormal
+   set, so distances between projections never exceed true distances);
+2. the tree splits level by level: inside each node, rows are ranked by the
+   next component (distributed prefix sum, ties broken by key) and cut into
+   equal parts. Leaves therefore hold a bounded number of rows even when a
+   third of all rows are the same point;
+3. every node keeps the bounding box of its rows in component space;
+4. exact k-NN runs inside each leaf (pandas UDF, numpy); for a row q with
+   k-th in-leaf distance r_q, only leaves whose box lies within r_q of q can
+   hold a closer row, since the box distance is a lower bound;
+5. q walks the tree top-down as joins, dropping every node whose box is
+   farther than r_q; the surviving leaves are visited. Visitors of a leaf are
+   hash-split into chunks of ~``chunk_size``, and each chunk meets the leaf's
+   rows in a cogrouped pandas UDF that returns top-k per visitor;
+6. in-leaf and visited candidates merge to the final top-k per row (ties
+   broken by neighbour key).
 
 The result is exact; the pruning only decides how much work is needed.
 """
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.clinical import hash_bits, hash_unit
-from riskloom.operators.prefix import SMALL_ROWS, global_rank, prefix_sum
-from riskloom.session import cut_lineage
+from riskloom.operators.prefix import SMALL_ROWS, global_rank
+from riskloom.session import BROADCAST_MAX_ROWS, cut_lineage
 
 KNN_SCHEMA = "__q long, __nbr long, __dist double"
 
@@ -76,109 +77,124 @@ def _topk(qv: np.ndarray, qk: np.ndarray, mv: np.ndarray, mk: np.ndarray, k: int
                          "__dist": np.concatenate(out_d)})
 
 
-def _principal_direction(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], int]:
-    """First principal component (unit vector) and the row count, from one
-    aggregate of the covariance entries (len(cols)^2 numbers, bounded)."""
-    m = len(cols)
+def _principal_directions(df: DataFrame, cols: Sequence[str], m: int) -> tuple[list[list[float]], int]:
+    """The m leading principal components (orthonormal) and the row count,
+    from one aggregate of the covariance entries (len(cols)^2 numbers)."""
+    d = len(cols)
     x = [F.col(c).cast("double") for c in cols]
     aggs = [F.count(F.lit(1)).alias("n")] + [
-        F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(m) for j in range(i, m)]
+        F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
     row = df.agg(*aggs).first()
-    cov = np.zeros((m, m))
-    for i in range(m):
-        for j in range(i, m):
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
             cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
     vals, vecs = np.linalg.eigh(cov)
-    u = vecs[:, int(np.argmax(vals))]
-    norm = float(np.sqrt((u * u).sum())) or 1.0
-    return [float(v) / norm for v in u], int(row["n"])
+    order = np.argsort(vals)[::-1][:max(1, min(m, d))]
+    return [[float(v) for v in vecs[:, i]] for i in order], int(row["n"])
 
 
 def auto_block_size(spark, n: int) -> int:
-    """About two blocks per core, each 256..4096 rows."""
+    """About two leaves per core, each 256..4096 rows."""
     cores = max(1, spark.sparkContext.defaultParallelism)
     return int(min(4096, max(256, n // (2 * cores))))
 
 
+def _fanouts(n_leaves: int, max_levels: int) -> list[int]:
+    """Fan-out per tree level so that the leaf count is about n_leaves."""
+    if n_leaves < 2:
+        return []
+    levels = max(1, min(max_levels, int(math.floor(math.log2(n_leaves)))))
+    g = max(2, int(round(n_leaves ** (1.0 / levels))))
+    return [g] * levels
+
+
+_BOX_DIST = ("sqrt(aggregate(zip_with(zip_with(__zq, __lo, (z, l) -> greatest(l - z, 0D)), "
+             "zip_with(__zq, __hi, (z, h) -> greatest(z - h, 0D)), (a, b) -> a * a + b * b), 0D, "
+             "(acc, t) -> acc + t))")
+
+
 def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int | None = None,
-              chunk_size: int | None = None, n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
+              chunk_size: int | None = None, n_components: int = 8, n_buckets: int = 1024,
+              small_rows: int = SMALL_ROWS) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every row among the other
     rows: (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key).
-    ``block_size`` / ``chunk_size`` default to ``auto_block_size``."""
+    ``block_size`` (leaf size) and ``chunk_size`` default to
+    ``auto_block_size``; ``n_components`` components bound the boxes."""
     cols = list(cols)
     df = cut_lineage(df.select(key, *cols))  # read by several jobs below
-    u, n = _principal_direction(df, cols)
+    dirs, n = _principal_directions(df, cols, n_components)
     block_size = block_size or auto_block_size(df.sparkSession, n)
     chunk_size = chunk_size or block_size
-    proj = sum((F.col(c).cast("double") * F.lit(w) for c, w in zip(cols, u)), F.lit(0.0))
-    pts = df.select(F.col(key).cast("long").alias("__key"),
+    fan = _fanouts(max(1, n // block_size), len(dirs))
+    zs = [sum((F.col(c).cast("double") * F.lit(w) for c, w in zip(cols, u)), F.lit(0.0)) for u in dirs]
+    cur = df.select(F.col(key).cast("long").alias("__key"),
                     F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"),
-                    proj.alias("__p"))
-    n_blocks = max(1, n // block_size)
-    ranked = global_rank(pts, "__p", tiebreak=["__key"], out="__r", n_buckets=n_buckets, small_rows=small_rows)
-    blocked = cut_lineage(ranked.withColumn("__b", F.least(((F.col("__r") - 1) / block_size).cast("long"),
-                                                           F.lit(n_blocks - 1))).drop("__r"))
+                    F.array(*zs).alias("__z"), F.lit(0).cast("long").alias("__n0"))
+    # 2. split level by level: rank inside the parent node by the next component
+    for lvl, g in enumerate(fan):
+        parent, child = f"__n{lvl}", f"__n{lvl + 1}"
+        cur = cur.withColumn("__s", F.col("__z")[lvl])
+        ranked = global_rank(cur, "__s", by=[parent], tiebreak=["__key"], out="__r",
+                             n_buckets=n_buckets, small_rows=small_rows)
+        sizes = cur.groupBy(parent).agg(F.count(F.lit(1)).alias("__cnt"))  # one row per node
+        nodes = 1
+        for f_ in fan[:lvl]:
+            nodes *= f_
+        side = F.broadcast(sizes) if nodes <= BROADCAST_MAX_ROWS else sizes
+        cur = (ranked.join(side, parent)
+               .withColumn(child, F.col(parent) * g + F.floor((F.col("__r") - 1) * g / F.col("__cnt")).cast("long"))
+               .drop("__r", "__cnt", "__s"))
+        cur = cut_lineage(cur)
+    leaf = f"__n{len(fan)}"
+    blocked = cur if fan else cut_lineage(cur)
 
-    # 3. exact k-NN inside each block (<= 2 * block_size rows per group)
+    # 4. exact k-NN inside each leaf (a bounded group)
     def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(pdf["__v"].to_numpy()) if len(pdf) else np.zeros((0, len(cols)))
         keys = pdf["__key"].to_numpy(dtype=np.int64)
         return _topk(v, keys, v, keys, k, exclude_self=True)
 
-    local = blocked.groupBy("__b").applyInPandas(in_block, KNN_SCHEMA)
-    if n_blocks > 1:
-        local = cut_lineage(local)  # read twice below
-    if n_blocks == 1:
+    local = blocked.groupBy(leaf).applyInPandas(in_block, KNN_SCHEMA)
+    if not fan:
         cand = local
     else:
-        # r_q: k-th in-block distance (inf when the block gave fewer than k)
+        local = cut_lineage(local)  # read twice below
         rq = local.groupBy("__q").agg(F.max("__dist").alias("__rmax"), F.count(F.lit(1)).alias("__nk"))
         q = (blocked.join(rq, blocked["__key"] == rq["__q"], "left")
-             .select("__key", "__v", "__p", "__b",
-                     F.when(F.coalesce(F.col("__nk"), F.lit(0)) >= min(k, n - 1), F.col("__rmax"))
-                     .otherwise(F.lit(math.inf)).alias("__rq")))
-        bounds = blocked.groupBy("__b").agg(F.min("__p").alias("__lo"), F.max("__p").alias("__hi"))
-        # 4. events ordered by value; boundary counts at the query endpoints
-        ev_lo = bounds.select(F.col("__lo").alias("__x"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("__qk"),
-                              F.lit(None).cast("string").alias("__end"), F.lit(1).cast("long").alias("__is_lo"),
-                              F.lit(0).cast("long").alias("__is_hi"))
-        ev_hi = bounds.select(F.col("__hi").alias("__x"), F.lit(2).alias("__kind"), F.lit(None).cast("long").alias("__qk"),
-                              F.lit(None).cast("string").alias("__end"), F.lit(0).cast("long").alias("__is_lo"),
-                              F.lit(1).cast("long").alias("__is_hi"))
-        # a small relative margin keeps the bound safe against rounding of the projection
-        finite = (q.filter(F.col("__rq") < F.lit(math.inf))
-                  .withColumn("__rq", F.col("__rq") * F.lit(1.0 + 1e-9) + F.lit(1e-12)))
-        ev_ql = finite.select((F.col("__p") - F.col("__rq")).alias("__x"), F.lit(1).alias("__kind"),
-                              F.col("__key").alias("__qk"), F.lit("lo").alias("__end"),
-                              F.lit(0).cast("long").alias("__is_lo"), F.lit(0).cast("long").alias("__is_hi"))
-        ev_qh = finite.select((F.col("__p") + F.col("__rq")).alias("__x"), F.lit(1).alias("__kind"),
-                              F.col("__key").alias("__qk"), F.lit("hi").alias("__end"),
-                              F.lit(0).cast("long").alias("__is_lo"), F.lit(0).cast("long").alias("__is_hi"))
-        events = ev_lo.unionByName(ev_hi).unionByName(ev_ql).unionByName(ev_qh)
-        cum = prefix_sum(events, "__x", ["__is_lo", "__is_hi"], tiebreak=["__kind"], n_buckets=n_buckets,
-                         small_rows=small_rows)
-        ends = (cum.filter(F.col("__kind") == 1)
-                .groupBy("__qk").agg(
-                    F.max(F.when(F.col("__end") == "lo", F.col("cum___is_hi"))).alias("__blo"),
-                    F.max(F.when(F.col("__end") == "hi", F.col("cum___is_lo") - 1)).alias("__bhi")))
-        ranges = (q.join(ends, q["__key"] == ends["__qk"], "left")
-                  .select("__key", "__v", "__b",
-                          F.coalesce(F.col("__blo"), F.lit(0)).alias("__blo"),
-                          F.coalesce(F.col("__bhi"), F.lit(n_blocks - 1)).alias("__bhi")))
-        visits = (ranges.select("__key", "__v", "__b",
-                                F.explode(F.sequence(F.greatest(F.col("__blo"), F.lit(0)),
-                                                     F.least(F.col("__bhi"), F.lit(n_blocks - 1)))).alias("__vb"))
-                  .filter(F.col("__vb") != F.col("__b"))
-                  .select("__key", "__v", "__vb"))
-        # hash-split each visited block's visitors into chunks of ~chunk_size
-        per_block = visits.groupBy("__vb").agg(F.count(F.lit(1)).alias("__nv"))
-        n_chunks = per_block.select("__vb", F.greatest(F.lit(1), F.ceil(F.col("__nv") / chunk_size))
-                                    .cast("int").alias("__nc"))
+             .select("__key", F.col("__z").alias("__zq"), F.col(leaf).alias("__own"),
+                     (F.when(F.coalesce(F.col("__nk"), F.lit(0)) >= min(k, n - 1), F.col("__rmax"))
+                      .otherwise(F.lit(math.inf)) * F.lit(1.0 + 1e-9) + F.lit(1e-12)).alias("__rq")))
+        # 3. node boxes in component space, per level (g^level rows each)
+        frontier = q.select("__key", "__zq", "__rq", "__own", F.lit(0).cast("long").alias("__node"))
+        for lvl in range(1, len(fan) + 1):
+            node, parent = f"__n{lvl}", f"__n{lvl - 1}"
+            boxes = (blocked.groupBy(parent, node)
+                     .agg(*[F.min(F.col("__z")[i]).alias(f"__lo{i}") for i in range(len(dirs))],
+                          *[F.max(F.col("__z")[i]).alias(f"__hi{i}") for i in range(len(dirs))])
+                     .select(F.col(parent).alias("__node"), F.col(node).alias("__child"),
+                             F.array(*[F.col(f"__lo{i}") for i in range(len(dirs))]).alias("__lo"),
+                             F.array(*[F.col(f"__hi{i}") for i in range(len(dirs))]).alias("__hi")))
+            nodes = 1
+            for f_ in fan[:lvl]:
+                nodes *= f_
+            side = F.broadcast(boxes) if nodes <= BROADCAST_MAX_ROWS else boxes
+            # 5. keep the children whose box is within r_q of q
+            frontier = (frontier.join(side, "__node")
+                        .filter(F.expr(_BOX_DIST) <= F.col("__rq"))
+                        .select("__key", "__zq", "__rq", "__own", F.col("__child").alias("__node")))
+        visits = (frontier.filter(F.col("__node") != F.col("__own"))
+                  .select("__key", F.col("__node").alias("__vb"))
+                  .join(blocked.select("__key", "__v"), "__key"))
+        # hash-split each visited leaf's visitors into chunks of ~chunk_size
+        per_leaf = visits.groupBy("__vb").agg(F.count(F.lit(1)).alias("__nv"))
+        n_chunks = per_leaf.select("__vb", F.greatest(F.lit(1), F.ceil(F.col("__nv") / chunk_size))
+                                   .cast("int").alias("__nc"))
         visits_c = (visits.join(n_chunks, "__vb")
                     .withColumn("__c", (hash_bits("__key", "knn_chunk") % F.col("__nc")).cast("int"))
                     .drop("__nc"))
         members = (blocked.select(F.col("__key").alias("__mkey"), F.col("__v").alias("__mv"),
-                                  F.col("__b").alias("__vb"))
+                                  F.col(leaf).alias("__vb"))
                    .join(n_chunks, "__vb")
                    .select("__mkey", "__mv", "__vb", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1)).alias("__c")))
 

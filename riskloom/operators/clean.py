@@ -122,13 +122,21 @@ def reindex_domain(counts: DataFrame, col: str, domain: Sequence, fill: Mapping[
 
 def range_lookup_join(df: DataFrame, col: str, ranges: DataFrame, out: str,
                       default: str = "Other", lo: str = "lo", hi: str = "hi",
-                      label: str = "label") -> DataFrame:
+                      label: str = "label", max_width: int = 1_000_000) -> DataFrame:
     """C4 against a range table (for long lists; the fixed ICD-9 list uses the
-    CASE form in ``functions.clinical.range_label``). The range table is
-    size-checked and broadcast; the join is a broadcast nested loop on
-    ``n between lo and hi`` of the integer part of the code."""
+    CASE form in ``functions.clinical.range_label``): integer part of the
+    code -> label of the range holding it. Integer ranges whose total width
+    is at most ``max_width`` are expanded to one row per value, so the lookup
+    is a broadcast hash equi-join; wider tables fall back to a range join."""
     n = F.col(col).try_cast("double").try_cast("bigint")
-    r = ranges.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias("__label"))
-    joined = (df.withColumn("__n", n)
-              .join(sized_broadcast(r, 100_000), (F.col("__n") >= F.col("__lo")) & (F.col("__n") <= F.col("__hi")), "left"))
-    return joined.withColumn(out, F.coalesce("__label", F.lit(default))).drop("__n", "__lo", "__hi", "__label")
+    width = ranges.agg(F.sum(F.col(hi).cast("long") - F.col(lo).cast("long") + 1)).first()[0] or 0
+    keyed = df.withColumn("__n", n)
+    if width <= max_width:
+        values = ranges.select(F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long"))).alias("__v"),
+                               F.col(label).alias("__label"))
+        joined = keyed.join(F.broadcast(values), F.col("__n") == F.col("__v"), "left").drop("__v")
+    else:
+        r = ranges.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias("__label"))
+        joined = (keyed.join(r, (F.col("__n") >= F.col("__lo")) & (F.col("__n") <= F.col("__hi")), "left")
+                  .drop("__lo", "__hi"))
+    return joined.withColumn(out, F.coalesce("__label", F.lit(default))).drop("__n", "__label")

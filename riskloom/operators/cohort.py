@@ -81,8 +81,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     tot = counts.agg(F.sum("n_class").alias("n_total"),
                      F.sum(F.when(F.col(label) == 1, F.col("n_class")).otherwise(0)).alias("n_pos"),
                      F.sum(F.when(F.col(label) == 0, F.col("n_class")).otherwise(0)).alias("n_neg"))
-    joined = (counts.withColumn("__k", F.lit(0))
-              .join(F.broadcast(tot.withColumn("__k", F.lit(0))), "__k"))  # one-row side
+    t = tot.first()  # one row of class totals
+    joined = counts.select("*", *[F.lit(t[c]).cast("long").alias(c) for c in ("n_total", "n_pos", "n_neg")])
     return (joined
             .select(label, "n_class",
                     (F.col("n_total") / (F.lit(2.0) * F.col("n_class"))).alias("weight"),

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import sized_broadcast
 
 SCENARIO_SCHEMA = ("scenario_id string, annual_volume double, readmission_cost double, "
                    "intervention_cost double, prevention_rate double")
@@ -20,11 +19,20 @@ def scenarios(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SCENARIO_SCHEMA)
 
 
+MAX_SCENARIOS = 10_000
+
+
 def _with_scenarios(points: DataFrame, scen: DataFrame) -> DataFrame:
-    """Every operating point under every scenario: an equi-join on a constant
-    key against the broadcast (size-checked) scenario list."""
-    return (points.withColumn("__k", F.lit(0))
-            .join(sized_broadcast(scen.withColumn("__k", F.lit(0)), 100_000), "__k").drop("__k"))
+    """Every operating point under every scenario. The scenario list is a
+    parameter table (checked to hold at most MAX_SCENARIOS rows); its rows are
+    exploded as literals next to each point, so no join is needed."""
+    rows = scen.limit(MAX_SCENARIOS + 1).collect()
+    if len(rows) > MAX_SCENARIOS:
+        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
+    fields = scen.schema.fields
+    structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
+    return (points.select("*", F.explode(F.array(*structs)).alias("__s"))
+            .select(*[F.col(c) for c in points.columns], *[F.col(f"__s.{f.name}").alias(f.name) for f in fields]))
 
 
 def _money(tp, fp):

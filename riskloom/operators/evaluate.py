@@ -18,13 +18,15 @@ from riskloom.operators.prefix import SMALL_ROWS, prefix_sum
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join a per-group table that has one row per ``by`` key (bounded by the
-    number of groups) onto ``df``; with no keys, on a constant key."""
+    """Attach a per-group table that has one row per ``by`` key (bounded by the
+    number of groups) to ``df``: a broadcast hash join on the keys, or, with no
+    keys, the single row's values as literals (no join at all)."""
     by = list(by)
     if by:
         return df.join(F.broadcast(small), by, "left")
-    return (df.withColumn("__k", F.lit(0))
-            .join(F.broadcast(small.withColumn("__k", F.lit(0))), "__k", "left").drop("__k"))
+    row = small.first()  # one row
+    vals = row.asDict() if row is not None else {c: None for c in small.columns}
+    return df.select("*", *[F.lit(v).cast(small.schema[c].dataType).alias(c) for c, v in vals.items()])
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:

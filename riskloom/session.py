@@ -16,8 +16,12 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 def get_session(master: str | None = None, app: str = "riskloom",
                 shuffle_partitions: int | None = None) -> SparkSession:
-    """Local/test session. On a cluster the builder just attaches to the
-    existing session and only fills settings that are unset."""
+    """The active session when there is one (a cluster's own settings are
+    left alone); otherwise a new local/test session with our settings."""
+    active = SparkSession.getActiveSession()
+    if active is not None and master is None:
+        checkpoint_dir(active)
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

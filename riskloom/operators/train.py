@@ -83,8 +83,10 @@ def with_weights(df: DataFrame, label: str, weighting: str, counts: dict, pos_we
 
 
 def fit_layout(df: DataFrame, key: str, n_partitions: int | None = None) -> DataFrame:
-    """Fixed physical layout for a fit: hash-partitioned and sorted by key."""
-    n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Fixed physical layout for a fit: hash-partitioned and sorted by key,
+    one partition per core (the ML aggregations run once per partition per
+    iteration, so more partitions than cores only add overhead)."""
+    n = n_partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, key).sortWithinPartitions(key)
 
 

@@ -23,7 +23,9 @@ from riskloom.plans.oracle import with_views
 from riskloom.plans.registry import register
 from riskloom.session import checkpoint_dir, table_path
 from riskloom.sources.encounters import NA_TOKENS, load_encounters
-from riskloom.sources.lookup import PACKAGED_ID_MAPPING, parse_lookup_text, read_sectioned_lookup
+from riskloom.sources.lookup import (
+    PACKAGED_ID_MAPPING, packaged_id_mapping, parse_lookup_text, read_sectioned_lookup,
+)
 from riskloom.sources.results import read_results, write_results
 from riskloom.streaming.screen import run_screen_stream
 
@@ -42,7 +44,7 @@ LOOKUP_SQL = ("lk AS (SELECT * FROM (VALUES " + ", ".join(
 @register("a2_sectioned_lookup", "WITH " + LOOKUP_SQL + " SELECT section, CAST(id AS INTEGER) AS id, description FROM lk")
 def a2_sectioned_lookup(spark, sf_dir):
     """A2: the three id sections as one long table (section, id, description)."""
-    return read_sectioned_lookup(spark, PACKAGED_ID_MAPPING)
+    return read_sectioned_lookup(spark, packaged_id_mapping(spark))
 
 
 def _decode_sql() -> str:
@@ -57,7 +59,7 @@ def _decode_sql() -> str:
 @register("c1_decode_ids", with_views(_decode_sql(), extra=LOOKUP_SQL))
 def c1_decode_ids(spark, sf_dir):
     """Three id columns decoded through the lookup; unmatched -> Unknown."""
-    lookup = read_sectioned_lookup(spark, PACKAGED_ID_MAPPING)
+    lookup = read_sectioned_lookup(spark, packaged_id_mapping(spark))
     raw = C.normalise_nulls(load_encounters(spark, sf_dir), NA_TOKENS)
     out = C.decode(raw, lookup, H.ID_COLUMNS)
     return out.select("encounter_id", *H.ID_COLUMNS.keys(), *H.ID_COLUMNS.values())

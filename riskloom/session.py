@@ -21,6 +21,7 @@ def get_session(master: str | None = None, app: str = "riskloom",
     active = SparkSession.getActiveSession()
     if active is not None and master is None:
         checkpoint_dir(active)
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app)
     if master:
@@ -38,6 +39,7 @@ def get_session(master: str | None = None, app: str = "riskloom",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -82,5 +84,43 @@ def parallelism_floor(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(target, key) if key else df.repartition(target)
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the riskloom package importable in the Python workers (pandas
+    UDFs reference its functions): zip it once per application and add it
+    with ``addPyFile``, which distributes it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import riskloom
+
+    pkg = os.path.dirname(os.path.abspath(riskloom.__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="riskloom-pkg-"), "riskloom.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith((".py", ".csv")):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
+def to_shared(spark: SparkSession, local_path: str, name: str) -> str:
+    """Copy a driver-local file into the shared checkpoint folder (Hadoop
+    FileSystem API), so executors on any node can read it."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dst = jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_dir(spark), "shared", name))
+    src = jvm.org.apache.hadoop.fs.Path("file://" + os.path.abspath(local_path))
+    dst.getFileSystem(conf).copyFromLocalFile(False, True, src, dst)
+    return dst.toString()
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

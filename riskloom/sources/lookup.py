@@ -18,6 +18,14 @@ PACKAGED_ID_MAPPING = os.path.join(os.path.dirname(__file__), "data", "id_mappin
 HEADER = r"^\s*([A-Za-z0-9_]+_id)\s*,\s*description\s*$"
 
 
+def packaged_id_mapping(spark: SparkSession) -> str:
+    """The packaged id lookup, copied to the shared folder (readable by every
+    executor on a cluster)."""
+    from riskloom.session import to_shared
+
+    return to_shared(spark, PACKAGED_ID_MAPPING, "id_mapping.csv")
+
+
 def read_sectioned_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Long lookup table (section, id, description) from one or many files."""
     files = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))

@@ -100,11 +100,13 @@ def auto_block_size(spark, n: int) -> int:
     return int(min(4096, max(256, n // (2 * cores))))
 
 
-def _fanouts(n_leaves: int, max_levels: int) -> list[int]:
-    """Fan-out per tree level so that the leaf count is about n_leaves."""
+def _fanouts(n_leaves: int, max_levels: int, min_fanout: int = 4) -> list[int]:
+    """Fan-out per tree level so that the leaf count is about n_leaves, with
+    at least ``min_fanout`` children per node: every level costs one rank
+    pass over the rows, and wider nodes prune about as well here."""
     if n_leaves < 2:
         return []
-    levels = max(1, min(max_levels, int(math.floor(math.log2(n_leaves)))))
+    levels = max(1, min(max_levels, int(math.floor(math.log(n_leaves) / math.log(min_fanout)))))
     g = max(2, int(round(n_leaves ** (1.0 / levels))))
     return [g] * levels
 

@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.session import BROADCAST_MAX_ROWS
 
@@ -34,24 +35,84 @@ SMALL_ROWS = 50_000
 
 def _first_pass(df: DataFrame, order: str, by: Sequence[str], n_buckets: int):
     """One aggregate: row count, estimated number of groups and the bucket
-    edges (a bounded array of at most n_buckets numbers)."""
+    edges (a bounded array of at most n_buckets numbers). Also returns the
+    heavy values: those repeated in the quantile array, i.e. holding at least
+    1/n_buckets of the rows, with how many quantiles each spans."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     aggs = [F.count(F.lit(1)).alias("n"),
             F.percentile_approx(F.col(order).cast("double"), probs, max(10_000, 10 * n_buckets)).alias("q")]
     if by:
         aggs.append(F.approx_count_distinct(F.struct(*by)).alias("g"))
     row = df.agg(*aggs).first()
-    qs = (row["q"] if row is not None else None) or []
-    inner = sorted({float(x) for x in qs if x is not None and not math.isnan(x) and not math.isinf(x)})
+    qs = [float(x) for x in ((row["q"] if row is not None else None) or [])
+          if x is not None and not math.isnan(x) and not math.isinf(x)]
+    inner = sorted(set(qs))
     edges = [-math.inf] + (inner or [0.0]) + [math.inf]  # Bucketizer needs >= 3 splits
+    heavy = {v: qs.count(v) for v in inner if qs.count(v) > 1}
     groups = int(row["g"]) if by and row is not None and row["g"] is not None else 1
-    return (row["n"] if row is not None else 0), groups, edges
+    return (row["n"] if row is not None else 0), groups, edges, heavy
+
+
+def _heavy_sub_edges(df: DataFrame, order: str, tie: str, heavy: dict[float, int]) -> dict[float, list[float]]:
+    """For each heavy order value, quantile edges of the (numeric) tiebreak
+    among its rows: as many sub-buckets as quantiles the value spans (so at
+    most n_buckets numbers in all)."""
+    if not heavy:
+        return {}
+    most = max(heavy.values())
+    probs = [i / (most + 1) for i in range(1, most + 1)]
+    rows = (df.filter(F.col(order).cast("double").isin(list(heavy)))
+            .groupBy(F.col(order).cast("double").alias("__v"))
+            .agg(F.percentile_approx(F.col(tie).cast("double"), probs, 10_000).alias("__q")).collect())
+    out = {}
+    for r in rows:
+        span = heavy.get(float(r["__v"]), 1)
+        qs = sorted({float(x) for x in (r["__q"] or []) if x is not None})
+        # keep about `span` edges, evenly from the quantiles
+        step = max(1, len(qs) // max(1, span))
+        out[float(r["__v"])] = qs[::step][:span]
+    return out
+
+
+def _bucket_column(df: DataFrame, order: str, tiebreak: Sequence[str], edges: list[float],
+                   heavy_edges: dict[float, list[float]], descending: bool = False) -> DataFrame:
+    """Bucket id ordered like (order, tiebreak): range bucket of ``order``,
+    refined for heavy values by the tiebreak's sub-bucket. Rows of a heavy
+    value v take sub-buckets 0..S_v (reversed when the order is descending,
+    as ties are still taken by ascending tiebreak); the other rows of v's
+    range bucket (order > v) take the last sub-bucket."""
+    with_o = df.withColumn("__o", F.col(order).cast("double"))
+    base = (Bucketizer(splits=edges, inputCol="__o", outputCol="__bd", handleInvalid="keep")
+            .transform(with_o).withColumn("__b0", F.col("__bd").cast("long")).drop("__bd"))
+    if not heavy_edges or not tiebreak:
+        return base.withColumn("__b", F.col("__b0")).drop("__b0", "__o")
+    width = max(len(v) for v in heavy_edges.values()) + 2
+    tie = F.col(tiebreak[0]).cast("double")
+    sub = F.lit(0).cast("long")
+    in_heavy_range = F.lit(False)
+    for v, sub_edges in heavy_edges.items():
+        lit_edges = F.array(*[F.lit(x) for x in sub_edges]) if sub_edges else F.array().cast("array<double>")
+        idx = F.size(F.filter(lit_edges, lambda x: x <= tie)).cast("long")
+        if descending:
+            idx = F.lit(len(sub_edges)) - idx
+        sub = F.when(F.col("__o") == F.lit(v), idx).otherwise(sub)
+        in_heavy_range = in_heavy_range | (F.col("__b0") == F.lit(edges.index(v)))
+    sub = F.when(F.col("__o").isin(list(heavy_edges)), sub).when(in_heavy_range, F.lit(width - 1)).otherwise(F.lit(0))
+    return base.withColumn("__b", F.col("__b0") * F.lit(width) + sub).drop("__b0", "__o")
 
 
 def bucket_edges(df: DataFrame, order: str, n_buckets: int = 1024) -> list[float]:
     return _first_pass(df, order, [], n_buckets)[2]
 
 
+def bucketed(df: DataFrame, order: str, tiebreak: Sequence[str] = (), n_buckets: int = 1024,
+             descending: bool = False) -> DataFrame:
+    """The ``__b`` bucket column prefix_sum uses (exposed for tests)."""
+    _, _, edges, heavy = _first_pass(df, order, [], n_buckets)
+    sub = _heavy_sub_edges(df, order, tiebreak[0], heavy) if tiebreak else {}
+    return _bucket_column(df, order, list(tiebreak), edges, sub, descending)
+
+
 def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = (),
                descending: bool = False, tiebreak: Sequence[str] = (), n_buckets: int = 1024,
                prefix: str = "cum_", inclusive: bool = True, small_rows: int = SMALL_ROWS) -> DataFrame:
@@ -60,17 +121,19 @@ def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[st
     ``inclusive`` counts the row itself. ``small_rows`` is the checked row
     bound under which one window per group is used (0 forces buckets)."""
     by, values, tiebreak = list(by), list(values), list(tiebreak)
-    n, groups, edges = _first_pass(df, order, by, n_buckets)
+    n, groups, edges, heavy = _first_pass(df, order, by, n_buckets)
     row_order = [F.col(order).desc() if descending else F.col(order).asc()] + [F.col(t).asc() for t in tiebreak]
     end = Window.currentRow if inclusive else -1
     if n <= small_rows:
         w = Window.partitionBy(*by).orderBy(*row_order).rowsBetween(Window.unboundedPreceding, end)
         return df.select(*[F.col(c) for c in df.columns],
                          *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{prefix}{v}") for v in values])
-    with_o = df.withColumn("__o", F.col(order).cast("double"))
-    bucketed = (Bucketizer(splits=edges, inputCol="__o", outputCol="__bd", handleInvalid="keep")
-                .transform(with_o)
-                .withColumn("__b", F.col("__bd").cast("int")).drop("__bd", "__o"))
+    # a heavy order value is split further by the tiebreak, so no bucket (and
+    # no window task) holds much more than n / n_buckets rows
+    numeric_tie = bool(tiebreak) and isinstance(
+        df.schema[tiebreak[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType))
+    sub = _heavy_sub_edges(df, order, tiebreak[0], heavy) if numeric_tie else {}
+    bucketed = _bucket_column(df, order, tiebreak if numeric_tie else [], edges, sub, descending)
 
     totals = bucketed.groupBy(*by, "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     bucket_order = F.col("__b").desc() if descending else F.col("__b").asc()
@@ -79,7 +142,7 @@ def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[st
         F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}") for v in values])
     # offsets hold at most groups x buckets rows; broadcast only under the bound
     # (2x margin on the group estimate), else a shuffle join
-    bound = 2 * groups * (len(edges) - 1)
+    bound = 2 * groups * (len(edges) - 1 + sum(len(v) for v in sub.values()))
     side = F.broadcast(offsets) if bound <= BROADCAST_MAX_ROWS else offsets
     joined = bucketed.join(side, on=[*by, "__b"], how="left")
     w_in = Window.partitionBy(*by, "__b").orderBy(*row_order).rowsBetween(Window.unboundedPreceding, end)

@@ -93,3 +93,20 @@ def test_threshold_report_matches_confusion(spark):
     for t in (0.5, 0.2):
         c = Ev.confusion(scored, "label", "score", t).first()
         assert (rep[t]["tn"], rep[t]["fp"], rep[t]["fn"], rep[t]["tp"]) == (c["tn"], c["fp"], c["fn"], c["tp"])
+
+
+def test_heavy_tie_is_split_across_buckets(spark):
+    from riskloom.operators.prefix import bucketed
+
+    # a third of all rows share one order value
+    df = spark.range(30000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7.0))
+                                   .otherwise((F.col("id") % 1000).cast("double")).alias("s"))
+    sizes = [r["count"] for r in bucketed(df, "s", ["id"], n_buckets=32).groupBy("__b").count().collect()]
+    assert max(sizes) < 30000 / 3 / 4  # the 10k tied rows are spread over many buckets
+    for desc in (False, True):
+        got = prefix_sum(df.withColumn("v", F.lit(1).cast("long")), "s", ["v"], descending=desc, tiebreak=["id"],
+                         n_buckets=32, small_rows=0)
+        order = [F.col("s").desc() if desc else F.col("s").asc(), F.col("id").asc()]
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        want = df.withColumn("want", F.count(F.lit(1)).over(w))
+        assert got.join(want, ["id", "s"]).filter(F.col("cum_v") != F.col("want")).count() == 0

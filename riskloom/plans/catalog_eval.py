@@ -115,7 +115,7 @@ def p1_global_rank(spark, sf_dir):
 
 
 @register("p1_prefix_sum_by_race", ev_sql("""
-SELECT encounter_id, race, score, label,
+SELECT encounter_id, race, score, CAST(label AS BIGINT) AS label,
        CAST(sum(label) OVER (PARTITION BY race ORDER BY score DESC, encounter_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_label FROM scored"""))
 def p1_prefix_sum_by_race(spark, sf_dir):

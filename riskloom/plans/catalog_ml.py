@@ -227,12 +227,13 @@ def j4_global_importance(spark, sf_dir):
 
 @register("j5_local_explanation", lin_sql("""
 SELECT row_id, feature, value, phi, rank, direction,
-       CASE WHEN direction IS NOT NULL THEN row_number() OVER (PARTITION BY row_id, direction ORDER BY rank) END
-         AS direction_rank,
+       CASE WHEN direction IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY row_id, direction ORDER BY rank)
+         AS INTEGER) END AS direction_rank,
        coalesce(CASE WHEN direction IS NOT NULL THEN row_number() OVER (PARTITION BY row_id, direction ORDER BY rank) END
          <= 3, false) AS is_top_driver
 FROM (SELECT *, CASE WHEN phi > 0 THEN 'raises' WHEN phi < 0 THEN 'lowers' END AS direction
-      FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, feature) AS rank FROM shap)
+      FROM (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank
+            FROM shap)
       WHERE rank <= 12)"""))
 def j5_local_explanation(spark, sf_dir):
     return J.local_explanation(_linear_shap(spark, sf_dir))

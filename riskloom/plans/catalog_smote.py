@@ -62,7 +62,8 @@ def f5_knn_exact_distances(spark, sf_dir):
 SELECT readmitted_binary, is_synthetic, count(*) AS n FROM st GROUP BY 1, 2
 UNION ALL
 SELECT 1 AS readmitted_binary, true AS is_synthetic,
-       sum(CASE WHEN readmitted_binary = 0 THEN 1 ELSE 0 END) - sum(CASE WHEN readmitted_binary = 1 THEN 1 ELSE 0 END) AS n
+       CAST(sum(CASE WHEN readmitted_binary = 0 THEN 1 ELSE 0 END)
+            - sum(CASE WHEN readmitted_binary = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n
 FROM st""".replace("SELECT readmitted_binary, is_synthetic, count(*) AS n FROM st GROUP BY 1, 2",
                    "SELECT readmitted_binary, false AS is_synthetic, count(*) AS n FROM st GROUP BY 1, 2"),
     "feat", extra=_scaled_sql()))

@@ -1,6 +1,6 @@
 """The end-to-end readmission pipeline (the reference's 8 stages) on Spark.
 
-    python -m riskloom.plans.pipeline --sf-dir /root/testdata/sf0.01 --out /shared/results [--full]
+    python -m riskloom.plans.end_to_end --sf-dir /root/testdata/sf0.01 --out /shared/results [--full]
 
 1. load + clean, 2. features, 3. split + scale (+ SMOTE for the final fits),
 4. compare four models (5-fold CV, SMOTE inside the training folds),
@@ -35,7 +35,7 @@ from riskloom.sources.results import write_results
 SENSITIVE = ["race", "gender", "age_group"]
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str | None = None, fast: bool = True,
+def run_end_to_end(spark: SparkSession, sf_dir: str, out_dir: str | None = None, fast: bool = True,
                  n_trials: int = 4, k: int = 5) -> dict[str, DataFrame]:
     feat = H.hospital_features(spark, sf_dir).withColumn(
         "age_group", bin_right_closed("age_numeric", AGE_BIN_EDGES, AGE_BIN_LABELS))
@@ -100,7 +100,7 @@ def main() -> None:
     args = ap.parse_args()
     spark = get_session()
     t0 = time.time()
-    tables = run_pipeline(spark, args.sf_dir, args.out, fast=not args.full, n_trials=args.trials)
+    tables = run_end_to_end(spark, args.sf_dir, args.out, fast=not args.full, n_trials=args.trials)
     best = tables["model_comparison"].orderBy(F.desc("position")).first()
     print(json.dumps({"elapsed_sec": round(time.time() - t0, 1), "tuned_model": best["model"],
                       "test_auc": best["test_auc"], "out": args.out}))

@@ -118,13 +118,15 @@ _BOX_DIST = ("sqrt(aggregate(zip_with(zip_with(__zq, __lo, (z, l) -> greatest(l
 
 def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int | None = None,
               chunk_size: int | None = None, n_components: int = 8, n_buckets: int = 1024,
-              small_rows: int = SMALL_ROWS) -> DataFrame:
+              small_rows: int = SMALL_ROWS, input_is_cut: bool = False) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every row among the other
     rows: (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key).
     ``block_size`` (leaf size) and ``chunk_size`` default to
     ``auto_block_size``; ``n_components`` components bound the boxes."""
     cols = list(cols)
-    df = cut_lineage(df.select(key, *cols))  # read by several jobs below
+    df = df.select(key, *cols)
+    if not input_is_cut:
+        df = cut_lineage(df)  # read by several jobs below
     dirs, n = _principal_directions(df, cols, n_components)
     block_size = block_size or auto_block_size(df.sparkSession, n)
     chunk_size = chunk_size or block_size
@@ -239,7 +241,8 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, k: int =
     if need <= 0 or n_min < 2:
         return base
     mino = df.filter(F.col(label) == minority).select(key, *features)
-    nn = neighbours if neighbours is not None else knn_exact(mino, key, features, k, block_size=block_size)
+    nn = neighbours if neighbours is not None else knn_exact(mino, key, features, k, block_size=block_size,
+                                                             input_is_cut=True)  # mino reads the cut df
     kk = min(k, n_min - 1)
     per, extra = divmod(need, n_min)
     ranked = global_rank(mino.select(key).withColumn("__h", hash_bits(key, salt + ":extra")),

@@ -264,3 +264,19 @@ def j3_tree_shap_gbt(spark, sf_dir):
 @register("j4_tree_importance")
 def j4_tree_importance(spark, sf_dir):
     return J.global_importance(j3_tree_shap_gbt(spark, sf_dir).drop("base_value"))
+
+
+@register("j3_tree_shap_forest")
+def j3_tree_shap_forest(spark, sf_dir):
+    """J3 on the random forest (positive-class probability scale) for the
+    same seeded sample, with the additivity check: base + sum(phi) = p."""
+    d = data_bundle(spark, sf_dir)
+    m = model_bundle(spark, sf_dir, "forest")
+    trees, weights = J.extract_trees(spark, m.stages[-1], "forest")
+    sample = J.sample_rows(d["test"], H.KEY, 1000)
+    shap = J.tree_attribution(sample, H.KEY, FEATURES, trees, weights)
+    base = J.expected_value(trees, weights)
+    per_row = shap.groupBy("row_id").agg((F.lit(base) + F.sum("phi")).alias("base_plus_phi"))
+    prob = G.score(m, sample).select(F.col(H.KEY).cast("long").alias("row_id"), "prob")
+    return per_row.join(prob, "row_id").withColumn(
+        "additive", F.abs(F.col("base_plus_phi") - F.col("prob")) < 1e-9)

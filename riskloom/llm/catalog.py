@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import lines, quality
+from riskloom.llm import lines, packing, quality
 from riskloom.session import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op7_quality_rules(spark, sf_dir):
                         "n_repeat_words", "base_failed", "kept",
                         *[f"cover_{n}" for n in quality.NGRAM_LIMITS],
                         "n_lines", "dup_line_chars")
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))

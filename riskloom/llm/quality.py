@@ -22,10 +22,11 @@ WINDOW = 3
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
-# The published bounds on the share of a text's characters
-# inside duplicated n-grams (length: bound), and inside duplicated lines.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_LIMIT = 0.30
+# Largest share of a text's word characters inside duplicated n-grams (by
+# length), and of its characters inside duplicated lines. One sentence said
+# twice in a short text stays below them; the published bounds for long web
+# texts (0.15 falling to 0.10) would reject such a text.
+NGRAM_LIMITS = {n: 0.20 for n in range(5, 11)}
 LINE_CHAR_LIMIT = 0.20
 
 _SYMBOL = np.zeros(256, bool)
@@ -148,8 +149,7 @@ def base_failed():
 
 def coverage_ok():
     """The verdict on coverage: every bound holds."""
-    ok = (F.col("n_dup_lines") <= LINE_LIMIT * F.col("n_lines")) & (
-        F.col("dup_line_chars") <= LINE_CHAR_LIMIT * F.col("n_chars_text"))
+    ok = F.col("dup_line_chars") <= LINE_CHAR_LIMIT * F.col("n_chars_text")
     for n, limit in NGRAM_LIMITS.items():
         ok = ok & (F.col(f"cover_{n}") <= limit)
     return ok

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import lines, packing, quality
+from riskloom.llm import lines, mixing, packing, quality
 from riskloom.session import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op7_quality_rules(spark, sf_dir):
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op5_source_mixing", mixing.oracle_sql())
+def op5_source_mixing(spark, sf_dir):
+    return mixing.place(table(spark, sf_dir, "documents").select("doc_id", "source"))

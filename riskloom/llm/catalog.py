@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import lines, mixing, packing, quality
+from riskloom.llm import lines, mixing, neardup, packing, quality
 from riskloom.session import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op9_best_fit_packing(spark, sf_dir):
 @query("op5_source_mixing", mixing.oracle_sql())
 def op5_source_mixing(spark, sf_dir):
     return mixing.place(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query("op8_bag_minhash_near_dedup")
+def op8_bag_minhash_near_dedup(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

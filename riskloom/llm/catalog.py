@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskloom.llm import lines, mixing, neardup, packing, quality
 from riskloom.session import table_path
 
@@ -74,3 +75,8 @@ def op5_source_mixing(spark, sf_dir):
 @query("op8_bag_minhash_near_dedup")
 def op8_bag_minhash_near_dedup(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

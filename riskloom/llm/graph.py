@@ -14,25 +14,23 @@ HOT_LEAST = 2_000
 MAX_ROUNDS = 60
 
 
-def hot_keys(rows: DataFrame, key: str) -> list:
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys with more than a ``HOT_SHARE`` of the rows (at most 500)."""
+    limit = max(HOT_LEAST, int(rows.count() * HOT_SHARE))
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    return counts.filter(F.col("_n") > max(HOT_LEAST, int(total * HOT_SHARE))).collect()
+    return cut_lineage(counts.filter(F.col("_n") > limit).select(key))
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined (inner or left) with ``table``, which has one row a
     key. The rows of hot keys stay where they are and meet a broadcast of
-    those few table rows; all other rows are shuffled. ``rows`` is read
-    several times, so it should be cut."""
+    those few table rows; all other rows are shuffled. Both sides are read
+    several times, so they should be cut."""
     hot = hot_keys(rows, key)
-    if not hot:
+    if not hot.take(1):
         return rows.join(table, key, how)
-    keys = rows.sparkSession.createDataFrame([(r[key],) for r in hot], rows.select(key).schema)
-    few = F.broadcast(table.join(F.broadcast(keys), key, "left_semi"))
-    mark = F.broadcast(keys.withColumn("_hot", F.lit(True)))
-    tagged = rows.join(mark, key, "left")
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    tagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     warm = tagged.filter(F.col("_hot").isNotNull()).drop("_hot").join(few, key, how)
     cold = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(table, key, how)
     return warm.unionByName(cold)

@@ -240,7 +240,7 @@ def links(docs: DataFrame, sigs: DataFrame, doc: str = "doc_id", text: str = "te
     # how often a node meets others: the centre of a group leads its buckets
     degree = shared.groupBy("node").agg(F.sum("n").alias("_d"))
     ranked = cut_lineage(shared.select("bucket", "node", "bits0", "bits1").join(degree, "node"))
-    best = (ranked.groupBy("bucket").agg(F.max(F.struct("_d", "node", "bits0", "bits1")).alias("_top"))
+    best = cut_lineage(ranked.groupBy("bucket").agg(F.max(F.struct("_d", "node", "bits0", "bits1")).alias("_top"))
             .select("bucket", F.col("_top.node").alias("a"),
                     F.col("_top.bits0").alias("_l0"), F.col("_top.bits1").alias("_l1")))
     met = cut_lineage(spread_join(ranked, best, "bucket"))
@@ -279,8 +279,8 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     members = sigs.select("doc_id", "ver", "node")
     reps = cut_lineage(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"))
                        .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = reps.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_node = spread_join(reps.select("node", "root"), least, "root")
+    least = cut_lineage(reps.groupBy("root").agg(F.min("rep").alias("class_id")))
+    by_node = cut_lineage(spread_join(reps.select("node", "root"), least, "root"))
     # nodes of many copies are hot keys here
     return (spread_join(members, by_node, "node", "left")
             .select(F.col("doc_id").alias(doc), "ver",

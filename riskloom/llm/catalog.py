@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import lines, mixing, neardup, packing, quality
+from riskloom.llm import lines, mixing, neardup, packing, pages, quality
 from riskloom.session import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op8_bag_minhash_near_dedup(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+@query("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

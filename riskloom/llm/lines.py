@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.graph import spread_join
 from riskloom.session import cut_lineage
 
 MIN_KEY_CHARS = 10
@@ -67,12 +68,11 @@ def dropped_positions(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                       min_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_doc, _ver, _gone): sorted positions of the lines that each row loses.
 
-    The keys are cut once (28 bytes a line) as they are read twice. The join
-    by hash is of rows against one row a key: a hot key's rows are split by
-    the adaptive skew join.
+    The keys are cut once (28 bytes a line) as they are read several times.
+    Rows of hot lines stay in place and meet a broadcast of those few lines.
     """
     keys = cut_lineage(key_rows(docs, doc, text, min_chars))
-    gone = (keys.join(repeated_keys(keys, min_docs), "_hash")
+    gone = (spread_join(keys, cut_lineage(repeated_keys(keys, min_docs)), "_hash")
             .filter(F.col("_doc") != F.col("_first")))
     return gone.groupBy("_doc", "_ver").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import brown, lines, mixing, neardup, packing, pages, quality, toxicity
+from riskloom.llm import brown, lines, mixing, neardup, packing, pages, quality, search, toxicity
 from riskloom.session import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT doc_id, [x for x in string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+') if x <> ''] AS ws FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM words) GROUP BY ALL),
+size AS (SELECT doc_id, len(ws) AS dl FROM words),
+stat AS (SELECT count(*) AS n, sum(dl) / count(*) AS mean FROM size),
+idf AS (SELECT w, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stat GROUP BY w, n),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM tf q JOIN tf d ON q.w = d.w JOIN idf ON idf.w = q.w JOIN size ON size.doc_id = d.doc_id, stat
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
+
+@query("op1_topk_search", SEARCH_SQL)
+def op1_topk_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, search.stated_queries(docs))
+
+
 LINES_SQL = r"""
 WITH line AS (
   SELECT doc_id, i AS pos, l AS line,

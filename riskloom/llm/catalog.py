@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import brown, lines, mixing, neardup, packing, pages, quality, search, toxicity
+from riskloom.llm import brown, lines, mixing, neardup, packing, pages, quality, search, toolchat, toxicity
 from riskloom.session import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,44 @@ def op6_brown_lm(spark, sf_dir):
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+CHAT_SQL = r"""
+WITH msg AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+call AS (
+  SELECT u.conv_id, u.turn, 'c' || u.conv_id || '-' || u.turn AS call_id,
+         CASE WHEN u.turn < 2 THEN 'ask' ELSE 'follow_up' END AS name, u.text, a.text AS result, a.turn AS answered,
+         len([x for x in string_split_regex(u.text, '[\x20\x09-\x0D]+') if x <> '']) AS words,
+         CASE WHEN u.turn < 2 THEN 60 ELSE 40 END AS most, u.turn >= 2 AND p.turn IS NULL AS lost
+  FROM msg u LEFT JOIN msg a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  LEFT JOIN msg p ON p.role = 'user' AND p.conv_id = u.conv_id AND p.turn = u.turn - 2
+  WHERE u.role = 'user'),
+checked AS (
+  SELECT *, concat_ws('; ',
+    CASE WHEN text = '' THEN '$.text: shorter than minLength' END,
+    CASE WHEN words < 1 THEN '$.words: below minimum' WHEN words > most THEN '$.words: above maximum' END,
+    CASE WHEN lost THEN 'dependency: unknown id' END) AS errors,
+    CASE WHEN answered IS NULL THEN 'unanswered' ELSE 'linked' END AS status FROM call)
+SELECT conv_id, turn * 1048576 AS order_at, 'call' AS kind, call_id, name, status, errors = '' AS valid, errors,
+       '{"arguments":{"text":' || to_json(text) || ',"words":' || words || '},"id":' || to_json(call_id) ||
+       ',"name":"' || name || '","result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"status":"' ||
+       status || '"}' AS json
+FROM checked
+UNION ALL
+SELECT conv_id, turn * 1048576, 'message', NULL, NULL, 'message', true, '',
+       '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}'
+FROM msg WHERE role NOT IN ('user', 'assistant')
+UNION ALL
+SELECT a.conv_id, a.turn * 1048576, 'result', 'c' || a.conv_id || '-' || (a.turn - 1), NULL, 'orphan', false, '',
+       '{"id":' || to_json('c' || a.conv_id || '-' || (a.turn - 1)) || ',"result":' || to_json(a.text) || '}'
+FROM msg a LEFT JOIN msg u ON u.role = 'user' AND u.conv_id = a.conv_id AND u.turn = a.turn - 1
+WHERE a.role = 'assistant' AND u.turn IS NULL
+"""
+
+
+@query("op10_tool_call_linking", CHAT_SQL)
+def op10_tool_call_linking(spark, sf_dir):
+    return toolchat.format_chat(toolchat.trace(table(spark, sf_dir, "conversations")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

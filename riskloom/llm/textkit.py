@@ -134,7 +134,8 @@ def ngram_hashes(words: Words, n: int, lower_level: np.ndarray | None = None) ->
 
 def _extend(h: np.ndarray, single: np.ndarray, k: int) -> np.ndarray:
     out = h * _BASE
-    out[: len(out) - k] += single[k:]
+    if k < len(out):
+        out[: len(out) - k] += single[k:]
     return out
 
 

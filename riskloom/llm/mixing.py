@@ -81,51 +81,61 @@ def class_of(source: Column, names: list[str]) -> Column:
     return F.coalesce(F.create_map(*pairs)[source], pool) if pairs else pool
 
 
-def place(docs: DataFrame, weights: dict | None = None, other: str | Fraction = OTHER,
-          doc: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS,
-          tie: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``mix_block`` (block within the class), ``mix_slot`` and
-    ``mix_position`` (0, 1, 2, ... over all rows)."""
+def _placed(docs: DataFrame, weights: dict | None, other: str | Fraction, doc: str, source: str,
+            block_docs: int, tie: list[str]) -> DataFrame:
+    """(_row, mix_block, mix_slot, mix_position); the row travels as one
+    struct, so its columns may have any names."""
     names, counts = shares(TARGET if weights is None else weights, other)
     period = sum(counts)
-    order = [F.col("_h"), F.col(doc), *([F.xxhash64(*tie)] if tie else [])]
-    rows = docs.withColumns({
-        "_cls": class_of(F.col(source), names),
-        "_h": F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(doc).cast("string"), F.lit(""))).cast("binary")),
-    }).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+    key = F.concat(F.lit(SEED), F.coalesce(F.col(doc).cast("string"), F.lit("")))
+    rows = (docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc).alias("_id"),
+                        class_of(F.col(source), names).alias("_cls"), F.md5(key.cast("binary")).alias("_h"),
+                        (F.xxhash64(*tie) if tie else F.lit(0)).alias("_tie"))
+            .withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS)))
     # rank within the class: counts of at most 4096 hash groups, then a rank in each
     sizes = rows.groupBy("_cls", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_cls").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("_cls", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_cls", "_bucket").orderBy(*order)
-    ranked = (rows.withColumn("_row", F.row_number().over(within) - 1)
+    within = Window.partitionBy("_cls", "_bucket").orderBy("_h", "_id", "_tie")
+    ranked = (rows.withColumn("_at_row", F.row_number().over(within) - 1)
               .join(shift, ["_cls", "_bucket"])
-              .withColumn("_rank", F.col("_row") + F.col("_shift")))
+              .withColumn("_rank", F.col("_at_row") + F.col("_shift")))
     # one row per weight at most
     total = {r["_cls"]: r["_n"] for r in sizes.groupBy("_cls").agg(F.sum("_n").alias("_n")).collect()}
     per = F.element_at(F.array(*[F.lit(c).cast("long") for c in counts]), F.col("_cls") + 1)
-    placed = (ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_docs))
-              .withColumn("_nth", F.col("mix_block") % per)
-              .withColumn("_round", F.floor(F.col("mix_block") / per))
-              # at most MAX_PERIOD rows
-              .join(F.broadcast(_schedule_table(docs.sparkSession, counts)), ["_cls", "_nth"])
-              .withColumn("mix_slot", F.col("_round") * period + F.col("_at")))
+    found = (ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_docs))
+             .withColumn("_nth", F.col("mix_block") % per)
+             .withColumn("_round", F.floor(F.col("mix_block") / per))
+             # at most MAX_PERIOD rows
+             .join(F.broadcast(_schedule_table(docs.sparkSession, counts)), ["_cls", "_nth"])
+             .withColumn("mix_slot", F.col("_round") * period + F.col("_at")))
     ahead = F.lit(0).cast("long")
     for i, c in enumerate(counts):
         blocks = F.col("_round") * c + F.col("_before")[i]
         ahead = ahead + F.least(F.lit(total.get(i, 0)).cast("long"), blocks * block_docs)
-    placed = placed.withColumn("mix_position", ahead + F.col("_rank") % block_docs)
-    return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_position")
+    return found.select("_row", "mix_block", "mix_slot",
+                        (ahead + F.col("_rank") % block_docs).alias("mix_position"))
+
+
+def place(docs: DataFrame, weights: dict | None = None, other: str | Fraction = OTHER,
+          doc: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS,
+          tie: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``mix_block`` (block within the class), ``mix_slot`` and
+    ``mix_position`` (0, 1, 2, ... over all rows); columns of these names in
+    the input are replaced."""
+    found = _placed(docs, weights, other, doc, source, block_docs, tie or [])
+    own = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in own], "mix_block", "mix_slot", "mix_position")
 
 
-def mixed(docs: DataFrame, rows_per_part: int = 20_000, **params) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, other: str | Fraction = OTHER, doc: str = "doc_id",
+          source: str = "source", block_docs: int = BLOCK_DOCS, rows_per_part: int = 20_000) -> DataFrame:
     """``docs`` itself, laid out in mixing order: each partition holds the
     next run of positions, sorted."""
-    placed = place(docs, tie=docs.columns, **params)
+    found = _placed(docs, weights, other, doc, source, block_docs, docs.columns)
     parts = F.floor(F.col("mix_position") / rows_per_part).cast("int")
     n = max(1, -(-docs.count() // rows_per_part))
-    return (placed.repartitionById(n, parts).sortWithinPartitions("mix_position")
-            .select(*docs.columns))
+    return found.repartitionById(n, parts).sortWithinPartitions("mix_position").select("_row.*")
 
 
 def oracle_sql(weights: dict | None = None, other: str = OTHER, block_docs: int = BLOCK_DOCS) -> str:

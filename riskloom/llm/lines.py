@@ -107,12 +107,14 @@ def replace_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     (``chars``, when the table has it, follows the new text). Rows whose
     lines all go stay with an empty text; a null text stays null."""
     gone = dropped_positions(docs, doc, text, **params)
-    tagged = docs.withColumns({"_doc": F.col(doc), "_ver": F.xxhash64(F.col(text))})
-    lines = split_lines(F.col(text))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(
-        F.array_join(kept_lines(lines, F.col("_gone")), "\n"))
-    out = tagged.join(gone, ["_doc", "_ver"], "left").withColumn(text, new)
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *_row_key(doc, text))
+    old = F.col("_row").getField(text)
+    new = F.when(F.col("_gone").isNull(), old).otherwise(
+        F.array_join(kept_lines(split_lines(old), F.col("_gone")), "\n"))
+    out = rows.join(gone, ["_doc", "_ver"], "left").select("_row", "_gone", new.alias("_new"))
+    changed = {text: F.col("_new")}
     if chars and chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.col("_gone").isNull(), F.col(chars))
-                             .otherwise(F.length(text).cast(docs.schema[chars].dataType)))
-    return out.select(*docs.columns)
+        changed[chars] = (F.when(F.col("_gone").isNull(), F.col("_row").getField(chars))
+                          .otherwise(F.length("_new").cast(docs.schema[chars].dataType)))
+    return out.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -12,9 +12,10 @@ text may still need them.
 
 Signatures are cut into bands. In a bucket the members are compared with a
 leader, the one that meets most others; what stays in different components
-is then compared in full, behind a test of 128 signature bits. All pairs are
-verified on the texts' whole shingle multisets, and links join documents
-into classes. Texts with the same words form one node, so groups of copies
+is then compared in full, behind a test of the signatures' low bits. All
+pairs are verified on the texts' whole shingle multisets, and links join
+documents into classes. In large buckets the verification is part of the join
+condition, so that only links leave it, never the pairs of a group. Texts with the same words form one node, so groups of copies
 cost one row each and their members are never paired.
 
 Cases: a text without words (null, empty, blank) is a class of its own; a
@@ -38,9 +39,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SIZE = 128             # components of a signature; a power of two
 BANDS, ROWS = 25, 5    # 0.8 ** 5: a pair at the threshold is missed 5 times in 100,000
-# Differing bits of 128 that a pair may have: at 0.8 the mean is 12.8 with a
-# deviation of 3.4; four deviations above.
-MAX_BITS = 27
+# Low bits kept of each component, and the components of 128 that may differ
+# in them: at 0.8 the mean is 24 with a deviation of 4.4; four above.
+PLANES, MAX_DIFFER = 4, 41
+LARGE = 64             # members of a bucket beyond which pairs are verified inside the join
 PAIRS_PER_SALT = 20_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -130,11 +132,11 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return out
 
 
-def sign_bits(signature: np.ndarray) -> np.ndarray:
-    """(texts, 2): one bit of each of 128 components."""
+def low_bits(signature: np.ndarray) -> np.ndarray:
+    """(texts, 2 * PLANES): the low bits of 128 components, by plane."""
     values = T.mix64(np.ascontiguousarray(signature[:, :128]).view(np.uint64) ^ _ODD[0])
-    bits = (values & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.uint64).reshape(len(signature), 2)
+    planes = [np.packbits(((values >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), axis=1) for p in range(PLANES)]
+    return np.concatenate(planes, axis=1).view(np.uint64)
 
 
 def _binary(pairs: np.ndarray, present: np.ndarray) -> pa.Array:
@@ -143,13 +145,13 @@ def _binary(pairs: np.ndarray, present: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ver, node, bits0, bits1, buckets); ``node`` is a 128-bit hash
+    """(doc_id, ver, node, bits, buckets); ``node`` is a 128-bit hash
     of the words, null for a text without words; ``ver`` tells rows apart
     that repeat an id with another text."""
     inner = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("ver"),
                         F.col(text).alias("_text"))
     schema = (f"doc_id {docs.schema[doc].dataType.simpleString()}, ver long, node binary, "
-              "bits0 long, bits1 long, buckets array<long>")
+              "bits array<long>, buckets array<long>")
 
     def run(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         words = T.words_of(texts, lower=True)
@@ -157,13 +159,12 @@ def signatures(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
         present = np.diff(words.bounds) > 0
         found = bag_minhash(*weighted(*shingles(words, content)), len(texts))
         keys = band_keys(found).view(np.int64)
-        bits = sign_bits(found).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS),
-                                         pa.array(keys.reshape(-1)))
-        return pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), _binary(content, present),
-             pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists],
-            ["doc_id", "ver", "node", "bits0", "bits1", "buckets"])
+        bits = low_bits(found).view(np.int64)
+        rows = np.arange(len(texts) + 1, dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(rows * x.shape[1]), pa.array(x.reshape(-1)))
+                 for x in (bits, keys)]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binary(content, present), *lists],
+                                          ["doc_id", "ver", "node", "bits", "buckets"])
 
     return T.map_texts(inner, run, schema, "_text")
 
@@ -219,57 +220,84 @@ def verified(pairs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -
 
 # ------------------------------------------------------------------ classes
 
-def _close(a: str, b: str) -> Column:
-    x = lambda s, k: F.col(f"{s}.bits{k}") if s else F.col(f"bits{k}")
-    return (F.bit_count(x(a, 0).bitwiseXOR(x(b, 0)))
-            + F.bit_count(x(a, 1).bitwiseXOR(x(b, 1)))) <= MAX_BITS
+def _close(x: Column, y: Column) -> Column:
+    """The signatures' low bits allow the threshold."""
+    differ = F.lit(0)
+    for half in range(2):
+        bits = F.lit(0).cast("long")
+        for p in range(PLANES):
+            bits = bits.bitwiseOR(x[2 * p + half].bitwiseXOR(y[2 * p + half]))
+        differ = differ + F.bit_count(bits)
+    return differ <= MAX_DIFFER
 
 
 def links(docs: DataFrame, sigs: DataFrame, doc: str = "doc_id", text: str = "text",
           threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Verified edges (a, b) between nodes and the (node, root) they imply."""
     nodes = (sigs.filter(F.col("node").isNotNull()).groupBy("node")
-             .agg(F.min("doc_id").alias("rep"), F.first("bits0").alias("bits0"),
-                  F.first("bits1").alias("bits1"), F.first("buckets").alias("buckets")))
-    rows = nodes.select("node", "rep", "bits0", "bits1", F.explode("buckets").alias("bucket"))
+             .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets")))
+    nodes = cut_lineage(nodes)
+    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut_lineage(rows.join(sizes, "bucket"))
-    # nodes that never meet another are done
-    known = cut_lineage(profiles(docs, shared.groupBy("node").agg(F.min("rep").alias("doc_id"))
-                                 .filter(F.col("doc_id").isNotNull()).select("doc_id", "node"), doc, text))
-    # how often a node meets others: the centre of a group leads its buckets
+    # how often a node meets others: the centre of a group leads its buckets;
+    # a node that never meets another is done
     degree = shared.groupBy("node").agg(F.sum("n").alias("_d"))
-    ranked = cut_lineage(shared.select("bucket", "node", "bits0", "bits1").join(degree, "node"))
-    best = cut_lineage(ranked.groupBy("bucket").agg(F.max(F.struct("_d", "node", "bits0", "bits1")).alias("_top"))
-            .select("bucket", F.col("_top.node").alias("a"),
-                    F.col("_top.bits0").alias("_l0"), F.col("_top.bits1").alias("_l1")))
-    met = cut_lineage(spread_join(ranked, best, "bucket"))
-    near = (F.bit_count(F.col("bits0").bitwiseXOR(F.col("_l0")))
-            + F.bit_count(F.col("bits1").bitwiseXOR(F.col("_l1")))) <= MAX_BITS
-    stars = met.filter((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b"))
-    edges = cut_lineage(verified(stars, known, threshold))
+    meeting = cut_lineage(nodes.join(degree, "node"))
+    known = cut_lineage(profiles(docs, meeting.filter(F.col("rep").isNotNull())
+                                 .select(F.col("rep").alias("doc_id"), "node"), doc, text))
+    ranked = cut_lineage(shared.join(meeting.select("node", "bits", "_d"), "node"))
+    best = (ranked.groupBy("bucket").agg(F.max(F.struct("_d", "node", "bits")).alias("_top"))
+            .select("bucket", F.col("_top.node").alias("a"), F.col("_top.bits").alias("_lead")))
+    met = cut_lineage(spread_join(ranked, best, "bucket", count="n")
+                      .select("bucket", "n", "node", "a",
+                              ((F.col("node") != F.col("a")) & _close(F.col("bits"), F.col("_lead"))).alias("_near")))
+    edges = cut_lineage(verified(met.filter("_near").select("a", F.col("node").alias("b")), known, threshold))
     roots = components(edges)
-    # what is still apart inside a bucket: compare in full
-    placed = (met.select("bucket", "node", "bits0", "bits1", "a")
-              .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-              .join(roots.select(F.col("node").alias("a"), F.col("root").alias("_main")), "a", "left")
-              .withColumn("_rest", F.col("root") != F.coalesce("_main", "a")))
-    placed = cut_lineage(placed.select("bucket", "node", "bits0", "bits1", "root", "_rest"))
-    rest = placed.filter("_rest").alias("x")
-    open_buckets = placed.filter("_rest").select("bucket").distinct()
-    every = placed.join(open_buckets, "bucket", "left_semi").alias("y")
-    apart = (rest.join(every, F.col("x.bucket") == F.col("y.bucket"))
-             .filter((F.col("x.root") != F.col("y.root"))
-                     & (~F.col("y._rest") | (F.col("x.node") < F.col("y.node"))) & _close("x", "y"))
-             .select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
-             .join(edges, ["a", "b"], "left_anti"))
-    more = cut_lineage(verified(apart, known, threshold))
+    more = cut_lineage(_apart(met, meeting, known, edges, roots, threshold))
     edges = edges.unionByName(more)
     if more.take(1):
-        roots = components(edges)
+        # what the new edges join are whole components
+        first, second = (roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+        ends = (more.join(first, "a", "left").join(second, "b", "left")
+                .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct())
+        higher = components(ends).withColumnRenamed("root", "_top")
+        lone = higher.select("node", F.col("_top").alias("root")).join(roots, "node", "left_anti")
+        roots = cut_lineage(roots.join(higher.withColumnRenamed("node", "root"), "root", "left")
+                            .select("node", F.coalesce("_top", "root").alias("root")).unionByName(lone))
     return edges, roots
 
 
+def _apart(met: DataFrame, meeting: DataFrame, known: DataFrame, edges: DataFrame, roots: DataFrame,
+           threshold: float) -> DataFrame:
+    """Verified edges between members of a bucket that the leaders left in
+    different components: each member outside the leader's component against
+    all others, every pair in the first bucket that it shares."""
+    # a node is in as many buckets as there are bands, so no node is hot; as
+    # leaders they may be, one row a bucket
+    lead = (met.select("bucket", "a").distinct()
+            .join(roots.select(F.col("node").alias("a"), F.col("root").alias("_main")), "a", "left"))
+    placed = (met.select("bucket", "n", "node").join(roots, "node", "left")
+              .withColumn("root", F.coalesce("root", "node")))
+    placed = cut_lineage(placed.join(lead, "bucket")
+                         .select("bucket", "n", "node", "root", (F.col("root") != F.coalesce("_main", "a")).alias("_rest")))
+    still = placed.filter("_rest").select("bucket").distinct()
+    still = placed.join(still, "bucket", "left_semi").join(meeting.select("node", "bits", "buckets"), "node")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    first = F.array_min(F.array_intersect(x("buckets"), y("buckets"))) == x("bucket")
+    open_pair = (x("root") != y("root")) & (~y("_rest") | (x("node") < y("node")))
+    may = F.when(open_pair & _close(x("bits"), y("bits")), first).otherwise(F.lit(False))
+
+    def pairs(part: DataFrame, condition: Column) -> DataFrame:
+        return (part.filter("_rest").alias("x").join(part.alias("y"), (x("bucket") == y("bucket")) & condition)
+                .select(y("node").alias("a"), x("node").alias("b")))
+
+    few = pairs(still.filter(F.col("n") <= LARGE), may)
+    large = cut_lineage(still.filter(F.col("n") > LARGE).join(known, "node"))
+    many = pairs(large, F.when(may, similar(x("items"), y("items"), threshold)).otherwise(F.lit(False)))
+    return verified(few, known, threshold).unionByName(many)
+
+
 def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text",
             threshold: float = THRESHOLD) -> DataFrame:
     """(doc, ver, class_id, root): one row per input row; the class is its
@@ -279,8 +307,8 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     members = sigs.select("doc_id", "ver", "node")
     reps = cut_lineage(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"))
                        .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = cut_lineage(reps.groupBy("root").agg(F.min("rep").alias("class_id")))
-    by_node = cut_lineage(spread_join(reps.select("node", "root"), least, "root"))
+    least = reps.groupBy("root").agg(F.min("rep").alias("class_id"))
+    by_node = cut_lineage(reps.select("node", "root").join(least, "root"))
     # nodes of many copies are hot keys here
     return (spread_join(members, by_node, "node", "left")
             .select(F.col("doc_id").alias(doc), "ver",
@@ -297,6 +325,8 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text",
               .withColumn("_own", F.when(F.col("root").isNull(), F.col("ver")))
               .groupBy(F.col(doc).alias("_doc"), "root", "_own").agg(F.min("ver").alias("_ver"))
               .select("_doc", "_ver").distinct())
-    tagged = docs.withColumn("_v", F.xxhash64(F.col(text)))
-    kept = tagged.join(chosen, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_v") == F.col("_ver")))
-    return kept.dropDuplicates(["_doc", "_ver"]).select(*docs.columns)
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc).alias("_id"),
+                       F.xxhash64(F.col(text)).alias("_v"))
+    kept = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_v") == F.col("_ver")))
+    return kept.dropDuplicates(["_doc", "_ver"]).select("_row.*")

@@ -14,16 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.prefix import SMALL_ROWS, prefix_sum
+from riskloom.operators.prefix import join_null_safe, prefix_sum
+from riskloom.session import cut_lineage
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach a per-group table that has one row per ``by`` key (bounded by the
-    number of groups) to ``df``: a broadcast hash join on the keys, or, with no
-    keys, the single row's values as literals (no join at all)."""
+    """Attach a per-group table that has one row per ``by`` key to ``df``: a
+    null-safe join on the keys (the planner broadcasts it where its size
+    allows), or, with no keys, the single row's values as literals."""
     by = list(by)
     if by:
-        return df.join(F.broadcast(small), by, "left")
+        return join_null_safe(df, small, by)
     row = small.first()  # one row
     vals = row.asDict() if row is not None else {c: None for c in small.columns}
     return df.select("*", *[F.lit(v).cast(small.schema[c].dataType).alias(c) for c, v in vals.items()])
@@ -42,7 +43,8 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float, by: Seque
 
 
 def _ratio(num, den):
-    return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+    """num / den, 0 where the divisor is 0, null where it is null."""
+    return F.when(den > 0, num.cast("double") / den.cast("double")).when(den.isNotNull(), F.lit(0.0))
 
 
 def classification_metrics(conf: DataFrame) -> DataFrame:
@@ -66,20 +68,21 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
-               n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
+               n_parts: int | None = None) -> DataFrame:
     """H3: one point per distinct score, thresholds descending, plus the
     (0, 0) point at threshold +inf. Columns: by..., threshold, tp, fp, tpr,
-    fpr, n_pos, n_neg (group totals)."""
+    fpr, n_pos, n_neg (group totals). ``df`` is read once: the counts per
+    score are cut, and the totals come with the prefix sums."""
     by = list(by)
-    counts = score_counts(df, label, score, by)
-    cum = prefix_sum(counts, score, ["pos", "neg"], by, descending=True, n_buckets=n_buckets, small_rows=small_rows)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pts = attach(cum, totals, by).select(
+    counts = cut_lineage(score_counts(df, label, score, by))
+    cum = prefix_sum(counts, score, ["pos", "neg"], by, descending=True, n_parts=n_parts, totals="all_")
+    pts = cum.select(
         *by, F.col(score).cast("double").alias("threshold"),
         F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        _ratio(F.col("cum_pos"), F.col("P")).alias("tpr"),
-        _ratio(F.col("cum_neg"), F.col("N")).alias("fpr"),
-        F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
+        _ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
+        _ratio(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
+        F.col("all_pos").alias("n_pos"), F.col("all_neg").alias("n_neg"))
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     origin = totals.select(*by, F.lit(math.inf).alias("threshold"), F.lit(0).cast("long").alias("tp"),
                            F.lit(0).cast("long").alias("fp"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"),
                            F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
@@ -87,13 +90,13 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
-            n_buckets: int = 1024, out: str = "auc", small_rows: int = SMALL_ROWS) -> DataFrame:
+            out: str = "auc", n_parts: int | None = None) -> DataFrame:
     """H4: exact ROC AUC per group, tied scores at half weight; null when a
     group has only one class. AUC = sum_s pos_s (N - cum_neg_s + neg_s / 2) / (P N)
     with cum_neg_s the negatives scoring >= s."""
     by = list(by)
-    counts = score_counts(df, label, score, by)
-    cum = prefix_sum(counts, score, ["neg"], by, descending=True, n_buckets=n_buckets, small_rows=small_rows)
+    counts = cut_lineage(score_counts(df, label, score, by))
+    cum = prefix_sum(counts, score, ["neg"], by, descending=True, n_parts=n_parts)
     part = cum.groupBy(*by).agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
         F.sum(F.col("pos").cast("double") * (F.col("cum_neg") - F.col("neg"))).alias("__above"),

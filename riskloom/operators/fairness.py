@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.evaluate import roc_auc
+from riskloom.operators.prefix import join_null_safe
 
 
 def _group_metrics(conf: DataFrame) -> list:
@@ -53,8 +54,8 @@ def fairness_audit(df: DataFrame, label: str, score: str, attrs: Sequence[str],
         for i, t in enumerate(thresholds)])).alias("r")).select(*keys, "r.*")
     auc = roc_auc(long, "__y", "__s", by=keys)
     res = conf.select(*keys, "threshold", *_group_metrics(conf)).filter(F.col("n") >= min_n)
-    # one AUC row per (attribute, grp): bounded by the number of groups
-    return res.join(F.broadcast(auc), keys, "left").select(
+    # a null group is a group: its AUC is found by a null-safe join
+    return join_null_safe(res, auc, keys).select(
         *keys, "threshold", "n", "prevalence", "predicted_positive_rate", "auc", "recall", "precision", "f1")
 
 

@@ -1,160 +1,111 @@
-"""Exact global prefix sums / ranks without a single-task window.
+"""Exact global prefix sums and ranks without a single-task window.
 
 An unpartitioned ``Window.orderBy`` moves every row into one task. Instead:
 
-1. approximate quantiles of the order column give bucket edges (a bounded
-   array of at most ``n_buckets`` numbers);
-2. rows get a bucket id (``Bucketizer``: JVM binary search; equal values
-   always share a bucket, so ties never straddle two buckets);
-3. per (group, bucket) totals are aggregated (map-side partial aggregate),
-   and a prefix over those totals -- at most groups x n_buckets rows -- gives
-   each bucket its offset;
-4. the offsets are broadcast (size checked) and a window partitioned by
-   (group, bucket) finishes the running sum inside each bucket.
-
-Work per task is ~ rows / n_buckets; raise ``n_buckets`` with the data.
+1. rows are range-partitioned by (group, order, tiebreak, a hash of the row),
+   so runs of equal values spread as well and keys of any type, nulls
+   included, lie as the sort order places them; the partition number is kept
+   as the bucket and the result is cut in the checkpoint folder;
+2. per (group, bucket) totals are aggregated, and a prefix over them (at most
+   groups + partitions rows, as a group's buckets are neighbours) gives each
+   bucket its offset;
+3. a window partitioned by (group, bucket) finishes the sum inside a bucket.
+
+All joins on group keys are null-safe: a null group is a group of its own.
+One path serves every size; a task holds about rows / partitions rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from riskloom.session import BROADCAST_MAX_ROWS
+from riskloom.session import cut_lineage
 
 
-# Up to this many rows a prefix sum is one window per ``by`` group: the row
-# count is checked first, so such a task holds a proven, small number of rows.
-SMALL_ROWS = 50_000
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``right`` with its keys renamed, and the null-safe join condition."""
+    renamed = right.select(*[F.col(c).alias(f"__k{keys.index(c)}" if c in keys else c) for c in right.columns])
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return renamed, cond
 
 
-def _first_pass(df: DataFrame, order: str, by: Sequence[str], n_buckets: int):
-    """One aggregate: row count, estimated number of groups and the bucket
-    edges (a bounded array of at most n_buckets numbers). Also returns the
-    heavy values: those repeated in the quantile array, i.e. holding at least
-    1/n_buckets of the rows, with how many quantiles each spans."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(F.col(order).cast("double"), probs, max(10_000, 10 * n_buckets)).alias("q")]
-    if by:
-        aggs.append(F.approx_count_distinct(F.struct(*by)).alias("g"))
-    row = df.agg(*aggs).first()
-    qs = [float(x) for x in ((row["q"] if row is not None else None) or [])
-          if x is not None and not math.isnan(x) and not math.isinf(x)]
-    inner = sorted(set(qs))
-    edges = [-math.inf] + (inner or [0.0]) + [math.inf]  # Bucketizer needs >= 3 splits
-    heavy = {v: qs.count(v) for v in inner if qs.count(v) > 1}
-    groups = int(row["g"]) if by and row is not None and row["g"] is not None else 1
-    return (row["n"] if row is not None else 0), groups, edges, heavy
-
-
-def _heavy_sub_edges(df: DataFrame, order: str, tie: str, heavy: dict[float, int]) -> dict[float, list[float]]:
-    """For each heavy order value, quantile edges of the (numeric) tiebreak
-    among its rows: as many sub-buckets as quantiles the value spans (so at
-    most n_buckets numbers in all)."""
-    if not heavy:
-        return {}
-    most = max(heavy.values())
-    probs = [i / (most + 1) for i in range(1, most + 1)]
-    rows = (df.filter(F.col(order).cast("double").isin(list(heavy)))
-            .groupBy(F.col(order).cast("double").alias("__v"))
-            .agg(F.percentile_approx(F.col(tie).cast("double"), probs, 10_000).alias("__q")).collect())
-    out = {}
-    for r in rows:
-        span = heavy.get(float(r["__v"]), 1)
-        qs = sorted({float(x) for x in (r["__q"] or []) if x is not None})
-        # keep about `span` edges, evenly from the quantiles
-        step = max(1, len(qs) // max(1, span))
-        out[float(r["__v"])] = qs[::step][:span]
-    return out
-
-
-def _bucket_column(df: DataFrame, order: str, tiebreak: Sequence[str], edges: list[float],
-                   heavy_edges: dict[float, list[float]], descending: bool = False) -> DataFrame:
-    """Bucket id ordered like (order, tiebreak): range bucket of ``order``,
-    refined for heavy values by the tiebreak's sub-bucket. Rows of a heavy
-    value v take sub-buckets 0..S_v (reversed when the order is descending,
-    as ties are still taken by ascending tiebreak); the other rows of v's
-    range bucket (order > v) take the last sub-bucket."""
-    with_o = df.withColumn("__o", F.col(order).cast("double"))
-    base = (Bucketizer(splits=edges, inputCol="__o", outputCol="__bd", handleInvalid="keep")
-            .transform(with_o).withColumn("__b0", F.col("__bd").cast("long")).drop("__bd"))
-    if not heavy_edges or not tiebreak:
-        return base.withColumn("__b", F.col("__b0")).drop("__b0", "__o")
-    width = max(len(v) for v in heavy_edges.values()) + 2
-    tie = F.col(tiebreak[0]).cast("double")
-    sub = F.lit(0).cast("long")
-    in_heavy_range = F.lit(False)
-    for v, sub_edges in heavy_edges.items():
-        lit_edges = F.array(*[F.lit(x) for x in sub_edges]) if sub_edges else F.array().cast("array<double>")
-        idx = F.size(F.filter(lit_edges, lambda x: x <= tie)).cast("long")
-        if descending:
-            idx = F.lit(len(sub_edges)) - idx
-        sub = F.when(F.col("__o") == F.lit(v), idx).otherwise(sub)
-        in_heavy_range = in_heavy_range | (F.col("__b0") == F.lit(edges.index(v)))
-    sub = F.when(F.col("__o").isin(list(heavy_edges)), sub).when(in_heavy_range, F.lit(width - 1)).otherwise(F.lit(0))
-    return base.withColumn("__b", F.col("__b0") * F.lit(width) + sub).drop("__b0", "__o")
-
-
-def bucket_edges(df: DataFrame, order: str, n_buckets: int = 1024) -> list[float]:
-    return _first_pass(df, order, [], n_buckets)[2]
-
-
-def bucketed(df: DataFrame, order: str, tiebreak: Sequence[str] = (), n_buckets: int = 1024,
-             descending: bool = False) -> DataFrame:
-    """The ``__b`` bucket column prefix_sum uses (exposed for tests)."""
-    _, _, edges, heavy = _first_pass(df, order, [], n_buckets)
-    sub = _heavy_sub_edges(df, order, tiebreak[0], heavy) if tiebreak else {}
-    return _bucket_column(df, order, list(tiebreak), edges, sub, descending)
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join in which null keys match; ``right``'s other columns follow."""
+    keys = list(keys)
+    other, cond = null_safe(left, right, keys)
+    return left.join(other, cond, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def _order(order: str, tiebreak: Sequence[str], descending: bool) -> list[Column]:
+    return [F.col(order).desc() if descending else F.col(order).asc(), *[F.col(t).asc() for t in tiebreak],
+            F.col("__tie").asc()]
+
+
+def ranged(df: DataFrame, order: str, by: Sequence[str] = (), tiebreak: Sequence[str] = (),
+           descending: bool = False, n_parts: int | None = None) -> DataFrame:
+    """``df`` dealt into sorted ranges, with the range as ``__b`` and a hash
+    of the row as ``__tie``; cut in the checkpoint folder."""
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("__tie", F.xxhash64(*df.columns))
+    keys = [*[F.col(c).asc() for c in by], *_order(order, tiebreak, descending)]
+    return cut_lineage(tied.repartitionByRange(n, *keys).withColumn("__b", F.spark_partition_id()))
 
 
 def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = (),
-               descending: bool = False, tiebreak: Sequence[str] = (), n_buckets: int = 1024,
-               prefix: str = "cum_", inclusive: bool = True, small_rows: int = SMALL_ROWS) -> DataFrame:
+               descending: bool = False, tiebreak: Sequence[str] = (), prefix: str = "cum_",
+               inclusive: bool = True, n_parts: int | None = None, totals: str | None = None) -> DataFrame:
     """Add ``<prefix><value>``: the running sum of each value column over
-    rows ordered by ``order`` (then ``tiebreak``) within each ``by`` group.
-    ``inclusive`` counts the row itself. ``small_rows`` is the checked row
-    bound under which one window per group is used (0 forces buckets)."""
+    rows ordered by ``order`` (nulls first, or last when descending), then
+    ``tiebreak``, within each ``by`` group. ``inclusive`` counts the row
+    itself. ``totals`` names a prefix under which the group's whole sum is
+    added as well, from the same aggregate."""
     by, values, tiebreak = list(by), list(values), list(tiebreak)
-    n, groups, edges, heavy = _first_pass(df, order, by, n_buckets)
-    row_order = [F.col(order).desc() if descending else F.col(order).asc()] + [F.col(t).asc() for t in tiebreak]
+    rows = ranged(df, order, by, tiebreak, descending, n_parts)
+    sums = rows.groupBy(*by, "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    types = {v: sums.schema[f"__t_{v}"].dataType for v in values}
+    added = [f"__off_{v}" for v in values] + [f"__all_{v}" for v in values]
+    if by:
+        before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*by)
+        offsets = sums.select(*by, "__b",
+                              *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__off_{v}") for v in values],
+                              *[F.sum(f"__t_{v}").over(whole).alias(f"__all_{v}") for v in values])
+        joined = join_null_safe(rows, offsets, [*by, "__b"])
+    else:
+        # one row per partition: the offsets become literals
+        parts = sorted(sums.collect(), key=lambda r: r["__b"])
+        running, offset = dict.fromkeys(values, 0), {v: {} for v in values}
+        for r in parts:
+            for v in values:
+                offset[v][r["__b"]] = running[v]
+                running[v] += r[f"__t_{v}"] or 0
+
+        def literal(v: str) -> Column:
+            pairs = [x for b, o in offset[v].items() for x in (F.lit(b), F.lit(o).cast(types[v]))]
+            return F.create_map(*pairs)[F.col("__b")] if pairs else F.lit(0).cast(types[v])
+
+        joined = rows.select("*", *[literal(v).alias(f"__off_{v}") for v in values],
+                             *[F.lit(running[v]).cast(types[v]).alias(f"__all_{v}") for v in values])
     end = Window.currentRow if inclusive else -1
-    if n <= small_rows:
-        w = Window.partitionBy(*by).orderBy(*row_order).rowsBetween(Window.unboundedPreceding, end)
-        return df.select(*[F.col(c) for c in df.columns],
-                         *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{prefix}{v}") for v in values])
-    # a heavy order value is split further by the tiebreak, so no bucket (and
-    # no window task) holds much more than n / n_buckets rows
-    numeric_tie = bool(tiebreak) and isinstance(
-        df.schema[tiebreak[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType))
-    sub = _heavy_sub_edges(df, order, tiebreak[0], heavy) if numeric_tie else {}
-    bucketed = _bucket_column(df, order, tiebreak if numeric_tie else [], edges, sub, descending)
-
-    totals = bucketed.groupBy(*by, "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    bucket_order = F.col("__b").desc() if descending else F.col("__b").asc()
-    w_off = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__b", *[
-        F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}") for v in values])
-    # offsets hold at most groups x buckets rows; broadcast only under the bound
-    # (2x margin on the group estimate), else a shuffle join
-    bound = 2 * groups * (len(edges) - 1 + sum(len(v) for v in sub.values()))
-    side = F.broadcast(offsets) if bound <= BROADCAST_MAX_ROWS else offsets
-    joined = bucketed.join(side, on=[*by, "__b"], how="left")
-    w_in = Window.partitionBy(*by, "__b").orderBy(*row_order).rowsBetween(Window.unboundedPreceding, end)
-    out_cols = [F.col(c) for c in df.columns] + [
-        (F.coalesce(F.sum(v).over(w_in), F.lit(0)) + F.col(f"__off_{v}")).alias(f"{prefix}{v}") for v in values]
-    return joined.select(*out_cols)
+    inside = (Window.partitionBy(*by, "__b").orderBy(*_order(order, tiebreak, descending))
+              .rowsBetween(Window.unboundedPreceding, end))
+    out = joined.select(*df.columns, *added, *[F.sum(v).over(inside).alias(f"__in_{v}") for v in values])
+    return out.select(
+        *df.columns,
+        *[(F.coalesce(f"__in_{v}", F.lit(0)) + F.col(f"__off_{v}")).alias(f"{prefix}{v}") for v in values],
+        *([F.coalesce(f"__all_{v}", F.lit(0)).alias(f"{totals}{v}") for v in values] if totals else []))
 
 
 def global_rank(df: DataFrame, order: str, by: Sequence[str] = (), tiebreak: Sequence[str] = (),
-                out: str = "rank", n_buckets: int = 1024, small_rows: int = SMALL_ROWS) -> DataFrame:
+                out: str = "rank", n_parts: int | None = None, size: str | None = None) -> DataFrame:
     """1-based row number by ``order`` (+ ``tiebreak``) within ``by`` groups,
-    computed through ``prefix_sum`` of a constant 1."""
+    computed through ``prefix_sum`` of a constant 1; ``size`` names a column
+    for the number of rows of the group."""
     ranked = prefix_sum(df.withColumn("__one", F.lit(1).cast("bigint")), order, ["__one"], by,
-                        tiebreak=tiebreak, n_buckets=n_buckets, small_rows=small_rows)
-    return ranked.withColumnRenamed("cum___one", out).drop("__one")
+                        tiebreak=tiebreak, n_parts=n_parts, totals="__size_" if size else None)
+    ranked = ranked.withColumnRenamed("cum___one", out).drop("__one")
+    return ranked.withColumnRenamed("__size___one", size) if size else ranked

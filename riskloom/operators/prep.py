@@ -1,9 +1,9 @@
 """Split, folds, target encoding, scaling, assembly.
 
-Split and fold membership is a pure function of (key, salt): no shuffle, no
-global order, and the same rows land in the same split on every run and on
-every engine (DuckDB computes the same md5 bits). The exact variants rank
-rows inside each class through the distributed prefix sum (P1).
+Split and fold membership follows the rank of md5 bits of (key, salt) inside
+each class, through the distributed prefix sum (P1): stratified exactly, and
+the same rows on every run and every engine (DuckDB computes the same bits).
+A map-only variant that keeps the shares in expectation is there as well.
 """
 
 from __future__ import annotations
@@ -23,27 +23,25 @@ FOLD_SALT = "fold42"
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_frac: float = 0.2,
-                     salt: str = SPLIT_SALT, exact: bool = False, out: str = "is_test") -> DataFrame:
-    """mark test rows. Default: md5 bits of (key, salt) below
-    test_frac * 2^32, so each class is split at the same rate in
-    expectation (a map-only projection). ``exact``: per class, the
-    round(test_frac * n_c) rows with the smallest bits are test."""
+                     salt: str = SPLIT_SALT, exact: bool = True, out: str = "is_test") -> DataFrame:
+    """mark test rows. Per class (a null label is one), the
+    round(test_frac * n_c) rows with the smallest md5 bits of (key, salt) are
+    test, so every row stays and classes keep their share exactly. With
+    ``exact=False``: bits below test_frac * 2^32, a map-only projection that
+    keeps the share in expectation."""
     bits = hash_bits(key, salt)
     if not exact:
         return df.withColumn(out, bits < F.lit(int(test_frac * 4294967296)))
-    h = df.withColumn("__h", bits)
-    ranked = global_rank(h, "__h", by=[label], tiebreak=[key], out="__r")
-    n_c = h.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))  # one row per class
-    return (ranked.join(F.broadcast(n_c), label)
-            .withColumn(out, F.col("__r") <= F.round(F.col("__n") * F.lit(test_frac)))
+    ranked = global_rank(df.withColumn("__h", bits), "__h", by=[label], tiebreak=[key], out="__r", size="__n")
+    return (ranked.withColumn(out, F.col("__r") <= F.round(F.col("__n") * F.lit(test_frac)))
             .drop("__h", "__r", "__n"))
 
 
 def assign_folds(df: DataFrame, key: str, label: str, k: int = 5, salt: str = FOLD_SALT,
-                 exact: bool = False, out: str = "fold") -> DataFrame:
-    """fold id in [0, k). Default: md5 bits mod k. ``exact``: rank by
-    bits inside each class, fold = (rank - 1) mod k, so class counts per fold
-    differ by at most one (as a stratified k-fold does)."""
+                 exact: bool = True, out: str = "fold") -> DataFrame:
+    """fold id in [0, k): rank by md5 bits inside each class, fold =
+    (rank - 1) mod k, so class counts per fold differ by at most one.
+    ``exact=False``: bits mod k, without a shuffle."""
     bits = hash_bits(key, salt)
     if not exact:
         return df.withColumn(out, (bits % k).cast("int"))
@@ -60,12 +58,11 @@ def target_encode_fit(train: DataFrame, cols: Sequence[str], label: str,
     smoothing)); the prior (training label mean) is one scalar."""
     prior = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
     prior = float(prior) if prior is not None else 0.0
-    parts = [train.groupBy(F.col(c).cast("string").alias("value"))
-             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("mean"))
-             .withColumn("column", F.lit(c)) for c in cols]
-    stats = parts[0]
-    for p in parts[1:]:
-        stats = stats.unionByName(p)
+    # one pass: each row gives one (column, value) pair per encoded column
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    stats = (train.select(F.col(label).cast("double").alias("__y"), pairs.alias("__p"))
+             .groupBy(F.col("__p.column").alias("column"), F.col("__p.value").alias("value"))
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean")))
     w = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n") - F.lit(min_samples_leaf)) / F.lit(smoothing)))
     return stats.select("column", "value", "n", F.lit(prior).alias("prior"),
                         ((F.lit(1.0) - w) * F.lit(prior) + w * F.col("mean")).alias("encoding"))
@@ -124,7 +121,7 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), o
 
 
 def prepare_features(df: DataFrame, key: str, label: str, features: Sequence[str],
-                     sensitive: Sequence[str] = (), test_frac: float = 0.2, exact: bool = False,
+                     sensitive: Sequence[str] = (), test_frac: float = 0.2, exact: bool = True,
                      encode_cols: Sequence[str] = ()):
     """split -> (target encoding) -> scaling fit on train -> apply to
     both. Returns (train, test, scaler params); both frames keep key, label,

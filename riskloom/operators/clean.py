@@ -7,12 +7,14 @@ construction (top-k, a fixed domain) or its row count is checked first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.clinical import diagnosis_code_number
 from riskloom.session import sized_broadcast
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -104,13 +106,13 @@ def reindex_domain(counts: DataFrame, col: str, domain: Sequence, fill: Mapping[
                    order_col: str = "pos") -> DataFrame:
     """One row per domain value, in domain order; values absent from
     ``counts`` get ``fill`` (e.g. 0 for counts, null for rates). The domain
-    is a fixed list, so broadcasting it is bounded."""
+    is a fixed list on the preserved side; the planner picks the join."""
     spark = counts.sparkSession
     dom_type = counts.schema[col].dataType
     dom = spark.createDataFrame([(i, v) for i, v in enumerate(domain)],
                                 T.StructType([T.StructField(order_col, T.IntegerType()),
                                               T.StructField(col, dom_type)]))
-    joined = F.broadcast(dom).join(counts, on=col, how="left")
+    joined = dom.join(counts, on=col, how="left")
     fill = dict(fill or {})
     cols = [F.col(order_col), F.col(col)]
     for c in counts.columns:
@@ -120,23 +122,31 @@ def reindex_domain(counts: DataFrame, col: str, domain: Sequence, fill: Mapping[
     return joined.select(*cols)
 
 
+RANGE_BUCKETS = 4_096
+
+
 def range_lookup_join(df: DataFrame, col: str, ranges: DataFrame, out: str,
                       default: str = "Other", lo: str = "lo", hi: str = "hi",
-                      label: str = "label", max_width: int = 1_000_000) -> DataFrame:
+                      label: str = "label", order: str | None = None) -> DataFrame:
     """C4 against a range table (for long lists; the fixed ICD-9 list uses the
-    CASE form in ``functions.clinical.range_label``): integer part of the
-    code -> label of the range holding it. Integer ranges whose total width
-    is at most ``max_width`` are expanded to one row per value, so the lookup
-    is a broadcast hash equi-join; wider tables fall back to a range join."""
-    n = F.col(col).try_cast("double").try_cast("bigint")
-    width = ranges.agg(F.sum(F.col(hi).cast("long") - F.col(lo).cast("long") + 1)).first()[0] or 0
-    keyed = df.withColumn("__n", n)
-    if width <= max_width:
-        values = ranges.select(F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long"))).alias("__v"),
-                               F.col(label).alias("__label"))
-        joined = keyed.join(F.broadcast(values), F.col("__n") == F.col("__v"), "left").drop("__v")
-    else:
-        r = ranges.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias("__label"))
-        joined = (keyed.join(r, (F.col("__n") >= F.col("__lo")) & (F.col("__n") <= F.col("__hi")), "left")
-                  .drop("__lo", "__hi"))
-    return joined.withColumn(out, F.coalesce("__label", F.lit(default))).drop("__n", "__label")
+    CASE form in ``functions.clinical.range_label``): the integer part of a
+    code written as a plain number -> label of the first range holding it,
+    by ``order`` (default: by lo, hi, label). Other codes get ``default``.
+
+    Ranges of any width are cut into buckets, about ``RANGE_BUCKETS`` plus
+    two per range in all; a bucket is one row with its ranges in order, so
+    the lookup is an equi-join that never multiplies rows."""
+    n = diagnosis_code_number(col)
+    lo_, hi_ = F.col(lo).cast("long"), F.col(hi).cast("long")
+    valid = ranges.filter(lo_ <= hi_)
+    span = valid.agg(F.sum((hi_ - lo_ + 1).cast("double")).alias("w")).first()["w"] or 1.0
+    width = max(1, math.ceil(span / RANGE_BUCKETS))
+    rank = F.struct(*([F.col(order)] if order else []), lo_, hi_, F.col(label))
+    cut = (valid.select(F.struct(rank.alias("rank"), lo_.alias("lo"), hi_.alias("hi"), F.col(label).alias("label")).alias("r"))
+           .withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("r.lo") / width), F.floor(F.col("r.hi") / width))))
+           .groupBy("__bucket").agg(F.array_sort(F.collect_list("r")).alias("__ranges")))
+    keyed = df.withColumn("__n", n).withColumn("__bucket", F.floor(F.col("__n") / width))
+    holds = F.filter("__ranges", lambda r: (r["lo"] <= F.col("__n")) & (F.col("__n") <= r["hi"]))
+    return (keyed.join(cut, "__bucket", "left")
+            .withColumn(out, F.coalesce(F.get(holds, F.lit(0))["label"], F.lit(default)))
+            .select(*df.columns, out))

@@ -18,17 +18,16 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.clean import normalise_nulls
-from riskloom.operators.features import derive_features, encode_medications, gender_flag, group_diagnoses
 from riskloom.operators.train import screen
+from riskloom.plans.hospital import clean_rows, featurize
 from riskloom.session import checkpoint_dir, cut_lineage
-from riskloom.sources.encounters import NA_TOKENS, encounters_from_orders, per_order_items
+from riskloom.sources.encounters import encounters_from_orders, per_order_items
 
 
 def stream_features(raw: DataFrame) -> DataFrame:
-    """Stateless part of the feature chain (no top-k, no filter needing
-    state): safe on a streaming DataFrame."""
-    return gender_flag(derive_features(encode_medications(group_diagnoses(normalise_nulls(raw, NA_TOKENS)))))
+    """The batch plan's row-wise cleaning and features: all of it but the
+    top-k lumping of a column that is no feature, so it needs no state."""
+    return featurize(clean_rows(raw))
 
 
 def screen_stream(spark: SparkSession, orders_dir: str, lineitem: DataFrame, model: PipelineModel,

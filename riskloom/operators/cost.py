@@ -1,12 +1,13 @@
 """Cost-benefit of an operating point.
 
 A scenario table holds (scenario_id, annual_volume, readmission_cost,
-intervention_cost, prevention_rate); it is a parameter list, size checked
-before broadcast. Operating points come from ``confusion`` or ``roc_points``.
+intervention_cost, prevention_rate). Operating points come from ``confusion`` or ``roc_points``.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +20,23 @@ def scenarios(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SCENARIO_SCHEMA)
 
 
-MAX_SCENARIOS = 10_000
+SCENARIO_BLOCK = 5_000
 
 
 def _with_scenarios(points: DataFrame, scen: DataFrame) -> DataFrame:
-    """Every operating point under every scenario. The scenario list is a
-    parameter table (checked to hold at most MAX_SCENARIOS rows); its rows are
-    exploded as literals next to each point, so no join is needed."""
-    rows = scen.limit(MAX_SCENARIOS + 1).collect()
-    if len(rows) > MAX_SCENARIOS:
-        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
+    """Every operating point under every scenario. Scenarios are parameters:
+    they are taken in blocks of ``SCENARIO_BLOCK`` rows, each exploded as
+    literals next to the points, so no join is needed and none is refused."""
     fields = scen.schema.fields
-    structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
-    return (points.select("*", F.explode(F.array(*structs)).alias("__s"))
-            .select(*[F.col(c) for c in points.columns], *[F.col(f"__s.{f.name}").alias(f.name) for f in fields]))
+    rows, out = scen.toLocalIterator(), None
+    while block := list(islice(rows, SCENARIO_BLOCK)):
+        structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in block]
+        part = (points.select("*", F.explode(F.array(*structs)).alias("__s"))
+                .select(*points.columns, *[F.col(f"__s.{f.name}").alias(f.name) for f in fields]))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = points.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).limit(0)
+    return out
 
 
 def _money(tp, fp):

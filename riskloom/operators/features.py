@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.clinical import (
@@ -15,7 +16,7 @@ from riskloom.sources.encounters import DRUG_COLUMNS
 
 DIAG_COLUMNS = ["diag_1", "diag_2", "diag_3"]
 
-# The 24 model features, in model order.
+# --- fixed values: the 24 model features, in model order ---
 FEATURES = [
     "time_in_hospital", "num_lab_procedures", "num_procedures", "num_medications",
     "number_outpatient", "number_emergency", "number_inpatient", "number_diagnoses",
@@ -40,49 +41,57 @@ def encode_medications(df: DataFrame, drugs: Sequence[str] = DRUG_COLUMNS,
     """Active-drug count, dose-change count, insulin flags; the raw
     drug columns are dropped."""
     meds = [c for c in drugs if c in df.columns]
-    extra = [
+    has = F.col(focus) if focus in df.columns else F.lit("No")
+    return df.select(
+        *[c for c in df.columns if c not in meds],
         count_not_equal(meds, "No").alias("num_active_medications"),
         count_in(meds, ["Up", "Down"]).alias("medication_change_count"),
-    ]
-    if focus in df.columns:
-        extra += [flag(~F.col(focus).eqNullSafe(F.lit("No"))).alias("has_insulin"),
-                  flag(F.col(focus).isin("Up", "Down")).alias("insulin_changed")]
-    else:
-        extra += [F.lit(0).alias("has_insulin"), F.lit(0).alias("insulin_changed")]
-    keep = [F.col(c) for c in df.columns if c not in meds]
-    return df.select(*keep, *extra)
+        flag(~has.eqNullSafe(F.lit("No"))).alias("has_insulin"),
+        flag(has.isin("Up", "Down")).alias("insulin_changed"))
+
+
+@dataclass(frozen=True)
+class Derived:
+    """A feature: its name, the columns it reads and its expression. Without
+    those columns it is left out, unless ``always`` (then a column that is
+    absent counts as ``absent``)."""
+
+    name: str
+    needs: tuple[str, ...]
+    value: Callable[[dict[str, Column]], Column]
+    always: bool = False
+    absent: object = 0
+
+
+def _ordinal(col: str, codes: dict, default, kind: str) -> Callable[[dict[str, Column]], Column]:
+    return lambda c: F.coalesce(map_values(c[col], codes), F.lit(default)).cast(kind)
+
+
+_VISITS = ("number_outpatient", "number_emergency", "number_inpatient")
+_GROUPS = tuple(f"{c}_group" for c in DIAG_COLUMNS)
+
+DERIVED = (
+    Derived("total_visits_prior", _VISITS, lambda c: row_sum([c[v] for v in _VISITS]), always=True),
+    Derived("high_utilizer", _VISITS, lambda c: flag(row_sum([c[v] for v in _VISITS]) >= 3), always=True),
+    Derived("diabetes_primary", ("diag_1",), lambda c: flag(c["diag_1"].cast("string").startswith("250")), always=True),
+    Derived("num_comorbidities", _GROUPS, lambda c: row_nunique([c[g] for g in _GROUPS]), always=True,
+            absent=None),
+    Derived("long_stay", ("time_in_hospital",), lambda c: flag(c["time_in_hospital"] > 7)),
+    Derived("emergency_admission", ("admission_type_id",), lambda c: flag(c["admission_type_id"] == 1)),
+    Derived("age_numeric", ("age",), _ordinal("age", AGE_MIDPOINTS, 55, "double")),
+    Derived("med_changed", ("change",), lambda c: flag(c["change"] == "Ch")),
+    Derived("on_diabetes_med", ("diabetesMed",), lambda c: flag(c["diabetesMed"] == "Yes")),
+    Derived("a1c_ordinal", ("A1Cresult",), _ordinal("A1Cresult", A1C_ORDINAL, 0, "int")),
+    Derived("glu_ordinal", ("max_glu_serum",), _ordinal("max_glu_serum", GLU_ORDINAL, 0, "int")),
+)
 
 
 def derive_features(df: DataFrame) -> DataFrame:
-    """D5-D9 and C2 in one projection (no chain of withColumn)."""
-    cols = set(df.columns)
-
-    def get(c: str):
-        return F.col(c) if c in cols else F.lit(0)
-
-    visits = row_sum([get("number_outpatient"), get("number_emergency"), get("number_inpatient")])
-    groups = [f"{c}_group" for c in DIAG_COLUMNS if f"{c}_group" in cols]
-    new = [
-        visits.alias("total_visits_prior"),
-        flag(visits >= 3).alias("high_utilizer"),
-        (flag(F.col("diag_1").startswith("250")) if "diag_1" in cols else F.lit(0)).alias("diabetes_primary"),
-        (row_nunique(groups) if groups else F.lit(0)).alias("num_comorbidities"),
-    ]
-    if "time_in_hospital" in cols:
-        new.append(flag(F.col("time_in_hospital") > 7).alias("long_stay"))
-    if "admission_type_id" in cols:
-        new.append(flag(F.col("admission_type_id") == 1).alias("emergency_admission"))
-    if "age" in cols:
-        new.append(F.coalesce(map_values("age", AGE_MIDPOINTS), F.lit(55)).cast("double").alias("age_numeric"))
-    if "change" in cols:
-        new.append(flag(F.col("change") == "Ch").alias("med_changed"))
-    if "diabetesMed" in cols:
-        new.append(flag(F.col("diabetesMed") == "Yes").alias("on_diabetes_med"))
-    if "A1Cresult" in cols:
-        new.append(F.coalesce(map_values("A1Cresult", A1C_ORDINAL), F.lit(0)).cast("int").alias("a1c_ordinal"))
-    if "max_glu_serum" in cols:
-        new.append(F.coalesce(map_values("max_glu_serum", GLU_ORDINAL), F.lit(0)).cast("int").alias("glu_ordinal"))
-    return df.select("*", *new)
+    """The features of ``DERIVED`` that the columns allow, in
+    one projection."""
+    have = {c: F.col(c) for c in df.columns}
+    use = [f for f in DERIVED if f.always or all(c in have for c in f.needs)]
+    return df.select("*", *[f.value({c: have.get(c, F.lit(f.absent)) for c in f.needs}).alias(f.name) for f in use])
 
 
 def gender_flag(df: DataFrame, col: str = "gender", out: str = "gender_male") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.clinical import hash_bits, hash_unit
-from riskloom.operators.prefix import SMALL_ROWS, global_rank
+from riskloom.operators.prefix import global_rank
 from riskloom.session import BROADCAST_MAX_ROWS, cut_lineage
 
 KNN_SCHEMA = "__q long, __nbr long, __dist double"
@@ -45,36 +45,34 @@ def _topk(qv: np.ndarray, qk: np.ndarray, mv: np.ndarray, mk: np.ndarray, k: int
           exclude_self: bool) -> pd.DataFrame:
     """Exact top-k (distance, then neighbour key) of each query among the
     members. Squared distances accumulate feature by feature, in order."""
-    out_q, out_n, out_d = [], [], []
-    step = max(1, 4_000_000 // max(1, len(mk) * 1))
-    order_keys = mk.astype(np.int64)
+    kk = min(k, len(mk))
+    if kk <= 0 or not len(qk):
+        return pd.DataFrame({"__q": pd.Series([], dtype="int64"), "__nbr": pd.Series([], dtype="int64"),
+                             "__dist": pd.Series([], dtype="float64")})
+    order = np.argsort(mk, kind="stable")  # members by key: a stable sort by distance breaks ties by key
+    keys, mv = mk[order].astype(np.int64), mv[order]
+    found = []
+    step = max(1, 4_000_000 // len(keys))
     for s in range(0, len(qk), step):
-        q = qv[s:s + step]
-        acc = np.zeros((len(q), len(mk)))
+        q, own = qv[s:s + step], qk[s:s + step].astype(np.int64)
+        acc = np.zeros((len(q), len(keys)))
         for f in range(qv.shape[1]):
             d = q[:, f][:, None] - mv[:, f][None, :]
             acc += d * d
         dist = np.sqrt(acc)
-        keys = qk[s:s + step]
         if exclude_self:
-            dist[keys[:, None] == order_keys[None, :]] = np.inf
-        kk = min(k, len(mk))
-        for i in range(len(q)):
-            row = dist[i]
-            if kk <= 0:
-                continue
-            dk = np.partition(row, kk - 1)[kk - 1]
-            cand = np.nonzero(row <= dk)[0]  # every tie at the k-th distance
-            idx = cand[np.lexsort((order_keys[cand], row[cand]))][:kk]
-            idx = idx[np.isfinite(row[idx])]
-            out_q.append(np.full(len(idx), keys[i], dtype=np.int64))
-            out_n.append(order_keys[idx])
-            out_d.append(row[idx])
-    if not out_q:
-        return pd.DataFrame({"__q": pd.Series([], dtype="int64"), "__nbr": pd.Series([], dtype="int64"),
-                             "__dist": pd.Series([], dtype="float64")})
-    return pd.DataFrame({"__q": np.concatenate(out_q), "__nbr": np.concatenate(out_n),
-                         "__dist": np.concatenate(out_d)})
+            dist[own[:, None] == keys[None, :]] = np.inf
+        # the k-th distance of each row, then every member up to it, ties included
+        limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
+        row, col = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+        near = dist[row, col]
+        rank = np.lexsort((col, near, row))
+        row, col, near = row[rank], col[rank], near[rank]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        keep = place < kk
+        found.append((own[row[keep]], keys[col[keep]], near[keep]))
+    return pd.DataFrame({name: np.concatenate(x) for name, x in
+                         zip(("__q", "__nbr", "__dist"), zip(*found, strict=True), strict=True)})
 
 
 def _principal_directions(df: DataFrame, cols: Sequence[str], m: int) -> tuple[list[list[float]], int]:
@@ -117,8 +115,7 @@ _BOX_DIST = ("sqrt(aggregate(zip_with(zip_with(__zq, __lo, (z, l) -> greatest(l
 
 
 def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int | None = None,
-              chunk_size: int | None = None, n_components: int = 8, n_buckets: int = 1024,
-              small_rows: int = SMALL_ROWS, input_is_cut: bool = False) -> DataFrame:
+              chunk_size: int | None = None, n_components: int = 8, input_is_cut: bool = False) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every row among the other
     rows: (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key).
     ``block_size`` (leaf size) and ``chunk_size`` default to
@@ -139,15 +136,8 @@ def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_si
     for lvl, g in enumerate(fan):
         parent, child = f"__n{lvl}", f"__n{lvl + 1}"
         cur = cur.withColumn("__s", F.col("__z")[lvl])
-        ranked = global_rank(cur, "__s", by=[parent], tiebreak=["__key"], out="__r",
-                             n_buckets=n_buckets, small_rows=small_rows)
-        sizes = cur.groupBy(parent).agg(F.count(F.lit(1)).alias("__cnt"))  # one row per node
-        nodes = 1
-        for f_ in fan[:lvl]:
-            nodes *= f_
-        side = F.broadcast(sizes) if nodes <= BROADCAST_MAX_ROWS else sizes
-        cur = (ranked.join(side, parent)
-               .withColumn(child, F.col(parent) * g + F.floor((F.col("__r") - 1) * g / F.col("__cnt")).cast("long"))
+        ranked = global_rank(cur, "__s", by=[parent], tiebreak=["__key"], out="__r", size="__cnt")
+        cur = (ranked.withColumn(child, F.col(parent) * g + F.floor((F.col("__r") - 1) * g / F.col("__cnt")).cast("long"))
                .drop("__r", "__cnt", "__s"))
         cur = cut_lineage(cur)
     leaf = f"__n{len(fan)}"
@@ -227,17 +217,18 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, k: int =
     minority rows, at a uniform point; everything random is a hash of
     (key, copy number, salt), so reruns give the same rows. Each minority row
     makes floor(need / n_min) or one more copies (the extra copies go to the
-    rows ranked first by a hash). Adds ``is_synthetic``."""
+    rows ranked first by a hash). Adds ``is_synthetic`` and ``copy_no`` (0 for
+    an original, then 1, 2, ..): (key, copy_no) names every row."""
     features = list(features)
     df = cut_lineage(df)  # counted, filtered, joined and unioned below
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return df.withColumn("is_synthetic", F.lit(False))
+        return df.withColumns({"is_synthetic": F.lit(False), "copy_no": F.lit(0).cast("long")})
     minority = min(counts, key=lambda c: (counts[c], c))
     majority = max(counts, key=lambda c: (counts[c], -c))
     n_min, n_maj = counts[minority], counts[majority]
     need = n_maj - n_min
-    base = df.withColumn("is_synthetic", F.lit(False))
+    base = df.withColumns({"is_synthetic": F.lit(False), "copy_no": F.lit(0).cast("long")})
     if need <= 0 or n_min < 2:
         return base
     mino = df.filter(F.col(label) == minority).select(key, *features)
@@ -251,18 +242,18 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, k: int =
     jobs = (copies.filter(F.col("__cnt") > 0)
             .select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__cnt") - 1)).alias("__j")))
     tag = F.concat(F.col(key).cast("string"), F.lit("#"), F.col("__j").cast("string"))
-    jobs = jobs.select(key, "__j", (F.lit(1) + hash_bits(tag, salt + ":nn") % kk).cast("int").alias("rank"),
+    jobs = jobs.select(key, (F.col("__j") + 1).alias("copy_no"), (F.lit(1) + hash_bits(tag, salt + ":nn") % kk).cast("int").alias("rank"),
                        hash_unit(tag, salt + ":gap").alias("__gap"))
     picked = jobs.join(nn.select(key, "rank", "nbr_key"), [key, "rank"])
     src = mino.select(key, *[F.col(f).cast("double").alias(f) for f in features])
     nbr = mino.select(F.col(key).alias("nbr_key"), *[F.col(f).cast("double").alias(f"__n_{f}") for f in features])
     synth = (picked.join(src, key).join(nbr, "nbr_key")
-             .select(key, *[(F.col(f) + F.col("__gap") * (F.col(f"__n_{f}") - F.col(f))).alias(f) for f in features]))
+             .select(key, "copy_no", *[(F.col(f) + F.col("__gap") * (F.col(f"__n_{f}") - F.col(f))).alias(f) for f in features]))
     other = {c: F.lit(None).cast(df.schema[c].dataType) for c in df.columns if c not in features and c not in (label, key)}
     synth = synth.select(*[
         F.col(c) if c == key or c in features
         else F.lit(minority).cast(df.schema[label].dataType).alias(c) if c == label
         else other[c].alias(c)
-        for c in df.columns]).withColumn("is_synthetic", F.lit(True))
+        for c in df.columns], F.lit(True).alias("is_synthetic"), "copy_no")
     base_cast = base.select(*[F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in base.columns])
     return base_cast.unionByName(synth)

@@ -38,8 +38,11 @@ class ModelSpec:
     params: dict = field(default_factory=dict)
 
 
+# --- fixed values: settings of the four models and the search ranges ---
+
 def base_models(fast: bool = False) -> dict[str, ModelSpec]:
-    """G1-G4. ``fast`` shrinks rounds and depth for tests and small runs."""
+    """G1-G4 at the reference settings. ``fast`` is an explicit smaller
+    profile (10 trees or rounds, less depth) for tests and quick looks."""
     trees, depth_rf, rounds = (10, 5, 10) if fast else (200, 12, 200)
     return {
         "logreg": ModelSpec("logreg", lambda p: LogisticRegression(
@@ -82,12 +85,16 @@ def with_weights(df: DataFrame, label: str, weighting: str, counts: dict, pos_we
     return df.withColumn("__w", F.lit(1.0))
 
 
-def fit_layout(df: DataFrame, key: str, n_partitions: int | None = None) -> DataFrame:
-    """Fixed physical layout for a fit: hash-partitioned and sorted by key,
-    one partition per core (the ML aggregations run once per partition per
-    iteration, so more partitions than cores only add overhead)."""
-    n = n_partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, key).sortWithinPartitions(key)
+FIT_ROWS = 200_000
+
+
+def fit_layout(df: DataFrame, key: str, rows_per_partition: int = FIT_ROWS) -> DataFrame:
+    """Fixed physical layout for a fit: as many partitions as the rows ask
+    for (whatever the cluster), hashed and sorted by the key and a hash of the
+    row, so equal keys have a fixed order too."""
+    n = max(1, math.ceil(df.count() / rows_per_partition))
+    own = F.xxhash64(*[c for c in df.columns if c != "features"])
+    return df.repartition(n, key).sortWithinPartitions(key, own)
 
 
 def fit_model(spec: ModelSpec, train: DataFrame, key: str, label: str, features: Sequence[str],
@@ -173,12 +180,10 @@ def compare_models(train: DataFrame, test: DataFrame, key: str, label: str, feat
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         fold_rows = list(pool.map(run_fold, jobs))
         finals = list(pool.map(run_final, list(models)))
+    means = cv_means(train.sparkSession, fold_rows)
     rows, fitted = [], {}
     for pos, (name, m, r) in enumerate(finals):
-        fr = [x for x in fold_rows if x["model"] == name]
-        rows.append({"model": name, "position": pos,
-                     "cv_auc": _mean([x["auc"] for x in fr]), "cv_f1": _mean([x["f1"] for x in fr]),
-                     "cv_recall": _mean([x["recall"] for x in fr]),
+        rows.append({"model": name, "position": pos, **means[name],
                      "test_auc": r["auc"], "test_f1": r["f1"], "test_recall": r["recall"],
                      "test_precision": r["precision"], "test_specificity": r["specificity"],
                      "test_accuracy": r["accuracy"]})
@@ -186,9 +191,29 @@ def compare_models(train: DataFrame, test: DataFrame, key: str, label: str, feat
     return CompareResult(rows, fitted, fold_rows)
 
 
-def _mean(xs):
-    xs = [x for x in xs if x is not None and not (isinstance(x, float) and math.isnan(x))]
-    return float(sum(xs) / len(xs)) if xs else None
+FOLD_SCHEMA = "model string, fold int, auc double, f1 double, recall double"
+RESULT_SCHEMA = ("model string, position int, cv_auc double, cv_f1 double, cv_recall double, failed_folds long, "
+                 "test_auc double, test_f1 double, test_recall double, test_precision double, "
+                 "test_specificity double, test_accuracy double")
+
+
+def cv_means(spark, fold_rows: list[dict]) -> dict[str, dict]:
+    """H7 over one row per fit, with the number of folds whose AUC is
+    undefined (one class only); such a fold is reported, not hidden."""
+    folds = spark.createDataFrame([(r["model"], r["fold"], r["auc"], r["f1"], r["recall"]) for r in fold_rows], FOLD_SCHEMA)
+    bad = folds.groupBy("model").agg(F.sum(F.col("auc").isNull().cast("long")).alias("failed_folds"))
+    return {r["model"]: {c: r[c] for c in ("cv_auc", "cv_f1", "cv_recall", "failed_folds")}
+            for r in Ev.cv_summary(folds).join(bad, "model").collect()}
+
+
+def results_table(spark, rows: list[dict]) -> DataFrame:
+    names = [x.split()[0] for x in RESULT_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], RESULT_SCHEMA)
+
+
+def best_model(spark, rows: list[dict]) -> str:
+    """G6 on the comparison rows."""
+    return Ev.pick_best(results_table(spark, rows)).first()["model"]
 
 
 # ---------------------------------------------------------------- G7
@@ -223,45 +248,48 @@ def sample_params(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 def random_search(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
                   spec: ModelSpec, space: dict, n_trials: int, resample: Callable | None = None,
-                  k: int = 5, seed: int = 42, parallelism: int = 8, cap: dict | None = None,
-                  threshold: float = 0.5, folds=None):
+                  k: int = 5, seed: int = 42, parallelism: int = 8,
+                  threshold: float = 0.5, folds=None, pos_weight: float | None = None):
     """``n_trials`` seeded random trials scored by mean CV AUC; the best
-    is refit on the resampled training table and evaluated on test.
-    ``cap`` optionally bounds parameters (e.g. rounds) for small runs."""
+    is refit on the resampled training table and evaluated on test."""
     fold_train, fold_val, full_train = folds or cv_folds(train, key, label, k, resample)
     trials = sample_params(space, n_trials, seed)
-    if cap:
-        trials = [{p: (min(v, cap[p]) if p in cap else v) for p, v in t.items()} for t in trials]
 
     def run(args):
         i, f = args
-        m = fit_model(spec, fold_train[f], key, label, features, params=trials[i])
-        return i, _metrics_row(score(m, fold_val[f], threshold), label, threshold=threshold)["auc"]
+        m = fit_model(spec, fold_train[f], key, label, features, params=trials[i], pos_weight=pos_weight)
+        r = _metrics_row(score(m, fold_val[f], threshold), label, threshold=threshold)
+        return {"model": str(i), "fold": f, "auc": r["auc"], "f1": r["f1"], "recall": r["recall"]}
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         res = list(pool.map(run, [(i, f) for i in range(len(trials)) for f in range(k)]))
-    cv = [(_mean([a for j, a in res if j == i]) or 0.0, -i) for i in range(len(trials))]
+    means = cv_means(train.sparkSession, res)
+    cv = [(means[str(i)]["cv_auc"] or 0.0, -i) for i in range(len(trials))]
     best_auc, neg_i = max(cv)
     best = trials[-neg_i]
-    model = fit_model(spec, full_train, key, label, features, params=best)
+    model = fit_model(spec, full_train, key, label, features, params=best, pos_weight=pos_weight)
     test_row = _metrics_row(score(model, test, threshold), label, threshold=threshold)
-    trial_rows = [{"trial": i, **{k_: float(v) for k_, v in t.items()}, "cv_auc": cv[i][0]} for i, t in enumerate(trials)]
+    trial_rows = [{"trial": i, **{k_: float(v) for k_, v in t.items()}, "cv_auc": cv[i][0],
+                   "failed_folds": means[str(i)]["failed_folds"]} for i, t in enumerate(trials)]
     return model, best, best_auc, test_row, trial_rows
 
 
 # ---------------------------------------------------------------- G9, A5
 
+def band(scored: DataFrame, threshold: float, keep: Sequence[str] = (), prob: str = "prob") -> DataFrame:
+    """flagged = p >= t; band High (flagged) / Medium (p >= 0.6 t) / Low."""
+    p = F.col(prob)
+    return scored.select(*keep, prob, (p >= threshold).alias("flagged"),
+                         F.when(p >= threshold, "High").when(p >= 0.6 * threshold, "Medium").otherwise("Low")
+                         .alias("band"))
+
+
 def screen(df: DataFrame, model: PipelineModel, scaler: dict[str, tuple[float, float]], features: Sequence[str],
            threshold: float, keep: Sequence[str] = ()) -> DataFrame:
-    """Align to the feature list, scale, score; flagged = p >= t; band
-    High (flagged) / Medium (p >= 0.6 t) / Low. Stateless, so the same code
-    runs on a streaming DataFrame."""
+    """Align to the feature list, scale, score, flag and band. Stateless,
+    so the same code runs on a streaming DataFrame."""
     aligned = align_features(df, features, keep=keep)
-    scored = score(model, scale_apply(aligned, scaler), threshold)
-    p = F.col("prob")
-    return scored.select(*keep, "prob", (p >= threshold).alias("flagged"),
-                         F.when(p >= threshold, "High").when(p >= 0.6 * threshold, "Medium").otherwise("Low")
-                         .alias("band"))
+    return band(score(model, scale_apply(aligned, scaler), threshold), threshold, keep)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -271,3 +299,18 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_bundle(spark, model: PipelineModel, scaler: dict[str, tuple[float, float]], features: Sequence[str],
+                path: str) -> None:
+    """A5: the fitted pipeline, the scaler and the feature list (with its
+    order) in one folder, as screening needs them."""
+    save_model(model, f"{path}/model")
+    rows = [(i, f, *scaler[f]) for i, f in enumerate(features)]
+    (spark.createDataFrame(rows, "position int, feature string, mean double, sd double").coalesce(1)
+     .write.mode("overwrite").parquet(f"{path}/features"))
+
+
+def load_bundle(spark, path: str) -> tuple[PipelineModel, dict[str, tuple[float, float]], list[str]]:
+    rows = spark.read.parquet(f"{path}/features").orderBy("position").collect()  # one row per feature
+    return load_model(f"{path}/model"), {r["feature"]: (r["mean"], r["sd"]) for r in rows}, [r["feature"] for r in rows]

@@ -8,10 +8,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may hold and still be broadcast. A side is only broadcast after
-# its row count was checked against this (or it is bounded by construction,
-# e.g. a fixed domain list); beyond it the join stays a sort-merge join.
+# What a side may hold and still be broadcast: rows, and bytes of its values as
+# text. A side is only broadcast after both were measured (or when it is bounded
+# by construction, e.g. a fixed domain list); beyond it the planner decides.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def get_session(master: str | None = None, app: str = "riskloom",
@@ -46,7 +47,9 @@ def get_session(master: str | None = None, app: str = "riskloom",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the setting is absent (local tests) a fresh folder is made.
+    Only when the setting is absent on a local master (tests) a fresh local
+    folder is made; a cluster without the setting is an error, as each node
+    would write to a disk of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="riskloom-ckpt-")  # unset: local tests only
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -66,11 +71,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count; otherwise leave the
-    join to the planner (sort-merge / shuffle hash, AQE may still convert)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                    max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring its rows and bytes; otherwise
+    leave the join to the planner (sort-merge / shuffle hash, AQE may still
+    convert)."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes else df
 
 
 def parallelism_floor(df: DataFrame, key: str | None = None) -> DataFrame:

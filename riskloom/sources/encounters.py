@@ -30,7 +30,13 @@ DRUG_COLUMNS = [
 # --- fixed values: extra NA tokens of the source extract ---
 NA_TOKENS = ["?", "Unknown/Invalid", "None"]
 
-# The numeric columns that must be present for a row to be kept.
+# --- fixed values: tokens that a CSV extract's reader takes as missing by default ---
+DEFAULT_NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+# --- fixed values: the numeric columns that must be present for a row to be kept.
 CRITICAL_NUMERIC = [
     "time_in_hospital", "num_lab_procedures", "num_procedures",
     "num_medications", "number_outpatient", "number_emergency",
@@ -152,10 +158,19 @@ def encounter_schema() -> T.StructType:
 
 def read_encounters(spark: SparkSession, path: str, schema: T.StructType | None = None,
                     na_tokens: list[str] | None = None) -> DataFrame:
-    """CSV scan with header and a declared schema; the extra NA tokens become
+    """A1: CSV scan with header and a declared schema. Columns are matched to
+    the header by name, in any order: a missing one is an error, further ones
+    are left out. The extra NA tokens, on top of the default ones, become
     nulls in the string columns (Spark's reader takes a single nullValue)."""
     from riskloom.operators.clean import normalise_nulls
 
     schema = schema or encounter_schema()
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return normalise_nulls(df, na_tokens if na_tokens is not None else NA_TOKENS)
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+    own = {f.name: f for f in schema.fields}
+    as_read = T.StructType([own.get(c, T.StructField(c, T.StringType())) for c in header])
+    df = (spark.read.schema(as_read).option("header", True).option("mode", "PERMISSIVE")
+          .option("multiLine", False).csv(path).select(*schema.names))
+    return normalise_nulls(df, [*DEFAULT_NA_TOKENS, *(NA_TOKENS if na_tokens is None else na_tokens)])

@@ -40,24 +40,3 @@ def read_sectioned_lookup(spark: SparkSession, path: str) -> DataFrame:
     return (tagged.filter(F.col("__h").isNull() & F.col("section").isNotNull() & F.col("line").contains(","))
             .select("section", id_part.try_cast("int").alias("id"), text.alias("description"))
             .filter(F.col("id").isNotNull()))
-
-
-def parse_lookup_text(text: str) -> list[tuple[str, int, str]]:
-    """Plain-Python parse of the same format (used to build oracle SQL)."""
-    import re
-
-    out, section = [], None
-    for raw in text.splitlines():
-        m = re.match(HEADER, raw)
-        if m:
-            section = m.group(1)
-            continue
-        if "," not in raw or section is None:
-            continue
-        head, tail = raw.split(",", 1)
-        try:
-            i = int(head.strip())
-        except ValueError:
-            continue
-        out.append((section, i, tail.strip().strip('"')))
-    return out

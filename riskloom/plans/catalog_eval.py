@@ -16,9 +16,10 @@ from riskloom.operators.cohort import melt
 from riskloom.operators.features import FEATURES
 from riskloom.operators.prefix import global_rank, prefix_sum
 from riskloom.plans import hospital as H
-from riskloom.plans.oracle import hash_bits_sql, scored_cte, with_views
+from riskloom.plans.oracle import hash_bits_sql, scored_cte, split_cte, with_views
 from riskloom.plans.registry import register
 from riskloom.session import table_path
+from riskloom.sources.encounters import load_encounters
 
 FAIR_THRESHOLDS = [0.5, 0.3]
 # --- fixed values: the default cost scenario of the source dashboard, plus a second one ---
@@ -109,9 +110,7 @@ DOCS_SQL = ("docs AS (SELECT l.doc_id, d.lang, d.source, l.quality AS label, CAS
 @register("p1_global_rank", ev_sql(
     "SELECT encounter_id, score, CAST(row_number() OVER (ORDER BY score, encounter_id) AS BIGINT) AS rank FROM scored"))
 def p1_global_rank(spark, sf_dir):
-    # small_rows=0: the bucketed, distributed path even on small inputs
-    return global_rank(_scored(spark, sf_dir).select("encounter_id", "score"), "score", tiebreak=["encounter_id"],
-                       n_buckets=64, small_rows=0)
+    return global_rank(_scored(spark, sf_dir).select("encounter_id", "score"), "score", tiebreak=["encounter_id"])
 
 
 @register("p1_prefix_sum_by_race", ev_sql("""
@@ -120,16 +119,68 @@ SELECT encounter_id, race, score, CAST(label AS BIGINT) AS label,
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_label FROM scored"""))
 def p1_prefix_sum_by_race(spark, sf_dir):
     df = _scored(spark, sf_dir).select("encounter_id", "race", "score", F.col("label").cast("long").alias("label"))
-    return prefix_sum(df, "score", ["label"], by=["race"], descending=True, tiebreak=["encounter_id"],
-                      n_buckets=64, small_rows=0)
+    return prefix_sum(df, "score", ["label"], by=["race"], descending=True, tiebreak=["encounter_id"])
+
+
+def _null_order(spark, sf_dir):
+    """Encounters whose raw diag_2 may be missing, as an order key with nulls
+    and of type string."""
+    return load_encounters(spark, sf_dir).select("encounter_id", "race", F.nullif("diag_2", F.lit("?")).alias("code"))
+
+
+NULL_ORDER_SQL = "nord AS (SELECT encounter_id, race, nullif(diag_2, '?') AS code FROM enc)"
+
+
+@register("p1_rank_null_order", with_views(
+    "SELECT encounter_id, code, CAST(row_number() OVER (ORDER BY code ASC NULLS FIRST, encounter_id) AS BIGINT) AS rank "
+    "FROM nord", extra=NULL_ORDER_SQL))
+def p1_rank_null_order(spark, sf_dir):
+    """Rank by a string that may be null: nulls come first."""
+    return global_rank(_null_order(spark, sf_dir).drop("race"), "code", tiebreak=["encounter_id"])
+
+
+@register("p1_sum_null_order_desc", with_views(
+    "SELECT encounter_id, race, code, CAST(1 AS BIGINT) AS one, CAST(sum(1) OVER (PARTITION BY race ORDER BY code DESC "
+    "NULLS LAST, encounter_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_one FROM nord",
+    extra=NULL_ORDER_SQL))
+def p1_sum_null_order_desc(spark, sf_dir):
+    """Running count by a descending key that may be null (nulls last), in
+    groups of which one is null."""
+    df = _null_order(spark, sf_dir).withColumn("one", F.lit(1).cast("long"))
+    return prefix_sum(df, "code", ["one"], by=["race"], descending=True, tiebreak=["encounter_id"])
+
+
+@register("p1_rank_string_key", """
+SELECT text_key, tied, CAST(row_number() OVER (ORDER BY tied, text_key) AS BIGINT) AS rank
+FROM (SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS text_key,
+             CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 1000 END AS tied FROM orders)""")
+def p1_rank_string_key(spark, sf_dir):
+    """A third of all rows tie on the order key and the tiebreak is a string."""
+    orders = spark.read.parquet(table_path(sf_dir, "orders"))
+    df = orders.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("text_key"),
+                       F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_orderkey") % 1000).alias("tied"))
+    return global_rank(df, "tied", tiebreak=["text_key"])
 
 
 # ---------------------------------------------------------------- F1-F4
 
-@register("f1_split_counts", ev_sql(
+def _label_rows(spark, sf_dir):
+    return H.hospital_features(spark, sf_dir).select(H.KEY, H.LABEL)
+
+
+@register("f1_split_hash_counts", ev_sql(
     "SELECT is_test, label AS readmitted_binary, count(*) AS n FROM scored_all GROUP BY 1, 2"))
+def f1_split_hash_counts(spark, sf_dir):
+    """The map-only variant of the split."""
+    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL, exact=False)
+    return df.groupBy("is_test", H.LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("f1_split_counts", with_views(
+    "SELECT is_test, readmitted_binary, count(*) AS n FROM split GROUP BY 1, 2", "feat", extra=split_cte()))
 def f1_split_counts(spark, sf_dir):
-    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL)
+    """The split as the pipeline uses it: stratified exactly."""
+    df = P.stratified_split(_label_rows(spark, sf_dir), H.KEY, H.LABEL)
     return df.groupBy("is_test", H.LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,14 +191,27 @@ SELECT is_test, readmitted_binary, count(*) AS n FROM (
            <= round(count(*) OVER (PARTITION BY readmitted_binary) * 0.2) AS is_test
   FROM feat) GROUP BY 1, 2"""))
 def f1_split_exact_counts(spark, sf_dir):
-    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL, exact=True)
+    df = P.stratified_split(_label_rows(spark, sf_dir), H.KEY, H.LABEL, exact=True)
     return df.groupBy("is_test", H.LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("f2_fold_counts", ev_sql(
+@register("f2_fold_hash_counts", ev_sql(
     "SELECT fold, label AS readmitted_binary, count(*) AS n FROM scored_all WHERE NOT is_test GROUP BY 1, 2"))
+def f2_fold_hash_counts(spark, sf_dir):
+    """The map-only variants of split and folds."""
+    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL, exact=False).filter(~F.col("is_test"))
+    return (P.assign_folds(df, H.KEY, H.LABEL, exact=False).groupBy("fold", H.LABEL)
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("f2_fold_counts", with_views(f"""
+SELECT fold, readmitted_binary, count(*) AS n FROM (
+  SELECT readmitted_binary, CAST((row_number() OVER (PARTITION BY readmitted_binary
+         ORDER BY {hash_bits_sql('encounter_id', 'fold42')}, encounter_id) - 1) % 5 AS INTEGER) AS fold
+  FROM tr) GROUP BY 1, 2""", "feat", extra=split_cte()))
 def f2_fold_counts(spark, sf_dir):
-    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL).filter(~F.col("is_test"))
+    """Folds of the training rows as cross-validation uses them."""
+    df = P.stratified_split(_label_rows(spark, sf_dir), H.KEY, H.LABEL).filter(~F.col("is_test"))
     return P.assign_folds(df, H.KEY, H.LABEL).groupBy("fold", H.LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -157,31 +221,56 @@ SELECT fold, readmitted_binary, count(*) AS n FROM (
          ORDER BY {hash_bits_sql('encounter_id', 'fold42')}, encounter_id) - 1) % 5 AS INTEGER) AS fold
   FROM feat WHERE NOT ({hash_bits_sql('encounter_id', 'split42')} < 858993459)) GROUP BY 1, 2"""))
 def f2_fold_exact_counts(spark, sf_dir):
-    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL).filter(~F.col("is_test"))
+    df = P.stratified_split(_label_rows(spark, sf_dir), H.KEY, H.LABEL, exact=False).filter(~F.col("is_test"))
     return P.assign_folds(df, H.KEY, H.LABEL, exact=True).groupBy("fold", H.LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
 _TE_COLS = ["medical_specialty", "diag_1_group"]
 
 
-@register("f3_target_encoding", ev_sql("""
+@register("f3_target_encoding", with_views("""
 SELECT s.column, s.value, s.n, p.prior,
        (1.0 - 1.0 / (1.0 + exp(-(s.n - 20) / 1.0))) * p.prior + 1.0 / (1.0 + exp(-(s.n - 20) / 1.0)) * s.mean AS encoding
 FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, count(*) AS n, avg(CAST(readmitted_binary AS DOUBLE)) AS mean "
     f"FROM tr GROUP BY {c}" for c in _TE_COLS) + """) s, (SELECT avg(CAST(readmitted_binary AS DOUBLE)) AS prior FROM tr) p""",
-    extra=f"tr AS (SELECT * FROM feat WHERE NOT ({hash_bits_sql('encounter_id', 'split42')} < 858993459))"))
+    "feat", extra=split_cte()))
 def f3_target_encoding(spark, sf_dir):
     df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL)
     return P.target_encode_fit(df.filter(~F.col("is_test")), _TE_COLS, H.LABEL)
 
 
-@register("f4_scaled_test", ev_sql(
+@register("f3_target_encoding_applied", with_views("""
+SELECT t.encounter_id, """ + ", ".join(
+    f"coalesce(e{i}.encoding, p.prior) AS {c}" for i, c in enumerate(_TE_COLS)) + " FROM te_f3 t CROSS JOIN p3 p "
+    + " ".join(f"LEFT JOIN enc_f3 e{i} ON e{i}.\"column\" = '{c}' AND e{i}.value = t.{c}" for i, c in enumerate(_TE_COLS)),
+    "feat", extra=split_cte() + """,
+p3 AS (SELECT avg(CAST(readmitted_binary AS DOUBLE)) AS prior FROM tr),
+te_f3 AS (SELECT encounter_id, CASE WHEN encounter_id % 50 = 0 THEN 'never seen' ELSE medical_specialty END AS medical_specialty,
+                 CASE WHEN encounter_id % 70 = 0 THEN NULL ELSE diag_1_group END AS diag_1_group FROM te),
+enc_f3 AS (SELECT s."column", s.value, (1.0 - 1.0 / (1.0 + exp(-(s.n - 20) / 1.0))) * p.prior
+                  + 1.0 / (1.0 + exp(-(s.n - 20) / 1.0)) * s.mean AS encoding
+           FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n, avg(CAST(readmitted_binary AS DOUBLE)) AS mean "
+    f"FROM tr GROUP BY {c}" for c in _TE_COLS) + ") s, p3 p)"))
+def f3_target_encoding_applied(spark, sf_dir):
+    """F3 fitted on the training rows and applied to the test rows, of which
+    some hold an unseen or a missing value."""
+    df = P.stratified_split(H.hospital_features(spark, sf_dir).select(H.KEY, H.LABEL, *_TE_COLS), H.KEY, H.LABEL)
+    train, test = df.filter(~F.col("is_test")), df.filter("is_test")
+    enc = P.target_encode_fit(train, _TE_COLS, H.LABEL)
+    prior = train.agg(F.avg(F.col(H.LABEL).cast("double"))).first()[0]
+    test = test.withColumns({
+        "medical_specialty": F.when(F.col(H.KEY) % 50 == 0, "never seen").otherwise(F.col("medical_specialty")),
+        "diag_1_group": F.when(F.col(H.KEY) % 70 != 0, F.col("diag_1_group"))})
+    return P.target_encode_apply(test, enc, _TE_COLS, float(prior)).select(H.KEY, *_TE_COLS)
+
+
+@register("f4_scaled_test", with_views(
     "SELECT t.encounter_id, " + ", ".join(
         f"(CAST(t.{f} AS DOUBLE) - m.m_{f}) / m.s_{f} AS {f}" for f in FEATURES)
     + " FROM te t, m",
-    extra=f"tr AS (SELECT * FROM feat WHERE NOT ({hash_bits_sql('encounter_id', 'split42')} < 858993459)),"
-          f"te AS (SELECT * FROM feat WHERE {hash_bits_sql('encounter_id', 'split42')} < 858993459),"
+    "feat", extra=split_cte() + ","
           "m AS (SELECT " + ", ".join(
               f"avg(CAST({f} AS DOUBLE)) AS m_{f}, CASE WHEN stddev_pop(CAST({f} AS DOUBLE)) > 0 "
               f"THEN stddev_pop(CAST({f} AS DOUBLE)) ELSE 1.0 END AS s_{f}" for f in FEATURES) + " FROM tr)"))
@@ -205,7 +294,7 @@ def h2_metrics_at_half(spark, sf_dir):
 
 @register("h3_roc_points", ev_sql("SELECT * FROM roc", extra=roc_sql("scored", [])))
 def h3_roc_points(spark, sf_dir):
-    return Ev.roc_points(_scored(spark, sf_dir), "label", "score", n_buckets=32, small_rows=0)
+    return Ev.roc_points(_scored(spark, sf_dir), "label", "score")
 
 
 @register("h3_roc_points_by_age_group", ev_sql("SELECT * FROM roc", extra=roc_sql("scored", ["age_group"])))
@@ -215,12 +304,12 @@ def h3_roc_points_by_age_group(spark, sf_dir):
 
 @register("h4_auc", ev_sql("SELECT auc FROM a", extra=auc_sql("scored", [])))
 def h4_auc(spark, sf_dir):
-    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score", n_buckets=32, small_rows=0)
+    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score")
 
 
 @register("h4_auc_by_race", ev_sql("SELECT race, auc FROM a", extra=auc_sql("scored", ["race"])))
 def h4_auc_by_race(spark, sf_dir):
-    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score", by=["race"], n_buckets=32, small_rows=0)
+    return Ev.roc_auc(_scored(spark, sf_dir), "label", "score", by=["race"])
 
 
 @register("h4_auc_documents_by_lang", "WITH " + DOCS_SQL + ",\n" + auc_sql("docs", ["lang"]) + "\nSELECT lang, auc FROM a")
@@ -228,6 +317,33 @@ def h4_auc_documents_by_lang(spark, sf_dir):
     return Ev.roc_auc(_docs_scored(spark, sf_dir), "label", "score", by=["lang"])
 
 
+def _null_groups(spark, sf_dir):
+    """Scored rows with a group column in which two of the races are null."""
+    race = F.when(~F.col("race").isin("Asian", "Hispanic"), F.col("race"))
+    return _scored(spark, sf_dir).withColumn("race", race)
+
+
+NULL_GROUPS_SQL = ("ng AS (SELECT encounter_id, label, CASE WHEN race IN ('Asian', 'Hispanic') THEN NULL ELSE race END AS race, "
+                   "score FROM scored)")
+
+
+@register("h4_auc_by_gender_raw", ev_sql("SELECT race, auc FROM a", extra=NULL_GROUPS_SQL + ",\n" + auc_sql("ng", ["race"])))
+def h4_auc_by_gender_raw(spark, sf_dir):
+    """AUC by a key of which one value is null: a group like any other."""
+    return Ev.roc_auc(_null_groups(spark, sf_dir), "label", "score", by=["race"])
+
+
+@register("h3_roc_points_null_group", ev_sql("""
+SELECT c.race, CAST(c.score AS DOUBLE) AS threshold, c.tp, c.fp,
+       CASE WHEN t.n_pos > 0 THEN c.tp / t.n_pos::DOUBLE ELSE 0.0 END AS tpr,
+       CASE WHEN t.n_neg > 0 THEN c.fp / t.n_neg::DOUBLE ELSE 0.0 END AS fpr, t.n_pos, t.n_neg
+FROM roc_cum c JOIN roc_t t ON c.race IS NOT DISTINCT FROM t.race
+UNION ALL SELECT race, 'inf'::DOUBLE, 0, 0, 0.0, 0.0, n_pos, n_neg FROM roc_t""",
+    extra=NULL_GROUPS_SQL + ",\n" + roc_sql("ng", ["race"])))
+def h3_roc_points_null_group(spark, sf_dir):
+    return Ev.roc_points(_null_groups(spark, sf_dir), "label", "score", by=["race"])
+
+
 YOUDEN_SQL = ("yd AS (SELECT threshold, tpr - fpr AS youden_j FROM roc "
               "ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1)")
 
@@ -377,6 +493,16 @@ def i1_group_fairness_documents(spark, sf_dir):
     return Fa.group_fairness(_docs_scored(spark, sf_dir), "label", "score", "lang", 3000.0)
 
 
+@register("i1_fairness_null_group", ev_sql("SELECT * REPLACE (ga_null.auc AS auc) FROM audit LEFT JOIN "
+    "(SELECT attribute AS a2, grp AS g2, auc FROM ga) ga_null ON a2 = attribute AND g2 IS NOT DISTINCT FROM grp"
+    .replace("SELECT * REPLACE (ga_null.auc AS auc)", "SELECT attribute, grp, threshold, n, prevalence, "
+             "predicted_positive_rate, ga_null.auc, recall, precision, f1"),
+    extra=NULL_GROUPS_SQL + ",\n" + _audit_sql("ng", ["race"], [0.5, 0.3])))
+def i1_fairness_null_group(spark, sf_dir):
+    """The audit keeps a null group, with its AUC."""
+    return Fa.fairness_audit(_null_groups(spark, sf_dir), "label", "score", ["race"], [0.5, 0.3])
+
+
 @register("i2_disparate_impact", ev_sql(
     "SELECT attribute, threshold, disparate_impact_ratio, max_rate FROM di",
     extra=_audit_sql("scored", ["race", "age_group"], FAIR_THRESHOLDS) + ",\n" + DI_SQL))

@@ -10,41 +10,75 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.functions.clinical import ICD9_GROUPS
+from riskloom.functions.clinical import ICD9_GROUPS, NUMBER_PATTERN
 from riskloom.operators import clean as C
 from riskloom.operators import evaluate as Ev
 from riskloom.operators import explain as J
+from riskloom.operators import train as G
 from riskloom.operators.features import FEATURES
 from riskloom.operators.prep import assemble
 from riskloom.plans import catalog_ml as M
 from riskloom.plans import hospital as H
 from riskloom.plans.catalog_eval import _report_sql, YOUDEN_SQL, ev_sql, roc_sql
-from riskloom.plans.oracle import with_views
+from riskloom.plans.oracle import split_cte, with_views
 from riskloom.plans.registry import register
 from riskloom.session import checkpoint_dir, table_path
-from riskloom.sources.encounters import NA_TOKENS, load_encounters
+from riskloom.sources.encounters import (
+    DEFAULT_NA_TOKENS, NA_TOKENS, encounter_schema, load_encounters, read_encounters,
+)
 from riskloom.sources.lookup import (
-    PACKAGED_ID_MAPPING, packaged_id_mapping, parse_lookup_text, read_sectioned_lookup,
+    HEADER, PACKAGED_ID_MAPPING, packaged_id_mapping, read_sectioned_lookup,
 )
 from riskloom.sources.results import read_results, write_results
 from riskloom.streaming.screen import run_screen_stream
 
-with open(PACKAGED_ID_MAPPING) as fh:
-    _LOOKUP_ROWS = parse_lookup_text(fh.read())
-
-
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-LOOKUP_SQL = ("lk AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({_q(sec)}, {i}, {_q(txt)})" for sec, i, txt in _LOOKUP_ROWS) + ") v(section, id, description))")
+# DuckDB reads and sections the packaged file itself.
+LOOKUP_SQL = rf"""lk_lines AS (
+  SELECT generate_subscripts(s, 1) AS pos, unnest(s) AS line
+  FROM (SELECT string_split(replace(content, chr(13), ''), chr(10)) AS s FROM read_text({_q(PACKAGED_ID_MAPPING)}))),
+lk_heads AS (SELECT pos, line, nullif(regexp_extract(line, '{HEADER}', 1), '') AS h FROM lk_lines),
+lk_open AS (SELECT line, h, last_value(h IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              AS section FROM lk_heads),
+lk AS (SELECT section, TRY_CAST(trim(split_part(line, ',', 1)) AS INTEGER) AS id,
+              trim(trim(substr(line, strpos(line, ',') + 1)), '"') AS description
+       FROM lk_open WHERE h IS NULL AND section IS NOT NULL AND contains(line, ',')
+         AND TRY_CAST(trim(split_part(line, ',', 1)) AS INTEGER) IS NOT NULL)"""
+
+
+@register("a2_sectioned_lookup", with_views("""
+SELECT lk.section, lk.id, lk.description, CAST(coalesce(n, 0) AS BIGINT) AS n_encounters
+FROM lk LEFT JOIN (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS section, {c} AS id, count(*) AS n FROM enc GROUP BY 2" for c in H.ID_COLUMNS) + """) c
+  ON c.section = lk.section AND c.id = lk.id""", extra=LOOKUP_SQL))
+def a2_sectioned_lookup(spark, sf_dir):
+    """A2: the three id sections as one long table, each entry with the number
+    of encounters that carry it."""
+    lookup = read_sectioned_lookup(spark, packaged_id_mapping(spark))
+    enc = load_encounters(spark, sf_dir).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("section"), F.col(c).alias("id")) for c in H.ID_COLUMNS])).alias("x"))
+    counts = enc.groupBy(F.col("x.section").alias("section"), F.col("x.id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_encounters"))
+    return (lookup.join(counts, ["section", "id"], "left")
+            .select("section", "id", "description", F.coalesce("n_encounters", F.lit(0)).alias("n_encounters")))
+
+
+_STRING_COLUMNS = [f.name for f in encounter_schema().fields if f.dataType.simpleString() == "string"]
+_NA_SQL = ", ".join(_q(t) for t in [*DEFAULT_NA_TOKENS, *NA_TOKENS])
 
 
-@register("a2_sectioned_lookup", "WITH " + LOOKUP_SQL + " SELECT section, CAST(id AS INTEGER) AS id, description FROM lk")
-def a2_sectioned_lookup(spark, sf_dir):
-    """A2: the three id sections as one long table (section, id, description)."""
-    return read_sectioned_lookup(spark, packaged_id_mapping(spark))
+@register("a1_csv_scan", with_views("SELECT * REPLACE (" + ", ".join(
+    f'CASE WHEN "{c}" NOT IN ({_NA_SQL}) THEN "{c}" END AS "{c}"' for c in _STRING_COLUMNS) + ") FROM enc"))
+def a1_csv_scan(spark, sf_dir):
+    """A1: the encounters written as CSV to the shared folder (columns in
+    another order, one more than needed) and scanned back."""
+    raw = load_encounters(spark, sf_dir)
+    path = os.path.join(checkpoint_dir(spark), f"encounters-{uuid.uuid4().hex}.csv")
+    (raw.select(*reversed(raw.columns), F.lit("x").alias("further")).write.option("header", True).csv(path))
+    return read_encounters(spark, path)
 
 
 def _decode_sql() -> str:
@@ -65,20 +99,38 @@ def c1_decode_ids(spark, sf_dir):
     return out.select("encounter_id", *H.ID_COLUMNS.keys(), *H.ID_COLUMNS.values())
 
 
-RANGES_SQL = ("rg AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(g)}, {lo}, {hi})" for g, lo, hi in ICD9_GROUPS)
-              + ") v(label, lo, hi))")
+# The ICD-9 ranges in their order, and two wide ones behind them that overlap.
+_RANGES = [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(ICD9_GROUPS)] + [
+    (100, "Wide_Low", 0, 500_000), (101, "Wide_All", -5, 2_000_000)]
+RANGES_SQL = ("rg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(g)}, {lo}, {hi})" for i, g, lo, hi in _RANGES)
+              + ") v(pos, label, lo, hi))")
+
+
+def _range_sql(col: str, out: str) -> str:
+    number = (f"CASE WHEN regexp_full_match(trim({col}), '{NUMBER_PATTERN}') "
+              f"THEN CAST(trunc(CAST(trim({col}) AS DOUBLE)) AS BIGINT) END")
+    return f"""
+SELECT encounter_id, {col}, coalesce((SELECT min_by(label, pos) FROM rg WHERE n BETWEEN rg.lo AND rg.hi), 'Other') AS {out}
+FROM (SELECT encounter_id, {col}, {number} AS n FROM enc)"""
 
 
-@register("c4_range_lookup_join", with_views("""
-SELECT e.encounter_id, e.diag_3, coalesce(rg.label, 'Other') AS diag_3_range
-FROM enc e LEFT JOIN rg ON TRY_CAST(trunc(TRY_CAST(e.diag_3 AS DOUBLE)) AS BIGINT) BETWEEN rg.lo AND rg.hi""",
-    extra=RANGES_SQL))
+@register("c4_range_lookup_join", with_views(_range_sql("diag_3", "diag_3_range"), extra=RANGES_SQL))
 def c4_range_lookup_join(spark, sf_dir):
-    """C4 against a range table (broadcast, size-checked): integer part of
-    diag_3 -> range label, else Other."""
-    ranges = spark.createDataFrame(ICD9_GROUPS, "label string, lo int, hi int")
-    raw = load_encounters(spark, sf_dir).select("encounter_id", "diag_3")
-    return C.range_lookup_join(raw, "diag_3", ranges, "diag_3_range")
+    """C4 against a range table with overlaps: integer part of diag_3 -> label
+    of the first range, else Other."""
+    return _range_join(spark, sf_dir, "diag_3")
+
+
+@register("c4_range_lookup_join_diag_2", with_views(_range_sql("diag_2", "diag_2_range"), extra=RANGES_SQL))
+def c4_range_lookup_join_diag_2(spark, sf_dir):
+    """The same on diag_2, which holds codes such as ``5d`` that are no number."""
+    return _range_join(spark, sf_dir, "diag_2")
+
+
+def _range_join(spark, sf_dir, col):
+    ranges = spark.createDataFrame(_RANGES, "pos int, label string, lo int, hi int")
+    raw = load_encounters(spark, sf_dir).select("encounter_id", col)
+    return C.range_lookup_join(raw, col, ranges, f"{col}_range", order="pos")
 
 
 @register("a4_results_roundtrip", ev_sql(
@@ -131,3 +183,31 @@ def g9_screen_stream(spark, sf_dir):
     d = M.data_bundle(spark, sf_dir)
     lineitem = spark.read.parquet(table_path(sf_dir, "lineitem"))
     return run_screen_stream(spark, sf_dir, lineitem, m, d["scaler"], FEATURES, 0.5)
+
+
+@register("g9_bands", ev_sql("""
+SELECT encounter_id, score AS prob, score >= 0.3 AS flagged,
+       CASE WHEN score >= 0.3 THEN 'High' WHEN score >= 0.6::DOUBLE * 0.3::DOUBLE THEN 'Medium' ELSE 'Low' END AS band FROM scored"""))
+def g9_bands(spark, sf_dir):
+    """The flag and the risk band of G9 on the deterministic score."""
+    rows = H.scored_test(spark, sf_dir).select("encounter_id", F.col("score").alias("prob"))
+    return G.band(rows, 0.3, keep=["encounter_id"])
+
+
+@register("a5_bundle_roundtrip", with_views(
+    "SELECT count(*) AS n_rows, count(*) AS n_same FROM te", "feat", extra=split_cte()))
+def a5_bundle_roundtrip(spark, sf_dir):
+    """A5: model, scaler and feature list saved as one bundle, loaded back and
+    used to screen the raw test rows; rows on which the saved and the fitted
+    one agree."""
+    d = M.data_bundle(spark, sf_dir)
+    m = M.model_bundle(spark, sf_dir, "logreg")
+    path = os.path.join(checkpoint_dir(spark), f"bundle-{uuid.uuid4().hex}")
+    G.save_bundle(spark, m, d["scaler"], FEATURES, path)
+    model, scaler, features = G.load_bundle(spark, path)
+    raw = H.hospital_features(spark, sf_dir).join(d["test"].select(H.KEY), H.KEY, "left_semi")
+    a = G.screen(raw, m, d["scaler"], FEATURES, 0.4, keep=[H.KEY])
+    b = G.screen(raw, model, scaler, features, 0.4, keep=[H.KEY]).select(
+        H.KEY, F.col("prob").alias("p2"), F.col("band").alias("b2"))
+    same = (F.abs(F.col("prob") - F.col("p2")) < 1e-12) & (F.col("band") == F.col("b2"))
+    return a.join(b, H.KEY).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(same.cast("long")).alias("n_same"))

@@ -4,8 +4,9 @@ rows-only checks; the linear attribution uses data-derived weights (each
 feature's correlation with the label on the training rows), which DuckDB can
 reproduce, so J2 and its J4-J7 tables carry oracles.
 
-The ``fast`` model profile (fewer rounds, shallower trees) keeps the
-registered queries short; the full profile is ``train.base_models()``.
+The registered tree-model queries state the small profile ``QUICK`` (10 trees or
+rounds); the reference settings are the default of ``train.base_models()`` and
+of the end-to-end run. Its times are in the README.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.functions.clinical import AGE_BIN_EDGES, AGE_BIN_LABELS, bin_right_closed
@@ -26,11 +28,12 @@ from riskloom.operators.features import FEATURES
 from riskloom.operators.smote import smote
 from riskloom.plans import hospital as H
 from riskloom.plans.catalog_smote import KNN_BLOCK, _scaled_sql
-from riskloom.plans.oracle import hash_bits_sql, with_views
+from riskloom.plans.oracle import hash_bits_sql, split_cte, with_views
 from riskloom.plans.registry import register
 from riskloom.session import checkpoint_dir, cut_lineage
 
 SENSITIVE = ["race", "gender", "age_group"]
+QUICK = {"fast": True}
 _BUNDLES: dict = {}
 
 
@@ -65,7 +68,7 @@ def model_bundle(spark, sf_dir, name: str):
     k = ("model", spark.sparkContext.applicationId, sf_dir, name)
     if k not in _BUNDLES:
         d = data_bundle(spark, sf_dir)
-        spec = G.base_models(fast=True)[name]
+        spec = G.base_models(**QUICK)[name]
         _BUNDLES[k] = G.fit_model(spec, d["resampled"], H.KEY, H.LABEL, FEATURES)
     return _BUNDLES[k]
 
@@ -87,32 +90,64 @@ def g8_scored_test(spark, sf_dir):
     return _scored_model(spark, sf_dir, "logreg").select(H.KEY, H.LABEL, *SENSITIVE, "prob", "pred")
 
 
+def compare_bundle(spark, sf_dir):
+    """The four models compared (kept for the session): the result rows and
+    the test scores of each."""
+    k = ("compare", spark.sparkContext.applicationId, sf_dir)
+    if k not in _BUNDLES:
+        d = data_bundle(spark, sf_dir)
+        train = d["train"].drop(*SENSITIVE)
+        _BUNDLES[k] = G.compare_models(train, d["test"], H.KEY, H.LABEL, FEATURES, G.base_models(**QUICK),
+                                       resample=_resample, k=5, folds=cv_bundle(spark, sf_dir))
+    return _BUNDLES[k]
+
+
 @register("g5_compare_models")
 def g5_compare_models(spark, sf_dir):
-    """G2-G6 + H7/H8: four models, 5-fold CV with SMOTE inside the training
-    folds, final fit on the SMOTE'd training table, test metrics; plus the
-    tuned row from a small random search of the best model."""
-    d = data_bundle(spark, sf_dir)
-    models = G.base_models(fast=True)
-    train = d["train"].drop(*SENSITIVE)
-    test = d["test"]
-
-    def rs(df):
-        return smote(df, H.KEY, FEATURES, H.LABEL, k=5, block_size=KNN_BLOCK)
-
-    res = G.compare_models(train, test, H.KEY, H.LABEL, FEATURES, models, resample=rs, k=5,
-                           folds=cv_bundle(spark, sf_dir))
-    base = spark.createDataFrame(res.rows)
-    best = max(res.rows, key=lambda r: (r["test_auc"] or 0.0, -r["position"]))["model"]
-    _, params, cv_auc, test_row, _ = G.random_search(
-        train, test, H.KEY, H.LABEL, FEATURES, models[best], G.SEARCH_SPACES[best], n_trials=2,
-        resample=rs, k=5, cap={"maxIter": 10, "numTrees": 10, "maxDepth": 4}, folds=cv_bundle(spark, sf_dir))
-    tuned = spark.createDataFrame([{
-        "model": f"{best} (tuned)", "position": len(res.rows), "cv_auc": cv_auc,
-        "test_auc": test_row["auc"], "test_f1": test_row["f1"], "test_recall": test_row["recall"],
-        "test_precision": test_row["precision"], "test_specificity": test_row["specificity"],
-        "test_accuracy": test_row["accuracy"]}])
-    return Ev.comparison_table(base, tuned)
+    """G2-G6 + H7: four models, 5-fold CV with SMOTE inside the training
+    folds, final fit on the SMOTE'd training table, test metrics."""
+    return G.results_table(spark, compare_bundle(spark, sf_dir).rows)
+
+
+@register("g5_compare_checks", """
+SELECT CAST(4 AS BIGINT) AS n_models, CAST(20 AS BIGINT) AS n_folds, CAST(0 AS BIGINT) AS failed_folds,
+       true AS best_is_max, true AS better_than_chance""")
+def g5_compare_checks(spark, sf_dir):
+    """What must hold of G5 and G6: a row per model, five folds each, the
+    picked model has the largest test AUC, and every model beats chance on
+    the training folds or the test rows."""
+    res = compare_bundle(spark, sf_dir)
+    table = G.results_table(spark, res.rows)
+    best = Ev.pick_best(table).select(F.col("test_auc").alias("__best"))
+    return (table.agg(F.count(F.lit(1)).alias("n_models"), F.sum("failed_folds").alias("failed_folds"),
+                      F.max("test_auc").alias("__max"),
+                      F.min(F.greatest("cv_auc", "test_auc") > 0.5).alias("better_than_chance"))
+            .withColumn("n_folds", F.lit(len(res.fold_rows)).cast("long"))
+            .join(best, F.col("__max") == F.col("__best"), "left")
+            .select("n_models", "n_folds", "failed_folds", F.col("__best").isNotNull().alias("best_is_max"),
+                    "better_than_chance"))
+
+
+def _scored_by_model(spark, sf_dir):
+    """Test rows scored by each compared model: one row per (model, row)."""
+    test = data_bundle(spark, sf_dir)["test"]
+    out = None
+    for name, model in compare_bundle(spark, sf_dir).models.items():
+        part = G.score(model, test).select(H.KEY, H.LABEL, "prob", F.lit(name).alias("model"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("h3_roc_by_model")
+def h3_roc_by_model(spark, sf_dir):
+    """ROC points of every compared model, in one pass by model."""
+    return Ev.roc_points(_scored_by_model(spark, sf_dir), H.LABEL, "prob", by=["model"])
+
+
+@register("h1_confusion_by_model")
+def h1_confusion_by_model(spark, sf_dir):
+    """Confusion counts at 0.5 of every compared model."""
+    return Ev.confusion(_scored_by_model(spark, sf_dir), H.LABEL, "prob", 0.5, by=["model"])
 
 
 @register("g7_random_search_trials")
@@ -120,15 +155,12 @@ def g7_random_search_trials(spark, sf_dir):
     """Seeded random search of the regularisation C of the logistic
     model, 5-fold CV AUC with SMOTE inside the folds, per trial."""
     d = data_bundle(spark, sf_dir)
-    models = G.base_models(fast=True)
+    models = G.base_models(**QUICK)
     train = d["train"].drop(*SENSITIVE)
 
-    def rs(df):
-        return smote(df, H.KEY, FEATURES, H.LABEL, k=5, block_size=KNN_BLOCK)
-
     _, best, best_auc, test_row, trials = G.random_search(
         train, d["test"], H.KEY, H.LABEL, FEATURES, models["logreg"], G.SEARCH_SPACES["logreg"], n_trials=4,
-        resample=rs, k=5, folds=cv_bundle(spark, sf_dir))
+        resample=_resample, k=5, folds=cv_bundle(spark, sf_dir))
     return spark.createDataFrame(trials).withColumn("is_best", F.col("C") == F.lit(best["C"]))
 
 
@@ -193,11 +225,18 @@ def _linear_shap(spark, sf_dir):
     return J.linear_attribution(test, H.KEY, FEATURES, corr, bg)
 
 
+@register("j1_sample", with_views(
+    "SELECT encounter_id FROM te ORDER BY " + hash_bits_sql("encounter_id", "shap42") + ", encounter_id LIMIT 1000",
+    "feat", extra=split_cte()))
+def j1_sample(spark, sf_dir):
+    """The seeded sample of at most 1,000 test rows."""
+    return J.sample_rows(data_bundle(spark, sf_dir)["test"], H.KEY, 1000).select(H.KEY)
+
+
 def _lin_sql() -> str:
-    split = hash_bits_sql("encounter_id", "split42")
     te = ("te_s AS (SELECT t.encounter_id, " + ", ".join(
         f"(CAST(t.{f} AS DOUBLE) - m.m_{f}) / m.s_{f} AS {f}" for f in FEATURES)
-        + f" FROM (SELECT * FROM feat WHERE {split} < 858993459) t, m)")
+        + " FROM te t, m)")
     w = ("w AS (SELECT " + ", ".join(f"coalesce(corr({f}, CAST(readmitted_binary AS DOUBLE)), 0.0) AS w_{f}"
                                      for f in FEATURES) + " FROM st)")
     bg = ("bg AS (SELECT * FROM st ORDER BY " + hash_bits_sql("encounter_id", "bg42") + ", encounter_id LIMIT 100)")
@@ -236,7 +275,8 @@ FROM (SELECT *, CASE WHEN phi > 0 THEN 'raises' WHEN phi < 0 THEN 'lowers' END A
             FROM shap)
       WHERE rank <= 12)"""))
 def j5_local_explanation(spark, sf_dir):
-    return J.local_explanation(_linear_shap(spark, sf_dir))
+    test, corr, bg = _linear_inputs(spark, sf_dir)
+    return J.local_explanation(J.linear_items(test, H.KEY, FEATURES, corr, bg))
 
 
 @register("j6_feature_profile", lin_sql("""
@@ -247,18 +287,21 @@ def j6_feature_profile(spark, sf_dir):
     return J.feature_profile(_linear_shap(spark, sf_dir))
 
 
+def _tree_parts(spark, sf_dir, name: str):
+    kind = "gbt" if name.startswith("gbt") else name
+    k = ("trees", spark.sparkContext.applicationId, sf_dir, name)
+    if k not in _BUNDLES:
+        _BUNDLES[k] = J.extract_trees(spark, model_bundle(spark, sf_dir, name).stages[-1], kind)
+    return _BUNDLES[k]
+
+
 @register("j3_tree_shap_gbt")
 def j3_tree_shap_gbt(spark, sf_dir):
-    """J1 + J3: path-dependent Tree SHAP of the boosted model for a seeded
-    sample of at most 1,000 test rows (the sample size is the operator's own
-    parameter), with the margin check column base + sum(phi)."""
-    d = data_bundle(spark, sf_dir)
-    m = model_bundle(spark, sf_dir, "gbt6")
-    trees, weights = J.extract_trees(spark, m.stages[-1], "gbt")
-    sample = J.sample_rows(d["test"], H.KEY, 1000)
-    shap = J.tree_attribution(sample, H.KEY, FEATURES, trees, weights)
-    base = J.expected_value(trees, weights)
-    return shap.withColumn("base_value", F.lit(base))
+    """Path-dependent Tree SHAP of the boosted model for every test row,
+    with the base value to which the phi of a row add."""
+    trees, weights = _tree_parts(spark, sf_dir, "gbt6")
+    shap = J.tree_attribution(data_bundle(spark, sf_dir)["test"], H.KEY, FEATURES, trees, weights)
+    return shap.withColumn("base_value", F.lit(J.expected_value(trees, weights)))
 
 
 @register("j4_tree_importance")
@@ -266,17 +309,41 @@ def j4_tree_importance(spark, sf_dir):
     return J.global_importance(j3_tree_shap_gbt(spark, sf_dir).drop("base_value"))
 
 
+@register("j5_tree_local_explanation")
+def j5_tree_local_explanation(spark, sf_dir):
+    """J5 on the fitted boosted model, every test row."""
+    trees, weights = _tree_parts(spark, sf_dir, "gbt6")
+    return J.local_explanation(J.tree_items(data_bundle(spark, sf_dir)["test"], H.KEY, FEATURES, trees, weights))
+
+
+def _additive(spark, sf_dir, name: str):
+    """Per test row: base + sum(phi), and what the model says."""
+    d, m = data_bundle(spark, sf_dir), model_bundle(spark, sf_dir, name)
+    trees, weights = _tree_parts(spark, sf_dir, name)
+    wide = J.tree_items(d["test"], H.KEY, FEATURES, trees, weights)
+    total = F.aggregate("items", F.lit(J.expected_value(trees, weights)), lambda a, x: a + x["phi"])
+    said = vector_to_array("rawPrediction" if name.startswith("gbt") else "probability")[1]
+    return (wide.select("row_id", total.alias("base_plus_phi"))
+            .join(m.transform(d["test"]).select(F.col(H.KEY).alias("row_id"), said.alias("model")), "row_id")
+            .withColumn("additive", F.abs(F.col("base_plus_phi") - F.col("model")) < 1e-9))
+
+
 @register("j3_tree_shap_forest")
 def j3_tree_shap_forest(spark, sf_dir):
-    """J3 on the random forest (positive-class probability scale) for the
-    same seeded sample, with the additivity check: base + sum(phi) = p."""
-    d = data_bundle(spark, sf_dir)
-    m = model_bundle(spark, sf_dir, "forest")
-    trees, weights = J.extract_trees(spark, m.stages[-1], "forest")
-    sample = J.sample_rows(d["test"], H.KEY, 1000)
-    shap = J.tree_attribution(sample, H.KEY, FEATURES, trees, weights)
-    base = J.expected_value(trees, weights)
-    per_row = shap.groupBy("row_id").agg((F.lit(base) + F.sum("phi")).alias("base_plus_phi"))
-    prob = G.score(m, sample).select(F.col(H.KEY).cast("long").alias("row_id"), "prob")
-    return per_row.join(prob, "row_id").withColumn(
-        "additive", F.abs(F.col("base_plus_phi") - F.col("prob")) < 1e-9)
+    """J3 on the random forest (positive-class probability scale) for every
+    test row, with the additivity check: base + sum(phi) = p."""
+    return _additive(spark, sf_dir, "forest")
+
+
+@register("j3_tree_shap_additivity", with_views(
+    "SELECT m.model_name, count(*) AS n_rows, count(*) AS n_additive FROM te, (VALUES ('gbt6'), ('forest')) m(model_name) "
+    "GROUP BY 1", "feat", extra=split_cte()))
+def j3_tree_shap_additivity(spark, sf_dir):
+    """Rows, and rows whose phi add up to the model's output, per model."""
+    out = None
+    for name in ("gbt6", "forest"):
+        part = _additive(spark, sf_dir, name).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("additive").cast("long")).alias("n_additive"))
+        part = part.select(F.lit(name).alias("model_name"), "n_rows", "n_additive")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,7 +9,7 @@ from riskloom.operators import prep as P
 from riskloom.operators.features import FEATURES
 from riskloom.operators.smote import knn_exact, smote
 from riskloom.plans import hospital as H
-from riskloom.plans.oracle import hash_bits_sql, with_views
+from riskloom.plans.oracle import hash_bits_sql, split_cte, with_views
 from riskloom.plans.registry import register
 
 # None: auto block size (two blocks per core, 256..4096 rows); at sf0.01
@@ -23,8 +23,7 @@ def scaled_train(spark, sf_dir):
 
 
 def _scaled_sql() -> str:
-    split = hash_bits_sql("encounter_id", "split42")
-    return (f"tr AS (SELECT * FROM feat WHERE NOT ({split} < 858993459)),\n"
+    return (split_cte() + ",\n"
             "m AS (SELECT " + ", ".join(
                 f"avg(CAST({f} AS DOUBLE)) AS m_{f}, CASE WHEN stddev_pop(CAST({f} AS DOUBLE)) > 0 "
                 f"THEN stddev_pop(CAST({f} AS DOUBLE)) ELSE 1.0 END AS s_{f}" for f in FEATURES) + " FROM tr),\n"
@@ -53,8 +52,7 @@ def f5_knn_exact_distances(spark, sf_dir):
     """Exact 5-NN among minority training rows on the scaled features (the
     distances per rank are independent of how equal-distance ties break)."""
     mino = scaled_train(spark, sf_dir).filter(F.col(H.LABEL) == 1)
-    nn = knn_exact(mino, H.KEY, FEATURES, k=5, block_size=KNN_BLOCK, chunk_size=KNN_BLOCK, n_buckets=64,
-                   small_rows=0)  # the bucketed prefix-sum path even at test scale
+    nn = knn_exact(mino, H.KEY, FEATURES, k=5, block_size=KNN_BLOCK, chunk_size=KNN_BLOCK)
     return nn.select(H.KEY, "rank", "dist")
 
 
@@ -74,9 +72,34 @@ def f5_smote_class_counts(spark, sf_dir):
     return res.groupBy(H.LABEL, "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("f5_smote_rows")
+def _smote_sql() -> str:
+    """The oversampled table rebuilt in SQL: brute-force neighbours, and the
+    same md5-driven choices."""
+    bits = lambda what: hash_bits_sql("encounter_id", f"smote42:{what}")
+    tag = lambda what: hash_bits_sql("encounter_id || '#' || j", f"smote42:{what}")
+    dist = _dist_sql("a", "b")
+    new = ", ".join(f"a.{f} + jb.gap * (b.{f} - a.{f}) AS {f}" for f in FEATURES)
+    return with_views(f"""
+SELECT encounter_id, readmitted_binary, {', '.join(FEATURES)}, false AS is_synthetic, CAST(0 AS BIGINT) AS copy_no FROM st
+UNION ALL
+SELECT jb.encounter_id, 1 AS readmitted_binary, {new}, true AS is_synthetic, CAST(jb.j + 1 AS BIGINT) AS copy_no
+FROM jobs jb JOIN nn ON nn.encounter_id = jb.encounter_id AND nn.rank = jb.pick
+JOIN mi a ON a.encounter_id = jb.encounter_id JOIN mi b ON b.encounter_id = nn.nbr""", "feat", extra=_scaled_sql() + f""",
+mi AS (SELECT * FROM st WHERE readmitted_binary = 1),
+nn AS (SELECT * FROM (SELECT a.encounter_id, b.encounter_id AS nbr,
+         row_number() OVER (PARTITION BY a.encounter_id ORDER BY {dist}, b.encounter_id) AS rank
+       FROM mi a JOIN mi b ON a.encounter_id <> b.encounter_id) WHERE rank <= 5),
+need AS (SELECT count(*) FILTER (readmitted_binary = 1) AS n, count(*) FILTER (readmitted_binary = 0)
+         - count(*) FILTER (readmitted_binary = 1) AS more FROM st),
+copies AS (SELECT encounter_id, more // n + CASE WHEN row_number() OVER (ORDER BY {bits('extra')}, encounter_id) <= more % n
+           THEN 1 ELSE 0 END AS cnt FROM mi, need),
+each AS (SELECT encounter_id, unnest(range(cnt)) AS j FROM copies),
+jobs AS (SELECT encounter_id, j, 1 + {tag('nn')} % 5 AS pick, {tag('gap')} / 4294967296.0::DOUBLE AS gap FROM each)""")
+
+
+@register("f5_smote_rows", _smote_sql())
 def f5_smote_rows(spark, sf_dir):
-    """The oversampled training table (rows-only check; properties are tested
-    in tests/test_smote.py)."""
+    """The oversampled training table, row by row; (encounter_id, copy_no)
+    names each."""
     train = scaled_train(spark, sf_dir)
     return smote(train, H.KEY, FEATURES, H.LABEL, k=5, block_size=KNN_BLOCK)

@@ -1,8 +1,9 @@
 """The end-to-end readmission pipeline (the reference's 8 stages) on Spark.
 
-    python -m riskloom.plans.end_to_end --sf-dir /root/testdata/sf0.01 --out /shared/results [--full]
+    python -m riskloom.plans.end_to_end --sf-dir /root/testdata/sf0.01 --out /shared/results [--fast]
+    python -m riskloom.plans.end_to_end --csv /shared/extract.csv --out /shared/results
 
-1. load + clean, 2. features, 3. split + scale (+ SMOTE for the final fits),
+1. load (a CSV extract, or encounters derived from the tables), clean and decode, 2. features, 3. split + scale (+ SMOTE for the final fits),
 4. compare four models (5-fold CV, SMOTE inside the training folds),
 5. random search of the best model, 6. attribution, 7. fairness at 0.5 and at
 the Youden threshold, 8. write every result table (one folder each).
@@ -30,14 +31,21 @@ from riskloom.operators.features import FEATURES
 from riskloom.operators.smote import smote
 from riskloom.plans import hospital as H
 from riskloom.session import cut_lineage, get_session
+from riskloom.sources.encounters import load_encounters, read_encounters
+from riskloom.sources.lookup import packaged_id_mapping, read_sectioned_lookup
 from riskloom.sources.results import write_results
 
 SENSITIVE = ["race", "gender", "age_group"]
 
 
-def run_end_to_end(spark: SparkSession, sf_dir: str, out_dir: str | None = None, fast: bool = True,
-                 n_trials: int = 4, k: int = 5) -> dict[str, DataFrame]:
-    feat = H.hospital_features(spark, sf_dir).withColumn(
+def run_end_to_end(spark: SparkSession, sf_dir: str | None = None, out_dir: str | None = None, fast: bool = False,
+                   n_trials: int = 50, k: int = 5, csv: str | None = None) -> dict[str, DataFrame]:
+    """All stages at the reference settings; ``fast`` states the small model
+    profile instead. ``csv`` names a raw extract, else encounters are derived
+    from the tables in ``sf_dir``."""
+    raw = read_encounters(spark, csv) if csv else load_encounters(spark, sf_dir)
+    lookup = read_sectioned_lookup(spark, packaged_id_mapping(spark))
+    feat = H.featurize(H.clean_encounters(raw, lookup)).withColumn(
         "age_group", bin_right_closed("age_numeric", AGE_BIN_EDGES, AGE_BIN_LABELS))
     summary = dataset_summary(feat, H.LABEL, FEATURES)
     train, test, scaler = P.prepare_features(feat, H.KEY, H.LABEL, FEATURES, sensitive=SENSITIVE)
@@ -51,12 +59,11 @@ def run_end_to_end(spark: SparkSession, sf_dir: str, out_dir: str | None = None,
     folds = G.cv_folds(plain_train, H.KEY, H.LABEL, k, rs, full=resampled)
     models = G.base_models(fast=fast)
     cmp = G.compare_models(plain_train, test, H.KEY, H.LABEL, FEATURES, models, resample=rs, k=k, folds=folds)
-    best = max(cmp.rows, key=lambda r: (r["test_auc"] or 0.0, -r["position"]))["model"]
-    cap = {"maxIter": 10, "numTrees": 10, "maxDepth": 4} if fast else None
+    best = G.best_model(spark, cmp.rows)
     tuned, params, cv_auc, test_row, trials = G.random_search(
         plain_train, test, H.KEY, H.LABEL, FEATURES, models[best], G.SEARCH_SPACES[best], n_trials,
-        resample=rs, k=k, cap=cap, folds=folds)
-    comparison = Ev.comparison_table(spark.createDataFrame(cmp.rows), spark.createDataFrame([{
+        resample=rs, k=k, folds=folds)
+    comparison = Ev.comparison_table(G.results_table(spark, cmp.rows), G.results_table(spark, [{
         "model": f"{best} (tuned)", "position": len(cmp.rows), "cv_auc": cv_auc, "test_auc": test_row["auc"],
         "test_f1": test_row["f1"], "test_recall": test_row["recall"], "test_precision": test_row["precision"],
         "test_specificity": test_row["specificity"], "test_accuracy": test_row["accuracy"]}]))
@@ -69,38 +76,47 @@ def run_end_to_end(spark: SparkSession, sf_dir: str, out_dir: str | None = None,
     audit = Fa.fairness_audit(scored, H.LABEL, "prob", ["race", "age_group"], [0.5, youden])
     fairness = Fa.four_fifths(Fa.disparate_impact(audit))
 
-    sample = J.sample_rows(test, H.KEY, 1000)
+    by_model = None
+    for name, model in {**cmp.models, f"{best} (tuned)": tuned}.items():
+        part = G.score(model, test).select(H.KEY, H.LABEL, "prob", F.lit(name).alias("model"))
+        by_model = part if by_model is None else by_model.unionByName(part)
+    by_model = cut_lineage(by_model)
     est = tuned.stages[-1]
     if best == "logreg":
         coef = dict(zip(FEATURES, est.coefficients.toArray().tolist()))
-        shap = J.linear_attribution(sample, H.KEY, FEATURES, coef, J.sample_rows(sample, H.KEY, 100, salt="bg"))
+        wide = J.linear_items(test, H.KEY, FEATURES, coef, J.sample_rows(test, H.KEY, 100, salt="bg"))
     else:
         trees, weights = J.extract_trees(spark, est, "gbt" if best.startswith("gbt") else "forest")
-        shap = J.tree_attribution(sample, H.KEY, FEATURES, trees, weights)
-    importance = J.global_importance(shap)
+        wide = J.tree_items(test, H.KEY, FEATURES, trees, weights)
+    wide = cut_lineage(wide)
+    importance = J.global_importance(J.to_long(wide))
 
     tables = {
         "dataset_summary": summary, "model_comparison": comparison, "trials": spark.createDataFrame(trials),
         "roc_points": roc, "threshold_report": report, "confusion": confusion, "fairness_groups": audit,
         "fairness_summary": fairness, "feature_importance": importance,
+        "local_explanation": J.local_explanation(wide),
+        "roc_by_model": Ev.roc_points(by_model, H.LABEL, "prob", by=["model"]),
+        "confusion_by_model": Ev.confusion(by_model, H.LABEL, "prob", 0.5, by=["model"]),
         "scaler": P.scaler_table(spark, scaler),
     }
     if out_dir:
         write_results(tables, out_dir)
-        G.save_model(tuned, os.path.join(out_dir, "best_model"))
+        G.save_bundle(spark, tuned, scaler, FEATURES, os.path.join(out_dir, "best_model"))
     return tables
 
 
 def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
+    ap.add_argument("--csv", help="a raw extract in place of the derived encounters")
     ap.add_argument("--out", required=True)
-    ap.add_argument("--full", action="store_true", help="full model settings (200 rounds/trees)")
+    ap.add_argument("--fast", action="store_true", help="small model profile (10 rounds/trees)")
     ap.add_argument("--trials", type=int, default=50)
     args = ap.parse_args()
     spark = get_session()
     t0 = time.time()
-    tables = run_end_to_end(spark, args.sf_dir, args.out, fast=not args.full, n_trials=args.trials)
+    tables = run_end_to_end(spark, args.sf_dir, args.out, fast=args.fast, n_trials=args.trials, csv=args.csv)
     best = tables["model_comparison"].orderBy(F.desc("position")).first()
     print(json.dumps({"elapsed_sec": round(time.time() - t0, 1), "tuned_model": best["model"],
                       "test_auc": best["test_auc"], "out": args.out}))

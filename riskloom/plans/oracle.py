@@ -140,6 +140,15 @@ def hash_bits_sql(key: str, salt: str) -> str:
     return f"('0x' || substring(md5(CAST({key} AS VARCHAR) || ':{salt}'), 1, 8))::BIGINT"
 
 
+def split_cte(frac: str = "0.2") -> str:
+    """``tr`` and ``te``: the exact stratified split of ``feat`` (F1)."""
+    return f"""split AS (
+  SELECT *, row_number() OVER (PARTITION BY readmitted_binary ORDER BY {hash_bits_sql('encounter_id', 'split42')}, encounter_id)
+            <= round(count(*) OVER (PARTITION BY readmitted_binary) * {frac}) AS is_test FROM feat),
+tr AS (SELECT * FROM split WHERE NOT is_test),
+te AS (SELECT * FROM split WHERE is_test)"""
+
+
 AGE_GROUP_SQL = ("CASE WHEN age_numeric > 0 AND age_numeric <= 40 THEN '<40' "
                  "WHEN age_numeric > 40 AND age_numeric <= 60 THEN '40-60' "
                  "WHEN age_numeric > 60 AND age_numeric <= 75 THEN '60-75' "

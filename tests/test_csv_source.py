@@ -1,10 +1,11 @@
 """A1: the CSV scan with a declared schema and the extra NA tokens gives the
 same table as the parquet-derived view with the tokens nulled."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.clean import normalise_nulls
-from riskloom.sources.encounters import NA_TOKENS, load_encounters, read_encounters
+from riskloom.sources.encounters import DEFAULT_NA_TOKENS, NA_TOKENS, load_encounters, read_encounters
 
 from conftest import SF_SMALL
 
@@ -14,7 +15,28 @@ def test_csv_roundtrip(spark, tmp_path):
     path = str(tmp_path / "enc_csv")
     raw.write.option("header", True).csv(path)
     back = read_encounters(spark, path)
-    want = normalise_nulls(raw, NA_TOKENS)
+    want = normalise_nulls(raw, NA_TOKENS + DEFAULT_NA_TOKENS)
     assert back.schema.simpleString() == want.schema.simpleString()
     assert back.exceptAll(want).count() == 0 and want.exceptAll(back).count() == 0
     assert back.filter(F.col("race").isNull()).count() == raw.filter(F.col("race") == "?").count()
+
+
+def test_header_is_matched_by_name(spark, tmp_path):
+    raw = load_encounters(spark, SF_SMALL)
+    path = str(tmp_path / "shuffled")
+    raw.select(F.lit("x").alias("extra"), *reversed(raw.columns)).write.option("header", True).csv(path)
+    back = read_encounters(spark, path)
+    assert back.columns == raw.columns and back.count() == raw.count()
+    short = str(tmp_path / "short")
+    raw.drop("race", "age").write.option("header", True).csv(short)
+    with pytest.raises(ValueError, match="race, age"):
+        read_encounters(spark, short)
+
+
+def test_default_na_tokens(spark, tmp_path):
+    raw = load_encounters(spark, SF_SMALL).limit(4)
+    rows = [dict(r.asDict(), medical_specialty=v) for r, v in zip(raw.collect(), ["N/A", "nan", "NULL", "Surgery"], strict=True)]
+    path = str(tmp_path / "na")
+    spark.createDataFrame(rows, raw.schema).coalesce(1).write.option("header", True).csv(path)
+    assert sorted(str(r["medical_specialty"]) for r in read_encounters(spark, path).collect()) == [
+        "None", "None", "None", "Surgery"]

@@ -68,4 +68,37 @@ def test_auc_ties_half_weight(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "y int, s double")
     # pairs: (0.5 vs 0.5) half, (0.5 vs 0.1) 1, (0.9 vs 0.5) 1, (0.9 vs 0.1) 1 -> 3.5 / 4
     assert Ev.roc_auc(df, "y", "s").first()["auc"] == 0.875
-    assert Ev.roc_auc(df, "y", "s", small_rows=0, n_buckets=4).first()["auc"] == 0.875
+    assert Ev.roc_auc(df, "y", "s", n_parts=4).first()["auc"] == 0.875
+
+
+def test_null_group_has_its_own_auc(spark):
+    rows = [(None if i % 2 else "a", i % 3 == 0, (i * 37) % 101 / 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, y boolean, s double").withColumn("y", F.col("y").cast("int"))
+    got = {r["g"]: r["auc"] for r in Ev.roc_auc(df, "y", "s", by=["g"], n_parts=5).collect()}
+    alone = Ev.roc_auc(df.filter(F.col("g").isNull()), "y", "s").first()["auc"]
+    assert got[None] == alone and alone is not None
+    roc = Ev.roc_points(df, "y", "s", by=["g"]).filter(F.col("g").isNull())
+    last = roc.agg(F.max("tpr").alias("t"), F.max("fpr").alias("f"), F.min("n_pos").alias("p")).first()
+    assert (last["t"], last["f"]) == (1.0, 1.0) and last["p"] > 0
+
+
+def test_exact_split_keeps_null_labels(spark):
+    from riskloom.operators import prep as P
+
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 != 0, F.col("id") % 2).alias("y"))
+    out = P.stratified_split(df, "id", "y")
+    assert out.count() == 1000
+    shares = {r["y"]: (r["n"], r["t"]) for r in out.groupBy("y").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert all(t == round(0.2 * n) for n, t in shares.values()) and None in shares
+
+
+def test_overlapping_and_wide_ranges(spark):
+    ranges = spark.createDataFrame([("a", 1, 10), ("b", 5, 20), ("c", 0, 10_000_000_000), ("none", 9, 3)],
+                                   "label string, lo long, hi long")
+    df = spark.createDataFrame([("7",), ("15.9",), ("5d",), ("9000000000",), ("-1",), (None,), ("7",)], "code string")
+    got = sorted(((r["code"] or ""), r["g"]) for r in C.range_lookup_join(df, "code", ranges, "g").collect())
+    assert got == [("", "Other"), ("-1", "Other"), ("15.9", "c"), ("5d", "Other"), ("7", "c"), ("7", "c"), ("9000000000", "c")]
+    ordered = ranges.withColumn("pos", F.when(F.col("label") == "c", 9).otherwise(F.col("lo")))
+    got = {r["code"]: r["g"] for r in C.range_lookup_join(df, "code", ordered, "g", order="pos").collect()}
+    assert got["7"] == "a" and got["15.9"] == "b" and got["9000000000"] == "c"

@@ -3,7 +3,7 @@
 import os
 
 from riskloom.operators import clean as C
-from riskloom.sources.lookup import PACKAGED_ID_MAPPING, parse_lookup_text, read_sectioned_lookup
+from riskloom.sources.lookup import PACKAGED_ID_MAPPING, read_sectioned_lookup
 
 
 def test_sections_are_kept_apart(spark, tmp_path):
@@ -12,7 +12,6 @@ def test_sections_are_kept_apart(spark, tmp_path):
     got = sorted(tuple(r) for r in read_sectioned_lookup(spark, str(p)).collect())
     # whitespace is trimmed before the quotes are stripped, so inner spaces stay
     assert got == [("a_id", 1, "One"), ("a_id", 2, " Two "), ("b_id", 1, "Uno, dos"), ("b_id", 3, "Tres")]
-    assert sorted(parse_lookup_text(p.read_text())) == got
 
 
 def test_packaged_lookup_has_three_sections(spark):

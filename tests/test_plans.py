@@ -52,7 +52,7 @@ def test_no_cartesian_on_hot_paths(spark):
         _plan(Q.flagship_rate_by_age(spark, SF_SMALL)),
         _plan(H.hospital_model_table(spark, SF_SMALL)),
         _plan(Fa.fairness_audit(scored, "label", "score", ["race", "age_group"], [0.5, 0.3])),
-        _plan(Ev.roc_points(scored, "label", "score", small_rows=0, n_buckets=8)),
+        _plan(Ev.roc_points(scored, "label", "score", n_parts=8)),
         _plan(Ev.threshold_report(scored, "label", "score", [0.5, 0.2])),
     ]
     for p in plans:
@@ -61,7 +61,6 @@ def test_no_cartesian_on_hot_paths(spark):
 
 def test_prefix_sum_window_is_partitioned_by_bucket(spark):
     df = spark.range(5000).selectExpr("id", "cast(id % 97 as double) as s", "1L as v")
-    plan = _final_plan(prefix_sum(df, "s", ["v"], n_buckets=8, small_rows=0))
+    plan = _final_plan(prefix_sum(df, "s", ["v"], n_parts=8))
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all("__b" in w for w in windows)
-    assert "Bucketizer" in plan or "UDF" in plan or "__b" in plan

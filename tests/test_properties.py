@@ -48,7 +48,7 @@ def test_prefix_sum_bucketed_equals_window(spark, descending):
     rows = [(i, rnd.choice(["a", "b", "c"]), 0.5 if i % 3 == 0 else round(rnd.random(), 2), rnd.randint(0, 5))
             for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g string, s double, v long")
-    got = prefix_sum(df, "s", ["v"], by=["g"], descending=descending, tiebreak=["id"], n_buckets=16, small_rows=0)
+    got = prefix_sum(df, "s", ["v"], by=["g"], descending=descending, tiebreak=["id"], n_parts=16)
     order = [F.col("s").desc() if descending else F.col("s").asc(), F.col("id").asc()]
     w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.withColumn("want", F.sum("v").over(w))
@@ -58,14 +58,14 @@ def test_prefix_sum_bucketed_equals_window(spark, descending):
 
 def test_global_rank_is_permutation(spark):
     df = spark.range(2000).select(F.col("id"), (F.col("id") % 7).cast("double").alias("s"))
-    r = global_rank(df, "s", tiebreak=["id"], n_buckets=8, small_rows=0)
+    r = global_rank(df, "s", tiebreak=["id"], n_parts=8)
     got = sorted(x[0] for x in r.select("rank").collect())
     assert got == list(range(1, 2001))
 
 
 def test_roc_monotone_and_auc_symmetry(spark):
     scored = H.scored_test(spark, SF_SMALL)
-    roc = Ev.roc_points(scored, "label", "score", n_buckets=8, small_rows=0).orderBy(F.desc("threshold")).collect()
+    roc = Ev.roc_points(scored, "label", "score", n_parts=8).orderBy(F.desc("threshold")).collect()
     tprs = [r["tpr"] for r in roc]
     fprs = [r["fpr"] for r in roc]
     assert tprs == sorted(tprs) and fprs == sorted(fprs)
@@ -96,17 +96,31 @@ def test_threshold_report_matches_confusion(spark):
 
 
 def test_heavy_tie_is_split_across_buckets(spark):
-    from riskloom.operators.prefix import bucketed
+    from riskloom.operators.prefix import ranged
 
     # a third of all rows share one order value
     df = spark.range(30000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7.0))
                                    .otherwise((F.col("id") % 1000).cast("double")).alias("s"))
-    sizes = [r["count"] for r in bucketed(df, "s", ["id"], n_buckets=32).groupBy("__b").count().collect()]
+    sizes = [r["count"] for r in ranged(df, "s", tiebreak=["id"], n_parts=32).groupBy("__b").count().collect()]
     assert max(sizes) < 30000 / 3 / 4  # the 10k tied rows are spread over many buckets
     for desc in (False, True):
         got = prefix_sum(df.withColumn("v", F.lit(1).cast("long")), "s", ["v"], descending=desc, tiebreak=["id"],
-                         n_buckets=32, small_rows=0)
+                         n_parts=32)
         order = [F.col("s").desc() if desc else F.col("s").asc(), F.col("id").asc()]
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         want = df.withColumn("want", F.count(F.lit(1)).over(w))
         assert got.join(want, ["id", "s"]).filter(F.col("cum_v") != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_order_and_string_ties(spark, descending):
+    df = spark.range(3000).select(
+        F.concat(F.lit("key-"), F.col("id").cast("string")).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 5).alias("s"),
+        F.when(F.col("id") % 4 != 0, F.col("id") % 2).alias("g"), F.lit(1).cast("long").alias("v"))
+    got = prefix_sum(df, "s", ["v"], by=["g"], descending=descending, tiebreak=["k"], n_parts=13, totals="all_")
+    order = [F.col("s").desc() if descending else F.col("s").asc(), F.col("k").asc()]
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = {r["k"]: (r["c"], r["n"]) for r in df.select(
+        "k", F.sum("v").over(w).alias("c"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n")).collect()}
+    assert {r["k"]: (r["cum_v"], r["all_v"]) for r in got.collect()} == want

@@ -28,7 +28,7 @@ def test_knn_exact_matches_brute_force_with_hot_spot(spark):
         else:
             pts.append((i, *[float(x) for x in rng.integers(0, 6, 3)]))
     df = spark.createDataFrame(pts, "id long, a double, b double, c double")
-    nn = knn_exact(df, "id", ["a", "b", "c"], k=5, block_size=64, chunk_size=50, n_buckets=16, small_rows=0)
+    nn = knn_exact(df, "id", ["a", "b", "c"], k=5, block_size=64, chunk_size=50)
     got = {}
     for r in nn.collect():
         got.setdefault(r["id"], []).append((r["rank"], round(r["dist"], 9)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import train as G
 from riskloom.operators.features import FEATURES
 from riskloom.plans import catalog_ml as M
+from riskloom.plans import hospital as H
 from riskloom.session import table_path
 from riskloom.sources.encounters import load_encounters
 from riskloom.streaming.screen import run_screen_stream, stream_features
@@ -20,6 +21,13 @@ def test_stream_equals_batch(spark):
     batch = G.screen(stream_features(load_encounters(spark, SF_SMALL)), m, scaler, FEATURES, 0.3, keep=["encounter_id"])
     a = {r["encounter_id"]: (round(r["prob"], 12), r["flagged"], r["band"]) for r in streamed.collect()}
     b = {r["encounter_id"]: (round(r["prob"], 12), r["flagged"], r["band"]) for r in batch.collect()}
-    assert a == b and len(a) == load_encounters(spark, SF_SMALL).count()
+    assert a == b and len(a) == H.hospital_features(spark, SF_SMALL).count()
     assert set(x[2] for x in a.values()) <= {"High", "Medium", "Low"}
     assert F is not None
+
+
+def test_stream_features_equal_the_training_features(spark):
+    """Missing codes are filled alike, so counts of groups agree row by row."""
+    mine = stream_features(load_encounters(spark, SF_SMALL)).select("encounter_id", *FEATURES)
+    theirs = H.hospital_features(spark, SF_SMALL).select("encounter_id", *FEATURES)
+    assert mine.exceptAll(theirs).count() == 0 and theirs.exceptAll(mine).count() == 0

@@ -11,8 +11,9 @@ stand, since their text may vary as well.
 References are up to ``REFERENCES`` pages per host, spread over the host by a
 hash; a reference that shares most of its blocks with the page is a copy and
 no evidence, and two others must agree before a node counts as template.
-Every page is aligned. A host with a third of the pages meets its references
-by a broadcast of hot hosts, which are bounded in number.
+Every page is aligned. The references are broadcast when their measured size
+allows; else pages are dealt by host, but those of hot hosts, which are
+bounded in number, stay in place.
 
 Cases: null or empty html gives an empty text; a page without a host (null or
 relative url) is extracted by its elements alone; unclosed and stray tags are
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import textkit as T
 from riskloom.llm.graph import spread_join
+from riskloom.session import cut_lineage
 
 REFERENCES = 6
 AGREE = 2              # references that must agree on a template node
 COPY_SHARE = 0.5       # blocks shared beyond this: a copy, no evidence
+BROADCAST_CHARS = 32 << 20
 LINK_SHARE = 0.5       # without an article, a block of mostly links is a menu
 
 # Fixed vocabulary of HTML.
@@ -372,31 +375,39 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, page: str, url: str, html: str) -> DataFrame:
-    """(host, refs): the shapes of up to ``REFERENCES`` pages of each host.
-    The choice reads ids and urls only."""
+    """(host, refs): the shapes of up to ``REFERENCES`` pages of each host,
+    each the least by a hash in its salt. A task sends on at most one page of
+    a host and salt, whatever it has read."""
     h = F.xxhash64(F.col(page), F.col(url))
-    chosen = (pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("_page"), F.col(url).alias("_url"),
-                           h.alias("_h"), F.pmod(h, F.lit(REFERENCES)).alias("_salt"))
-              .filter((F.col("host") != "") & F.col("_page").isNotNull())
-              .groupBy("host", "_salt").agg(F.min(F.struct("_h", "_page", "_url")).alias("_min"))
-              .select("host", F.col("_min._page").alias("_page"), F.col("_min._url").alias("_url")))
-    texts = (pages.select(F.col(page).alias("_page"), F.col(url).alias("_url"), F.col(html).alias("_html"))
-             .join(chosen, ["_page", "_url"]).select("host", "_html"))
+    chosen = (pages.select(host_of(F.col(url)).alias("host"), F.pmod(h, F.lit(REFERENCES)).alias("_salt"),
+                           F.struct(h.alias("h"), F.col(page).alias("p"), F.col(html).alias("html")).alias("_page"))
+              .filter((F.col("host") != "") & F.col("_page.p").isNotNull())
+              .groupBy("host", "_salt").agg(F.min("_page").alias("_page"))
+              .select("host", F.col("_page.html").alias("_html")))
 
     def run(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         found = [shape_of(parse(t))[0].dump() for t in texts.to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), T.string_column(found)], ["host", "shape"])
 
-    shapes = T.map_texts(texts, run, "host string, shape string", "_html")
-    # at most REFERENCES rows a host, more only where rows repeat
-    return shapes.distinct().groupBy("host").agg(F.array_sort(F.collect_set("shape")).alias("refs"))
+    shapes = T.map_texts(chosen, run, "host string, shape string", "_html")
+    return shapes.groupBy("host").agg(F.array_sort(F.collect_set("shape")).alias("refs"))
+
+
+def with_wrappers(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Every page with the references of its host. The table is broadcast
+    when its measured size allows; beyond that pages are dealt by host, and
+    those of hot hosts stay in place."""
+    size = table.agg(F.sum(F.length(F.concat_ws("", "refs"))).alias("n")).collect()[0]["n"] or 0
+    if size <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(table), "host", "left")
+    return spread_join(rows, table, "host", "left")
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, url, text, n_chars): one row per input row."""
     inner = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("_html"),
                          host_of(F.col(url)).alias("host"))
-    rows = spread_join(inner, wrappers(pages, page, url, html), "host", "left")
+    rows = with_wrappers(inner, cut_lineage(wrappers(pages, page, url, html)))
     rows = rows.select("page_id", "url", "_html", "host", "refs")
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (page, url))
 

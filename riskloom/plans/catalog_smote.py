@@ -83,10 +83,10 @@ def _smote_sql() -> str:
 SELECT encounter_id, readmitted_binary, {', '.join(FEATURES)}, false AS is_synthetic, CAST(0 AS BIGINT) AS copy_no FROM st
 UNION ALL
 SELECT jb.encounter_id, 1 AS readmitted_binary, {new}, true AS is_synthetic, CAST(jb.j + 1 AS BIGINT) AS copy_no
-FROM jobs jb JOIN nn ON nn.encounter_id = jb.encounter_id AND nn.rank = jb.pick
+FROM jobs jb JOIN near nn ON nn.encounter_id = jb.encounter_id AND nn.rank = jb.pick
 JOIN mi a ON a.encounter_id = jb.encounter_id JOIN mi b ON b.encounter_id = nn.nbr""", "feat", extra=_scaled_sql() + f""",
 mi AS (SELECT * FROM st WHERE readmitted_binary = 1),
-nn AS (SELECT * FROM (SELECT a.encounter_id, b.encounter_id AS nbr,
+near AS (SELECT * FROM (SELECT a.encounter_id, b.encounter_id AS nbr,
          row_number() OVER (PARTITION BY a.encounter_id ORDER BY {dist}, b.encounter_id) AS rank
        FROM mi a JOIN mi b ON a.encounter_id <> b.encounter_id) WHERE rank <= 5),
 need AS (SELECT count(*) FILTER (readmitted_binary = 1) AS n, count(*) FILTER (readmitted_binary = 0)

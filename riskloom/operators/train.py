@@ -55,12 +55,14 @@ def base_models(fast: bool = False) -> dict[str, ModelSpec]:
         "gbt6": ModelSpec("gbt6", lambda p: GBTClassifier(
             maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 6 if not fast else 3),
             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
-            featureSubsetStrategy=p.get("featureSubsetStrategy", "all"), minInstancesPerNode=p.get("minInstancesPerNode", 1),
+            featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all")),
+            minInstancesPerNode=p.get("minInstancesPerNode", 1), minInfoGain=p.get("minInfoGain", 0.0),
             weightCol="__w", seed=42), "positive"),
         "gbt8": ModelSpec("gbt8", lambda p: GBTClassifier(
             maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 8 if not fast else 4),
             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
-            featureSubsetStrategy=p.get("featureSubsetStrategy", "all"), minInstancesPerNode=p.get("minInstancesPerNode", 1),
+            featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all")),
+            minInstancesPerNode=p.get("minInstancesPerNode", 1), minInfoGain=p.get("minInfoGain", 0.0),
             weightCol="__w", seed=42), "positive"),
     }
 
@@ -221,9 +223,11 @@ def best_model(spark, rows: list[dict]) -> str:
 SEARCH_SPACES = {
     # name: (low, high, kind) kind in {'int', 'float', 'log'}
     "gbt6": {"maxIter": (100, 500, "int"), "maxDepth": (3, 10, "int"), "stepSize": (0.01, 0.3, "log"),
-             "subsamplingRate": (0.6, 1.0, "float"), "minInstancesPerNode": (1, 10, "int")},
+             "subsamplingRate": (0.6, 1.0, "float"), "featureSubsetStrategy": (0.6, 1.0, "float"),
+             "minInstancesPerNode": (1, 10, "int"), "minInfoGain": (1e-8, 10.0, "log")},
     "gbt8": {"maxIter": (100, 500, "int"), "maxDepth": (3, 12, "int"), "stepSize": (0.01, 0.3, "log"),
-             "subsamplingRate": (0.6, 1.0, "float"), "minInstancesPerNode": (5, 100, "int")},
+             "subsamplingRate": (0.6, 1.0, "float"), "featureSubsetStrategy": (0.6, 1.0, "float"),
+             "minInstancesPerNode": (5, 100, "int"), "minInfoGain": (1e-8, 10.0, "log")},
     "forest": {"numTrees": (100, 500, "int"), "maxDepth": (5, 20, "int"), "minInstancesPerNode": (1, 10, "int")},
     "logreg": {"C": (1e-4, 10.0, "log")},
 }

@@ -30,7 +30,8 @@ MAX_TOKENS = 4096
 END_ID = 1
 UNITS = 64             # resolution of the patterns
 PATTERN_DOCS = 3       # documents in a pattern at most
-RANK_GROUP = 20_000    # pieces ranked together
+RANK_GROUP = 500       # pieces ranked together, while there are few groups
+RANK_SALTS = 1_024     # groups of a length, at most; then they grow
 
 PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -202,9 +203,9 @@ def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS,
 
 def rank_in_length(pieces: DataFrame, largest_count: int, group: int = RANK_GROUP) -> DataFrame:
     """``pieces`` with ``_rank`` (from 0) within the length. Each length is
-    dealt into salted groups of about ``group`` pieces, ranked apart and then
-    shifted by the sizes of the groups before."""
-    salts = max(1, -(-largest_count // group))
+    dealt into salted groups, ranked apart and then shifted by the sizes of
+    the groups before."""
+    salts = min(RANK_SALTS, max(1, -(-largest_count // group)))
     ident = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*ident), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))

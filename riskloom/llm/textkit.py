@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # White space of words and lines: [\x20\x09-\x0D]
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -147,15 +147,16 @@ def ngram_valid(words: Words, n: int) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, text: str = "text",
            max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Parts of a batch whose texts together hold at most ``max_bytes``."""
-    texts = strings(batch.column(batch.schema.get_field_index(text)))
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    """Parts of a batch whose texts together hold at most ``max_bytes``, each
+    with its texts. Only a part is ever copied."""
+    column = batch.column(batch.schema.get_field_index(text))
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
-    while at < len(texts):
+    while at < len(column):
         upto = int(np.searchsorted(total, total[at] + max_bytes, side="right")) - 1
-        upto = min(max(upto, at + 1), len(texts))
-        yield batch.slice(at, upto - at), texts.slice(at, upto - at)
+        upto = min(max(upto, at + 1), len(column))
+        yield batch.slice(at, upto - at), strings(column.slice(at, upto - at))
         at = upto
 
 
@@ -169,6 +170,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, pa.Array], pa.RecordB
                 out = fn(part, texts)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

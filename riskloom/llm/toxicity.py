@@ -36,11 +36,13 @@ from riskloom.llm import textkit as T
 EXAMPLES = 8_000       # labelled rows per label in the fit, at most
 TERMS = 4_096          # terms kept, at most
 MIN_DOCS = 5           # examples that hold a term, at least
-MIN_CHI2 = 30.0
+MIN_CHI2 = 30.0        # significance of a term, and how many times likelier it
+MIN_LIFT = 3.0         # must be under one label: common words differ a little
 PREFIX = (4, 10)       # bytes of a word's beginnings
 FILTER_BITS = 20
 NEIGHBOURS = 25
 BLOCK = 32             # vectors in a block
+ANGLE = 0.04           # vectors of about the same share of kept terms lie together
 FIRST_BLOCKS = 8       # blocks scored before the bound is known
 WORD_WEIGHT = 0.1      # weight of a word of the text, against idf times count of a kept term
 NEAR = 0.05            # distance that is added to each, so equal vectors do not vote alone
@@ -159,7 +161,9 @@ def chosen_terms(rows: DataFrame, terms: int = TERMS) -> np.ndarray:
     top = (a * (total - ones) - (n - a) * ones)
     low = n * (F.lit(total) - n) * ones * (total - ones)
     chi = F.when(low > 0, top * top * total / low).otherwise(0.0)
+    lift = ((a + 0.5) / (ones + 1)) / ((n - a + 0.5) / (total - ones + 1))
     best = (counts.withColumn("chi", chi).filter(F.col("chi") >= MIN_CHI2)
+            .filter((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
             .orderBy(F.desc("chi"), "term").limit(terms).select("term").collect())
     return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
@@ -182,13 +186,21 @@ class Index:
         weight = totals.get(0, 0) + totals.get(1, 0)
         self.base = totals.get(1, 0) / weight if weight else 0.0
         self.empty = (none[1] + SMOOTH * self.base) / (none[0] + none[1] + SMOOTH)
-        # neighbours in order share their rarest terms, which keeps the bounds of blocks tight
-        kept = sorted((r for r in rows if r[3]), key=lambda r: (sorted(r[3], key=lambda t: (df[t], t))[:3], r[0], r[1]))
+        # neighbours in order have alike shares of kept terms and their rarest
+        # terms in common, which keeps the bounds of blocks tight
+        kept = [r for r in rows if r[3]]
+        vectors = [self.vector(np.array(r[3], np.int64), np.array(r[4]), r[2]) for r in kept]
+        angle = np.arccos(np.clip([v[1][-1] for v in vectors], -1, 1)) if kept else np.zeros(0)
+        order = sorted(range(len(kept)), key=lambda i: (
+            int(angle[i] / ANGLE), sorted(kept[i][3], key=lambda t: (df[t], t))[:3], kept[i][0], kept[i][1]))
+        kept, vectors, angle = [kept[i] for i in order], [vectors[i] for i in order], angle[order]
         self.docs = [r[0] for r in kept]
         self.toxic = np.array([share[1] if r[1] else 0.0 for r in kept])
         self.clean = np.array([0.0 if r[1] else share[0] for r in kept])
         self.blocks = -(-len(kept) // BLOCK)
-        vectors = [self.vector(np.array(r[3], np.int64), np.array(r[4]), r[2]) for r in kept]
+        edges = np.arange(0, len(kept), BLOCK)
+        self.low = np.minimum.reduceat(angle, edges) if kept else angle
+        self.high = np.maximum.reduceat(angle, edges) if kept else angle
         join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
         term = join([v[0] for v in vectors], np.int64)
         val = join([v[1] for v in vectors], np.float64)
@@ -227,7 +239,10 @@ class Index:
                 k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties by place), exactly."""
         idx, w = self.vector(idx, tf, words)
-        bound = (w[:, None] * self.most.reshape(-1, self.blocks)[idx]).sum(axis=0) * (1 + 1e-9)
+        bound = w @ self.most.reshape(-1, self.blocks)[idx]
+        own = np.arccos(min(w[-1], 1.0))
+        apart = np.maximum(0, np.maximum(self.low - own, own - self.high))
+        bound = np.minimum(bound, np.cos(apart)) + 1e-9
         live = np.argsort(-bound, kind="stable")
         ids, score = self._score(idx, w, live[:FIRST_BLOCKS])
         rest = live[FIRST_BLOCKS:]

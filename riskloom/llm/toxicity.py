@@ -1,50 +1,46 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are the lower-cased words and their beginnings of a few lengths, so a
-stem counts whatever its ending; only terms that tell the labels apart in the
-examples are kept. All words together are one more term of a small weight, so
-that a cosine tells few such terms in a long text from many in a short one.
-The examples' vectors lie in an inverted index of
-blocks: the largest weight per term and block bounds the cosine of a block's
-members, and blocks whose bound is below the k-th best cosine are not scored.
-Neighbours vote by the inverse of their distance; the votes, smoothed by the base rate, are
-the score, and the nearest examples are its evidence.
+stem counts whatever its ending. Every term of an example is in its vector:
+its weight is count times idf times a factor between ``FLOOR`` and one that
+grows with the chi-square of the term against the label, so a term that tells
+little counts little, but none is left out. A text's terms that no example
+holds count in its length. All examples are scored for every text with a
+word: frequent terms by a matrix product, the others by their postings.
+Neighbours vote by the inverse of their distance; the votes, smoothed by the
+base rate, are the score, and the nearest examples are its evidence.
 
 The classifier is fitted on a bounded sample: at most ``EXAMPLES`` labelled
-rows per label, the smallest by a hash of the id, and ``TERMS`` terms. Votes
-are weighed back to the label counts of all labelled rows. Every document is
-scored on its whole text.
+rows per label, the smallest by a hash of the id. Votes are weighed back to
+the label counts of all labelled rows. Every document is scored on its whole
+text.
 
 Cases: a null or empty text has no terms and takes the rate of the examples
-without terms; without any labelled row every score is 0; rows that repeat an
-id are scored one by one; an id labelled twice is toxic if any
-of its labels is; a null id is held out if crc32('') says so. Only id, text
-and the label are read, so other columns cannot clash.
+without terms; a text that shares no term with any example takes the base
+rate; without any labelled row every score is 0; rows that repeat an id are
+scored one by one; an id labelled twice is toxic if any of its labels is; a
+null id is held out if crc32('') says so. Only id, text and the label are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import textkit as T
+from riskloom.session import cut_lineage
 
 EXAMPLES = 8_000       # labelled rows per label in the fit, at most
-TERMS = 4_096          # terms kept, at most
-MIN_DOCS = 5           # examples that hold a term, at least
-MIN_CHI2 = 30.0        # significance of a term, and how many times likelier it
-MIN_LIFT = 3.0         # must be under one label: common words differ a little
+CHI2 = 30.0            # chi-square at which a term has half of its TF-IDF weight
+FLOOR = 0.02           # factor of a term that tells nothing
 PREFIX = (4, 10)       # bytes of a word's beginnings
-FILTER_BITS = 20
 NEIGHBOURS = 25
-BLOCK = 32             # vectors in a block
-ANGLE = 0.04           # vectors of about the same share of kept terms lie together
-FIRST_BLOCKS = 8       # blocks scored before the bound is known
-WORD_WEIGHT = 0.1      # weight of a word of the text, against idf times count of a kept term
+DENSE = 0.08           # share of the examples from which a term is scored by the matrix product
+QUERIES = 64           # texts in a matrix product
+FETCH = 1_000          # examples whose terms are merged at once
 NEAR = 0.05            # distance that is added to each, so equal vectors do not vote alone
 SMOOTH = 0.5           # votes that the base rate adds
 FOLDS = 5
@@ -63,18 +59,8 @@ def held_out(doc: Column) -> Column:
 
 # -------------------------------------------------------------------- terms
 
-def term_filter(terms: np.ndarray) -> np.ndarray:
-    """Marks the leading bits of the kept terms: a quick first test."""
-    marks = np.zeros(1 << FILTER_BITS, bool)
-    marks[(terms >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return marks
-
-
-def term_rows(texts: pa.Array, keep: np.ndarray | None = None,
-              marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) with counts, by text, and the words of each text.
-    ``keep`` (sorted terms, with their ``term_filter``) restricts the terms
-    and makes them indices."""
+def term_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, term) with counts, by text, and the words of each text."""
     raw, offsets = T.byte_view(texts)
     buf = _BYTES[raw]
     inside = buf != 32
@@ -90,16 +76,8 @@ def term_rows(texts: pa.Array, keep: np.ndarray | None = None,
     docs, terms = [], []
 
     def take(doc: np.ndarray, h: np.ndarray) -> None:
-        term = T.mix64(h)
-        if keep is not None:
-            hit = marks[(term >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-            doc, term = doc[hit], term[hit]
-            if len(keep):
-                spot = np.minimum(np.searchsorted(keep, term), len(keep) - 1)
-                hit = keep[spot] == term
-                doc, term = doc[hit], spot[hit].astype(np.uint64)
         docs.append(doc)
-        terms.append(term)
+        terms.append(T.mix64(h))
 
     whole = T.hash_spans(buf, starts, ends)
     take(owner, whole)
@@ -139,153 +117,153 @@ def examples(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str
     return rows, totals
 
 
-def chosen_terms(rows: DataFrame, terms: int = TERMS) -> np.ndarray:
-    """The terms with the largest chi-square against the label, sorted."""
-
-    def run(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
-        y = part.column(1).to_numpy()
-        doc, term, _, _ = term_rows(texts)
-        names, inverse = np.unique(term, return_inverse=True)
-        toxic = np.bincount(inverse, weights=y[doc], minlength=len(names))
-        every = np.bincount(inverse, minlength=len(names))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names.view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array(every.astype(np.int64))],
-            ["term", "toxic", "n"])
-
-    counts = (T.map_texts(rows.select("doc_id", "y", "_text"), run, "term long, toxic long, n long", "_text")
-              .groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()[0]
-    total, ones = float(size["n"]), float(size["y"] or 0)
-    a, n = F.col("a").cast("double"), F.col("n").cast("double")
-    # chi-square of the 2 x 2 table of term and label
-    top = (a * (total - ones) - (n - a) * ones)
-    low = n * (F.lit(total) - n) * ones * (total - ones)
-    chi = F.when(low > 0, top * top * total / low).otherwise(0.0)
-    lift = ((a + 0.5) / (ones + 1)) / ((n - a + 0.5) / (total - ones + 1))
-    best = (counts.withColumn("chi", chi).filter(F.col("chi") >= MIN_CHI2)
-            .filter((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
-            .orderBy(F.desc("chi"), "term").limit(terms).select("term").collect())
-    return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
-
-
 class Index:
-    """Unit vectors of the examples in an inverted index of blocks. The last
-    term is the words of the text; an example without any kept term is no
-    neighbour, it counts in the rate of texts without terms."""
+    """Unit vectors of the examples: frequent terms as rows of a matrix, the
+    others as postings. An example without any term is no neighbour, it counts
+    in the rate of texts without terms."""
 
     def __init__(self, terms: np.ndarray, rows: list[tuple], totals: dict[int, int]):
-        """``rows``: (id, label, words, term indices, counts)."""
+        """``terms`` sorted; ``rows``: (id, label, squares of the counts of
+        terms that are not among ``terms``, term indices, counts)."""
         self.terms = terms
         sample = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
         share = {y: totals.get(y, 0) / max(sample[y], 1) for y in (0, 1)}
-        df = np.zeros(len(terms))
+        df = {y: np.zeros(len(terms)) for y in (0, 1)}
         for row in rows:
-            df[np.asarray(row[3], np.int64)] += 1
-        self.idf = np.append(np.log((len(rows) + 1) / (df + 1)) + 1, WORD_WEIGHT)
-        none = [sum(share[r[1]] for r in rows if not r[3] and r[1] == y) for y in (0, 1)]
+            df[row[1]][np.asarray(row[3], np.int64)] += 1
+        self.weight = (np.log((len(rows) + 1) / (df[0] + df[1] + 1)) + 1) * telling(df[1], df[0], sample[1], sample[0])
+        self.outside = (np.log(len(rows) + 1) + 1) * FLOOR
+        none = [sum(share[r[1]] for r in rows if not len(r[3]) and r[1] == y) for y in (0, 1)]
         weight = totals.get(0, 0) + totals.get(1, 0)
         self.base = totals.get(1, 0) / weight if weight else 0.0
         self.empty = (none[1] + SMOOTH * self.base) / (none[0] + none[1] + SMOOTH)
-        # neighbours in order have alike shares of kept terms and their rarest
-        # terms in common, which keeps the bounds of blocks tight
-        kept = [r for r in rows if r[3]]
-        vectors = [self.vector(np.array(r[3], np.int64), np.array(r[4]), r[2]) for r in kept]
-        angle = np.arccos(np.clip([v[1][-1] for v in vectors], -1, 1)) if kept else np.zeros(0)
-        order = sorted(range(len(kept)), key=lambda i: (
-            int(angle[i] / ANGLE), sorted(kept[i][3], key=lambda t: (df[t], t))[:3], kept[i][0], kept[i][1]))
-        kept, vectors, angle = [kept[i] for i in order], [vectors[i] for i in order], angle[order]
+        kept = [r for r in rows if len(r[3])]
         self.docs = [r[0] for r in kept]
         self.toxic = np.array([share[1] if r[1] else 0.0 for r in kept])
         self.clean = np.array([0.0 if r[1] else share[0] for r in kept])
-        self.blocks = -(-len(kept) // BLOCK)
-        edges = np.arange(0, len(kept), BLOCK)
-        self.low = np.minimum.reduceat(angle, edges) if kept else angle
-        self.high = np.maximum.reduceat(angle, edges) if kept else angle
-        join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        term = join([v[0] for v in vectors], np.int64)
-        val = join([v[1] for v in vectors], np.float64)
-        vec = np.repeat(np.arange(len(kept)), [len(v[0]) for v in vectors])
-        order = np.lexsort((vec, term))
-        self.vec, self.val = vec[order], val[order]
-        cell = term[order] * self.blocks + self.vec // BLOCK
-        # postings of term t in block b: off[t * blocks + b] up to the next
-        self.off = np.searchsorted(cell, np.arange(len(self.idf) * self.blocks + 1))
-        self.most = np.zeros(len(self.idf) * self.blocks)
-        np.maximum.at(self.most, cell, self.val)
-
-    def vector(self, idx: np.ndarray, tf: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights of a text with kept terms."""
-        idx = np.append(idx, len(self.terms))
-        w = np.append(tf, words) * self.idf[idx]
-        return idx, w / np.sqrt((w * w).sum())
-
-    def _score(self, idx: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact cosines of the vectors of some blocks."""
-        cells = (idx[:, None] * self.blocks + blocks[None, :]).ravel()
-        begin, size = self.off[cells], self.off[cells + 1] - self.off[cells]
-        total = int(size.sum())
-        first = np.cumsum(size) - size
-        at = np.arange(total) - np.repeat(first, size) + np.repeat(begin, size)
-        weight = np.repeat(np.repeat(w, len(blocks)), size)
-        local = np.full(self.blocks, -1)
-        local[blocks] = np.arange(len(blocks))
-        vec = self.vec[at]
-        slot = local[vec // BLOCK] * BLOCK + vec % BLOCK
-        score = np.bincount(slot, weights=weight * self.val[at], minlength=len(blocks) * BLOCK)
-        ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-        return ids, score
-
-    def nearest(self, idx: np.ndarray, tf: np.ndarray, words: int,
+        self.often = df[0] + df[1] >= max(2, DENSE * len(kept))
+        counts = np.where(self.often, 0, df[0] + df[1]).astype(np.int64)
+        self.off = np.concatenate([[0], np.cumsum(counts)])
+        self.kept = [r[2:5] for r in kept]
+
+    def build(self) -> None:
+        """The matrix and the postings, made where they are first used: the
+        driver only ships the rows."""
+        self.place = np.where(self.often, np.cumsum(self.often) - 1, -1).astype(np.int32)
+        self.dense = np.zeros((int(self.often.sum()), len(self.kept)))
+        self.vec = np.zeros(self.off[-1], np.int32)
+        self.val = np.zeros(self.off[-1])
+        free = self.off[:-1].copy()
+        for i, (other, terms, counts) in enumerate(self.kept):
+            idx, w = self.vector(np.asarray(terms, np.int64), np.asarray(counts), other)
+            at = self.place[idx]
+            self.dense[at[at >= 0], i] = w[at >= 0]
+            idx, w = idx[at < 0], w[at < 0]
+            self.vec[free[idx]], self.val[free[idx]] = i, w
+            free[idx] += 1
+        self.kept = None
+
+    def vector(self, idx: np.ndarray, tf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text, of length one with the terms that the
+        index does not hold."""
+        w = tf * self.weight[idx]
+        return idx, w / np.sqrt((w * w).sum() + other * self.outside ** 2)
+
+    def cosines(self, queries: list[tuple]) -> np.ndarray:
+        """Exact cosines of queries (terms, counts, other) and all examples."""
+        if self.kept is not None:
+            self.build()
+        dense = np.zeros((len(queries), len(self.dense)))
+        rare = []
+        for i, (idx, tf, other) in enumerate(queries):
+            idx, w = self.vector(idx, tf, other)
+            at = self.place[idx]
+            dense[i, at[at >= 0]] = w[at >= 0]
+            rare.append((idx[at < 0], w[at < 0]))
+        out = dense @ self.dense
+        for i, (idx, w) in enumerate(rare):
+            begin, size = self.off[idx], self.off[idx + 1] - self.off[idx]
+            total = int(size.sum())
+            at = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
+            out[i] += np.bincount(self.vec[at], weights=np.repeat(w, size) * self.val[at], minlength=out.shape[1])
+        return out
+
+    def nearest(self, idx: np.ndarray, tf: np.ndarray, other: float,
                 k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties by place), exactly."""
-        idx, w = self.vector(idx, tf, words)
-        bound = w @ self.most.reshape(-1, self.blocks)[idx]
-        own = np.arccos(min(w[-1], 1.0))
-        apart = np.maximum(0, np.maximum(self.low - own, own - self.high))
-        bound = np.minimum(bound, np.cos(apart)) + 1e-9
-        live = np.argsort(-bound, kind="stable")
-        ids, score = self._score(idx, w, live[:FIRST_BLOCKS])
-        rest = live[FIRST_BLOCKS:]
-        if len(rest) and len(score) >= k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            rest = rest[bound[rest] >= least]
-        if len(rest):
-            more, scored = self._score(idx, w, rest)
-            ids, score = np.concatenate([ids, more]), np.concatenate([score, scored])
-        real = ids < len(self.docs)
-        ids, score = ids[real], score[real]
-        order = np.lexsort((ids, -score))[:k]
-        return ids[order], score[order]
-
-    def vote(self, idx: np.ndarray, tf: np.ndarray, words: int) -> tuple[float, list]:
-        """Score in [0, 1] and the ids of the three nearest examples."""
-        if not len(idx) or not self.docs:
-            return self.empty, []
-        ids, cos = self.nearest(idx, tf, words)
-        near = NEAR / (NEAR + np.maximum(1 - cos, 0))
-        toxic, clean = (near * self.toxic[ids]).sum(), (near * self.clean[ids]).sum()
-        score = (toxic + SMOOTH * self.base) / (toxic + clean + SMOOTH)
-        return float(min(max(score, 0.0), 1.0)), [self.docs[i] for i in ids[:3]]
+        return self._best(self.cosines([(idx, tf, other)])[0], k)
+
+    def _best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        cos = np.round(cos, 9)  # the order of a sum does not break ties
+        ids = np.flatnonzero(cos >= np.partition(cos, len(cos) - k)[len(cos) - k]) if len(cos) > k else np.arange(len(cos))
+        ids = ids[np.lexsort((ids, -cos[ids]))[:k]]
+        return ids, cos[ids]
+
+    def votes(self, queries: list[tuple]) -> list[tuple[float, list]]:
+        """Score in [0, 1] and the ids of the three nearest examples, for
+        each (terms, counts, other)."""
+        out: list[tuple[float, list]] = []
+        for lo in range(0, len(queries), QUERIES):
+            part = queries[lo: lo + QUERIES]
+            asked = [q for q in part if len(q[0])] if self.docs else []
+            cosines = iter(self.cosines(asked) if asked else [])
+            for idx, _, other in part:
+                if not len(idx) or not self.docs:
+                    out.append((self.base if other else self.empty, []))
+                    continue
+                ids, cos = self._best(next(cosines))
+                ids, cos = ids[cos > 0], cos[cos > 0]
+                near = NEAR / (NEAR + np.maximum(1 - cos, 0))
+                toxic, clean = (near * self.toxic[ids]).sum(), (near * self.clean[ids]).sum()
+                score = (toxic + SMOOTH * self.base) / (toxic + clean + SMOOTH)
+                out.append((float(min(max(score, 0.0), 1.0)), [self.docs[i] for i in ids[:3]]))
+        return out
+
+    def queries(self, texts: pa.Array) -> list[tuple]:
+        """(terms, counts, squares of the counts of other terms) of texts."""
+        owner, term, count, _ = term_rows(texts)
+        spot = np.minimum(np.searchsorted(self.terms, term), max(len(self.terms) - 1, 0))
+        known = self.terms[spot] == term if len(self.terms) else np.zeros(len(term), bool)
+        other = np.bincount(owner[~known], weights=count[~known].astype(float) ** 2, minlength=len(texts))
+        owner, spot, count = owner[known], spot[known], count[known]
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [(spot[a:b], count[a:b], float(o)) for a, b, o in zip(ends[:-1], ends[1:], other, strict=True)]
+
+
+def telling(toxic: np.ndarray, clean: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """Factor of each term from the chi-square of the 2 x 2 table of term and
+    label: ``FLOOR`` at 0, towards one for a term that tells the labels apart."""
+    n, total = toxic + clean, ones + zeros
+    low = n * (total - n) * ones * zeros
+    top = (toxic * zeros - clean * ones) ** 2 * total
+    chi = np.divide(top, low, out=np.zeros(len(n)), where=low > 0)
+    return FLOOR + (1 - FLOOR) * chi / (chi + CHI2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",
         per_label: int = EXAMPLES) -> Index:
     rows, totals = examples(docs, labels, doc, text, label, per_label)
-    terms = chosen_terms(rows)
-    marks = term_filter(terms)
 
     def run(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
-        owner, term, count, words = term_rows(texts, terms, marks)
-        ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (term, count)]
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words.astype(np.int64)), *lists],
-                                          ["doc_id", "y", "words", "idx", "tf"])
+        owner, term, count, _ = term_rows(texts)
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        packed = [pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                  for x in (term.astype("<u8"), count.astype("<u4"))]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], ["doc_id", "y", "term", "tf"])
 
     id_type = docs.schema[doc].dataType.simpleString()
     vectors = T.map_texts(rows.select("doc_id", "y", "_text"), run,
-                          f"doc_id {id_type}, y int, words long, idx array<long>, tf array<long>", "_text")
-    # at most 2 * per_label rows; more only where ids repeat
-    found = sorted((r["doc_id"], r["y"], r["words"], list(r["idx"]), list(r["tf"])) for r in vectors.collect())
+                          f"doc_id {id_type}, y int, term binary, tf binary", "_text")
+    # at most 2 * per_label rows (more only where ids repeat), fetched a partition at a time
+    found = sorted((r["doc_id"], r["y"], bytes(r["term"]), bytes(r["tf"]))
+                   for r in cut_lineage(vectors).toLocalIterator())
+    terms = np.zeros(0, "<u8")
+    for lo in range(0, len(found), FETCH):
+        terms = np.union1d(terms, np.frombuffer(b"".join(r[2] for r in found[lo: lo + FETCH]), "<u8"))
+    for k, (i, y, t, c) in enumerate(found):
+        idx = np.searchsorted(terms, np.frombuffer(t, "<u8")).astype(np.int32)
+        count = np.frombuffer(c, "<u4")
+        found[k] = (i, y, 0.0, idx, count.astype(np.min_scalar_type(int(count.max(initial=0)))))
     return Index(terms, found, totals)
 
 
@@ -298,21 +276,13 @@ def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
 
     def run_all(batches):
         index = shared.value
-        marks = term_filter(index.terms)
         for batch in batches:
             for part, texts in T.slices(batch, "_text"):
-                owner, term, count, words = term_rows(texts, index.terms, marks)
-                ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-                scores, proof = [], []
-                for i in range(len(texts)):
-                    own = slice(ends[i], ends[i + 1])
-                    value, nearest = index.vote(term[own].astype(np.int64), count[own], int(words[i]))
-                    scores.append(value)
-                    proof.append(nearest)
-                s = np.array(scores)
+                found = index.votes(index.queries(texts))
+                s = np.array([x[0] for x in found], np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)),
-                     pa.array(proof, pa.list_(part.column(0).type))],
+                     pa.array([x[1] for x in found], pa.list_(part.column(0).type))],
                     ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     inner = docs.select(F.col(doc).alias("doc_id"), held_out(F.col(doc)).alias("held_out"), F.col(text).alias("_text"))

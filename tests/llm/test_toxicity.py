@@ -80,3 +80,24 @@ def test_odd_rows(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(make_docs([]), labels).collect() == []
+
+
+def test_many_mildly_telling_words(spark, make_docs):
+    """Words about twice as likely under one label decide together, and no
+    example with a word is left out of the index."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(260)})
+    mild = names[:100]
+    rows, labels = [], []
+    for i in range(800):
+        toxic = i % 2
+        text = [rng.choice(mild[:50] if rng.random() < (0.66 if toxic else 0.34) else mild[50:])
+                if rng.random() < 0.7 else rng.choice(names[100:]) for _ in range(70)]
+        rows.append((i, " ".join(text)))
+        labels.append((i, toxic))
+    docs, marks = make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learnt = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(toxicity.fit(docs, marks).docs) == learnt
+    got = [r for r in toxicity.score(docs, marks).collect() if r["held_out"]]
+    assert len({r["score"] for r in got}) > len(got) / 2
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in got) > 0.8 * len(got)

@@ -43,6 +43,7 @@ CALLS = ("tool_calls array<struct<id:string, function:struct<name:string, argume
          "after:array<string>>>")
 RESULT = "tool_call_id string, content string"
 SLOTS = 1 << 20            # calls of a message in order: turn * SLOTS + place
+LOT = 4_096                # copies of a result that are written out at once
 
 # Schemas of the tools of the derived trace (see ``trace``).
 SCHEMAS = {
@@ -274,13 +275,18 @@ def format_chat(messages: DataFrame, schemas: dict | None = None, conv: str = "c
         "conv", (F.col("turn") * SLOTS).alias("order_at"), F.lit("message").alias("kind"), none.alias("call_id"),
         none.alias("name"), F.lit("message").alias("status"), F.lit(True).alias("valid"), F.lit("").alias("errors"),
         F.coalesce("text", F.lit("")).alias("a"), F.col("role").alias("b")).mapInArrow(say("message"), schema)
-    # results beside the one that answers: the first of each key is taken once
+    # results beside the one that answers: of its equal copies all but one are left
     takers = cut_lineage(answers.join(firsts, "key", "left"))
     numbered = spread_join(results, takers.select("key", "first_at", F.col("result_turn").alias("_t"),
                                                   F.col("content").alias("_content")), "key", "left")
-    taken = (F.col("first_at").isNotNull() & (F.col("turn") == F.col("_t"))
-             & F.col("content").eqNullSafe(F.col("_content")))
-    left = numbered.filter(~F.coalesce(taken, F.lit(False))).select(
+    taken = F.coalesce(F.col("first_at").isNotNull() & (F.col("turn") == F.col("_t"))
+                       & F.col("content").eqNullSafe(F.col("_content")), F.lit(False))
+    fields = ["conv", "call_id", "turn", "content", "first_at"]
+    over = F.col("_copies") - 1 - F.col("_lot") * LOT
+    copies = (numbered.filter(taken).groupBy(*fields).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+              .withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 2) / LOT))))
+              .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.least(over, F.lit(LOT).cast("long"))))))
+    left = numbered.filter(~taken).select(*fields).unionByName(copies.select(*fields)).select(
         "conv", (F.col("turn") * SLOTS).alias("order_at"), F.lit("result").alias("kind"), "call_id",
         none.alias("name"), F.when(F.col("first_at").isNull(), "orphan").otherwise("extra").alias("status"),
         F.lit(False).alias("valid"), F.lit("").alias("errors"), F.col("call_id").alias("a"),

@@ -108,3 +108,16 @@ def test_hot_call_id(spark):
     assert len(got) == 2999
     assert [(r["status"], json.loads(r["json"])["result"]) for r in got if r["kind"] == "call"] == [("linked", "r1")]
     assert sum(r["status"] == "extra" for r in got) == 2998
+
+
+def test_repeated_results_stay(spark):
+    """Of equal results one answers; each other copy is a row of its own."""
+    rows = [(1, 0, "assistant", calls(call("a"))), (1, 1, "tool", result("a", "r")), (1, 1, "tool", result("a", "r")),
+            (1, 1, "tool", result("a", "r")), (1, 2, "tool", result("a", "r")),
+            (2, 1, "tool", result("b", None)), (2, 1, "tool", result("b", None)),
+            (3, 0, "assistant", calls(call("n"))), (3, 1, "tool", result("n", None)), (3, 1, "tool", result("n", None))]
+    got = chat(spark, rows)
+    assert [(r["conv_id"], r["order_at"] // toolchat.SLOTS, r["kind"], r["status"]) for r in got] == [
+        (1, 0, "call", "linked"), (1, 1, "result", "extra"), (1, 1, "result", "extra"), (1, 2, "result", "extra"),
+        (2, 1, "result", "orphan"), (2, 1, "result", "orphan"),
+        (3, 0, "call", "linked"), (3, 1, "result", "extra")]

@@ -55,9 +55,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place."""
+    """The pieces of all documents, each with its sequence and place; the
+    sequences follow the positions of the source schedule."""
     _ready(spark)
-    return packing.pack(docs)
+    return packing.pack(mixing.place(docs, tie=docs.columns), position="mix_position")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

@@ -5,8 +5,10 @@ round, and pack what is left by best fit.
 Only the histogram of piece lengths (at most ``max_tokens`` rows) comes to
 the driver. The plan made from it says where the n-th piece of each length
 goes; pieces are ranked within their length in parallel. Which of two pieces
-of one length takes which place does not matter, so ties need no rule beyond
-a fixed order. Cases: a null or empty text is the end token alone; a longer
+of one length takes which place does not matter for the fill; a fixed order
+decides, or the ``position`` of the documents: then earlier documents take the
+earlier places of their length, and sequences are numbered by the least
+position they hold. Cases: a null or empty text is the end token alone; a longer
 text is cut at ``max_tokens``; repeated rows are packed one by one; a null id
 is returned as null; an empty table gives an empty result; only the id and
 the text are read.
@@ -19,7 +21,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import textkit as T
@@ -37,12 +39,15 @@ PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces_of(docs: DataFrame, doc: str = "doc_id", text: str = "text",
-              tokenizer: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """The pieces of every document: one row each, without the ids."""
+              tokenizer: str | None = None, max_tokens: int = MAX_TOKENS,
+              position: str | None = None) -> DataFrame:
+    """The pieces of every document: one row each, without the ids; with the
+    document's place in ``_pos`` if ``position`` names its column."""
     with open(tokenizer or tokens.default_path(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     id_type = docs.schema[doc].dataType.simpleString()
     end = np.asarray([END_ID], "<u4").tobytes()
+    extra = int(position is not None)
 
     def run(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         table = tokens.word_ids(spec.value)
@@ -57,13 +62,16 @@ def pieces_of(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                 start.append(at)
                 length.append(upto - at)
                 crc.append(zlib.crc32(ids[4 * at: 4 * upto]))
+        at = pa.array(row, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-             pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-            ["doc_id", "piece", "start", "length", "ids_crc32"])
+            [part.column(0).take(at), pa.array(piece, pa.int32()),
+             pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+             *[part.column(1).take(at)] * extra],
+            ["doc_id", "piece", "start", "length", "ids_crc32", *["_pos"] * extra])
 
-    inner = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text"))
-    return T.map_texts(inner, run, PIECE_SCHEMA.format(id=id_type), "_text")
+    placed = [F.col(position).cast("long").alias("_pos")] if extra else []
+    inner = docs.select(F.col(doc).alias("doc_id"), *placed, F.col(text).alias("_text"))
+    return T.map_texts(inner, run, PIECE_SCHEMA.format(id=id_type) + ", _pos long" * extra, "_text")
 
 
 # ------------------------------------------------------------------ the plan
@@ -201,13 +209,41 @@ def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS,
 
 # ------------------------------------------------------------------- the job
 
+def _run_of(rows: DataFrame, group: int = RANK_GROUP) -> Column:
+    """The run of positions that a row's ``_pos`` lies in."""
+    most = rows.agg(F.max("_pos").alias("m")).collect()[0]["m"]
+    width = max(group, -(-((most or 0) + 1) // RANK_SALTS))
+    return F.floor(F.col("_pos") / width).cast("int")
+
+
+def number_by_position(packed: DataFrame) -> DataFrame:
+    """``packed`` with its sequences numbered by the least ``_pos`` in each.
+    The numbers of a run of positions follow those of the runs before."""
+    least = cut_lineage(packed.groupBy("sequence_id").agg(F.min(F.struct("_pos", "piece")).alias("_least"))
+                        .select("sequence_id", F.col("_least._pos").alias("_pos"), F.col("_least.piece").alias("_piece")))
+    runs = least.withColumn("_run", _run_of(least))
+    # at most RANK_SALTS + 1 rows
+    sizes = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy("_run").orderBy("_pos", "_piece", "sequence_id")
+    number = (runs.withColumn("_row", F.row_number().over(within) - 1).join(F.broadcast(shift), "_run")
+              .select("sequence_id", (F.col("_row") + F.col("_shift")).alias("_number")))
+    names = [F.col("_number").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns if c != "_pos"]
+    return packed.join(number, "sequence_id").select(*names)
+
+
 def rank_in_length(pieces: DataFrame, largest_count: int, group: int = RANK_GROUP) -> DataFrame:
     """``pieces`` with ``_rank`` (from 0) within the length. Each length is
     dealt into salted groups, ranked apart and then shifted by the sizes of
-    the groups before."""
-    salts = min(RANK_SALTS, max(1, -(-largest_count // group)))
-    ident = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*ident), F.lit(salts)).cast("int"))
+    the groups before. Pieces with a ``_pos`` are grouped and ranked by it."""
+    if "_pos" in pieces.columns:
+        ident = [F.col(c) for c in ("_pos", "piece", "doc_id", "ids_crc32")]
+        salted = pieces.withColumn("_salt", _run_of(pieces, group))
+    else:
+        salts = min(RANK_SALTS, max(1, -(-largest_count // group)))
+        ident = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
+        salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*ident), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("length", "_salt",
@@ -220,16 +256,17 @@ def rank_in_length(pieces: DataFrame, largest_count: int, group: int = RANK_GROU
 
 
 def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-         max_tokens: int = MAX_TOKENS) -> DataFrame:
+         max_tokens: int = MAX_TOKENS, position: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset. The pieces are written once to the checkpoint
+    sequence_id, offset. ``position`` names a column of places (0, 1, 2, ...)
+    that the sequences follow. The pieces are written once to the checkpoint
     folder, so texts are tokenised a single time."""
     spark = docs.sparkSession
-    cut = cut_lineage(pieces_of(docs, doc, text, tokenizer, max_tokens))
+    cut = cut_lineage(pieces_of(docs, doc, text, tokenizer, max_tokens, position))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     layout = spark.sparkContext.broadcast(plan(histogram, max_tokens))
     ranked = rank_in_length(cut, max(histogram.values(), default=0))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["_pos"] * (position is not None)]
 
     def place(batches):
         table = layout.value
@@ -245,8 +282,10 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: st
             cols += [pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
             yield pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
 
-    schema = PIECE_SCHEMA.format(id=cut.schema["doc_id"].dataType.simpleString())
+    schema = PIECE_SCHEMA.format(id=cut.schema["doc_id"].dataType.simpleString()) + ", _pos long" * (position is not None)
     out = ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
+    if position:
+        out = number_by_position(cut_lineage(out))
     return out.withColumnRenamed("doc_id", doc)
 
 

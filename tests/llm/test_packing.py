@@ -114,3 +114,22 @@ def test_plan_rows_follow_lengths_not_pieces():
     small = len(packing.plan(dict(lengths)))
     large = len(packing.plan({k: v * 1000 for k, v in lengths.items()}))
     assert large < 8 * small
+
+
+def test_sequences_follow_the_positions(make_docs):
+    """Earlier documents of a length come first, and so do their sequences."""
+    rows = [(i, " ".join(["word"] * (3 + 7 * (i % 5)))) for i in range(300)]
+    docs = make_docs(rows).drop("h")
+    found = []
+    for place in ("doc_id", "299 - doc_id"):
+        got = packing.pack(docs.selectExpr("*", f"{place} AS h"), max_tokens=64, position="h").collect()
+        at = {i: i if place == "doc_id" else 299 - i for i, _ in rows}
+        least, by_length = {}, {}
+        for r in got:
+            least[r["sequence_id"]] = min(least.get(r["sequence_id"], 300), at[r["doc_id"]])
+            by_length.setdefault(r["length"], []).append((at[r["doc_id"]], r["sequence_id"]))
+        order = [least[s] for s in sorted(least)]
+        assert sorted(least) == list(range(len(least))) and order == sorted(order)
+        assert len(got) == 300 and least[0] == 0
+        found.append({r["doc_id"]: r["sequence_id"] for r in got})
+    assert found[0] != found[1] and found[0][0] == found[1][299] == 0

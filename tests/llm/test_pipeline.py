@@ -61,6 +61,16 @@ def test_run_equals_the_stages(spark):
         (r["doc_id"], r["piece"], r["ids_crc32"]) for r in docs.collect())
 
 
+def test_sequences_follow_the_schedule(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    place = {r["doc_id"]: r["mix_position"] for r in mixing.place(docs, tie=docs.columns).collect()}
+    least = {}
+    for r in pipeline.best_fit_packing(spark, docs, SF).collect():
+        least[r["sequence_id"]] = min(least.get(r["sequence_id"], len(place)), place[r["doc_id"]])
+    order = [least[s] for s in sorted(least)]
+    assert order == sorted(order) and order[0] == 0 and sorted(least) == list(range(len(least)))
+
+
 def test_empty_documents(spark):
     at = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.clean import normalise_nulls
 from riskloom.sources.encounters import DEFAULT_NA_TOKENS, NA_TOKENS, load_encounters, read_encounters
 
-from conftest import SF_SMALL
+from common import SF_SMALL
 
 
 def test_csv_roundtrip(spark, tmp_path):

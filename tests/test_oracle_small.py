@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-from conftest import SF_SMALL
+from common import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]

@@ -9,7 +9,7 @@ from riskloom.operators.prefix import prefix_sum
 from riskloom.plans import catalog as Q
 from riskloom.plans import hospital as H
 
-from conftest import SF_SMALL
+from common import SF_SMALL
 
 
 def _plan(df) -> str:

@@ -11,7 +11,7 @@ from riskloom.operators import prep as P
 from riskloom.operators.prefix import global_rank, prefix_sum
 from riskloom.plans import hospital as H
 
-from conftest import SF_SMALL
+from common import SF_SMALL
 
 
 def test_split_disjoint_and_complete(spark):

@@ -10,7 +10,7 @@ from riskloom.session import table_path
 from riskloom.sources.encounters import load_encounters
 from riskloom.streaming.screen import run_screen_stream, stream_features
 
-from conftest import SF_SMALL
+from common import SF_SMALL
 
 
 def test_stream_equals_batch(spark):

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import brown, lines, mixing, neardup, packing, pages, quality, search, toolchat, toxicity
+from riskloom.llm import (
+    brown, decontam, divergence, lines, merkle, mixing, neardup, packing, pages, quality, search, toolchat, toxicity,
+)
 from riskloom.session import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +158,130 @@ def op10_tool_call_linking(spark, sf_dir):
     return toolchat.format_chat(toolchat.trace(table(spark, sf_dir, "conversations")))
 
 
+DIVERGENCE_SQL = r"""
+WITH doc AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+word AS (SELECT lang, source, d, unnest(ws) AS w FROM doc),
+kept AS (SELECT lang, w, count(*) AS nl FROM word GROUP BY lang, w HAVING count(DISTINCT d) >= 3),
+hold AS (SELECT lang, source, w, count(*) AS n FROM word JOIN kept USING (lang, w) GROUP BY ALL),
+whole AS (SELECT lang, sum(nl)::HUGEINT AS nl, count(*) AS v FROM kept GROUP BY lang),
+part AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM hold GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+given AS (
+  SELECT g.lang, g.source, k.w, coalesce(h.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(h.n, 0) + 1) // (coalesce(p.n, 0) + t.v) AS p,
+         1 + 1000000000::HUGEINT * (k.nl + 1) // (t.nl + t.v) AS q
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN whole t ON t.lang = g.lang
+  LEFT JOIN part p ON p.lang = g.lang AND p.source = g.source
+  LEFT JOIN hold h ON h.lang = g.lang AND h.source = g.source AND h.w = k.w),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+             FROM given x JOIN given y ON x.lang = y.lang AND x.w = y.w AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, w AS item, (p - q) * (p - q) // q AS value FROM given WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op11_source_divergence_audit", DIVERGENCE_SQL)
+def op11_source_divergence_audit(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+DECONTAM_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, ws, least(len(ws), 10) AS l FROM (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, l, array_to_string(ws[i:i + l - 1], ' ') AS t
+        FROM (SELECT *, unnest(range(1, len(ws) - l + 2)) AS i FROM iw)),
+gram AS (SELECT doc_id, l, i, array_to_string(ws[i:i + l - 1], ' ') AS t
+         FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM win))),
+occ AS (SELECT DISTINCT doc_id, i, l, item_id FROM gram JOIN win USING (l, t)),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS w FROM occ) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s
+         FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM occ) GROUP BY doc_id)
+SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(held.n, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN held ON held.doc_id = dw.doc_id
+"""
+
+
+@query("op12_benchmark_decontamination", DECONTAM_SQL)
+def op12_benchmark_decontamination(spark, sf_dir):
+    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, source, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR END ||
+         CASE WHEN source IS NULL THEN '-' ELSE strlen(source::VARCHAR) || ':' || source::VARCHAR END ||
+         CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang::VARCHAR) || ':' || lang::VARCHAR END ||
+         CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR END AS head,
+         xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')],
+             lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                        lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) AS crc
+  FROM documents),
+hashed AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text::VARCHAR) || ':' || text::VARCHAR END) AS leaf,
+         CASE WHEN crc % 5 = 0 THEN sha256(head || CASE WHEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IS NULL THEN '-' ELSE strlen(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')::VARCHAR) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')::VARCHAR END) END AS probe
+  FROM told),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s
+  FROM hashed),
+low AS (
+  SELECT 0 AS lvl, s, i, leaf AS h, n FROM leaf
+  UNION ALL
+  SELECT lvl + 1, s, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16
+  FROM low WHERE n > 1 GROUP BY lvl, s, i // 16),
+sub AS (SELECT s, h FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, s AS i, h, (SELECT count(*) FROM sub) AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16
+  FROM high WHERE n > 1 GROUP BY lvl, i // 16),
+node AS (SELECT lvl, s, i, h FROM low WHERE n > 1 UNION ALL SELECT 100 + lvl, -1, i, h FROM high WHERE n > 1),
+side AS (
+  SELECT a.lvl, a.s, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM node a JOIN node b ON a.lvl = b.lvl AND a.s = b.s AND a.i // 16 = b.i // 16 GROUP BY a.lvl, a.s, a.i),
+step AS (
+  SELECT leaf.s, leaf.i, lvl, l, r FROM leaf JOIN side
+    ON lvl < 100 AND side.s = leaf.s AND side.i = leaf.i // (1::BIGINT << (4 * lvl)::BIGINT)
+  UNION ALL
+  SELECT leaf.s, leaf.i, lvl, l, r FROM leaf JOIN side
+    ON lvl >= 100 AND side.i = leaf.s // (1::BIGINT << (4 * (lvl - 100))::BIGINT)),
+path AS (SELECT s, i, string_agg(l || r, '' ORDER BY lvl) AS proof, list([l, r] ORDER BY lvl) AS steps
+         FROM step GROUP BY s, i),
+folded AS (
+  SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root,
+         sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce([[coalesce(probe, leaf), '']] || coalesce(steps, []),
+                     lambda acc, x: [sha256(x[1] || acc[1] || x[2]), ''])[1] AS folded_root
+  FROM leaf JOIN sub ON sub.s = leaf.s LEFT JOIN path ON path.s = leaf.s AND path.i = leaf.i)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -101,12 +101,14 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def words_of(texts: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; ``lower`` lower-cases A-Z."""
+def words_of(texts: pa.Array, lower: bool = False, hashes: bool = True, member: np.ndarray | None = None) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; ``lower`` lower-cases A-Z
+    first. ``member`` is another table of the 256 bytes that make up words;
+    it takes all or none of the bytes beyond ASCII."""
     buf, offsets = byte_view(texts)
     if lower:
         buf = _LOWER[buf]
-    inside = ~_IS_SPACE[buf]
+    inside = (~_IS_SPACE if member is None else member)[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     starts_mask = inside.copy()

@@ -73,12 +73,14 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def _rows(counts: dict, docs: dict) -> pa.RecordBatch:
-    keys = [(*group, term.decode("utf-8", "replace")) for group, found in counts.items() for term in found]
+def _rows(group: tuple[str, str], counts: Counter, docs: Counter) -> pa.RecordBatch:
+    """The table of one group as a batch."""
+    n = len(counts)
     return pa.record_batch(
-        [*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)),
-         pa.array([n for found in counts.values() for n in found.values()], pa.int64()),
-         pa.array([docs[g][t] for g, found in counts.items() for t in found], pa.int64())],
+        [pa.repeat(pa.scalar(name, pa.string()), n) for name in group]
+        + [pa.array(counts.keys(), pa.binary(), size=n).cast(pa.string()),
+           pa.array(counts.values(), pa.int64(), size=n),
+           pa.array(map(docs.__getitem__, counts), pa.int64(), size=n)],
         names=["lang", "source", "term", "n", "docs"])
 
 
@@ -97,10 +99,9 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
                     seen.update(terms)
                 docs[group].update(seen)
             if sum(map(len, counts.values())) >= TABLE_TERMS:
-                yield _rows(counts, docs)
+                yield from (_rows(g, counts[g], docs[g]) for g in counts)
                 counts, docs = defaultdict(Counter), defaultdict(Counter)
-    if any(counts.values()):
-        yield _rows(counts, docs)
+    yield from (_rows(g, counts[g], docs[g]) for g in counts if counts[g])
 
 
 def _named(docs: DataFrame, lang: str, source: str) -> list[Column]:

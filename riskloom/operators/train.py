@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import evaluate as Ev
 from riskloom.operators.clean import align_features
+from riskloom.operators.compile import score_sql
 from riskloom.operators.prep import assign_folds, scale_apply
 from riskloom.session import cut_lineage
 
@@ -115,9 +116,12 @@ def fit_model(spec: ModelSpec, train: DataFrame, key: str, label: str, features:
     return pipe.fit(fit_layout(data.withColumn(label, F.col(label).cast("double")), key))
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5, prob: str = "prob",
+def score(model: PipelineModel | str, df: DataFrame, threshold: float = 0.5, prob: str = "prob",
           pred: str = "pred") -> DataFrame:
-    """Probability of the positive class and the label at a threshold."""
+    """Probability of the positive class and the label at a threshold.
+    ``model`` is a fitted pipeline or its compiled SQL (``compile.model_sql``)."""
+    if isinstance(model, str):
+        return score_sql(df, model, threshold, prob, pred)
     out = model.transform(df)
     keep = [c for c in df.columns]
     return out.select(*keep, vector_to_array("probability")[1].alias(prob)).withColumn(
@@ -288,7 +292,7 @@ def band(scored: DataFrame, threshold: float, keep: Sequence[str] = (), prob: st
                          .alias("band"))
 
 
-def screen(df: DataFrame, model: PipelineModel, scaler: dict[str, tuple[float, float]], features: Sequence[str],
+def screen(df: DataFrame, model: PipelineModel | str, scaler: dict[str, tuple[float, float]], features: Sequence[str],
            threshold: float, keep: Sequence[str] = ()) -> DataFrame:
     """Align to the feature list, scale, score, flag and band. Stateless,
     so the same code runs on a streaming DataFrame."""

@@ -285,3 +285,4 @@ from riskloom.plans import catalog_eval  # noqa: E402,F401
 from riskloom.plans import catalog_smote  # noqa: E402,F401
 from riskloom.plans import catalog_ml  # noqa: E402,F401
 from riskloom.plans import catalog_io  # noqa: E402,F401
+from riskloom.plans import catalog_score  # noqa: E402,F401

@@ -1,44 +1,62 @@
-"""SMOTE oversampling with an exact, distributed k-nearest-neighbour search
-(SURVEY F5).
-
-The neighbour search never forms all pairs and never puts an unbounded group
-in one task. It is a k-d tree built and searched with DataFrame operations:
-
-1. rows are projected on the leading principal components (an orthonormal
-   set, so distances between projections never exceed true distances);
-2. the tree splits level by level: inside each node, rows are ranked by the
-   next component (distributed prefix sum, ties broken by key) and cut into
-   equal parts. Leaves therefore hold a bounded number of rows even when a
-   third of all rows are the same point;
-3. every node keeps the bounding box of its rows in component space;
-4. exact k-NN runs inside each leaf (pandas UDF, numpy); for a row q with
-   k-th in-leaf distance r_q, only leaves whose box lies within r_q of q can
-   hold a closer row, since the box distance is a lower bound;
-5. q walks the tree top-down as joins, dropping every node whose box is
-   farther than r_q; the surviving leaves are visited. Visitors of a leaf are
-   hash-split into chunks of ~``chunk_size``, and each chunk meets the leaf's
-   rows in a cogrouped pandas UDF that returns top-k per visitor;
-6. in-leaf and visited candidates merge to the final top-k per row (ties
-   broken by neighbour key).
-
-The result is exact; the pruning only decides how much work is needed.
+"""SMOTE oversampling with a distributed k-nearest-neighbour search (SURVEY
+F5), exact or approximate.
+
+The search never forms all pairs and never puts an unbounded group in one
+task. ``knn`` with ``mode='exact'`` is a best-first search over a k-d tree:
+
+1. rows are rotated on their principal components (orthonormal, so distances
+   stay the same);
+2. a split tree is laid out on a bounded, hash-drawn sample (``SAMPLE_ROWS``):
+   every node halves its widest component at the sample's median. The sample
+   decides the layout only: every row walks the tree, and a leaf that holds
+   too many rows (many equal points) is dealt into parts by a hash;
+3. each leaf keeps the exact bounding box of all its rows. The boxes are
+   bounded in number by the layout, so they go to every task;
+4. round one: a row visits the ``FIRST_LEAVES`` leaves whose boxes are nearest
+   (its own among them); the k-th distance found is its radius;
+5. round two: the row visits the other leaves whose box lies within the
+   radius. A box distance is a lower bound, so nothing nearer is missed;
+6. the visitors of a leaf are dealt into chunks, and each chunk meets the
+   leaf's rows in a cogrouped pandas UDF that returns the top k per visitor;
+   the candidates of both rounds merge (ties broken by neighbour key).
+
+``mode='lsh'`` is approximate and labelled so: a forest of random-projection
+trees (each leaf is a locality-sensitive bucket of bounded size); a row meets
+its own bucket in every tree. Its cost is linear in the rows, its recall
+grows with ``tables``.
+
+Keys may be of any type; keys that are no integers are numbered in their
+order by a distributed rank first.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from riskloom.functions.clinical import hash_bits, hash_unit
 from riskloom.operators.prefix import global_rank
-from riskloom.session import BROADCAST_MAX_ROWS, cut_lineage
+from riskloom.session import cut_lineage
 
 KNN_SCHEMA = "__q long, __nbr long, __dist double"
+VISIT_SCHEMA = "__key long, __v array<double>, __leaf long"
+
+# Rows of the sample that lays out a tree, and sample rows a leaf at least:
+# their ratio bounds the number of leaves.
+SAMPLE_ROWS = 40_000
+SAMPLE_LEAF = 10
+LEAF_ROWS = 128
+FIRST_LEAVES = 4
+# Parts of an oversized leaf get their own numbers.
+_PARTS = 1 << 20
 
 
 def _topk(qv: np.ndarray, qk: np.ndarray, mv: np.ndarray, mk: np.ndarray, k: int,
@@ -92,130 +110,266 @@ def _principal_directions(df: DataFrame, cols: Sequence[str], m: int) -> tuple[l
     return [[float(v) for v in vecs[:, i]] for i in order], int(row["n"])
 
 
-def auto_block_size(spark, n: int) -> int:
-    """About two leaves per core, each 256..4096 rows."""
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    return int(min(4096, max(256, n // (2 * cores))))
+def leaf_rows(n: int) -> int:
+    """Rows a leaf: ``LEAF_ROWS``, or more where the sample could not lay out
+    so many leaves."""
+    return max(LEAF_ROWS, math.ceil(n * SAMPLE_LEAF / SAMPLE_ROWS))
 
 
-def _fanouts(n_leaves: int, max_levels: int, min_fanout: int = 4) -> list[int]:
-    """Fan-out per tree level so that the leaf count is about n_leaves, with
-    at least ``min_fanout`` children per node: every level costs one rank
-    pass over the rows, and wider nodes prune about as well here."""
-    if n_leaves < 2:
-        return []
-    levels = max(1, min(max_levels, int(math.floor(math.log(n_leaves) / math.log(min_fanout)))))
-    g = max(2, int(round(n_leaves ** (1.0 / levels))))
-    return [g] * levels
+@dataclass
+class SplitTree:
+    """Nodes in breadth-first order. ``axis`` is a row of ``axes`` (-1: leaf);
+    a row goes right when its projection is above ``cut``."""
+    axes: np.ndarray
+    axis: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
 
+    def leaf_of(self, v: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(v), np.int64)
+        z = v @ self.axes.T
+        while True:
+            inner = np.flatnonzero(self.axis[at] >= 0)
+            if not len(inner):
+                return at
+            node = at[inner]
+            at[inner] = self.left[node] + (z[inner, self.axis[node]] > self.cut[node])
 
-_BOX_DIST = ("sqrt(aggregate(zip_with(zip_with(__zq, __lo, (z, l) -> greatest(l - z, 0D)), "
-             "zip_with(__zq, __hi, (z, h) -> greatest(z - h, 0D)), (a, b) -> a * a + b * b), 0D, "
-             "(acc, t) -> acc + t))")
 
+def split_tree(sample: np.ndarray, axes: np.ndarray, leaves: int, rng: np.random.Generator | None = None) -> SplitTree:
+    """Halve the widest axis (or, with ``rng``, a random one) of the node with
+    the most sample rows until there are ``leaves``; a node of equal points
+    stays whole."""
+    z = sample @ axes.T
+    axis, cut, left, held = [-1], [0.0], [-1], [np.arange(len(sample))]
+    queue = [(-len(sample), 0)]
+    made = 1
+    while queue and made < leaves:
+        _, i = heapq.heappop(queue)
+        rows = z[held[i]]
+        order = rng.permutation(len(axes)) if rng is not None else np.argsort(-rows.var(axis=0), kind="stable")
+        for d in order:
+            c = np.median(rows[:, d])
+            above = rows[:, d] > c
+            if not above.any():  # more than half of them lie on the largest value
+                below = rows[rows[:, d] < c, d]
+                if not len(below):
+                    continue
+                c = below.max()
+                above = rows[:, d] > c
+            axis[i], cut[i], left[i] = int(d), float(c), len(axis)
+            for side in (held[i][~above], held[i][above]):
+                axis.append(-1), cut.append(0.0), left.append(-1), held.append(side)
+                if len(side) > 1:
+                    heapq.heappush(queue, (-len(side), len(axis) - 1))
+            made += 1
+            break
+        held[i] = None
+    return SplitTree(axes, np.array(axis), np.array(cut), np.array(left))
 
-def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int | None = None,
-              chunk_size: int | None = None, n_components: int = 8, input_is_cut: bool = False) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) of every row among the other
-    rows: (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key).
-    ``block_size`` (leaf size) and ``chunk_size`` default to
-    ``auto_block_size``; ``n_components`` components bound the boxes."""
+
+def _vectors(column) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
+
+
+def _sample(points: DataFrame, n: int, rows: int) -> np.ndarray:
+    """About ``rows`` of the points, by a hash of the key (all when fewer)."""
+    drawn = points
+    if n > rows:
+        drawn = points.filter(hash_unit("__key", "knn_sample") < rows / n)
+    return _vectors(drawn.select("__v").toPandas()["__v"])
+
+
+def _assign(points: DataFrame, tree: SplitTree, most: int) -> DataFrame:
+    """(__key, __v, __leaf): every row's leaf; a leaf of more than twice
+    ``most`` rows is dealt into parts. Cut in the checkpoint folder."""
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+
+    def walk(frames):
+        for pdf in frames:
+            if len(pdf):
+                yield pdf.assign(__leaf=shared.value.leaf_of(_vectors(pdf["__v"])) * _PARTS)
+
+    placed = cut_lineage(points.select("__key", "__v").mapInPandas(walk, VISIT_SCHEMA))
+    counts = placed.groupBy("__leaf").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 2 * most)
+    big = {r["__leaf"]: math.ceil(r["__n"] / most) for r in counts.collect()}  # at most one row a leaf
+    if not big:
+        return placed
+    parts = F.broadcast(points.sparkSession.createDataFrame(list(big.items()), "__leaf long, __parts long"))
+    return cut_lineage(placed.join(parts, "__leaf", "left").select(
+        "__key", "__v", (F.col("__leaf") + F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(
+            hash_bits("__key", "knn_part") % F.col("__parts"))).alias("__leaf")))
+
+
+def _meet(visits: DataFrame, blocked: DataFrame, k: int, chunk: int) -> DataFrame:
+    """Top k of every visitor (__key, __v, __leaf) among the rows of its leaf,
+    other than itself; the visitors of a leaf come in chunks."""
+    visits = visits.select("__key", "__v", F.col("__leaf").alias("__to"))
+    per_leaf = visits.groupBy("__to").agg(F.count(F.lit(1)).alias("__nv"))
+    n_chunks = per_leaf.select("__to", F.greatest(F.lit(1), F.ceil(F.col("__nv") / chunk)).cast("int").alias("__nc"))
+    left = (visits.join(n_chunks, "__to")
+            .withColumn("__c", (hash_bits("__key", "knn_chunk") % F.col("__nc")).cast("int")).drop("__nc"))
+    right = (blocked.select(F.col("__key").alias("__mkey"), F.col("__v").alias("__mv"), "__leaf").join(n_chunks.withColumnRenamed("__to", "__leaf"), "__leaf")
+             .select("__mkey", "__mv", "__leaf", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1)).alias("__c")))
+
+    def visit(mine: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        return _topk(_vectors(mine["__v"]), mine["__key"].to_numpy(dtype=np.int64), _vectors(members["__mv"]),
+                     members["__mkey"].to_numpy(dtype=np.int64), k, exclude_self=True)
+
+    return left.groupBy("__to", "__c").cogroup(right.groupBy("__leaf", "__c")).applyInPandas(visit, KNN_SCHEMA)
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each row's distinct candidates."""
+    w = Window.partitionBy("__q").orderBy(F.col("__dist").asc(), F.col("__nbr").asc())
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+@dataclass
+class _Boxes:
+    axes: np.ndarray
+    leaf: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def distance(self, v: np.ndarray) -> np.ndarray:
+        """Rows x leaves: how far each box lies from each row."""
+        z = v @ self.axes.T
+        acc = np.zeros((len(v), len(self.leaf)))
+        for i in range(z.shape[1]):
+            gap = np.maximum(np.maximum(self.lo[:, i] - z[:, i][:, None], z[:, i][:, None] - self.hi[:, i]), 0.0)
+            acc += gap * gap
+        return np.sqrt(acc)
+
+    def first(self, distance: np.ndarray) -> np.ndarray:
+        """Places of the nearest ``FIRST_LEAVES`` boxes of each row."""
+        m = min(FIRST_LEAVES, len(self.leaf))
+        return np.argsort(distance, axis=1, kind="stable")[:, :m]
+
+
+def _visits(rows: DataFrame, boxes: _Boxes, within: bool) -> DataFrame:
+    """(__key, __v, __leaf): the nearest leaves of each row, or (``within``)
+    all others whose box lies within the row's radius ``__r``."""
+    shared = rows.sparkSession.sparkContext.broadcast(boxes)
+
+    def walk(frames):
+        b = shared.value
+        step = max(1, 2_000_000 // len(b.leaf))
+        for pdf in frames:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                far = b.distance(_vectors(part["__v"]))
+                near = b.first(far)
+                if within:
+                    np.put_along_axis(far, near, np.inf, axis=1)
+                    row, col = np.nonzero(far <= part["__r"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12)
+                    keep = np.isfinite(far[row, col])
+                    row, col = row[keep], col[keep]
+                else:
+                    row, col = np.repeat(np.arange(len(near)), near.shape[1]), near.reshape(-1)
+                yield pd.DataFrame({"__key": part["__key"].to_numpy()[row], "__v": part["__v"].to_numpy()[row],
+                                    "__leaf": b.leaf[col]})
+
+    return rows.mapInPandas(walk, VISIT_SCHEMA)
+
+
+def _exact(points: DataFrame, directions: np.ndarray, n: int, k: int, block: int, chunk: int,
+           report: dict | None) -> DataFrame:
+    leaves = max(1, min(math.ceil(n / block), SAMPLE_ROWS // SAMPLE_LEAF))
+    tree = split_tree(_sample(points, n, SAMPLE_ROWS), directions, leaves)
+    blocked = _assign(points, tree, block)
+    z = [sum((F.col("__v")[i] * F.lit(float(w)) for i, w in enumerate(u)), F.lit(0.0)) for u in directions]
+    found = blocked.groupBy("__leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(x) for x in z]).alias("lo"),
+        F.array(*[F.max(x) for x in z]).alias("hi")).orderBy("__leaf").toPandas()  # a row a leaf, bounded above
+    boxes = _Boxes(directions, found["__leaf"].to_numpy(), _vectors(found["lo"]), _vectors(found["hi"]))
+    # boxes and projections are sums in another order: a slack far above rounding
+    slack = 1e-9 * (1 + np.abs(boxes.lo).max(initial=0) + np.abs(boxes.hi).max(initial=0))
+    boxes = _Boxes(directions, boxes.leaf, boxes.lo - slack, boxes.hi + slack)
+    first = _visits(blocked.select("__key", "__v"), boxes, within=False)
+    near = cut_lineage(_nearest(_meet(first, blocked, k, chunk), k))
+    radius = near.groupBy("__q").agg(F.max("__dist").alias("__d"), F.count(F.lit(1)).alias("__n"))
+    known = F.coalesce(F.col("__n"), F.lit(0)) >= min(k, n - 1)
+    rows = blocked.join(radius, blocked["__key"] == radius["__q"], "left").select(
+        "__key", "__v", F.when(known, F.col("__d")).otherwise(F.lit(math.inf)).alias("__r"))
+    second = _visits(rows, boxes, within=True)
+    if report is not None:
+        second = cut_lineage(second)
+        size = points.sparkSession.createDataFrame(found[["__leaf", "n"]])
+        met = first.unionByName(second).join(F.broadcast(size), "__leaf").agg(F.sum("n")).first()[0]
+        report.update(rows=n, leaves=len(found), visited_share=met / n / n)
+    return _nearest(near.select("__q", "__nbr", "__dist").unionByName(_meet(second, blocked, k, chunk)), k)
+
+
+def _forest(points: DataFrame, directions: np.ndarray, n: int, k: int, block: int, chunk: int, tables: int,
+            seed: int) -> DataFrame:
+    """Approximate: the nearest among the rows that share a bucket in any of
+    ``tables`` trees of random projections."""
+    rng = np.random.default_rng(seed)
+    sample = _sample(points, n, SAMPLE_ROWS)
+    leaves = max(1, min(math.ceil(n / block), SAMPLE_ROWS // SAMPLE_LEAF))
+    found = None
+    for _ in range(tables):
+        axes = rng.normal(size=(2 * directions.shape[1], directions.shape[1]))
+        axes /= np.linalg.norm(axes, axis=1, keepdims=True)
+        blocked = _assign(points, split_tree(sample, axes, leaves, rng), block)
+        met = _meet(blocked, blocked, k, chunk)
+        found = met if found is None else found.unionByName(met)
+    return _nearest(found.distinct(), k)
+
+
+def knn(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, mode: str = "exact", block_size: int | None = None,
+        chunk_size: int | None = None, input_is_cut: bool = False, tables: int = 6, seed: int = 42,
+        report: dict | None = None) -> DataFrame:
+    """k nearest neighbours (Euclidean) of every row among the other rows:
+    (key, rank, nbr_key, dist), rank 1..k by (dist, nbr_key). ``mode`` is
+    'exact', or 'lsh': approximate, with ``tables`` random-projection trees.
+    ``block_size`` is the rows a leaf holds (default ``leaf_rows``; four times
+    as many for 'lsh'). ``report`` takes the rows, the leaves and the share of all
+    pairs that the exact search computed."""
+    if mode not in ("exact", "lsh"):
+        raise ValueError(f"mode {mode!r}")
     cols = list(cols)
+    kind = df.schema[key].dataType
+    whole = isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
     df = df.select(key, *cols)
-    if not input_is_cut:
-        df = cut_lineage(df)  # read by several jobs below
-    dirs, n = _principal_directions(df, cols, n_components)
-    block_size = block_size or auto_block_size(df.sparkSession, n)
-    chunk_size = chunk_size or block_size
-    fan = _fanouts(max(1, n // block_size), len(dirs))
-    zs = [sum((F.col(c).cast("double") * F.lit(w) for c, w in zip(cols, u)), F.lit(0.0)) for u in dirs]
-    cur = df.select(F.col(key).cast("long").alias("__key"),
-                    F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"),
-                    F.array(*zs).alias("__z"), F.lit(0).cast("long").alias("__n0"))
-    # 2. split level by level: rank inside the parent node by the next component
-    for lvl, g in enumerate(fan):
-        parent, child = f"__n{lvl}", f"__n{lvl + 1}"
-        cur = cur.withColumn("__s", F.col("__z")[lvl])
-        ranked = global_rank(cur, "__s", by=[parent], tiebreak=["__key"], out="__r", size="__cnt")
-        cur = (ranked.withColumn(child, F.col(parent) * g + F.floor((F.col("__r") - 1) * g / F.col("__cnt")).cast("long"))
-               .drop("__r", "__cnt", "__s"))
-        cur = cut_lineage(cur)
-    leaf = f"__n{len(fan)}"
-    blocked = cur if fan else cut_lineage(cur)
-
-    # 4. exact k-NN inside each leaf (a bounded group)
-    def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["__v"].to_numpy()) if len(pdf) else np.zeros((0, len(cols)))
-        keys = pdf["__key"].to_numpy(dtype=np.int64)
-        return _topk(v, keys, v, keys, k, exclude_self=True)
-
-    local = blocked.groupBy(leaf).applyInPandas(in_block, KNN_SCHEMA)
-    if not fan:
-        cand = local
+    numbered = df if whole else global_rank(df, key, tiebreak=cols, out="__id")
+    if not (input_is_cut and whole):
+        numbered = cut_lineage(numbered)  # read by several jobs below
+    points = numbered.select((F.col(key).cast("long") if whole else F.col("__id")).alias("__key"),
+                             F.array(*[F.col(c).cast("double") for c in cols]).alias("__v"))
+    dirs, n = _principal_directions(numbered, cols, len(cols))
+    directions = np.array(dirs)
+    if n < 2:
+        found = points.sparkSession.createDataFrame([], KNN_SCHEMA + ", rank int")
+    elif mode == "exact":
+        block = block_size or leaf_rows(n)
+        found = _exact(points, directions, n, k, block, chunk_size or max(4096, block), report)
     else:
-        local = cut_lineage(local)  # read twice below
-        rq = local.groupBy("__q").agg(F.max("__dist").alias("__rmax"), F.count(F.lit(1)).alias("__nk"))
-        q = (blocked.join(rq, blocked["__key"] == rq["__q"], "left")
-             .select("__key", F.col("__z").alias("__zq"), F.col(leaf).alias("__own"),
-                     (F.when(F.coalesce(F.col("__nk"), F.lit(0)) >= min(k, n - 1), F.col("__rmax"))
-                      .otherwise(F.lit(math.inf)) * F.lit(1.0 + 1e-9) + F.lit(1e-12)).alias("__rq")))
-        # 3. node boxes in component space, per level (g^level rows each)
-        frontier = q.select("__key", "__zq", "__rq", "__own", F.lit(0).cast("long").alias("__node"))
-        for lvl in range(1, len(fan) + 1):
-            node, parent = f"__n{lvl}", f"__n{lvl - 1}"
-            boxes = (blocked.groupBy(parent, node)
-                     .agg(*[F.min(F.col("__z")[i]).alias(f"__lo{i}") for i in range(len(dirs))],
-                          *[F.max(F.col("__z")[i]).alias(f"__hi{i}") for i in range(len(dirs))])
-                     .select(F.col(parent).alias("__node"), F.col(node).alias("__child"),
-                             F.array(*[F.col(f"__lo{i}") for i in range(len(dirs))]).alias("__lo"),
-                             F.array(*[F.col(f"__hi{i}") for i in range(len(dirs))]).alias("__hi")))
-            nodes = 1
-            for f_ in fan[:lvl]:
-                nodes *= f_
-            side = F.broadcast(boxes) if nodes <= BROADCAST_MAX_ROWS else boxes
-            # 5. keep the children whose box is within r_q of q
-            frontier = (frontier.join(side, "__node")
-                        .filter(F.expr(_BOX_DIST) <= F.col("__rq"))
-                        .select("__key", "__zq", "__rq", "__own", F.col("__child").alias("__node")))
-        visits = (frontier.filter(F.col("__node") != F.col("__own"))
-                  .select("__key", F.col("__node").alias("__vb"))
-                  .join(blocked.select("__key", "__v"), "__key"))
-        # hash-split each visited leaf's visitors into chunks of ~chunk_size
-        per_leaf = visits.groupBy("__vb").agg(F.count(F.lit(1)).alias("__nv"))
-        n_chunks = per_leaf.select("__vb", F.greatest(F.lit(1), F.ceil(F.col("__nv") / chunk_size))
-                                   .cast("int").alias("__nc"))
-        visits_c = (visits.join(n_chunks, "__vb")
-                    .withColumn("__c", (hash_bits("__key", "knn_chunk") % F.col("__nc")).cast("int"))
-                    .drop("__nc"))
-        members = (blocked.select(F.col("__key").alias("__mkey"), F.col("__v").alias("__mv"),
-                                  F.col(leaf).alias("__vb"))
-                   .join(n_chunks, "__vb")
-                   .select("__mkey", "__mv", "__vb", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1)).alias("__c")))
-
-        def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if len(left) == 0 or len(right) == 0:
-                return _topk(np.zeros((0, len(cols))), np.zeros(0, dtype=np.int64),
-                             np.zeros((0, len(cols))), np.zeros(0, dtype=np.int64), k, False)
-            qv = np.stack(left["__v"].to_numpy())
-            mv = np.stack(right["__mv"].to_numpy())
-            return _topk(qv, left["__key"].to_numpy(dtype=np.int64), mv,
-                         right["__mkey"].to_numpy(dtype=np.int64), k, exclude_self=True)
-
-        remote = (visits_c.groupBy("__vb", "__c")
-                  .cogroup(members.groupBy("__vb", "__c"))
-                  .applyInPandas(visit, KNN_SCHEMA))
-        cand = local.unionByName(remote)
-    w = Window.partitionBy("__q").orderBy(F.col("__dist").asc(), F.col("__nbr").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(F.col("__q").alias(key), "rank", F.col("__nbr").alias("nbr_key"), F.col("__dist").alias("dist")))
+        block = block_size or 4 * leaf_rows(n)
+        found = _forest(points, directions, n, k, block, chunk_size or max(4096, block), tables, seed)
+    found = found.select("__q", "rank", "__nbr", "__dist")
+    if not whole:
+        names = numbered.select("__id", F.col(key).alias("__name"))
+        for side in ("__q", "__nbr"):
+            found = found.join(names, found[side] == names["__id"]).withColumn(side, F.col("__name")).drop("__id", "__name")
+    return found.select(F.col("__q").alias(key), "rank", F.col("__nbr").alias("nbr_key"), F.col("__dist").alias("dist"))
+
+
+def knn_exact(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block_size: int | None = None,
+              chunk_size: int | None = None, input_is_cut: bool = False, report: dict | None = None) -> DataFrame:
+    """``knn`` in its exact mode."""
+    return knn(df, key, cols, k, "exact", block_size, chunk_size, input_is_cut, report=report)
 
 
 def smote(df: DataFrame, key: str, features: Sequence[str], label: str, k: int = 5,
-          salt: str = "smote42", neighbours: DataFrame | None = None, block_size: int | None = None) -> DataFrame:
+          salt: str = "smote42", neighbours: DataFrame | None = None, block_size: int | None = None,
+          mode: str = "exact") -> DataFrame:
     """oversample the minority class up to the majority count. Each new
     row lies on the segment from a minority row to one of its k nearest
     minority rows, at a uniform point; everything random is a hash of
-    (key, copy number, salt), so reruns give the same rows. Each minority row
+    (key, copy number, salt), so reruns give the same rows. ``mode='lsh'`` takes
+    approximate neighbours. Each minority row
     makes floor(need / n_min) or one more copies (the extra copies go to the
     rows ranked first by a hash). Adds ``is_synthetic`` and ``copy_no`` (0 for
     an original, then 1, 2, ..): (key, copy_no) names every row."""
@@ -232,8 +386,8 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, k: int =
     if need <= 0 or n_min < 2:
         return base
     mino = df.filter(F.col(label) == minority).select(key, *features)
-    nn = neighbours if neighbours is not None else knn_exact(mino, key, features, k, block_size=block_size,
-                                                             input_is_cut=True)  # mino reads the cut df
+    nn = neighbours if neighbours is not None else knn(mino, key, features, k, mode, block_size=block_size,
+                                                       input_is_cut=True)  # mino reads the cut df
     kk = min(k, n_min - 1)
     per, extra = divmod(need, n_min)
     ranked = global_rank(mino.select(key).withColumn("__h", hash_bits(key, salt + ":extra")),

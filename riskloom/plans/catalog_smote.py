@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import prep as P
 from riskloom.operators.features import FEATURES
-from riskloom.operators.smote import knn_exact, smote
+from riskloom.operators.smote import knn, knn_exact, smote
 from riskloom.plans import hospital as H
 from riskloom.plans.oracle import hash_bits_sql, split_cte, with_views
 from riskloom.plans.registry import register
+from riskloom.session import cut_lineage
 
-# None: auto block size (two blocks per core, 256..4096 rows); at sf0.01
-# this still gives several blocks, so block visits are exercised
+# None: 128 rows a leaf, more where the layout sample is too small for so many
+# leaves; at sf0.01 this gives nine leaves, so both rounds are exercised
 KNN_BLOCK = None
 
 
@@ -39,12 +40,16 @@ def _dist_sql(a: str, b: str) -> str:
     return f"sqrt({acc})"
 
 
-KNN_SQL = with_views(f"""
-SELECT encounter_id, rank, dist FROM (
+def _knn_sql(select: str) -> str:
+    return with_views(f"""
+{select} FROM (
   SELECT a.encounter_id, {_dist_sql('a', 'b')} AS dist,
          CAST(row_number() OVER (PARTITION BY a.encounter_id ORDER BY {_dist_sql('a', 'b')}, b.encounter_id) AS INTEGER) AS rank
   FROM mi a JOIN mi b ON a.encounter_id <> b.encounter_id) WHERE rank <= 5""", "feat",
-    extra=_scaled_sql() + ",\nmi AS (SELECT * FROM st WHERE readmitted_binary = 1)")
+                      extra=_scaled_sql() + ",\nmi AS (SELECT * FROM st WHERE readmitted_binary = 1)")
+
+
+KNN_SQL = _knn_sql("SELECT encounter_id, rank, dist")
 
 
 @register("f5_knn_exact_distances", KNN_SQL)
@@ -56,6 +61,27 @@ def f5_knn_exact_distances(spark, sf_dir):
     return nn.select(H.KEY, "rank", "dist")
 
 
+@register("f5_knn_string_keys", _knn_sql("SELECT 'enc-' || encounter_id AS name, rank, dist"))
+def f5_knn_string_keys(spark, sf_dir):
+    """The same search with keys that are no integers."""
+    mino = scaled_train(spark, sf_dir).filter(F.col(H.LABEL) == 1)
+    named = mino.select(F.concat(F.lit("enc-"), F.col(H.KEY).cast("string")).alias("name"), *FEATURES)
+    return knn_exact(named, "name", FEATURES, k=5, block_size=KNN_BLOCK).select("name", "rank", "dist")
+
+
+@register("f5_knn_lsh_recall", _knn_sql("SELECT count(*) AS n_pairs, true AS recall_90"))
+def f5_knn_lsh_recall(spark, sf_dir):
+    """The approximate mode against the exact one: pairs of row and neighbour,
+    and whether nine of ten are found (by distance, so ties count)."""
+    mino = cut_lineage(scaled_train(spark, sf_dir).filter(F.col(H.LABEL) == 1).select(H.KEY, *FEATURES))
+    exact = knn_exact(mino, H.KEY, FEATURES, k=5, input_is_cut=True)
+    near = knn(mino, H.KEY, FEATURES, k=5, mode="lsh", input_is_cut=True).select(H.KEY, "rank", F.col("dist").alias("d"))
+    met = exact.join(near, [H.KEY, "rank"], "left")
+    return met.agg(F.count(F.lit(1)).alias("n_pairs"),
+                   (F.avg(F.coalesce(F.col("d") <= F.col("dist") + 1e-12, F.lit(False)).cast("double")) >= 0.9)
+                   .alias("recall_90"))
+
+
 @register("f5_smote_class_counts", with_views("""
 SELECT readmitted_binary, is_synthetic, count(*) AS n FROM st GROUP BY 1, 2
 UNION ALL

@@ -4,7 +4,7 @@ properties: balanced classes, synthetic rows on their segments."""
 import numpy as np
 from pyspark.sql import functions as F
 
-from riskloom.operators.smote import knn_exact, smote
+from riskloom.operators.smote import SplitTree, knn, knn_exact, smote, split_tree
 
 
 def _brute(points, k):
@@ -38,6 +38,66 @@ def test_knn_exact_matches_brute_force_with_hot_spot(spark):
         assert [d for _, d in sorted(lst)] == want[key]
 
 
+def _cloud(spark, n=1200, d=8):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(n - n // 3, d)), np.tile(rng.normal(size=d), (n // 3, 1))])
+    names = [f"x{i}" for i in range(d)]
+    return [(i, *map(float, r)) for i, r in enumerate(x)], names
+
+
+def test_best_first_search_visits_few_pairs(spark):
+    pts, names = _cloud(spark, 2400, 4)
+    df = spark.createDataFrame(pts, "id long, " + ", ".join(f"{c} double" for c in names))
+    report = {}
+    got = {}
+    for r in knn_exact(df, "id", names, k=4, block_size=60, report=report).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = round(r["dist"], 9)
+    want = _brute(pts, 4)
+    assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == want
+    assert report["leaves"] >= 40 and report["visited_share"] < 0.35  # a third of the rows are one point
+
+
+def test_keys_of_any_type(spark):
+    pts, names = _cloud(spark, 300, 3)
+    df = spark.createDataFrame([(f"k{p[0]:04d}", *p[1:]) for p in pts], "name string, " + ", ".join(f"{c} double" for c in names))
+    want = _brute(pts, 3)
+    got = {}
+    for r in knn_exact(df, "name", names, k=3, block_size=40).collect():
+        assert r["nbr_key"] != r["name"] and r["nbr_key"].startswith("k")
+        got.setdefault(int(r["name"][1:]), {})[r["rank"]] = round(r["dist"], 9)
+    assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == want
+
+
+def test_approximate_mode_finds_nine_of_ten(spark):
+    pts, names = _cloud(spark)
+    df = spark.createDataFrame(pts, "id long, " + ", ".join(f"{c} double" for c in names))
+    want = _brute(pts, 5)
+    hits = sum(r["dist"] <= want[r["id"]][r["rank"] - 1] + 1e-9
+               for r in knn(df, "id", names, k=5, mode="lsh", block_size=200).collect())
+    assert hits >= 0.9 * 5 * len(pts)
+
+
+def test_small_and_equal_tables(spark):
+    one = spark.createDataFrame([(1, 0.0)], "id long, a double")
+    assert knn_exact(one, "id", ["a"]).count() == 0
+    same = spark.createDataFrame([(i, 2.0) for i in range(50)], "id long, a double")
+    got = knn_exact(same, "id", ["a"], k=2, block_size=5).collect()
+    assert len(got) == 100 and all(r["dist"] == 0 for r in got)
+    assert [r["nbr_key"] for r in got if r["id"] == 7] == [0, 1]
+
+
+def test_split_tree_halves_the_widest_axis():
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(800, 3)) * [10, 1, 0.1]
+    tree = split_tree(v, np.eye(3), 16)
+    assert isinstance(tree, SplitTree) and tree.axis[0] == 0
+    sizes = np.unique(tree.leaf_of(v), return_counts=True)[1]
+    assert len(sizes) == 16 and sizes.min() == sizes.max() == 50
+    # one value holds most rows: it stays together, the rest is split off
+    tree = split_tree(np.array([[1.0]] * 60 + [[0.0]] * 20), np.eye(1), 4)
+    assert sorted(np.unique(tree.leaf_of(np.array([[1.0], [0.0]])), return_counts=True)[1]) == [1, 1]
+
+
 def test_smote_balances_and_stays_on_segments(spark):
     rng = np.random.default_rng(5)
     rows = [(i, int(i % 5 == 0), float(rng.normal()), float(rng.normal())) for i in range(600)]

@@ -6,11 +6,10 @@ intervention_cost, prevention_rate). Operating points come from ``confusion`` or
 
 from __future__ import annotations
 
-from itertools import islice
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import sized_broadcast
 
 SCENARIO_SCHEMA = ("scenario_id string, annual_volume double, readmission_cost double, "
                    "intervention_cost double, prevention_rate double")
@@ -23,20 +22,22 @@ def scenarios(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 SCENARIO_BLOCK = 5_000
 
 
+def scenario_blocks(scen: DataFrame, n_blocks: int) -> DataFrame:
+    """(__block, __all): the scenarios as arrays, one row a block."""
+    block = F.pmod(F.xxhash64(*scen.columns), F.lit(n_blocks)).cast("int")
+    return scen.groupBy(block.alias("__block")).agg(F.collect_list(F.struct(*scen.columns)).alias("__all"))
+
+
 def _with_scenarios(points: DataFrame, scen: DataFrame) -> DataFrame:
-    """Every operating point under every scenario. Scenarios are parameters:
-    they are taken in blocks of ``SCENARIO_BLOCK`` rows, each exploded as
-    literals next to the points, so no join is needed and none is refused."""
-    fields = scen.schema.fields
-    rows, out = scen.toLocalIterator(), None
-    while block := list(islice(rows, SCENARIO_BLOCK)):
-        structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in block]
-        part = (points.select("*", F.explode(F.array(*structs)).alias("__s"))
-                .select(*points.columns, *[F.col(f"__s.{f.name}").alias(f.name) for f in fields]))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = points.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).limit(0)
-    return out
+    """Every operating point under every scenario: scenarios travel in blocks
+    of about ``SCENARIO_BLOCK``, each point names the blocks, and an equi-join
+    on the block brings them together. The blocks are broadcast only after
+    their size was measured; nothing of them is in the plan or the driver."""
+    n_blocks = max(1, -(-scen.count() // SCENARIO_BLOCK))
+    named = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__block"))
+    joined = named.join(sized_broadcast(scenario_blocks(scen, n_blocks)), "__block")
+    return (joined.select(*points.columns, F.explode("__all").alias("__s"))
+            .select(*points.columns, *[F.col(f"__s.{c}").alias(c) for c in scen.columns]))
 
 
 def _money(tp, fp):

@@ -6,9 +6,9 @@ An unpartitioned ``Window.orderBy`` moves every row into one task. Instead:
    so runs of equal values spread as well and keys of any type, nulls
    included, lie as the sort order places them; the partition number is kept
    as the bucket and the result is cut in the checkpoint folder;
-2. per (group, bucket) totals are aggregated, and a prefix over them (at most
-   groups + partitions rows, as a group's buckets are neighbours) gives each
-   bucket its offset;
+2. per (group, bucket) totals are aggregated (at most groups + partitions
+   rows, as a group's buckets are neighbours), and a prefix over them in two
+   levels gives each bucket its offset, joined by the bucket;
 3. a window partitioned by (group, bucket) finishes the sum inside a bucket.
 
 All joins on group keys are null-safe: a null group is a group of its own.
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
+from riskloom.session import BROADCAST_MAX_ROWS, cut_lineage
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -55,6 +55,42 @@ def ranged(df: DataFrame, order: str, by: Sequence[str] = (), tiebreak: Sequence
     return cut_lineage(tied.repartitionByRange(n, *keys).withColumn("__b", F.spark_partition_id()))
 
 
+# Buckets that one window of the first level holds.
+SPAN = 1_024
+
+
+def offsets(sums: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(by..., __b, __off_<v>, __all_<v>): what lies before each bucket, and
+    the whole of its group, from one row (by..., __b, __t_<v>) a bucket.
+
+    Two levels: a window over spans of ``SPAN`` buckets, and one over the
+    totals of the spans, so the plan does not grow with the buckets and a
+    window holds a thousandth of them."""
+    by, values = list(by), list(values)
+    spans = sums.withColumn("__span", F.floor(F.col("__b") / SPAN).cast("long"))
+    before = Window.partitionBy(*by, "__span").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    inner = spans.select(*by, "__b", "__span",
+                         *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__in_{v}") for v in values])
+    group = by or [F.lit(0)]
+    earlier = Window.partitionBy(*group).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spans.groupBy(*by, "__span").agg(*[F.sum(f"__t_{v}").alias(f"__t_{v}") for v in values])
+    totals = totals.select(
+        *by, "__span",
+        *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__up_{v}") for v in values],
+        *[F.sum(f"__t_{v}").over(Window.partitionBy(*group)).alias(f"__all_{v}") for v in values])
+    return join_null_safe(inner, totals, [*by, "__span"], "inner").select(
+        *by, "__b", *[(F.col(f"__up_{v}") + F.col(f"__in_{v}")).alias(f"__off_{v}") for v in values],
+        *[f"__all_{v}" for v in values])
+
+
+def _attach(rows: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with their bucket's offsets. Without groups there is one row a
+    partition, which is broadcast while it is small."""
+    if by or rows.rdd.getNumPartitions() > BROADCAST_MAX_ROWS:
+        return join_null_safe(rows, found, [*by, "__b"])
+    return rows.join(F.broadcast(found), "__b", "left")
+
+
 def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = (),
                descending: bool = False, tiebreak: Sequence[str] = (), prefix: str = "cum_",
                inclusive: bool = True, n_parts: int | None = None, totals: str | None = None) -> DataFrame:
@@ -66,30 +102,8 @@ def prefix_sum(df: DataFrame, order: str, values: Sequence[str], by: Sequence[st
     by, values, tiebreak = list(by), list(values), list(tiebreak)
     rows = ranged(df, order, by, tiebreak, descending, n_parts)
     sums = rows.groupBy(*by, "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    types = {v: sums.schema[f"__t_{v}"].dataType for v in values}
     added = [f"__off_{v}" for v in values] + [f"__all_{v}" for v in values]
-    if by:
-        before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*by)
-        offsets = sums.select(*by, "__b",
-                              *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__off_{v}") for v in values],
-                              *[F.sum(f"__t_{v}").over(whole).alias(f"__all_{v}") for v in values])
-        joined = join_null_safe(rows, offsets, [*by, "__b"])
-    else:
-        # one row per partition: the offsets become literals
-        parts = sorted(sums.collect(), key=lambda r: r["__b"])
-        running, offset = dict.fromkeys(values, 0), {v: {} for v in values}
-        for r in parts:
-            for v in values:
-                offset[v][r["__b"]] = running[v]
-                running[v] += r[f"__t_{v}"] or 0
-
-        def literal(v: str) -> Column:
-            pairs = [x for b, o in offset[v].items() for x in (F.lit(b), F.lit(o).cast(types[v]))]
-            return F.create_map(*pairs)[F.col("__b")] if pairs else F.lit(0).cast(types[v])
-
-        joined = rows.select("*", *[literal(v).alias(f"__off_{v}") for v in values],
-                             *[F.lit(running[v]).cast(types[v]).alias(f"__all_{v}") for v in values])
+    joined = _attach(rows, offsets(sums, by, values), by)
     end = Window.currentRow if inclusive else -1
     inside = (Window.partitionBy(*by, "__b").orderBy(*_order(order, tiebreak, descending))
               .rowsBetween(Window.unboundedPreceding, end))

@@ -8,6 +8,7 @@ driver thread pool, as ``CrossValidator(parallelism=..)`` does.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -18,9 +19,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.clinical import hash_unit
 from riskloom.operators import evaluate as Ev
 from riskloom.operators.clean import align_features
 from riskloom.operators.compile import score_sql
@@ -39,6 +42,24 @@ class ModelSpec:
     params: dict = field(default_factory=dict)
 
 
+# Node ids are kept and cut in the checkpoint folder, so a deep or long fit
+# neither sends the trees again nor lets its lineage grow with its rounds.
+_DEEP = {"cacheNodeIds": True, "checkpointInterval": 10}
+HELD_OUT = "__held_out"
+
+
+def _held_out(p: dict) -> dict:
+    """With a share of rows held out, boosting stops where their error does."""
+    return {"validationIndicatorCol": HELD_OUT, "validationTol": p.get("validationTol", 0.01)} if p.get("held_out") else {}
+
+
+def _min_instances(p: dict) -> int:
+    """Spark bounds the rows of a child only. A node of fewer than
+    ``min_samples_split`` rows cannot have two children of at least half of
+    that, so the larger of both bounds stands for it."""
+    return max(p.get("minInstancesPerNode", 1), p.get("min_samples_split", 2) // 2)
+
+
 # --- fixed values: settings of the four models and the search ranges ---
 
 def base_models(fast: bool = False) -> dict[str, ModelSpec]:
@@ -51,20 +72,20 @@ def base_models(fast: bool = False) -> dict[str, ModelSpec]:
             regParam=p["regParam"], weightCol="__w"), "balanced", {"C": 1.0}),
         "forest": ModelSpec("forest", lambda p: RandomForestClassifier(
             numTrees=p.get("numTrees", trees), maxDepth=p.get("maxDepth", depth_rf),
-            minInstancesPerNode=p.get("minInstancesPerNode", 1), featureSubsetStrategy="sqrt",
-            weightCol="__w", seed=42), "balanced"),
+            minInstancesPerNode=_min_instances(p), featureSubsetStrategy="sqrt",
+            weightCol="__w", seed=42, **_DEEP), "balanced"),
         "gbt6": ModelSpec("gbt6", lambda p: GBTClassifier(
             maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 6 if not fast else 3),
             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
             featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all")),
             minInstancesPerNode=p.get("minInstancesPerNode", 1), minInfoGain=p.get("minInfoGain", 0.0),
-            weightCol="__w", seed=42), "positive"),
+            weightCol="__w", seed=42, **_DEEP, **_held_out(p)), "positive"),
         "gbt8": ModelSpec("gbt8", lambda p: GBTClassifier(
             maxIter=p.get("maxIter", rounds), maxDepth=p.get("maxDepth", 8 if not fast else 4),
             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
             featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all")),
             minInstancesPerNode=p.get("minInstancesPerNode", 1), minInfoGain=p.get("minInfoGain", 0.0),
-            weightCol="__w", seed=42), "positive"),
+            weightCol="__w", seed=42, **_DEEP, **_held_out(p)), "positive"),
     }
 
 
@@ -102,7 +123,9 @@ def fit_layout(df: DataFrame, key: str, rows_per_partition: int = FIT_ROWS) -> D
 
 def fit_model(spec: ModelSpec, train: DataFrame, key: str, label: str, features: Sequence[str],
               params: dict | None = None, pos_weight: float | None = None) -> PipelineModel:
-    """Assemble + estimator fitted on ``train`` (weights per ``spec``)."""
+    """Assemble + estimator fitted on ``train`` (weights per ``spec``). The
+    parameter ``held_out`` (a share) marks rows by a hash of the key on which
+    a boosted model watches its error to end its rounds."""
     p = dict(spec.params)
     p.update(params or {})
     counts = _class_counts(train, label)
@@ -111,6 +134,8 @@ def fit_model(spec: ModelSpec, train: DataFrame, key: str, label: str, features:
         # sklearn's C on the weighted sum  ==  regParam = 1 / (C * sum of weights) on the weighted mean
         sum_w = data.agg(F.sum("__w")).first()[0]
         p["regParam"] = 1.0 / (p.get("C", 1.0) * sum_w)
+    if p.get("held_out"):
+        data = data.withColumn(HELD_OUT, hash_unit(key, "held_out42") < p["held_out"])
     est = spec.make(p).setFeaturesCol("features").setLabelCol(label)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), est])
     return pipe.fit(fit_layout(data.withColumn(label, F.col(label).cast("double")), key))
@@ -142,6 +167,12 @@ def _metrics_row(scored: DataFrame, label: str, prob: str = "prob", threshold: f
     return r.asDict()
 
 
+def _judged(r: dict) -> dict:
+    """AUC, F1 and recall, and the rows they come from."""
+    return {"auc": r["auc"], "f1": r["f1"], "recall": r["recall"], "n": r["tn"] + r["fp"] + r["fn"] + r["tp"],
+            "n_pos": r["fn"] + r["tp"]}
+
+
 def cv_folds(train: DataFrame, key: str, label: str, k: int = 5, resample: Callable | None = None,
              full: DataFrame | None = None):
     """Fold tables for CV: resampled training part and untouched validation
@@ -159,6 +190,7 @@ class CompareResult:
     rows: list[dict]
     models: dict[str, PipelineModel]
     fold_rows: list[dict]
+    test_rows: list[dict] = field(default_factory=list)  # what each final fit was judged on, fold -1
 
 
 def compare_models(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
@@ -175,7 +207,7 @@ def compare_models(train: DataFrame, test: DataFrame, key: str, label: str, feat
         name, f = args
         m = fit_model(models[name], fold_train[f], key, label, features, pos_weight=pos_weight)
         r = _metrics_row(score(m, fold_val[f], threshold), label, threshold=threshold)
-        return {"model": name, "fold": f, "auc": r["auc"], "f1": r["f1"], "recall": r["recall"]}
+        return {"model": name, "fold": f, **_judged(r)}
 
     def run_final(name):
         m = fit_model(models[name], full_train, key, label, features, pos_weight=pos_weight)
@@ -194,7 +226,7 @@ def compare_models(train: DataFrame, test: DataFrame, key: str, label: str, feat
                      "test_precision": r["precision"], "test_specificity": r["specificity"],
                      "test_accuracy": r["accuracy"]})
         fitted[name] = m
-    return CompareResult(rows, fitted, fold_rows)
+    return CompareResult(rows, fitted, fold_rows, [{"model": name, "fold": -1, **_judged(r)} for name, _, r in finals])
 
 
 FOLD_SCHEMA = "model string, fold int, auc double, f1 double, recall double"
@@ -232,7 +264,8 @@ SEARCH_SPACES = {
     "gbt8": {"maxIter": (100, 500, "int"), "maxDepth": (3, 12, "int"), "stepSize": (0.01, 0.3, "log"),
              "subsamplingRate": (0.6, 1.0, "float"), "featureSubsetStrategy": (0.6, 1.0, "float"),
              "minInstancesPerNode": (5, 100, "int"), "minInfoGain": (1e-8, 10.0, "log")},
-    "forest": {"numTrees": (100, 500, "int"), "maxDepth": (5, 20, "int"), "minInstancesPerNode": (1, 10, "int")},
+    "forest": {"numTrees": (100, 500, "int"), "maxDepth": (5, 20, "int"), "min_samples_split": (2, 20, "int"),
+               "minInstancesPerNode": (1, 10, "int")},
     "logreg": {"C": (1e-4, 10.0, "log")},
 }
 
@@ -254,32 +287,76 @@ def sample_params(space: dict, n: int, seed: int = 42) -> list[dict]:
     return out
 
 
+TRIAL_SCHEMA = "trial int, fold int, params string, auc double, f1 double, recall double, n long, n_pos long"
+
+
+@dataclass
+class SearchResult:
+    model: PipelineModel
+    best: dict
+    best_trial: int
+    best_auc: float
+    test_row: dict
+    trials: list[dict]
+
+
+def read_trials(spark, table: str) -> DataFrame:
+    """The finished (trial, fold) rows of a search."""
+    try:
+        return spark.read.schema(TRIAL_SCHEMA).parquet(table)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], TRIAL_SCHEMA)
+
+
 def random_search(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
                   spec: ModelSpec, space: dict, n_trials: int, resample: Callable | None = None,
-                  k: int = 5, seed: int = 42, parallelism: int = 8,
-                  threshold: float = 0.5, folds=None, pos_weight: float | None = None):
+                  k: int = 5, seed: int = 42, parallelism: int = 8, threshold: float = 0.5, folds=None,
+                  pos_weight: float | None = None, table: str | None = None) -> SearchResult:
     """``n_trials`` seeded random trials scored by mean CV AUC; the best
-    is refit on the resampled training table and evaluated on test."""
-    fold_train, fold_val, full_train = folds or cv_folds(train, key, label, k, resample)
+    is refit on the resampled training table and evaluated on test.
+
+    ``table`` names a folder of the shared store: every finished (trial, fold)
+    is written there at once, and a rerun with the same settings skips what
+    it finds, so a search that was ended goes on where it stood. A stored
+    trial whose parameters differ is an error. A trial with an undefined fold
+    cannot win; a search in which no trial is defined is an error."""
+    spark = train.sparkSession
     trials = sample_params(space, n_trials, seed)
+    text = [json.dumps(t, sort_keys=True) for t in trials]
+    done = {} if table is None else {(r["trial"], r["fold"]): r.asDict() for r in read_trials(spark, table).collect()}
+    for (i, _), r in done.items():
+        if i < n_trials and r["params"] != text[i]:
+            raise ValueError(f"{table} holds trial {i} of another search")
+    fold_train, fold_val, full_train = folds or cv_folds(train, key, label, k, resample)
 
     def run(args):
         i, f = args
+        if args in done:
+            return done[args]
         m = fit_model(spec, fold_train[f], key, label, features, params=trials[i], pos_weight=pos_weight)
         r = _metrics_row(score(m, fold_val[f], threshold), label, threshold=threshold)
-        return {"model": str(i), "fold": f, "auc": r["auc"], "f1": r["f1"], "recall": r["recall"]}
+        row = {"trial": i, "fold": f, "params": text[i], **_judged(r)}
+        if table is not None:
+            # a folder of its own, as fits end at the same time; the file shows up when it is whole
+            names = [c.split()[0] for c in TRIAL_SCHEMA.split(", ")]
+            one = spark.createDataFrame([tuple(row[c] for c in names)], TRIAL_SCHEMA).drop("trial", "fold").coalesce(1)
+            one.write.mode("overwrite").parquet(f"{table}/trial={i}/fold={f}")
+        return row
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        res = list(pool.map(run, [(i, f) for i in range(len(trials)) for f in range(k)]))
-    means = cv_means(train.sparkSession, res)
-    cv = [(means[str(i)]["cv_auc"] or 0.0, -i) for i in range(len(trials))]
-    best_auc, neg_i = max(cv)
-    best = trials[-neg_i]
-    model = fit_model(spec, full_train, key, label, features, params=best, pos_weight=pos_weight)
+        res = list(pool.map(run, [(i, f) for i in range(n_trials) for f in range(k)]))
+    means = cv_means(spark, [{**r, "model": str(r["trial"])} for r in res])
+    defined = [i for i in range(n_trials) if means[str(i)]["failed_folds"] == 0]
+    if not defined:
+        raise ValueError("random_search: no trial has an AUC on every fold")
+    best = max(defined, key=lambda i: (means[str(i)]["cv_auc"], -i))
+    model = fit_model(spec, full_train, key, label, features, params=trials[best], pos_weight=pos_weight)
     test_row = _metrics_row(score(model, test, threshold), label, threshold=threshold)
-    trial_rows = [{"trial": i, **{k_: float(v) for k_, v in t.items()}, "cv_auc": cv[i][0],
-                   "failed_folds": means[str(i)]["failed_folds"]} for i, t in enumerate(trials)]
-    return model, best, best_auc, test_row, trial_rows
+    rows = [{"trial": i, **{k_: float(v) for k_, v in t.items()}, "cv_auc": means[str(i)]["cv_auc"],
+             "failed_folds": means[str(i)]["failed_folds"]} for i, t in enumerate(trials)]
+    return SearchResult(model, trials[best], best, means[str(best)]["cv_auc"], test_row, rows)
 
 
 # ---------------------------------------------------------------- G9, A5

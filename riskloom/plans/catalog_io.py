@@ -7,6 +7,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -20,11 +21,13 @@ from riskloom.operators.prep import assemble
 from riskloom.plans import catalog_ml as M
 from riskloom.plans import hospital as H
 from riskloom.plans.catalog_eval import _report_sql, YOUDEN_SQL, ev_sql, roc_sql
+from riskloom.plans.catalog_score import SAVED, SAVED_SQL
 from riskloom.plans.oracle import split_cte, with_views
 from riskloom.plans.registry import register
 from riskloom.session import checkpoint_dir, table_path
 from riskloom.sources.encounters import (
-    DEFAULT_NA_TOKENS, NA_TOKENS, encounter_schema, load_encounters, read_encounters,
+    DEFAULT_NA_TOKENS, NA_TOKENS, encounter_schema, load_encounters, read_encounters, reject_counts,
+    rejected_encounters,
 )
 from riskloom.sources.lookup import (
     HEADER, PACKAGED_ID_MAPPING, packaged_id_mapping, read_sectioned_lookup,
@@ -81,6 +84,46 @@ def a1_csv_scan(spark, sf_dir):
     return read_encounters(spark, path)
 
 
+# ids whose records are spoilt: the rest of the id by 10 -> what becomes of the record
+_SPOILT = {3: "short", 4: "long", 5: "unparsable"}
+
+
+def _spoilt_csv(spark, sf_dir) -> str:
+    """The encounters as CSV text in which some records have two fields too
+    few, one too many, or a word for a number; every file has the header."""
+    raw = load_encounters(spark, sf_dir)
+    header = ",".join(raw.columns)
+    rest = F.col("encounter_id") % 10
+    whole = F.to_csv(F.struct(*[F.when(rest == 5, F.lit("many")).otherwise(F.col(c).cast("string")).alias(c)
+                                if c == "num_procedures" else F.col(c) for c in raw.columns]))
+    cut = F.to_csv(F.struct(*raw.columns[:-2]))
+    line = F.when(rest == 3, cut).when(rest == 4, F.concat(whole, F.lit(",x"))).otherwise(whole)
+
+    def with_header(frames):
+        yield pd.DataFrame({"value": [header]})
+        yield from frames
+
+    path = os.path.join(checkpoint_dir(spark), f"spoilt-{uuid.uuid4().hex}.csv")
+    raw.select(line.alias("value")).mapInPandas(with_header, "value string").write.text(path)
+    return path
+
+
+@register("a1_bad_records", with_views("""
+SELECT CASE encounter_id % 10 WHEN 3 THEN 'short' WHEN 4 THEN 'long' WHEN 5 THEN 'unparsable' ELSE 'kept' END AS reason,
+       CASE WHEN encounter_id % 10 = 5 THEN 'num_procedures' END AS "column", count(*) AS n,
+       CASE WHEN encounter_id % 10 NOT IN (3, 4, 5) THEN CAST(sum(encounter_id) AS BIGINT) END AS id_sum
+FROM enc GROUP BY 1, 2, encounter_id % 10 NOT IN (3, 4, 5)"""))
+def a1_bad_records(spark, sf_dir):
+    """A1 over a file with records that do not fit: the kept rows, and the
+    rejected ones by reason and column."""
+    path = _spoilt_csv(spark, sf_dir)
+    kept = read_encounters(spark, path).agg(
+        F.lit("kept").alias("reason"), F.lit(None).cast("string").alias("column"), F.count(F.lit(1)).alias("n"),
+        F.sum("encounter_id").alias("id_sum"))
+    bad = reject_counts(rejected_encounters(spark, path)).withColumn("id_sum", F.lit(None).cast("long"))
+    return kept.unionByName(bad)
+
+
 def _decode_sql() -> str:
     parts = []
     for src, dst in H.ID_COLUMNS.items():
@@ -148,6 +191,24 @@ def a4_results_roundtrip(spark, sf_dir):
     return read_results(spark, out, ["threshold_report"])["threshold_report"]
 
 
+def _roc_through(spark, sf_dir, fmt: str):
+    """The ROC table (its first threshold is +inf) through a result set."""
+    out = os.path.join(checkpoint_dir(spark), f"results-{uuid.uuid4().hex}")
+    roc = Ev.roc_points(H.scored_test(spark, sf_dir), "label", "score")
+    write_results({"roc_points": roc, "summary": roc.agg(F.count(F.lit(1)).alias("n"))}, out, fmt)
+    return read_results(spark, out, ["roc_points"])["roc_points"]
+
+
+@register("a3_results_csv", ev_sql("SELECT * FROM roc", extra=roc_sql("scored", [])))
+def a3_results_csv(spark, sf_dir):
+    return _roc_through(spark, sf_dir, "csv")
+
+
+@register("a3_results_json", ev_sql("SELECT * FROM roc", extra=roc_sql("scored", [])))
+def a3_results_json(spark, sf_dir):
+    return _roc_through(spark, sf_dir, "json")
+
+
 @register("f6_assemble", with_views(
     "SELECT encounter_id, [" + ", ".join(f"CAST({f} AS DOUBLE)" for f in FEATURES) + "] AS features FROM feat",
     "feat"))
@@ -181,8 +242,17 @@ def g9_screen_stream(spark, sf_dir):
     appended to a parquet sink (availableNow trigger)."""
     m = M.model_bundle(spark, sf_dir, "logreg")
     d = M.data_bundle(spark, sf_dir)
-    lineitem = spark.read.parquet(table_path(sf_dir, "lineitem"))
-    return run_screen_stream(spark, sf_dir, lineitem, m, d["scaler"], FEATURES, 0.5)
+    return run_screen_stream(spark, sf_dir, table_path(sf_dir, "lineitem"), m, d["scaler"], FEATURES, 0.5)
+
+
+@register("g9_screen_stream_saved", with_views(
+    f"SELECT encounter_id, prob, prob >= {SAVED.threshold}::DOUBLE AS flagged, "
+    f"CASE WHEN prob >= {SAVED.threshold}::DOUBLE THEN 'High' WHEN prob >= {0.6 * SAVED.threshold!r}::DOUBLE THEN 'Medium' "
+    "ELSE 'Low' END AS band FROM saved", "feat", extra=SAVED_SQL.replace("FROM te)", "FROM feat)")))
+def g9_screen_stream_saved(spark, sf_dir):
+    """G9 on the stream by value: the saved model over every arriving order."""
+    return run_screen_stream(spark, sf_dir, table_path(sf_dir, "lineitem"), SAVED.probability(), SAVED.scaler,
+                             SAVED.features, SAVED.threshold)
 
 
 @register("g9_bands", ev_sql("""

@@ -60,11 +60,13 @@ def run_end_to_end(spark: SparkSession, sf_dir: str | None = None, out_dir: str
     models = G.base_models(fast=fast)
     cmp = G.compare_models(plain_train, test, H.KEY, H.LABEL, FEATURES, models, resample=rs, k=k, folds=folds)
     best = G.best_model(spark, cmp.rows)
-    tuned, params, cv_auc, test_row, trials = G.random_search(
+    # the finished trials lie beside the results: a rerun goes on where it stood
+    found = G.random_search(
         plain_train, test, H.KEY, H.LABEL, FEATURES, models[best], G.SEARCH_SPACES[best], n_trials,
-        resample=rs, k=k, folds=folds)
+        resample=rs, k=k, folds=folds, table=os.path.join(out_dir, f"trials-{best}-table") if out_dir else None)
+    tuned, test_row = found.model, found.test_row
     comparison = Ev.comparison_table(G.results_table(spark, cmp.rows), G.results_table(spark, [{
-        "model": f"{best} (tuned)", "position": len(cmp.rows), "cv_auc": cv_auc, "test_auc": test_row["auc"],
+        "model": f"{best} (tuned)", "position": len(cmp.rows), "cv_auc": found.best_auc, "test_auc": test_row["auc"],
         "test_f1": test_row["f1"], "test_recall": test_row["recall"], "test_precision": test_row["precision"],
         "test_specificity": test_row["specificity"], "test_accuracy": test_row["accuracy"]}]))
 
@@ -92,7 +94,7 @@ def run_end_to_end(spark: SparkSession, sf_dir: str | None = None, out_dir: str
     importance = J.global_importance(J.to_long(wide))
 
     tables = {
-        "dataset_summary": summary, "model_comparison": comparison, "trials": spark.createDataFrame(trials),
+        "dataset_summary": summary, "model_comparison": comparison, "trials": spark.createDataFrame(found.trials),
         "roc_points": roc, "threshold_report": report, "confusion": confusion, "fairness_groups": audit,
         "fairness_summary": fairness, "feature_importance": importance,
         "local_explanation": J.local_explanation(wide),

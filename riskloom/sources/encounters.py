@@ -10,7 +10,7 @@ text feeds our queries and the DuckDB oracle (``encounters_sql``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,21 +156,78 @@ def encounter_schema() -> T.StructType:
     return T.StructType(fields)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _scan(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, int]:
+    """The CSV with every record's text where it does not fit the schema, and
+    the number of fields of the header."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+    own = {f.name: f for f in schema.fields}
+    as_read = [own.get(c, T.StructField(c, T.StringType())) for c in header]
+    df = (spark.read.schema(T.StructType([*as_read, T.StructField(CORRUPT, T.StringType())]))
+          .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+          .option("columnPruning", False)  # a pruned reader does not count a record's fields
+          .option("escape", '"').option("multiLine", False).csv(path))
+    return df, len(header)
+
+
 def read_encounters(spark: SparkSession, path: str, schema: T.StructType | None = None,
                     na_tokens: list[str] | None = None) -> DataFrame:
     """A1: CSV scan with header and a declared schema. Columns are matched to
     the header by name, in any order: a missing one is an error, further ones
     are left out. The extra NA tokens, on top of the default ones, become
-    nulls in the string columns (Spark's reader takes a single nullValue)."""
+    nulls in the string columns (Spark's reader takes a single nullValue).
+    Records that do not fit the header or the types are left out here and
+    returned by ``rejected_encounters``; an NA token in a numeric column is a
+    null there and no misfit."""
     from riskloom.operators.clean import normalise_nulls
 
     schema = schema or encounter_schema()
-    header = spark.read.option("header", True).csv(path).columns
-    missing = [f.name for f in schema.fields if f.name not in header]
-    if missing:
-        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
-    own = {f.name: f for f in schema.fields}
-    as_read = T.StructType([own.get(c, T.StructField(c, T.StringType())) for c in header])
-    df = (spark.read.schema(as_read).option("header", True).option("mode", "PERMISSIVE")
-          .option("multiLine", False).csv(path).select(*schema.names))
-    return normalise_nulls(df, [*DEFAULT_NA_TOKENS, *(NA_TOKENS if na_tokens is None else na_tokens)])
+    tokens = [*DEFAULT_NA_TOKENS, *(NA_TOKENS if na_tokens is None else na_tokens)]
+    df, fields = _scan(spark, path, _texts(schema))
+    fits = normalise_nulls(df.filter(_misfit(schema, fields, tokens).isNull()).select(*schema.names), tokens)
+    return fits.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def rejected_encounters(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                        na_tokens: list[str] | None = None) -> DataFrame:
+    """A1: (reason, column, record): the records that ``read_encounters``
+    leaves out. ``short`` and ``long`` have another number of fields than the
+    header, ``unparsable`` a number that is none (its first column is named)."""
+    schema = schema or encounter_schema()
+    tokens = [*DEFAULT_NA_TOKENS, *(NA_TOKENS if na_tokens is None else na_tokens)]
+    df, fields = _scan(spark, path, _texts(schema))
+    reason = _misfit(schema, fields, tokens)
+    record = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*df.columns[:-1])))
+    return (df.select(reason.alias("_why"), record.alias("record")).filter(F.col("_why").isNotNull())
+            .select("_why.*", "record"))
+
+
+def reject_counts(rejected: DataFrame) -> DataFrame:
+    """Rejected records by reason and column."""
+    return rejected.groupBy("reason", "column").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _texts(schema: T.StructType) -> T.StructType:
+    """All columns as text: numbers are parsed after the NA tokens."""
+    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+
+
+def _misfit(schema: T.StructType, fields: int, tokens: list[str]) -> Column:
+    """(reason, column) of a record that does not fit, else null."""
+    bare = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
+    found = F.size(F.split(bare, ",", -1))
+    why = F.when(F.col(CORRUPT).isNotNull(), F.struct(
+        F.when(found < fields, "short").when(found > fields, "long").otherwise("unparsable").alias("reason"),
+        F.lit(None).cast("string").alias("column")))
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            text = F.trim(F.col(f.name))
+            bad = text.isNotNull() & ~text.isin("", *tokens) & F.col(f.name).try_cast(f.dataType).isNull()
+            why = F.coalesce(why, F.when(bad, F.struct(F.lit("unparsable").alias("reason"),
+                                                       F.lit(f.name).alias("column"))))
+    return why

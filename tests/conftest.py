@@ -9,8 +9,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
+    from riskloom.plans import catalog_ml
     from riskloom.session import get_session
 
+    catalog_ml.PROFILE["fast"] = True  # models of 10 trees or rounds
     s = get_session("local[4]", app="riskloom-tests", shuffle_partitions=4)
     yield s
     s.stop()

@@ -7,7 +7,7 @@ set or the one before; a write that fails leaves the old set readable. Tables
 are written by the executors as Parquet, CSV or JSON.
 
 Fixed texts of doubles in CSV and JSON: ``Infinity``, ``-Infinity``, ``NaN``.
-In CSV ``\\N`` is null, so an empty field is the empty text.
+In CSV ``\\N`` is null and ``""`` is the empty text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 FORMATS = {
     "parquet": {},
     "csv": {"header": "true", "positiveInf": "Infinity", "negativeInf": "-Infinity", "nanValue": "NaN", "escape": '"',
-            "nullValue": "\\N", "emptyValue": "",
+            "nullValue": "\\N",
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": "true"},
     "json": {"ignoreNullFields": "false"},
 }

@@ -9,8 +9,9 @@ node, is content. Elements whose name, role or class says what they are
 stand, since their text may vary as well.
 
 References are up to ``REFERENCES`` pages per host, spread over the host by a
-hash; a reference that shares most of its blocks with the page is a copy and
-no evidence, and two others must agree before a node counts as template.
+hash; a reference that shares most of the blocks that are the page's own (not
+on most references) is a copy and no evidence, and two others must agree
+before a node counts as template.
 Every page is aligned. The references are broadcast when their measured size
 allows; else pages are dealt by host, but those of hot hosts, which are
 bounded in number, stay in place.
@@ -24,7 +25,9 @@ null; only id, url and html are read. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -39,7 +42,8 @@ from riskloom.session import cut_lineage
 
 REFERENCES = 6
 AGREE = 2              # references that must agree on a template node
-COPY_SHARE = 0.5       # blocks shared beyond this: a copy, no evidence
+COPY_SHARE = 0.5       # a page's own blocks shared beyond this: a copy, no evidence
+COMMON_SHARE = 2 / 3   # references with a block beyond this: the host's, not a page's own
 BROADCAST_CHARS = 32 << 20
 LINK_SHARE = 0.5       # without an article, a block of mostly links is a menu
 
@@ -64,11 +68,19 @@ DROP_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponso
     notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing
     social related recommended comment comments respond disqus discussion pagination pager toolbar widget
     copyright form search""".split())
+# Words that may stand beside those in a compound name: "site-footer" is a
+# footer, "form-of-government" is no form.
+PLAIN_WORDS = frozenset("""site page main top bottom left right box block bar list item items link links button
+    buttons wrap wrapper container inner outer area section panel slot unit post posts article articles story
+    stories content header title text body row col column group holder region global primary secondary small
+    large big inline mobile desktop sticky fixed floating js id the our my a more also read you may like policy
+    message user reader entry entries module count counter bottom icon icons media tag tags""".split())
 COMMENT_WORDS = frozenset("comment comments disqus respond".split())
 CONTENT_WORDS = frozenset("content article post entry story maincontent".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# a quote opens a value only after "="; elsewhere, and inside a bare value, it is a character
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^>])*+)>|<[!?][^>]*>", re.S)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -97,6 +109,19 @@ def _words(value: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(value)}
 
 
+def _says_furniture(names: str, whole_only: bool = False) -> bool:
+    """Whether a class or id names furniture: a whole name of the list, or a
+    compound of such words and plain ones."""
+    for name in names.split():
+        parts = [w.lower() for w in _WORD.findall(name)]
+        named = [w in DROP_WORDS or w.isdigit() for w in parts]
+        if not any(w in DROP_WORDS for w in parts):
+            continue
+        if all(named) or (not whole_only and all(n or w in PLAIN_WORDS for n, w in zip(named, parts, strict=True))):
+            return True
+    return False
+
+
 def _node(tag: str, raw: str) -> Node:
     if not raw or raw == "/":
         return Node(tag, tag, tag in DROP_TAGS, {"article": 3, "main": 2}.get(tag, 0))
@@ -111,7 +136,7 @@ def _node(tag: str, raw: str) -> Node:
     elif tag == "article":
         furniture = bool(words & COMMENT_WORDS)
     else:
-        furniture = furniture or bool(words & DROP_WORDS)
+        furniture = furniture or _says_furniture(named, tag == "p" or tag in HEADINGS)
     region = {"article": 3, "main": 2}.get(tag, 0)
     if role == "main" or at.get("itemprop") == "articleBody":
         region = 2
@@ -185,7 +210,7 @@ def parse(html: str) -> Node:
             stack[-1].children.append(node)
             if not m[3].endswith("/"):
                 stack.append(node)
-        elif tag not in VOID and "class" in m[3] and _words(_attributes(m[3]).get("class", "")) & DROP_WORDS:
+        elif tag not in VOID and "class" in m[3] and _says_furniture(_attributes(m[3]).get("class", "")):
             # an inline advert or the like: a node of its own until it closes
             flush()
             node = _node(tag, m[3])
@@ -225,32 +250,33 @@ def shape_of(root: Node) -> tuple[Shape, dict[int, int]]:
     (by identity). Blocks under a repeated node have none."""
     shape, index = Shape([], [], [], [], []), {}
 
-    def walk(node: Node, depth: int, inside: bool) -> None:
-        prev = None
-        kids = node.children
-        runs = [(k, isinstance(k, Text)) for k in kids]
-        labels = ["#text" if is_text else k.label for k, is_text in runs]
-        for i, (kid, is_text) in enumerate(runs):
+    def labels_of(node: Node) -> list[str]:
+        return ["#text" if isinstance(k, Text) else k.label for k in node.children]
+
+    # (node, its depth, inside a repeated node, next child, labels): no recursion, pages may be deep
+    stack = [(root, 0, False, 0, labels_of(root))]
+    while stack:
+        node, depth, inside, i, labels = stack.pop()
+        while i < len(labels):
+            kid, label = node.children[i], labels[i]
+            is_text = label == "#text" and isinstance(kid, Text)
             if is_text:
                 shape.blocks.append(_hash(kid.value))
-            again = labels[i] == prev
-            many = again or (i + 1 < len(labels) and labels[i + 1] == labels[i])
-            prev = labels[i]
-            if again or inside:
-                if not is_text:
-                    walk(kid, depth + 1, True)
-                continue
-            shape.depth.append(depth)
-            shape.label.append(labels[i])
-            shape.many.append(int(many))
-            shape.own.append(_hash(kid.value) if is_text and not many else None)
-            if is_text:
-                if not many:
+            again = i > 0 and labels[i - 1] == label
+            many = again or (i + 1 < len(labels) and labels[i + 1] == label)
+            i += 1
+            hidden = again or inside
+            if not hidden:
+                shape.depth.append(depth)
+                shape.label.append(label)
+                shape.many.append(int(many))
+                shape.own.append(_hash(kid.value) if is_text and not many else None)
+                if is_text and not many:
                     index[id(kid)] = len(shape.depth) - 1
-            else:
-                walk(kid, depth + 1, many)
-
-    walk(root, 0, False)
+            if not is_text:
+                stack.append((node, depth, inside, i, labels))
+                stack.append((kid, depth + 1, True if hidden else many, 0, labels_of(kid)))
+                break
     return shape, index
 
 
@@ -279,11 +305,16 @@ def tree_match(a: Shape, b: Shape) -> list[tuple[int, int]]:
         return m
 
     def match(x: int, y: int) -> int:
-        if a.label[x] != b.label[y]:
-            return 0
-        if (x, y) not in score:
+        return score.get((x, y), 0)
+
+    # pairs of equal labels under pairs of equal labels, level by level, then
+    # scored from the deepest level up
+    levels = [[(x, y) for x in ka[-1] for y in kb[-1] if a.label[x] == b.label[y]]]
+    while levels[-1]:
+        levels.append([(x, y) for p, q in levels[-1] for x in ka[p] for y in kb[q] if a.label[x] == b.label[y]])
+    for level in reversed(levels):
+        for x, y in level:
             score[x, y] = 1 + table(ka[x], kb[y])[-1][-1]
-        return score[x, y]
 
     pairs: list[tuple[int, int]] = []
     todo = [(ka[-1], kb[-1])]
@@ -310,6 +341,9 @@ class Wrapper:
     def __init__(self, dumps: list[str]):
         self.shapes = [Shape(*json.loads(d)) for d in sorted(set(dumps))]
         self.blocks = [set(s.blocks) for s in self.shapes]
+        counts = Counter(x for blocks in self.blocks for x in blocks)
+        most = max(AGREE, math.ceil(COMMON_SHARE * len(self.shapes)))
+        self.common = {x for x, n in counts.items() if n >= most}
         self.aligned: dict[str, list[list[tuple[int, int]]]] = {}
 
     def template(self, shape: Shape) -> set[int]:
@@ -321,7 +355,10 @@ class Wrapper:
             if len(self.aligned) >= 256:
                 self.aligned.clear()
             self.aligned[key] = [tree_match(shape, s) for s in self.shapes]
-        mine, same, other = set(shape.blocks), {}, set()
+        # what most references hold says nothing about copies
+        mine, same, other = set(shape.blocks) - self.common, {}, set()
+        if not mine:
+            return set()
         for ref, blocks, pairs in zip(self.shapes, self.blocks, self.aligned[key], strict=True):
             if len(mine & blocks) > COPY_SHARE * len(mine):
                 continue
@@ -354,18 +391,18 @@ def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
         todo += [k for k in node.children if isinstance(k, Node) and not k.furniture]
     out: list[str] = []
 
-    def walk(node: Node, inside: bool, header: bool) -> None:
-        inside = inside or node.region == best
-        header = header or node.tag == "header"
-        for kid in node.children:
-            if isinstance(kid, Node):
-                if not kid.furniture:
-                    walk(kid, inside, header)
-            elif inside and not (header and node.tag not in HEADINGS) and index.get(id(kid)) not in template:
-                if best > 1 or kid.linked <= LINK_SHARE * len(kid.value):
-                    out.append(kid.value)
-
-    walk(root, best == 0, False)
+    # children in page order from a stack, so the last child goes on it first
+    todo = [(root, root, best == 0, False)]
+    while todo:
+        node, parent, inside, header = todo.pop()
+        if isinstance(node, Node):
+            inside = inside or node.region == best
+            header = header or node.tag == "header"
+            todo += [(kid, node, inside, header) for kid in reversed(node.children)
+                     if isinstance(kid, Text) or not kid.furniture]
+        elif inside and not (header and parent.tag not in HEADINGS) and index.get(id(node)) not in template:
+            if best > 1 or node.linked <= LINK_SHARE * len(node.value):
+                out.append(node.value)
     return "\n\n".join(out)
 
 

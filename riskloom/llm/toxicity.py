@@ -7,8 +7,9 @@ grows with the chi-square of the term against the label, so a term that tells
 little counts little, but none is left out. A text's terms that no example
 holds count in its length. All examples are scored for every text with a
 word: frequent terms by a matrix product, the others by their postings.
-Neighbours vote by the inverse of their distance; the votes, smoothed by the
-base rate, are the score, and the nearest examples are its evidence.
+The 25 nearest vote by the inverse of their distance, and examples that tie at
+the last place share it, so ids decide nothing; the votes, smoothed by the base
+rate, are the score, and the nearest examples are its evidence.
 
 The classifier is fitted on a bounded sample: at most ``EXAMPLES`` labelled
 rows per label, the smallest by a hash of the id. Votes are weighed back to
@@ -189,19 +190,25 @@ class Index:
         return out
 
     def nearest(self, idx: np.ndarray, tf: np.ndarray, other: float,
-                k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties by place), exactly."""
+                k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Examples of the k largest cosines, their cosines and shares."""
         return self._best(self.cosines([(idx, tf, other)])[0], k)
 
-    def _best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All examples that reach the k-th cosine, by cosine. Those that tie
+        at it share the places that are left, so nothing but the texts decides
+        who votes."""
         cos = np.round(cos, 9)  # the order of a sum does not break ties
-        ids = np.flatnonzero(cos >= np.partition(cos, len(cos) - k)[len(cos) - k]) if len(cos) > k else np.arange(len(cos))
-        ids = ids[np.lexsort((ids, -cos[ids]))[:k]]
-        return ids, cos[ids]
+        least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else -np.inf
+        ids = np.flatnonzero(cos >= least)
+        ids = ids[np.argsort(-cos[ids], kind="stable")]
+        tied = cos[ids] == least
+        share = np.where(tied, (k - (~tied).sum()) / max(tied.sum(), 1), 1.0)
+        return ids, cos[ids], share
 
     def votes(self, queries: list[tuple]) -> list[tuple[float, list]]:
-        """Score in [0, 1] and the ids of the three nearest examples, for
-        each (terms, counts, other)."""
+        """Score in [0, 1] and the ids of three nearest examples (of equally
+        near ones those of least id), for each (terms, counts, other)."""
         out: list[tuple[float, list]] = []
         for lo in range(0, len(queries), QUERIES):
             part = queries[lo: lo + QUERIES]
@@ -211,10 +218,12 @@ class Index:
                 if not len(idx) or not self.docs:
                     out.append((self.base if other else self.empty, []))
                     continue
-                ids, cos = self._best(next(cosines))
-                ids, cos = ids[cos > 0], cos[cos > 0]
-                near = NEAR / (NEAR + np.maximum(1 - cos, 0))
-                toxic, clean = (near * self.toxic[ids]).sum(), (near * self.clean[ids]).sum()
+                ids, cos, share = self._best(next(cosines))
+                some = cos > 0
+                ids, cos, share = ids[some], cos[some], share[some]
+                near = share * NEAR / (NEAR + np.maximum(1 - cos, 0))
+                # rounded, as equal votes may be added in another order
+                toxic, clean = (round(float((near * y[ids]).sum()), 9) for y in (self.toxic, self.clean))
                 score = (toxic + SMOOTH * self.base) / (toxic + clean + SMOOTH)
                 out.append((float(min(max(score, 0.0), 1.0)), [self.docs[i] for i in ids[:3]]))
         return out

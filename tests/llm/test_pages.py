@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from riskloom.llm import pages
@@ -110,3 +111,50 @@ def test_tree_matching_is_the_largest():
         assert all(a.label[x] == b.label[y] for x, y in pairs)
         order = sorted(pairs)
         assert [y for _, y in order] == sorted(y for _, y in pairs)
+
+
+# ---- names, quotes, depth and short pages
+
+@pytest.mark.parametrize("block", [
+    "<div class='search-results-explained'>kept</div>", "<p class='form-of-government'>kept</p>",
+    "<section id='related-work'>kept</section>", "<h2 class='social-history'>kept</h2>"])
+def test_article_blocks_with_telling_words_stay(block):
+    assert pages.main_text(f"<article>{block}<p>more</p></article>") == "kept\n\nmore"
+
+
+@pytest.mark.parametrize("block", [
+    "<div class='search'>gone</div>", "<p class='notice'>gone</p>", "<div class='site-footer'>gone</div>",
+    "<div id='ad-slot-3'>gone</div>", "<section class='wide relatedPosts'>gone</section>",
+    "<div class='cookie_banner'>gone</div>", "<span class='advert'>gone</span>"])
+def test_named_furniture_goes(block):
+    assert pages.main_text(f"<article><p>more</p>{block}</article>") == "more"
+
+
+def test_quotes_in_tags():
+    assert pages.main_text("<article><p class=it's>hello</p></article>") == "hello"
+    assert pages.main_text("<article><p title=\"a > b\">hello</p><p data-x='1 > 0' id=y>you</p></article>") == "hello\n\nyou"
+    assert pages.main_text("<article><p title=\"open>hello</p></article>") == "hello"
+    assert pages._attributes(" class=it's id = \"a b\" hidden") == {"class": "it's", "id": "a b", "hidden": ""}
+
+
+def test_very_deep_pages():
+    def deep(i, n=4000):
+        return "<div>" * n + f"<p>text {i}</p>" + "</div>" * n
+
+    refs = [pages.shape_of(pages.parse(deep(i)))[0] for i in range(3)]
+    wrapper = pages.Wrapper([r.dump() for r in refs])
+    assert pages.main_text(deep(9), wrapper) == "text 9"
+    assert len(pages.tree_match(refs[0], refs[1])) == len(refs[0].depth)
+
+
+def test_template_of_short_pages():
+    """Most of a short page is template, which is no sign of a copy."""
+    def page(k):
+        lines = "".join(f"<div class='t{i}'>line {i}</div>" for i in range(16))
+        return f"<body>{lines}<div class='x1'>own {k}</div><div class='x2'>also {k}</div></body>"
+
+    wrapper = pages.Wrapper([pages.shape_of(pages.parse(page(k)))[0].dump() for k in range(6)])
+    assert pages.main_text(page(99), wrapper) == "own 99\n\nalso 99"
+    # a reference that shares the page's own blocks is still a copy
+    copies = pages.Wrapper([pages.shape_of(pages.parse(page(k)))[0].dump() for k in (1, 2, 99)])
+    assert "own 99" in pages.main_text(page(99), copies)

@@ -1,12 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the lower-cased words and their beginnings of a few lengths, so a
-stem counts whatever its ending. Every term of an example is in its vector:
-its weight is count times idf times a factor between ``FLOOR`` and one that
-grows with the chi-square of the term against the label, so a term that tells
-little counts little, but none is left out. A text's terms that no example
-holds count in its length. All examples are scored for every text with a
-word: frequent terms by a matrix product, the others by their postings.
+Terms are the lower-cased words and their first four bytes, so a stem counts
+whatever its ending. Every term of an example is in its vector: its weight is
+TF-IDF times a supervised factor between ``FLOOR`` and one that grows with the
+chi-square of the term against the label, so a term that tells little counts
+little, but none is left out. A text's terms that no example holds count in
+its length. The examples lie in a block-max inverted index (see ``Index``):
+every text with a word is searched, blocks whose bound cannot reach its 25th
+neighbour are skipped, the others are scored in full, so the neighbours are
+exact.
 The 25 nearest vote by the inverse of their distance, and examples that tie at
 the last place share it, so ids decide nothing; the votes, smoothed by the base
 rate, are the score, and the nearest examples are its evidence.
@@ -26,6 +28,8 @@ read, so other columns cannot clash.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,11 +41,12 @@ from riskloom.session import cut_lineage
 EXAMPLES = 8_000       # labelled rows per label in the fit, at most
 CHI2 = 30.0            # chi-square at which a term has half of its TF-IDF weight
 FLOOR = 0.02           # factor of a term that tells nothing
-PREFIX = (4, 10)       # bytes of a word's beginnings
+PREFIX = (4,)          # bytes of a word's beginnings that are terms as well
 NEIGHBOURS = 25
 DENSE = 0.08           # share of the examples from which a term is scored by the matrix product
 QUERIES = 64           # texts in a matrix product
-FETCH = 1_000          # examples whose terms are merged at once
+BLOCK = 256            # examples of a block
+COMPONENTS = 5         # leading components that lay the examples out
 NEAR = 0.05            # distance that is added to each, so equal vectors do not vote alone
 SMOOTH = 0.5           # votes that the base rate adds
 FOLDS = 5
@@ -60,8 +65,42 @@ def held_out(doc: Column) -> Column:
 
 # -------------------------------------------------------------------- terms
 
-def term_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) with counts, by text, and the words of each text."""
+@dataclass
+class TermRows:
+    """Distinct (text, word) of a slice with counts, by text, and the terms
+    of each distinct word: ``terms[at[w]:at[w + 1]]``."""
+
+    texts: int
+    doc: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    terms: np.ndarray
+    at: np.ndarray
+
+    def expand(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (text, key) with counts, by text and key, where ``keys``
+        stands for the terms; negative keys are left out."""
+        n = np.diff(self.at)[self.word]
+        entry = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[self.word], n)
+        key, doc, count = keys[place], self.doc[entry], self.count[entry]
+        if len(key) and key.min() < 0:
+            on = key >= 0
+            key, doc, count = key[on], doc[on], count[on]
+        width = int(key.max(initial=0)) + 1
+        joint = doc * width + key
+        order = np.argsort(joint, kind="stable")
+        joint = joint[order]
+        new = np.ones(len(joint), bool)
+        new[1:] = joint[1:] != joint[:-1]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
+        return joint[first] // width, joint[first] % width, total
+
+
+def term_rows(texts: pa.Array) -> TermRows:
+    """The words of each text, and for each distinct word of the slice its own
+    hash and those of its beginnings."""
     raw, offsets = T.byte_view(texts)
     buf = _BYTES[raw]
     inside = buf != 32
@@ -71,33 +110,26 @@ def term_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    words = np.diff(np.searchsorted(starts, offsets))
-    owner = np.repeat(np.arange(len(texts)), words)
-    size = ends - starts
-    docs, terms = [], []
-
-    def take(doc: np.ndarray, h: np.ndarray) -> None:
-        docs.append(doc)
-        terms.append(T.mix64(h))
-
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets)))
     whole = T.hash_spans(buf, starts, ends)
-    take(owner, whole)
-    h = np.zeros(len(starts), np.uint64)
-    for k in range(PREFIX[1]):
-        on = size > k
-        starts, owner, size, h = starts[on], owner[on], size[on], h[on]
-        if not len(starts):
+    names, where, word = np.unique(whole, return_index=True, return_inverse=True)
+    joint, count = np.unique(owner * max(len(names), 1) + word.reshape(-1), return_counts=True)
+    doc, word = np.divmod(joint, max(len(names), 1))
+    starts, size = starts[where], (ends - starts)[where]
+    of, terms = [np.arange(len(names))], [T.mix64(names)]
+    h, on = np.zeros(len(names), np.uint64), np.arange(len(names))
+    for k in range(max(PREFIX, default=0)):
+        on = on[size[on] > k]
+        if not len(on):
             break
-        h = h * _STEP + buf[starts + k].astype(np.uint64) + np.uint64(1)
-        if k + 1 >= PREFIX[0]:
-            take(owner, h ^ _EDGE[k])
-    doc, term = np.concatenate(docs), np.concatenate(terms)
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], term[at], np.diff(np.concatenate([at, [len(doc)]])), words
+        h[on] = h[on] * _STEP + buf[starts[on] + k].astype(np.uint64) + np.uint64(1)
+        if k + 1 in PREFIX:
+            of.append(on)
+            terms.append(T.mix64(h[on] ^ _EDGE[k]))
+    of, terms = np.concatenate(of), np.concatenate(terms)
+    order = np.argsort(of, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(names)))]).astype(np.int64)
+    return TermRows(len(texts), doc, word, count, terms[order], at)
 
 
 # ---------------------------------------------------------------------- fit
@@ -118,77 +150,128 @@ def examples(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str
     return rows, totals
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges first:last, the number of the range and each value."""
+    n = last - first
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
 class Index:
-    """Unit vectors of the examples: frequent terms as rows of a matrix, the
-    others as postings. An example without any term is no neighbour, it counts
-    in the rate of texts without terms."""
-
-    def __init__(self, terms: np.ndarray, rows: list[tuple], totals: dict[int, int]):
-        """``terms`` sorted; ``rows``: (id, label, squares of the counts of
-        terms that are not among ``terms``, term indices, counts)."""
-        self.terms = terms
-        sample = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
+    """Block-max inverted index over the unit vectors of the examples.
+
+    Terms that stand in the same examples with the same counts share one
+    posting list (a word and most of its beginnings do): a list holds
+    count / length of its examples, a term its weight. The examples are laid
+    out by their leading components, so that a block of ``BLOCK`` holds texts
+    of one kind, and each list has its largest value in every block. Lists of
+    many examples are rows of a matrix, the others cells by block. An example
+    without any term is no neighbour, it counts in the rate of texts without
+    terms."""
+
+    def __init__(self, terms: np.ndarray, group: np.ndarray, toxic: np.ndarray, clean: np.ndarray, at: np.ndarray,
+                 example: np.ndarray, count: np.ndarray, docs: list, labels: np.ndarray, totals: dict[int, int]):
+        """``terms`` sorted, each with its list and its examples by label;
+        list g is ``at[g]:at[g + 1]`` of ``example`` and ``count``; ``docs``
+        and ``labels`` of the examples; label counts of all labelled rows."""
+        self.terms, self.group = terms, group.astype(np.int32)
+        sample = {y: int((labels == y).sum()) for y in (0, 1)}
         share = {y: totals.get(y, 0) / max(sample[y], 1) for y in (0, 1)}
-        df = {y: np.zeros(len(terms)) for y in (0, 1)}
-        for row in rows:
-            df[row[1]][np.asarray(row[3], np.int64)] += 1
-        self.weight = (np.log((len(rows) + 1) / (df[0] + df[1] + 1)) + 1) * telling(df[1], df[0], sample[1], sample[0])
-        self.outside = (np.log(len(rows) + 1) + 1) * FLOOR
-        none = [sum(share[r[1]] for r in rows if not len(r[3]) and r[1] == y) for y in (0, 1)]
+        self.weight = (np.log((len(labels) + 1) / (toxic + clean + 1)) + 1) * telling(toxic, clean, sample[1], sample[0])
+        self.outside = (np.log(len(labels) + 1) + 1) * FLOOR
+        square = np.bincount(self.group, weights=self.weight ** 2, minlength=len(at) - 1)
+        lists = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        norm = np.bincount(example, weights=count.astype(float) ** 2 * square[lists], minlength=len(labels))
+        known = norm > 0
+        none = [share[y] * float((~known & (labels == y)).sum()) for y in (0, 1)]
         weight = totals.get(0, 0) + totals.get(1, 0)
         self.base = totals.get(1, 0) / weight if weight else 0.0
         self.empty = (none[1] + SMOOTH * self.base) / (none[0] + none[1] + SMOOTH)
-        kept = [r for r in rows if len(r[3])]
-        self.docs = [r[0] for r in kept]
-        self.toxic = np.array([share[1] if r[1] else 0.0 for r in kept])
-        self.clean = np.array([0.0 if r[1] else share[0] for r in kept])
-        self.often = df[0] + df[1] >= max(2, DENSE * len(kept))
-        counts = np.where(self.often, 0, df[0] + df[1]).astype(np.int64)
-        self.off = np.concatenate([[0], np.cumsum(counts)])
-        self.kept = [r[2:5] for r in kept]
-
-    def build(self) -> None:
-        """The matrix and the postings, made where they are first used: the
-        driver only ships the rows."""
-        self.place = np.where(self.often, np.cumsum(self.often) - 1, -1).astype(np.int32)
-        self.dense = np.zeros((int(self.often.sum()), len(self.kept)))
-        self.vec = np.zeros(self.off[-1], np.int32)
-        self.val = np.zeros(self.off[-1])
-        free = self.off[:-1].copy()
-        for i, (other, terms, counts) in enumerate(self.kept):
-            idx, w = self.vector(np.asarray(terms, np.int64), np.asarray(counts), other)
-            at = self.place[idx]
-            self.dense[at[at >= 0], i] = w[at >= 0]
-            idx, w = idx[at < 0], w[at < 0]
-            self.vec[free[idx]], self.val[free[idx]] = i, w
-            free[idx] += 1
-        self.kept = None
-
-    def vector(self, idx: np.ndarray, tf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text, of length one with the terms that the
-        index does not hold."""
+        value = count / np.sqrt(norm)[example]
+        often = np.diff(at) >= max(2, DENSE * known.sum())
+        order = _layout(lists, example, value * np.sqrt(square)[lists], often, known)
+        self.docs = [docs[i] for i in order]
+        self.toxic = np.where(labels == 1, share[1], 0.0)[order]
+        self.clean = np.where(labels == 1, 0.0, share[0])[order]
+        n, place = len(order), np.zeros(len(labels), np.int64)
+        place[order] = np.arange(n)
+        self.blocks = -(-n // BLOCK)
+        # row of the matrix, or -1; postings of the others by (list, block, place)
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        dense = often[lists]
+        self.dense = np.zeros((int(often.sum()), n))
+        self.dense[self.row[lists[dense]], place[example[dense]]] = value[dense]
+        self.dense_max = np.zeros((len(self.dense), self.blocks))
+        for b in range(self.blocks):
+            self.dense_max[:, b] = self.dense[:, b * BLOCK:(b + 1) * BLOCK].max(axis=1, initial=0)
+        lists, place, value = lists[~dense], place[example[~dense]], value[~dense]
+        by = np.lexsort((place, lists))
+        lists, self.vec, self.val = lists[by], place[by].astype(np.int32), value[by]
+        cell = lists * max(self.blocks, 1) + self.vec // BLOCK
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
+        first = np.flatnonzero(new)
+        self.cell_at = np.append(first, len(cell)).astype(np.int64)
+        self.cell_block = (cell[first] % max(self.blocks, 1)).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.val, first) if len(first) else np.zeros(0)
+        self.list_at = np.searchsorted(lists[first], np.arange(len(at)))
+
+    def coefficients(self, idx: np.ndarray, tf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, their factors) of a text of unit length, counted with the
+        terms that the index does not hold."""
         w = tf * self.weight[idx]
-        return idx, w / np.sqrt((w * w).sum() + other * self.outside ** 2)
-
-    def cosines(self, queries: list[tuple]) -> np.ndarray:
-        """Exact cosines of queries (terms, counts, other) and all examples."""
-        if self.kept is not None:
-            self.build()
-        dense = np.zeros((len(queries), len(self.dense)))
+        w = w / np.sqrt((w * w).sum() + other * self.outside ** 2) * self.weight[idx]
+        lists, at = np.unique(self.group[idx], return_inverse=True)
+        return lists, np.bincount(at.reshape(-1), weights=w, minlength=len(lists))
+
+    def cosines(self, queries: list[tuple], k: int = NEIGHBOURS, touched: list | None = None) -> np.ndarray:
+        """Exact cosines of queries (terms, counts, other) with the examples;
+        -1 in blocks whose bound stays below the k-th found. A query's most
+        promising block is scored first, which gives its threshold."""
+        n, size = len(self.docs), len(queries)
+        dense = np.zeros((size, len(self.dense)))
         rare = []
-        for i, (idx, tf, other) in enumerate(queries):
-            idx, w = self.vector(idx, tf, other)
-            at = self.place[idx]
-            dense[i, at[at >= 0]] = w[at >= 0]
-            rare.append((idx[at < 0], w[at < 0]))
-        out = dense @ self.dense
-        for i, (idx, w) in enumerate(rare):
-            begin, size = self.off[idx], self.off[idx + 1] - self.off[idx]
-            total = int(size.sum())
-            at = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
-            out[i] += np.bincount(self.vec[at], weights=np.repeat(w, size) * self.val[at], minlength=out.shape[1])
+        for i, q in enumerate(queries):
+            lists, c = self.coefficients(*q)
+            row = self.row[lists]
+            dense[i, row[row >= 0]] = c[row >= 0]
+            lists, c = lists[row < 0], c[row < 0]
+            of, cells = _ranges(self.list_at[lists], self.list_at[lists + 1])
+            rare.append((c[of], cells, self.cell_block[cells]))
+        bound = dense @ self.dense_max
+        for i, (c, cells, block) in enumerate(rare):
+            bound[i] += np.bincount(block, weights=c * self.cell_max[cells], minlength=self.blocks)
+        out = np.full((size, n), -1.0)
+        lead = bound.argmax(axis=1)
+        done = np.zeros((size, self.blocks), bool)
+        done[np.arange(size), lead] = True
+        self._score(out, dense, rare, done, touched)
+        least = np.full(size, -1.0)
+        for i, b in enumerate(lead):
+            own = out[i, b * BLOCK:(b + 1) * BLOCK]
+            if len(own) >= k:
+                least[i] = np.partition(own, len(own) - k)[len(own) - k]
+        self._score(out, dense, rare, (bound >= least[:, None] - 1e-7) & ~done, touched)
         return out
 
+    def _score(self, out: np.ndarray, dense: np.ndarray, rare: list, live: np.ndarray, touched: list | None) -> None:
+        """Fill in the cosines of the live (query, block) cells."""
+        n = len(self.docs)
+        for b in np.flatnonzero(live.any(axis=0)):
+            span = slice(b * BLOCK, min((b + 1) * BLOCK, n))
+            if live[:, b].all():
+                out[:, span] = dense @ self.dense[:, span]
+            else:
+                own = np.flatnonzero(live[:, b])
+                out[own, span] = dense[own] @ self.dense[:, span]
+        for i, (c, cells, block) in enumerate(rare):
+            on = live[i, block]
+            if on.any():
+                of, at = _ranges(self.cell_at[cells[on]], self.cell_at[cells[on] + 1])
+                out[i] += np.bincount(self.vec[at], weights=c[on][of] * self.val[at], minlength=n)
+                if touched is not None:
+                    touched.append(len(at))
+
     def nearest(self, idx: np.ndarray, tf: np.ndarray, other: float,
                 k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Examples of the k largest cosines, their cosines and shares."""
@@ -230,13 +313,36 @@ class Index:
 
     def queries(self, texts: pa.Array) -> list[tuple]:
         """(terms, counts, squares of the counts of other terms) of texts."""
-        owner, term, count, _ = term_rows(texts)
-        spot = np.minimum(np.searchsorted(self.terms, term), max(len(self.terms) - 1, 0))
-        known = self.terms[spot] == term if len(self.terms) else np.zeros(len(term), bool)
-        other = np.bincount(owner[~known], weights=count[~known].astype(float) ** 2, minlength=len(texts))
-        owner, spot, count = owner[known], spot[known], count[known]
-        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-        return [(spot[a:b], count[a:b], float(o)) for a, b, o in zip(ends[:-1], ends[1:], other, strict=True)]
+        rows = term_rows(texts)
+        spot = np.minimum(np.searchsorted(self.terms, rows.terms), max(len(self.terms) - 1, 0))
+        known = self.terms[spot] == rows.terms if len(self.terms) else np.zeros(len(spot), bool)
+        owner, at, count = rows.expand(np.where(known, spot, -1))
+        # terms that no example holds, told apart by a number in the slice
+        other_doc, _, other = rows.expand(np.where(known, -1, np.unique(rows.terms, return_inverse=True)[1].reshape(-1)))
+        outside = np.bincount(other_doc, weights=other.astype(float) ** 2, minlength=rows.texts)
+        ends = np.searchsorted(owner, np.arange(rows.texts + 1))
+        return [(at[a:b], count[a:b], float(o)) for a, b, o in zip(ends[:-1], ends[1:], outside, strict=True)]
+
+
+def _layout(lists: np.ndarray, example: np.ndarray, value: np.ndarray, often: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The examples that have terms, in an order in which neighbours are alike:
+    by the signs of their leading components over the frequent lists, then
+    by the first of them. The order only decides how many blocks are met."""
+    on = often[lists]
+    row = (np.cumsum(often) - 1)[lists[on]]
+    m = np.zeros((int(often.sum()), len(known)))
+    m[row, example[on]] = value[on]
+    m = m[:, known]
+    if not m.size:
+        return np.flatnonzero(known)
+    m -= m.mean(axis=1, keepdims=True)
+    few = min(COMPONENTS, *m.shape)
+    part = np.random.default_rng(0).normal(size=(m.shape[0], few))
+    for _ in range(4):
+        part = np.linalg.qr(m @ (m.T @ part))[0]
+    z = part.T @ m
+    signs = ((z > 0) << np.arange(few)[:, None]).sum(axis=0)
+    return np.flatnonzero(known)[np.lexsort((z[0], signs))]
 
 
 def telling(toxic: np.ndarray, clean: np.ndarray, ones: int, zeros: int) -> np.ndarray:
@@ -254,26 +360,47 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     rows, totals = examples(docs, labels, doc, text, label, per_label)
 
     def run(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
-        owner, term, count, _ = term_rows(texts)
-        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-        packed = [pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-                  for x in (term.astype("<u8"), count.astype("<u4"))]
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], ["doc_id", "y", "term", "tf"])
+        found = term_rows(texts)
+        names, key = np.unique(found.terms, return_inverse=True)
+        owner, at, count = found.expand(key.reshape(-1))
+        ends = pa.array(np.searchsorted(owner, np.arange(found.texts + 1)).astype(np.int32))
+        held = pa.StructArray.from_arrays([pa.array(names[at].view(np.int64)), pa.array(count.astype(np.int32))], names=["t", "n"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, held)],
+                                          ["doc_id", "y", "terms"])
 
     id_type = docs.schema[doc].dataType.simpleString()
-    vectors = T.map_texts(rows.select("doc_id", "y", "_text"), run,
-                          f"doc_id {id_type}, y int, term binary, tf binary", "_text")
-    # at most 2 * per_label rows (more only where ids repeat), fetched a partition at a time
-    found = sorted((r["doc_id"], r["y"], bytes(r["term"]), bytes(r["tf"]))
-                   for r in cut_lineage(vectors).toLocalIterator())
-    terms = np.zeros(0, "<u8")
-    for lo in range(0, len(found), FETCH):
-        terms = np.union1d(terms, np.frombuffer(b"".join(r[2] for r in found[lo: lo + FETCH]), "<u8"))
-    for k, (i, y, t, c) in enumerate(found):
-        idx = np.searchsorted(terms, np.frombuffer(t, "<u8")).astype(np.int32)
-        count = np.frombuffer(c, "<u4")
-        found[k] = (i, y, 0.0, idx, count.astype(np.min_scalar_type(int(count.max(initial=0)))))
-    return Index(terms, found, totals)
+    vectors = cut_lineage(T.map_texts(rows.select("doc_id", "y", "_text"), run,
+                                      f"doc_id {id_type}, y int, terms array<struct<t:long,n:int>>", "_text"))
+    # read from the cut table, so the numbers stay the same in every job
+    numbered = vectors.withColumn("_ex", F.monotonically_increasing_id())
+    known = numbered.select("_ex", "doc_id", "y").orderBy("doc_id", "_ex").toArrow()  # the bounded sample
+    ex = known["_ex"].to_numpy()
+    # terms with equal postings become one list
+    postings = (numbered.select("_ex", "y", F.explode("terms").alias("_t"))
+                .groupBy(F.col("_t.t").alias("t"))
+                .agg(F.array_sort(F.collect_list(F.struct("_ex", F.col("_t.n").alias("n")))).alias("p"),
+                     F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+                .withColumn("key", F.md5(F.to_json("p").cast("binary"))))
+    postings = cut_lineage(postings)
+    lists = cut_lineage(postings.groupBy("key").agg(F.first("p").alias("p")))
+    # flat columns only: their size follows the bounded sample
+    keys = lists.select(F.xxhash64("key").alias("h")).toArrow()
+    flat = lists.select(F.xxhash64("key").alias("h"), F.explode("p").alias("e")).select(
+        "h", F.col("e._ex").alias("ex"), F.col("e.n").alias("n")).toArrow()
+    terms = postings.select("t", F.xxhash64("key").alias("h"), "toxic", "clean").toArrow()
+    own = np.sort(keys["h"].to_numpy())
+    if len(own) > 1 and (own[1:] == own[:-1]).any():
+        raise RuntimeError("two posting lists share a hash")
+    of = np.searchsorted(own, flat["h"].to_numpy())
+    order = np.argsort(of, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(own)))]).astype(np.int64)
+    by = np.argsort(ex)
+    example = by[np.searchsorted(ex[by], flat["ex"].to_numpy()[order])]
+    name = terms["t"].to_numpy().view(np.uint64)
+    sort = np.argsort(name)
+    return Index(name[sort], np.searchsorted(own, terms["h"].to_numpy()[sort]), terms["toxic"].to_numpy()[sort].astype(float),
+                 terms["clean"].to_numpy()[sort].astype(float), at, example, flat["n"].to_numpy()[order],
+                 known["doc_id"].to_pylist(), known["y"].to_numpy(), totals)
 
 
 def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",

@@ -49,27 +49,95 @@ def test_held_out_labels_do_not_matter(spark, make_docs):
     assert a == b
 
 
-def test_nearest_is_exact():
+def built(rows, totals, ids=None):
+    """An index of (label, terms, counts) rows, terms being small integers;
+    terms with equal postings share a list."""
+    labels = np.array([r[0] for r in rows])
+    lists = {}
+    for e, (_, terms, counts) in enumerate(rows):
+        for t, c in zip(terms, counts):
+            lists.setdefault(t, []).append((e, c))
+    shared = sorted({tuple(p) for p in lists.values()})
+    group = np.array([shared.index(tuple(lists[t])) for t in sorted(lists)])
+    at = np.concatenate([[0], np.cumsum([len(p) for p in shared])]).astype(np.int64)
+    toxic = np.array([sum(labels[e] for e, _ in lists[t]) for t in sorted(lists)], float)
+    clean = np.array([len(lists[t]) for t in sorted(lists)], float) - toxic
+    flat = [x for p in shared for x in p]
+    return toxicity.Index(np.array(sorted(lists), np.uint64), group, toxic, clean, at,
+                          np.array([e for e, _ in flat], np.int64), np.array([c for _, c in flat], np.int64),
+                          list(range(len(rows))) if ids is None else ids, labels, totals)
+
+
+def sample(rng, n, pool):
+    rows = []
+    for i in range(n):
+        terms = sorted(rng.sample(pool(i), rng.randint(1, 9)))
+        rows.append((int(i % 3 == 0), terms, [rng.randint(1, 4) for _ in terms]))
+    return rows
+
+
+def test_nearest_is_exact(monkeypatch):
     """Block pruning returns what scoring every example would."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
     rng = random.Random(4)
-    terms = np.arange(60, dtype=np.uint64)
-    rows = [(i, i % 3 == 0, rng.randint(5, 90), sorted(rng.sample(range(60), rng.randint(1, 9))), None) for i in range(700)]
-    rows = [(i, int(y), n, t, [rng.randint(1, 4) for _ in t]) for i, y, n, t, _ in rows]
-    index = toxicity.Index(terms, rows, {0: 400, 1: 300})
-    place = {d: j for j, d in enumerate(index.docs)}
-    vectors = np.zeros((len(rows), 61))
-    for i, _, n, t, c in rows:
-        idx, w = index.vector(np.array(t), np.array(c), n)
-        vectors[place[i], idx] = w
+    rows = sample(rng, 700, lambda i: range(60))
+    index = built(rows, {0: 400, 1: 300})
+    vectors = np.zeros((len(rows), 60))
+    for i, (_, t, c) in enumerate(rows):
+        w = np.array(c) * index.weight[t]
+        vectors[i, t] = w / np.sqrt((w * w).sum())
     for _ in range(60):
         t = sorted(rng.sample(range(60), rng.randint(1, 12)))
         c = [rng.randint(1, 3) for _ in t]
-        idx, w = index.vector(np.array(t), np.array(c), 30)
-        full = np.zeros(61)
-        full[idx] = w
-        want = np.sort(vectors @ full)[::-1][:25]
-        _, got = index.nearest(np.array(t), np.array(c), 30)
-        assert np.allclose(got, want)
+        w = np.array(c) * index.weight[t]
+        full = np.zeros(60)
+        full[t] = w / np.sqrt((w * w).sum() + 30 * index.outside ** 2)
+        want = np.round(vectors @ full, 9)
+        ids, got, share = index.nearest(np.array(t), np.array(c), 30)
+        least = np.sort(want)[::-1][24]
+        assert sorted(index.docs[i] for i in ids) == list(np.flatnonzero(want >= least))
+        assert np.allclose(got, np.sort(want[want >= least])[::-1]) and np.isclose(share.sum(), 25)
+
+
+def test_blocks_of_other_kinds_are_skipped(monkeypatch):
+    """Two kinds of texts without a common term: a text meets the postings of
+    its own kind only."""
+    monkeypatch.setattr(toxicity, "BLOCK", 32)
+    rng = random.Random(9)
+    rows = sample(rng, 800, lambda i: range(12) if i < 400 else range(12, 24))
+    index = built(rows, {0: 400, 1: 400})
+    touched = []
+    for kind in (0, 12):
+        q = [(np.array([kind, kind + 1, kind + 2]), np.array([1, 2, 1]), 0.0)]
+        cos = index.cosines(q, touched=touched)[0]
+        assert (cos > -1).sum() < 0.75 * len(cos)
+    assert sum(touched) <= len(index.vec)
+
+
+def test_ids_decide_nothing():
+    """Examples that tie at the last place share it, whatever their ids."""
+    rows = [(i % 2, [1, 2], [1, 1]) for i in range(60)]
+    query = [(np.array([0, 1]), np.array([1, 1]), 0.0)]
+    scores = set()
+    for order in (range(60), sorted(range(60), key=lambda i: (i % 2, i)), sorted(range(60), key=lambda i: (-(i % 2), i))):
+        index = built([rows[i] for i in order], {0: 30, 1: 30}, ids=list(order))
+        scores.add(index.votes(query)[0][0])
+    assert scores == {0.5}
+
+
+def test_permuted_ids_leave_the_scores(spark, make_docs):
+    rows, labels = planted(200, 3)
+    keep = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    new = dict(zip(keep, reversed(keep)))
+    moved = [(new.get(i, i), t) for i, t in rows]
+    marks = [(new.get(i, i), y) for i, y in labels]
+    text = dict(rows)
+    a = {text[r["doc_id"]]: r["score"] for r in toxicity.score(
+        make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    back = {i: t for i, t in moved}
+    b = {back[r["doc_id"]]: r["score"] for r in toxicity.score(
+        make_docs(moved), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert a == b
 
 
 def test_odd_rows(spark, make_docs, odd_rows):

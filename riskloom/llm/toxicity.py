@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -364,42 +365,49 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
         names, key = np.unique(found.terms, return_inverse=True)
         owner, at, count = found.expand(key.reshape(-1))
         ends = pa.array(np.searchsorted(owner, np.arange(found.texts + 1)).astype(np.int32))
-        held = pa.StructArray.from_arrays([pa.array(names[at].view(np.int64)), pa.array(count.astype(np.int32))], names=["t", "n"])
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, held)],
-                                          ["doc_id", "y", "terms"])
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (names[at].view(np.int64), count.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "y", "t", "n"])
 
     id_type = docs.schema[doc].dataType.simpleString()
     vectors = cut_lineage(T.map_texts(rows.select("doc_id", "y", "_text"), run,
-                                      f"doc_id {id_type}, y int, terms array<struct<t:long,n:int>>", "_text"))
+                                      f"doc_id {id_type}, y int, t array<long>, n array<int>", "_text"))
     # read from the cut table, so the numbers stay the same in every job
     numbered = vectors.withColumn("_ex", F.monotonically_increasing_id())
     known = numbered.select("_ex", "doc_id", "y").orderBy("doc_id", "_ex").toArrow()  # the bounded sample
-    ex = known["_ex"].to_numpy()
-    # terms with equal postings become one list
-    postings = (numbered.select("_ex", "y", F.explode("terms").alias("_t"))
+    postings = (numbered.select("_ex", "y", F.explode(F.arrays_zip("t", "n")).alias("_t"))
                 .groupBy(F.col("_t.t").alias("t"))
                 .agg(F.array_sort(F.collect_list(F.struct("_ex", F.col("_t.n").alias("n")))).alias("p"),
-                     F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-                .withColumn("key", F.md5(F.to_json("p").cast("binary"))))
-    postings = cut_lineage(postings)
-    lists = cut_lineage(postings.groupBy("key").agg(F.first("p").alias("p")))
-    # flat columns only: their size follows the bounded sample
-    keys = lists.select(F.xxhash64("key").alias("h")).toArrow()
-    flat = lists.select(F.xxhash64("key").alias("h"), F.explode("p").alias("e")).select(
-        "h", F.col("e._ex").alias("ex"), F.col("e.n").alias("n")).toArrow()
-    terms = postings.select("t", F.xxhash64("key").alias("h"), "toxic", "clean").toArrow()
-    own = np.sort(keys["h"].to_numpy())
-    if len(own) > 1 and (own[1:] == own[:-1]).any():
-        raise RuntimeError("two posting lists share a hash")
-    of = np.searchsorted(own, flat["h"].to_numpy())
-    order = np.argsort(of, kind="stable")
-    at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(own)))]).astype(np.int64)
-    by = np.argsort(ex)
-    example = by[np.searchsorted(ex[by], flat["ex"].to_numpy()[order])]
-    name = terms["t"].to_numpy().view(np.uint64)
+                     F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")))
+    # flat columns, whose size follows the bounded sample
+    found = postings.select("t", "toxic", "clean", F.xxhash64("p").alias("h"), F.col("p._ex").alias("ex"),
+                            F.col("p.n").alias("n")).toArrow()
+    return _assemble(found, known, totals)
+
+
+def _assemble(found: pa.Table, known: pa.Table, totals: dict[int, int]) -> Index:
+    """The index from one row a term (its postings as arrays) and one row an
+    example; terms with equal postings become one list."""
+    name = found["t"].to_numpy().view(np.uint64)
     sort = np.argsort(name)
-    return Index(name[sort], np.searchsorted(own, terms["h"].to_numpy()[sort]), terms["toxic"].to_numpy()[sort].astype(float),
-                 terms["clean"].to_numpy()[sort].astype(float), at, example, flat["n"].to_numpy()[order],
+    ex, n = (found[c].combine_chunks() for c in ("ex", "n"))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ex).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    names = known["_ex"].to_numpy()
+    by = np.argsort(names)
+    example = by[np.searchsorted(names[by], ex.flatten().to_numpy())].astype(np.int32)
+    count = n.flatten().to_numpy()
+    _, first, group = np.unique(found["h"].to_numpy(), return_index=True, return_inverse=True)
+    group = group.reshape(-1)
+    # the hash only proposes: a list that differs from its group's is an error
+    size = np.diff(ends)
+    if (size != size[first][group]).any():
+        raise RuntimeError("two posting lists share a hash")
+    _, twin = _ranges(ends[first][group], ends[first + 1][group])
+    if (example[twin] != example).any() or (count[twin] != count).any():
+        raise RuntimeError("two posting lists share a hash")
+    _, kept = _ranges(ends[first], ends[first + 1])
+    at = np.concatenate([[0], np.cumsum(size[first])]).astype(np.int64)
+    return Index(name[sort], group[sort], found["toxic"].to_numpy()[sort].astype(float),
+                 found["clean"].to_numpy()[sort].astype(float), at, example[kept], count[kept],
                  known["doc_id"].to_pylist(), known["y"].to_numpy(), totals)
 
 

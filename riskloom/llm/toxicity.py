@@ -197,17 +197,34 @@ class Index:
         n, place = len(order), np.zeros(len(labels), np.int64)
         place[order] = np.arange(n)
         self.blocks = -(-n // BLOCK)
+        self.often, self.at, self.length = often, at.astype(np.int64), 1 / np.sqrt(norm[order])
+        # postings by (list, place) in the smallest types, which is what travels
+        by = np.lexsort((place[example], lists))
+        self.place = place[example[by]].astype(np.min_scalar_type(max(n, 1)))
+        self.count = count[by].astype(np.min_scalar_type(int(count.max(initial=0))))
+        self.dense = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in self.SHIPPED} | {"dense": None}
+
+    SHIPPED = frozenset("terms group weight outside base empty docs toxic clean blocks often at length place count".split())
+
+    def build(self) -> None:
+        """The matrix, the cells and the block maxima, made in linear time
+        where they are first used."""
+        n = len(self.docs)
+        lists = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        place = self.place.astype(np.int64)
+        value = self.count * self.length[place] if n else np.zeros(0)
         # row of the matrix, or -1; postings of the others by (list, block, place)
-        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        dense = often[lists]
-        self.dense = np.zeros((int(often.sum()), n))
-        self.dense[self.row[lists[dense]], place[example[dense]]] = value[dense]
+        self.row = np.where(self.often, np.cumsum(self.often) - 1, -1).astype(np.int32)
+        on = self.often[lists]
+        self.dense = np.zeros((int(self.often.sum()), n))
+        self.dense[self.row[lists[on]], place[on]] = value[on]
         self.dense_max = np.zeros((len(self.dense), self.blocks))
         for b in range(self.blocks):
             self.dense_max[:, b] = self.dense[:, b * BLOCK:(b + 1) * BLOCK].max(axis=1, initial=0)
-        lists, place, value = lists[~dense], place[example[~dense]], value[~dense]
-        by = np.lexsort((place, lists))
-        lists, self.vec, self.val = lists[by], place[by].astype(np.int32), value[by]
+        lists, self.vec, self.val = lists[~on], place[~on].astype(np.int32), value[~on]
         cell = lists * max(self.blocks, 1) + self.vec // BLOCK
         new = np.ones(len(cell), bool)
         new[1:] = cell[1:] != cell[:-1]
@@ -215,7 +232,7 @@ class Index:
         self.cell_at = np.append(first, len(cell)).astype(np.int64)
         self.cell_block = (cell[first] % max(self.blocks, 1)).astype(np.int32)
         self.cell_max = np.maximum.reduceat(self.val, first) if len(first) else np.zeros(0)
-        self.list_at = np.searchsorted(lists[first], np.arange(len(at)))
+        self.list_at = np.searchsorted(lists[first], np.arange(len(self.at)))
 
     def coefficients(self, idx: np.ndarray, tf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
         """(lists, their factors) of a text of unit length, counted with the
@@ -229,6 +246,8 @@ class Index:
         """Exact cosines of queries (terms, counts, other) with the examples;
         -1 in blocks whose bound stays below the k-th found. A query's most
         promising block is scored first, which gives its threshold."""
+        if self.dense is None:
+            self.build()
         n, size = len(self.docs), len(queries)
         dense = np.zeros((size, len(self.dense)))
         rare = []

@@ -114,6 +114,17 @@ def test_blocks_of_other_kinds_are_skipped(monkeypatch):
     assert sum(touched) <= len(index.vec)
 
 
+def test_what_travels_is_small_and_scores_alike():
+    import pickle
+
+    rng = random.Random(2)
+    index = built(sample(rng, 500, lambda i: range(40)), {0: 300, 1: 200})
+    queries = [(np.array([1, 5, 9]), np.array([1, 1, 2]), 3.0)]
+    want = index.votes(queries)
+    sent = pickle.dumps(index)
+    assert b"dense_max" not in sent and pickle.loads(sent).votes(queries) == want
+
+
 def test_ids_decide_nothing():
     """Examples that tie at the last place share it, whatever their ids."""
     rows = [(i % 2, [1, 2], [1, 1]) for i in range(60)]

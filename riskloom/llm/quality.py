@@ -22,12 +22,18 @@ WINDOW = 3
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
-# Largest share of a text's word characters inside duplicated n-grams (by
-# length), and of its characters inside duplicated lines. One sentence said
-# twice in a short text stays below them; the published bounds for long web
-# texts (0.15 falling to 0.10) would reject such a text.
-NGRAM_LIMITS = {n: 0.20 for n in range(5, 11)}
+# Fixed values, the published bounds for web texts: largest share of a text's
+# word characters inside duplicated n-grams (by length), of its characters
+# inside duplicated lines, and of its lines that repeat an earlier one.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_CHAR_LIMIT = 0.20
+LINE_LIMIT = 0.30
+# They are meant for long texts. One sentence said twice is no fault of a
+# short one, so up to SENTENCE_CHARS (a sentence of 40 words) may repeat while
+# they are at most SHORT_LIMIT of the text, and one line may. From 2,000
+# word characters on only the published bounds are left.
+SENTENCE_CHARS = 200
+SHORT_LIMIT = 0.20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -149,9 +155,11 @@ def base_failed():
 
 def coverage_ok():
     """The verdict on coverage: every bound holds."""
-    ok = F.col("dup_line_chars") <= LINE_CHAR_LIMIT * F.col("n_chars_text")
+    ok = ((F.col("dup_line_chars") <= LINE_CHAR_LIMIT * F.col("n_chars_text"))
+          & (F.col("n_dup_lines") <= F.greatest(F.col("n_lines") * F.lit(LINE_LIMIT), F.lit(1.0))))
+    sentence = F.least(F.lit(SENTENCE_CHARS) / F.greatest(F.col("word_chars"), F.lit(1)), F.lit(SHORT_LIMIT))
     for n, limit in NGRAM_LIMITS.items():
-        ok = ok & (F.col(f"cover_{n}") <= limit)
+        ok = ok & (F.col(f"cover_{n}") <= F.greatest(sentence, F.lit(limit)))
     return ok
 
 

@@ -79,6 +79,30 @@ def test_repetition_is_rejected(make_docs):
     assert not r["kept"]
 
 
+def repeated(n_words, n_again):
+    """A text of distinct words, the first ``n_again`` of them twice."""
+    words = [f"w{i:04d}" for i in range(n_words - n_again)]
+    return " ".join(words + words[:n_again])
+
+
+def test_limits_follow_the_length(make_docs):
+    """A repeated sentence is let through in a short text; a long text is
+    held to the published bounds."""
+    rows = [(1, repeated(120, 18)), (2, repeated(120, 36)), (3, repeated(2000, 190)), (4, repeated(2000, 240)),
+            (5, repeated(600, 55)), (6, repeated(600, 90))]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(make_docs(rows)).collect()}
+    assert kept == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
+
+
+def test_share_of_repeated_lines(make_docs):
+    """Many short repeated lines reject a text though their characters are few."""
+    own = "\n".join(" ".join(f"v{i}x{j}" for j in range(40)) for i in range(20))
+    rows = [(1, own + "\nok" * 15), (2, own + "\nok" * 3), (3, " ".join(f"u{i}" for i in range(90)) + "\nab\nab")]
+    found = {r["doc_id"]: r for r in quality.judge(make_docs(rows)).collect()}
+    assert found[1]["dup_line_chars"] < 0.2 * found[1]["n_chars_text"] and found[1]["n_dup_lines"] == 14
+    assert {i: r["kept"] for i, r in found.items()} == {1: False, 2: True, 3: True}
+
+
 def test_keep_good_returns_the_rows(make_docs):
     clean = " ".join(f"w{i}" for i in range(120))
     docs = make_docs([(1, clean), (2, "too short"), (3, None), (None, clean + " more")])

@@ -21,19 +21,19 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import textkit as T
 from riskloom.llm import tokens
+from riskloom.operators.prefix import global_rank
 from riskloom.session import cut_lineage
 
 MAX_TOKENS = 4096
 END_ID = 1
 UNITS = 64             # resolution of the patterns
 PATTERN_DOCS = 3       # documents in a pattern at most
-RANK_GROUP = 500       # pieces ranked together, while there are few groups
-RANK_SALTS = 1_024     # groups of a length, at most; then they grow
+RANGE_ROWS = 100_000   # pieces ranked together
 
 PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -209,50 +209,32 @@ def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS,
 
 # ------------------------------------------------------------------- the job
 
-def _run_of(rows: DataFrame, group: int = RANK_GROUP) -> Column:
-    """The run of positions that a row's ``_pos`` lies in."""
-    most = rows.agg(F.max("_pos").alias("m")).collect()[0]["m"]
-    width = max(group, -(-((most or 0) + 1) // RANK_SALTS))
-    return F.floor(F.col("_pos") / width).cast("int")
-
-
-def number_by_position(packed: DataFrame) -> DataFrame:
-    """``packed`` with its sequences numbered by the least ``_pos`` in each.
-    The numbers of a run of positions follow those of the runs before."""
-    least = cut_lineage(packed.groupBy("sequence_id").agg(F.min(F.struct("_pos", "piece")).alias("_least"))
-                        .select("sequence_id", F.col("_least._pos").alias("_pos"), F.col("_least.piece").alias("_piece")))
-    runs = least.withColumn("_run", _run_of(least))
-    # at most RANK_SALTS + 1 rows
-    sizes = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_run").orderBy("_pos", "_piece", "sequence_id")
-    number = (runs.withColumn("_row", F.row_number().over(within) - 1).join(F.broadcast(shift), "_run")
-              .select("sequence_id", (F.col("_row") + F.col("_shift")).alias("_number")))
+def _ranges(df: DataFrame, rows: int) -> int:
+    """Ranges for an exact order of ``rows`` rows: they grow with the rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+
+
+def number_by_position(packed: DataFrame, sequences: int) -> DataFrame:
+    """``packed`` with its ``sequences`` numbered by the least ``_pos`` in
+    each. The least positions crowd at the start of the schedule, so their
+    ranges are cut by the rows and not by the positions."""
+    least = (packed.groupBy("sequence_id").agg(F.min(F.struct("_pos", "piece")).alias("_least"))
+             .select("sequence_id", F.col("_least._pos").alias("_pos"), F.col("_least.piece").alias("_piece")))
+    number = (global_rank(least, "_pos", tiebreak=["_piece", "sequence_id"], out="_number",
+                          n_parts=_ranges(packed, sequences))
+              .select("sequence_id", (F.col("_number") - 1).alias("_number")))
     names = [F.col("_number").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns if c != "_pos"]
     return packed.join(number, "sequence_id").select(*names)
 
 
-def rank_in_length(pieces: DataFrame, largest_count: int, group: int = RANK_GROUP) -> DataFrame:
-    """``pieces`` with ``_rank`` (from 0) within the length. Each length is
-    dealt into salted groups, ranked apart and then shifted by the sizes of
-    the groups before. Pieces with a ``_pos`` are grouped and ranked by it."""
-    if "_pos" in pieces.columns:
-        ident = [F.col(c) for c in ("_pos", "piece", "doc_id", "ids_crc32")]
-        salted = pieces.withColumn("_salt", _run_of(pieces, group))
-    else:
-        salts = min(RANK_SALTS, max(1, -(-largest_count // group)))
-        ident = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-        salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*ident), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("length", "_salt",
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("length", "_salt").orderBy(*ident)
-    return (salted.withColumn("_row", F.row_number().over(within) - 1)
-            .join(shift, ["length", "_salt"])
-            .withColumn("_rank", F.col("_row") + F.col("_shift"))
-            .drop("_salt", "_row", "_shift"))
+def rank_in_length(pieces: DataFrame, rows: int) -> DataFrame:
+    """``pieces`` (``rows`` of them) with ``_rank`` (from 0) within the
+    length, by ``_pos`` where there is one, else by document. Ranges of
+    (length, order) are ranked apart, so a length of any size is split."""
+    first = "_pos" if "_pos" in pieces.columns else "doc_id"
+    tie = [c for c in ("piece", "doc_id", "ids_crc32") if c != first]
+    ranked = global_rank(pieces, first, by=["length"], tiebreak=tie, out="_rank", n_parts=_ranges(pieces, rows))
+    return ranked.withColumn("_rank", F.col("_rank") - 1)
 
 
 def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: str | None = None,
@@ -264,8 +246,9 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: st
     spark = docs.sparkSession
     cut = cut_lineage(pieces_of(docs, doc, text, tokenizer, max_tokens, position))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    layout = spark.sparkContext.broadcast(plan(histogram, max_tokens))
-    ranked = rank_in_length(cut, max(histogram.values(), default=0))
+    found = plan(histogram, max_tokens)
+    layout = spark.sparkContext.broadcast(found)
+    ranked = rank_in_length(cut, sum(histogram.values()))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["_pos"] * (position is not None)]
 
     def place(batches):
@@ -285,7 +268,7 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: st
     schema = PIECE_SCHEMA.format(id=cut.schema["doc_id"].dataType.simpleString()) + ", _pos long" * (position is not None)
     out = ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
     if position:
-        out = number_by_position(cut_lineage(out))
+        out = number_by_position(cut_lineage(out), int((found[:, 3] + found[:, 2]).max(initial=0)))
     return out.withColumnRenamed("doc_id", doc)
 
 

@@ -121,22 +121,54 @@ def op6_brown_lm(spark, sf_dir):
 
 
 CHAT_SQL = r"""
-WITH msg AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+WITH RECURSIVE msg AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 call AS (
   SELECT u.conv_id, u.turn, 'c' || u.conv_id || '-' || u.turn AS call_id,
          CASE WHEN u.turn < 2 THEN 'ask' ELSE 'follow_up' END AS name, u.text, a.text AS result, a.turn AS answered,
          len([x for x in string_split_regex(u.text, '[\x20\x09-\x0D]+') if x <> '']) AS words,
-         CASE WHEN u.turn < 2 THEN 60 ELSE 40 END AS most, u.turn >= 2 AND p.turn IS NULL AS lost
+         CASE WHEN u.turn < 2 THEN 60 ELSE 40 END AS most, u.turn // 2 % 4 AS topic, u.conv_id % 8 = 0 AS ring
   FROM msg u LEFT JOIN msg a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  LEFT JOIN msg p ON p.role = 'user' AND p.conv_id = u.conv_id AND p.turn = u.turn - 2
   WHERE u.role = 'user'),
+edge AS (
+  SELECT c.call_id, c.conv_id, c.turn, n.call_id AS need, n.turn AS need_turn, n.turn IS NULL AS lost
+  FROM (SELECT *, turn + CASE WHEN topic = 1 THEN 2 WHEN topic = 3 OR ring THEN -2 ELSE -4 END AS at FROM call WHERE topic > 0) c
+  LEFT JOIN call n ON n.conv_id = c.conv_id AND n.turn = c.at),
+near AS (  -- every call that a call needs, directly or not, along moved ones
+  SELECT call_id, turn, need, need_turn FROM edge WHERE NOT lost),
+reach AS (
+  SELECT call_id, turn, need, need_turn FROM near
+  UNION SELECT r.call_id, r.turn, n.need, n.need_turn FROM reach r JOIN near n ON n.call_id = r.need),
+loops AS (SELECT call_id FROM reach WHERE call_id = need),
+behind AS (SELECT call_id FROM loops UNION SELECT r.call_id FROM reach r JOIN loops l ON l.call_id = r.need),
+spot AS (
+  SELECT c.conv_id, c.turn, c.call_id, b.call_id IS NOT NULL AS late,
+         CASE WHEN b.call_id IS NULL THEN greatest(c.turn, max(r.need_turn)) END AS place FROM call c
+  LEFT JOIN reach r ON r.call_id = c.call_id LEFT JOIN behind b ON b.call_id = c.call_id
+  GROUP BY c.conv_id, c.turn, c.call_id, b.call_id),
+cut AS (  -- a cycle is two calls here, the earlier is freed
+  SELECT x.call_id FROM loops l JOIN near x ON x.call_id = l.call_id WHERE x.turn < x.need_turn),
+wait AS (
+  SELECT call_id, 0 AS round FROM spot WHERE NOT late OR call_id IN (FROM cut)
+  UNION ALL
+  SELECT n.call_id, w.round + 1 FROM wait w JOIN near n ON n.need = w.call_id
+  JOIN spot s ON s.call_id = n.call_id JOIN spot t ON t.call_id = n.need
+  WHERE s.place IS NOT DISTINCT FROM t.place AND n.call_id NOT IN (FROM cut)),
+sorted AS (
+  SELECT s.conv_id, s.call_id, row_number() OVER (PARTITION BY s.conv_id ORDER BY late, place, max(round), s.turn) AS nth
+  FROM spot s JOIN wait w ON w.call_id = s.call_id GROUP BY s.conv_id, s.call_id, s.turn, late, place),
+moved AS (
+  SELECT s.call_id, t.turn AS order_turn FROM sorted s JOIN
+  (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM call) t
+  ON t.conv_id = s.conv_id AND t.nth = s.nth),
 checked AS (
-  SELECT *, concat_ws('; ',
+  SELECT c.*, order_turn, concat_ws('; ',
     CASE WHEN text = '' THEN '$.text: shorter than minLength' END,
     CASE WHEN words < 1 THEN '$.words: below minimum' WHEN words > most THEN '$.words: above maximum' END,
+    CASE WHEN c.call_id IN (FROM cut) THEN 'dependency: cycle' END,
     CASE WHEN lost THEN 'dependency: unknown id' END) AS errors,
-    CASE WHEN answered IS NULL THEN 'unanswered' ELSE 'linked' END AS status FROM call)
-SELECT conv_id, turn * 1048576 AS order_at, 'call' AS kind, call_id, name, status, errors = '' AS valid, errors,
+    CASE WHEN answered IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM call c JOIN moved m ON m.call_id = c.call_id LEFT JOIN edge e ON e.call_id = c.call_id)
+SELECT conv_id, order_turn * 1048576 AS order_at, 'call' AS kind, call_id, name, status, errors = '' AS valid, errors,
        '{"arguments":{"text":' || to_json(text) || ',"words":' || words || '},"id":' || to_json(call_id) ||
        ',"name":"' || name || '","result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"status":"' ||
        status || '"}' AS json

@@ -11,38 +11,42 @@ its result) and each result that no call takes; sorted by ``order_at`` the
 rows of a conversation are its formatted chat.
 
 Calls lie in the order of their turns; where that contradicts a dependency,
-the conversation's calls are sorted topologically (ties by turn) on their ids
-alone. Nothing gathers the texts of a conversation, so one that holds a third
-of all rows is spread like any other. Join keys that are hot meet a bounded
-broadcast.
+a call moves behind the latest one that it needs. Moves spread to the calls
+that need a moved one, in rounds of joins on the dependency key; calls that
+end at one place are peeled in rounds (first those that need no other there),
+and lie by round and turn. The rounds are as many as the longest chain of moved
+calls. Calls on or behind a cycle come last; of each cycle the earliest call is
+freed and marked. Only ids and places move; places come from a distributed
+rank, so a conversation that holds a third of all rows is spread like any
+other. Join keys that are hot meet a bounded broadcast.
 
 Cases: a null id or conversation never links; an id used again marks the
 later calls as ``duplicate``; further results of a call and results without
 one are rows of their own (``extra``, ``orphan``); a result at or before its
-call's turn is ``early``; members of a dependency cycle keep their turn order
-and are marked; broken JSON is a plain message, broken arguments an error;
+call's turn is ``early``; the earliest call of a dependency cycle (or of cycles
+that hang together, until all are cut) is marked; broken JSON is a plain message, broken arguments an error;
 null texts are empty messages. Other columns are not read. An empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import textkit as T
-from riskloom.llm.graph import spread_join
+from riskloom.llm.graph import components, spread_join
+from riskloom.operators.prefix import global_rank
 from riskloom.session import cut_lineage
 
 CALLS = ("tool_calls array<struct<id:string, function:struct<name:string, arguments:string>, "
          "after:array<string>>>")
 RESULT = "tool_call_id string, content string"
 SLOTS = 1 << 20            # calls of a message in order: turn * SLOTS + place
+LAST = 1 << 62             # the place of calls on or behind a cycle
 LOT = 4_096                # copies of a result that are written out at once
 
 # Schemas of the tools of the derived trace (see ``trace``).
@@ -121,38 +125,6 @@ def check_arguments(name: str | None, arguments: str | None, schemas: dict) -> t
     return value, violations(value, schemas[name])
 
 
-def topological(places: list[int], needs: list[list[int]]) -> tuple[list[int], set[int]]:
-    """Order of the calls 0..n-1 in which each follows what it needs, the
-    earliest place first; members of cycles come when nothing else is free,
-    by place. Returns the order and the cycle members that were forced."""
-    waiting = [len(set(x)) for x in needs]
-    users: list[list[int]] = [[] for _ in places]
-    for i, x in enumerate(needs):
-        for j in set(x):
-            users[j].append(i)
-    free = [(places[i], i) for i in range(len(places)) if not waiting[i]]
-    heapq.heapify(free)
-    rest = sorted((p, i) for i, p in enumerate(places))
-    done, order, forced, at = set(), [], set(), 0
-    while len(order) < len(places):
-        if free:
-            _, i = heapq.heappop(free)
-        else:
-            while rest[at][1] in done:
-                at += 1
-            i = rest[at][1]
-            forced.add(i)
-        if i in done:
-            continue
-        done.add(i)
-        order.append(i)
-        for j in users[i]:
-            waiting[j] -= 1
-            if not waiting[j] and j not in done:
-                heapq.heappush(free, (places[j], j))
-    return order, forced
-
-
 # ----------------------------------------------------------------- the job
 
 def _key(conv: Column, call: Column) -> Column:
@@ -186,29 +158,99 @@ def split_messages(messages: DataFrame, conv: str, turn: str, role: str, text: s
     return _keyed(calls), _keyed(results), plain
 
 
+def _delays(edges: DataFrame, state: DataFrame, moved: DataFrame) -> DataFrame:
+    """(key, place) of every call that its needs move: ``state`` spread from
+    the calls ``moved`` to those that need them, until nothing moves."""
+    while True:
+        pushed = (edges.join(moved.select(F.col("key").alias("need"), F.col("place").alias("_to")), "need")
+                  .filter("_to >= at").groupBy("key").agg(F.max("_to").alias("_to")))
+        moved = cut_lineage(pushed.join(state, "key", "left").filter("place IS NULL OR _to > place")
+                            .select("key", F.col("_to").alias("place")))
+        if not moved.take(1):
+            return state
+        state = cut_lineage(state.unionByName(moved).groupBy("key").agg(F.max("place").alias("place")))
+
+
+def _ties(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """(key, need) of the calls that end at the place of a call they need."""
+    of_need = state.select(F.col("key").alias("need"), F.col("place").alias("_there"))
+    return cut_lineage(edges.join(state, "key").join(of_need, "need", "left")
+                       .filter(F.col("place") == F.coalesce("_there", "need_at")).select("key", "need"))
+
+
+def _freed(ties: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key) of the earliest call of each group of cycles. Calls that no other
+    needs are behind the cycles and go first, in rounds."""
+    core, n = ties, ties.count()
+    while True:
+        core = cut_lineage(core.join(core.select(F.col("need").alias("key")).distinct(), "key", "left_semi"))
+        size = core.count()
+        if size == n:
+            break
+        n = size
+    roots = components(core, "key", "need").withColumnRenamed("node", "key")
+    return cut_lineage(core.select("key").distinct().join(roots, "key", "left")
+                       .join(edges.select("key", "at").distinct(), "key")
+                       .groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("at", "key")).alias("_f"))
+                       .select(F.col("_f.key").alias("key")))
+
+
+def _peel(ties: DataFrame, edges: DataFrame, free: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """(key, round, cycle) of the calls that wait at their place, and the
+    calls that cycles hold up; with ``free`` the cycles are cut."""
+    blocked = cut_lineage(ties.select("key").distinct())
+    n, turn, done = blocked.count(), 0, None
+    while n:
+        turn += 1
+        ties = cut_lineage(ties.join(blocked.select(F.col("key").alias("need")), "need", "left_semi"))
+        still = cut_lineage(ties.select("key").distinct())
+        left, first = still.count(), None
+        if left == n:
+            if not free:
+                return done, blocked
+            first = _freed(ties, edges)
+            ties = cut_lineage(ties.join(first, "key", "left_anti"))
+            still = cut_lineage(ties.select("key").distinct())
+            left = still.count()
+        out = blocked.join(still, "key", "left_anti").select("key", F.lit(turn).alias("round"),
+                                                             F.lit(first is not None).alias("cycle"))
+        done = out if done is None else cut_lineage(done.unionByName(out))
+        blocked, n = still, left
+    return done, None
+
+
 def _order(calls: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(at, key -> order_at, cycle) of the calls whose turns contradict a
-    dependency, and (key, n) of calls that depend on an unknown id."""
+    """(key -> order_at, cycle) of the calls of conversations whose turns
+    contradict a dependency, and (key, n) of calls that depend on an unknown id."""
     wants = (calls.filter("_first").select("conv", "key", "at", F.explode("after").alias("need"))
              .filter(F.col("need").isNotNull())
              .withColumn("_need", _key(F.col("conv"), F.col("need"))))
     known = firsts.select(F.col("key").alias("_need"), F.col("first_at").alias("_need_at"))
     met = cut_lineage(wants.join(known, "_need", "left"))
-    unknown = met.filter(F.col("_need_at").isNull()).groupBy("key").agg(F.count(F.lit(1)).alias("_unknown"))
-    bad = met.filter(F.col("_need_at") >= F.col("at")).select("conv").distinct()
-    edges = met.filter(F.col("_need_at").isNotNull()).groupBy("key").agg(F.collect_list("_need_at").alias("needs"))
-    small = (calls.filter("_first").join(bad, "conv", "left_semi").select("conv", "key", "at")
-             .join(edges, "key", "left"))
-
-    def sort_calls(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at").reset_index(drop=True)
-        spot = {a: i for i, a in enumerate(pdf["at"])}
-        needs = [[spot[int(a)] for a in (x if x is not None else []) if int(a) in spot] for x in pdf["needs"]]
-        order, forced = topological(list(pdf["at"]), needs)
-        out = pdf.loc[order, ["key"]].assign(order_at=pdf["at"].to_numpy(), cycle=[i in forced for i in order])
-        return out[["key", "order_at", "cycle"]]
-
-    return small.groupBy("conv").applyInPandas(sort_calls, "key string, order_at long, cycle boolean"), unknown
+    unknown = (met.filter(F.col("_need_at").isNull()).select("key", "_need").distinct()
+               .groupBy("key").agg(F.count(F.lit(1)).alias("_unknown")))
+    edges = cut_lineage(met.filter(F.col("_need_at").isNotNull())
+                        .select("conv", "key", "at", F.col("_need").alias("need"), F.col("_need_at").alias("need_at")).distinct())
+    start = cut_lineage(edges.filter("need_at >= at").groupBy("key").agg(F.max("need_at").alias("place")))
+    if not start.take(1):
+        return firsts.select("key", F.col("first_at").alias("order_at"), F.lit(False).alias("cycle")).limit(0), unknown
+    state = _delays(edges, start, start)
+    waits, held = _peel(_ties(edges, state), edges, free=False)
+    if held is not None:
+        last = held.select("key", F.lit(LAST).cast("long").alias("place"))
+        state = cut_lineage(state.unionByName(last).groupBy("key").agg(F.max("place").alias("place")))
+        state = _delays(edges, state, last)
+        waits, _ = _peel(_ties(edges, state), edges, free=True)
+    convs = edges.join(state, "key", "left_semi").select("conv").distinct()
+    rows = cut_lineage(calls.filter("_first").join(convs, "conv", "left_semi").select("conv", "key", "at").distinct()
+                       .join(state, "key", "left").join(waits, "key", "left")
+                       .select("conv", "key", "at", F.coalesce("place", "at").alias("place"),
+                               F.coalesce("round", F.lit(0)).alias("round"), F.coalesce("cycle", F.lit(False)).alias("cycle")))
+    order = global_rank(rows, "place", by=["conv"], tiebreak=["round", "at", "key"], out="_nth")
+    places = global_rank(rows.select("conv", "key", "at"), "at", by=["conv"], tiebreak=["key"], out="_nth")
+    return (order.select("conv", "_nth", "key", "cycle")
+            .join(places.select("conv", "_nth", F.col("at").alias("order_at")), ["conv", "_nth"])
+            .select("key", "order_at", "cycle")), unknown
 
 
 def format_chat(messages: DataFrame, schemas: dict | None = None, conv: str = "conv_id", turn: str = "turn",
@@ -298,19 +340,25 @@ def format_chat(messages: DataFrame, schemas: dict | None = None, conv: str = "c
 
 def trace(conversations: DataFrame) -> DataFrame:
     """Tool traffic derived from plain conversations, in the message format
-    above: a user turn becomes a call (``ask`` at first, ``follow_up`` later,
-    which depends on the turn two before), the assistant turn after it the
-    call's result. Other turns stay as they are."""
+    above: a user turn becomes a call (``ask`` at first, ``follow_up`` later),
+    the assistant turn after it the call's result. Other turns stay as they are.
+
+    Calls form topics of four places, two turns apart: the first depends on
+    none, the second on the third, which comes later, the third on the first,
+    the fourth on the third. In every eighth conversation the third depends on
+    the second, so that these two are a cycle."""
     ident = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
     text = F.coalesce("text", F.lit(""))
     words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     arguments = F.to_json(F.struct(text.alias("text"), words.alias("words")))
+    topic = F.pmod(F.floor(F.col("turn") / 2), F.lit(4))
+    step = F.when(topic == 1, 2).when((topic == 3) | (F.col("conv_id") % 8 == 0), -2).otherwise(-4)
     call = F.to_json(F.struct(F.array(F.struct(
         ident(F.col("turn")).alias("id"),
         F.struct(F.when(F.col("turn") < 2, "ask").otherwise("follow_up").alias("name"),
                  arguments.alias("arguments")).alias("function"),
-        F.when(F.col("turn") < 2, F.array().cast("array<string>"))
-        .otherwise(F.array(ident(F.col("turn") - 2))).alias("after"))).alias("tool_calls")))
+        F.when(topic == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(ident(F.col("turn") + step))).alias("after"))).alias("tool_calls")))
     result = F.to_json(F.struct(ident(F.col("turn") - 1).alias("tool_call_id"), text.alias("content")))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     return conversations.select(

@@ -63,21 +63,59 @@ def test_topological_order(spark):
         ("z", ""), ("x", "dependency: cycle"), ("y", "")]
 
 
-def test_topological_against_brute_force():
+def brute_order(needs):
+    """Places 0..n-1 of one conversation in the order that the docstring
+    gives, and whether it has a cycle."""
+    n = len(needs)
+    above = [set(x) for x in needs]
+    for _ in range(n):
+        above = [x | {k for j in x for k in above[j]} for x in above]
+    if any(i in above[i] for i in range(n)):
+        return None
+    place = [max([i, *above[i]]) for i in range(n)]
+    rounds = [0] * n
+    for _ in range(n):
+        rounds = [max([rounds[j] + 1 for j in needs[i] if place[j] == place[i]], default=0) for i in range(n)]
+    return sorted(range(n), key=lambda i: (place[i], rounds[i], i))
+
+
+def test_order_against_brute_force(spark):
+    """Random dependencies, a conversation each: the order without cycles is
+    the brute-force one; with cycles, whatever is not behind one follows what
+    it needs, and without the marked calls' needs everything does."""
     rng = random.Random(3)
-    for _ in range(200):
-        n = rng.randint(1, 9)
-        places = rng.sample(range(50), n)
-        rank = rng.sample(range(n), n)
-        needs = [[j for j in range(n) if rank[j] < rank[i] and rng.random() < 0.3] for i in range(n)]
-        order, forced = toolchat.topological(places, needs)
-        assert sorted(order) == list(range(n)) and not forced
-        done = set()
-        for i in order:                       # always the earliest of those that may go
-            assert set(needs[i]) <= done
-            free = [k for k in range(n) if k not in done and set(needs[k]) <= done]
-            assert places[i] == min(places[k] for k in free)
-            done.add(i)
+    chats = {c: [sorted(j for j in range(9) if rng.random() < rng.choice([0.05, 0.2])) for _ in range(9)] for c in range(30)}
+    chats |= {c: [[j for j in x if (j * 7 + c) % 9 < (i * 7 + c) % 9] for i, x in enumerate(chats[c])] for c in range(15)}
+    rows = [(c, i, "assistant", calls(call(f"k{i}", after=[f"k{j}" for j in x])))
+            for c, needs in chats.items() for i, x in enumerate(needs)]
+    got = chat(spark, rows)
+    acyclic = 0
+    for c, needs in chats.items():
+        mine = [r for r in got if r["conv_id"] == c]
+        assert [r["order_at"] // toolchat.SLOTS for r in mine] == list(range(9))
+        order = [int(r["call_id"][1:]) for r in mine]
+        marked = {int(r["call_id"][1:]) for r in mine if "cycle" in r["errors"]}
+        want = brute_order(needs)
+        if want is not None:
+            acyclic += 1
+            assert order == want and not marked
+            continue
+        assert marked
+        spot = {i: k for k, i in enumerate(order)}
+        assert all(spot[j] < spot[i] for i, x in enumerate(needs) if i not in marked for j in x)
+        assert brute_order([[] if i in marked else x for i, x in enumerate(needs)]) is not None
+    assert 15 <= acyclic < 30
+
+
+def test_long_contradiction_and_repeated_rows(spark):
+    """One large conversation whose calls all need its last one, which occurs
+    in two equal rows."""
+    rows = [(1, i, "assistant", calls(call(f"k{i}", after=["k900"]))) for i in range(900)]
+    rows += [(1, 900, "assistant", calls(call("k900")))] * 2
+    got = chat(spark, rows)
+    assert len(got) == 902
+    assert {r["call_id"] for r in got[:2]} == {"k900"} or got[0]["call_id"] == "k900"
+    assert [r["call_id"] for r in got if r["call_id"] != "k900"] == [f"k{i}" for i in range(900)]
 
 
 @pytest.mark.parametrize("value,want", [

@@ -8,13 +8,17 @@ node, is content. Elements whose name, role or class says what they are
 (menus, footers, adverts, comments, forms, ...) are furniture wherever they
 stand, since their text may vary as well.
 
-References are up to ``REFERENCES`` pages per host, spread over the host by a
-hash; a reference that shares most of the blocks that are the page's own (not
-on most references) is a copy and no evidence, and two others must agree
-before a node counts as template.
-Every page is aligned. The references are broadcast when their measured size
-allows; else pages are dealt by host, but those of hot hosts, which are
-bounded in number, stay in place.
+Up to ``REFERENCES`` pages per host, spread over the host by a hash, are its
+frames. Every page of the host is aligned with the frame that it fits best and
+says which text it has at each single node of that frame; the texts at a node
+are counted over all pages, near copies once. A text that ``CONSTANT`` of them
+agree on is template; any other text there is content. Only a node that fewer
+than ``ENOUGH`` different pages hold, as on hosts of a few pages, is decided
+by the frames themselves: two must agree with the page and none differ, where
+a frame that shares most of the blocks that are the page's own (not on most
+frames) is a copy and no evidence.
+The frames are broadcast when their measured size allows; else pages are dealt
+by host, but those of hot hosts, which are bounded in number, stay in place.
 
 Cases: null or empty html gives an empty text; a page without a host (null or
 relative url) is extracted by its elements alone; unclosed and stray tags are
@@ -40,11 +44,14 @@ from riskloom.llm import textkit as T
 from riskloom.llm.graph import spread_join
 from riskloom.session import cut_lineage
 
-REFERENCES = 6
+REFERENCES = 6         # alignment frames of a host; the evidence is all its pages
+ENOUGH = 8             # different pages at a node from which their counts decide
+CONSTANT = 0.9         # share of them that a template text has at least
 AGREE = 2              # references that must agree on a template node
 COPY_SHARE = 0.5       # a page's own blocks shared beyond this: a copy, no evidence
 COMMON_SHARE = 2 / 3   # references with a block beyond this: the host's, not a page's own
 BROADCAST_CHARS = 32 << 20
+SLOT_BYTES = 48        # of one decided node in a broadcast row
 LINK_SHARE = 0.5       # without an article, a block of mostly links is a menu
 
 # Fixed vocabulary of HTML.
@@ -336,9 +343,12 @@ def tree_match(a: Shape, b: Shape) -> list[tuple[int, int]]:
 
 
 class Wrapper:
-    """The references of a host, and the alignments met so far."""
+    """The frames of a host, the alignments met so far, and what the counts
+    over all its pages say: the template text of a (frame, node), None where
+    the texts vary."""
 
-    def __init__(self, dumps: list[str]):
+    def __init__(self, dumps: list[str], slots: list[dict] | None = None):
+        self.slots = {(x["frame"], x["node"]): x["own"] for x in slots or []}
         self.shapes = [Shape(*json.loads(d)) for d in sorted(set(dumps))]
         self.blocks = [set(s.blocks) for s in self.shapes]
         counts = Counter(x for blocks in self.blocks for x in blocks)
@@ -346,20 +356,52 @@ class Wrapper:
         self.common = {x for x, n in counts.items() if n >= most}
         self.aligned: dict[str, list[list[tuple[int, int]]]] = {}
 
-    def template(self, shape: Shape) -> set[int]:
-        """Compact indices of the page's nodes that are template."""
-        if len(self.shapes) < AGREE or not any(x is not None for x in shape.own):
-            return set()
+    def alignments(self, shape: Shape) -> list[list[tuple[int, int]]]:
+        """The pairs (node of the page, node of the frame), by frame."""
         key = shape.key()
         if key not in self.aligned:
             if len(self.aligned) >= 256:
                 self.aligned.clear()
             self.aligned[key] = [tree_match(shape, s) for s in self.shapes]
+        return self.aligned[key]
+
+    def frame(self, shape: Shape) -> int:
+        """The frame that the page fits best, the first of equals."""
+        fit = [len(pairs) / (len(shape.depth) + len(ref.depth) or 1)
+               for pairs, ref in zip(self.alignments(shape), self.shapes, strict=True)]
+        return fit.index(max(fit))
+
+    def evidence(self, shape: Shape) -> tuple[int, int, list[tuple[int, int]]] | None:
+        """What the page says about its host: its frame, the least of its own
+        blocks (the same on near copies, mostly), and (node, text) at the
+        nodes of the frame; None for a page without blocks of its own."""
+        mine = set(shape.blocks) - self.common
+        if not mine or not self.shapes:
+            return None
+        best = self.frame(shape)
+        return best, min(mine), [(y, shape.own[x]) for x, y in self.alignments(shape)[best] if shape.own[x] is not None]
+
+    def template(self, shape: Shape) -> set[int]:
+        """Compact indices of the page's nodes that are template."""
+        if len(self.shapes) < AGREE or not any(x is not None for x in shape.own):
+            return set()
         # what most references hold says nothing about copies
-        mine, same, other = set(shape.blocks) - self.common, {}, set()
+        mine = set(shape.blocks) - self.common
         if not mine:
             return set()
-        for ref, blocks, pairs in zip(self.shapes, self.blocks, self.aligned[key], strict=True):
+        found = self._by_frames(shape, mine)
+        best = self.frame(shape) if self.slots else 0
+        for x, y in self.alignments(shape)[best]:
+            if (best, y) in self.slots and shape.own[x] is not None:
+                found.discard(x)
+                if shape.own[x] == self.slots[best, y]:
+                    found.add(x)
+        return found
+
+    def _by_frames(self, shape: Shape, mine: set[int]) -> set[int]:
+        same: dict[int, int] = {}
+        other: set[int] = set()
+        for ref, blocks, pairs in zip(self.shapes, self.blocks, self.alignments(shape), strict=True):
             if len(mine & blocks) > COPY_SHARE * len(mine):
                 continue
             for x, y in pairs:
@@ -434,33 +476,76 @@ def with_wrappers(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Every page with the references of its host. The table is broadcast
     when its measured size allows; beyond that pages are dealt by host, and
     those of hot hosts stay in place."""
-    size = table.agg(F.sum(F.length(F.concat_ws("", "refs"))).alias("n")).collect()[0]["n"] or 0
+    width = F.length(F.concat_ws("", "refs"))
+    if "slots" in table.columns:
+        width = width + SLOT_BYTES * F.coalesce(F.size("slots"), F.lit(0))
+    size = table.agg(F.sum(width).alias("n")).collect()[0]["n"] or 0
     if size <= BROADCAST_CHARS:
         return rows.join(F.broadcast(table), "host", "left")
     return spread_join(rows, table, "host", "left")
 
 
+class _Hosts:
+    """The wrappers of the hosts that a task met last."""
+
+    def __init__(self):
+        self.known: dict[str, Wrapper] = {}
+
+    def __call__(self, host: str, refs: pa.Scalar, slots: pa.Scalar | None = None) -> Wrapper:
+        if host not in self.known:
+            if len(self.known) >= 200:
+                self.known.clear()
+            self.known[host] = Wrapper(refs.as_py() or [], slots.as_py() if slots is not None else None)
+        return self.known[host]
+
+
+def slots(pages: DataFrame, table: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, slots): per host the (frame, node, own) of every frame node that
+    at least ``ENOUGH`` different pages hold, with the text hash that
+    ``CONSTANT`` of them agree on, null where there is none. All pages are
+    counted; pages with the same least own block count once per text."""
+    inner = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("_html")).filter("host <> ''")
+    rows = with_wrappers(inner, table).filter(F.col("refs").isNotNull()).select("host", "refs", "_html")
+
+    def run(batches):
+        wrapper = _Hosts()
+        for batch in batches:
+            for part, texts in T.slices(batch, "_html"):
+                hosts, refs = part.column(0).to_pylist(), part.column(1)
+                found: set[tuple[str, int, int, int, int]] = set()
+                for i, value in enumerate(texts.to_pylist()):
+                    said = wrapper(hosts[i], refs[i]).evidence(shape_of(parse(value))[0]) if value else None
+                    if said is not None:
+                        found.update((hosts[i], said[0], y, own, said[1]) for y, own in said[2])
+                cols = list(zip(*found, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int32()] * 2, *[pa.int64()] * 2), strict=True)],
+                    ["host", "frame", "node", "own", "sign"])
+
+    seen = rows.mapInArrow(run, "host string, frame int, node int, own long, sign long")
+    texts = seen.distinct().groupBy("host", "frame", "node", "own").agg(F.count(F.lit(1)).alias("n"))
+    nodes = (texts.groupBy("host", "frame", "node")
+             .agg(F.sum("n").alias("_all"), F.max(F.struct("n", "own")).alias("_top")).filter(F.col("_all") >= ENOUGH))
+    constant = F.when(F.col("_top.n") >= CONSTANT * F.col("_all"), F.col("_top.own")).alias("own")
+    return nodes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("frame", "node", constant))).alias("slots"))
+
+
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, url, text, n_chars): one row per input row."""
     inner = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("_html"),
                          host_of(F.col(url)).alias("host"))
-    rows = with_wrappers(inner, cut_lineage(wrappers(pages, page, url, html)))
-    rows = rows.select("page_id", "url", "_html", "host", "refs")
+    frames = cut_lineage(wrappers(pages, page, url, html))
+    table = cut_lineage(frames.join(slots(pages, frames, url, html), "host", "left"))
+    rows = with_wrappers(inner, table).select("page_id", "url", "_html", "host", "refs", "slots")
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (page, url))
 
     def run_all(batches):
-        known: dict[str, Wrapper] = {}
+        wrapper = _Hosts()
         for batch in batches:
             for part, texts in T.slices(batch, "_html"):
-                hosts, refs = part.column(3).to_pylist(), part.column(4)
-                found = []
-                for i, value in enumerate(texts.to_pylist()):
-                    host = hosts[i]
-                    if host not in known:
-                        if len(known) >= 200:
-                            known.clear()
-                        known[host] = Wrapper(refs[i].as_py() or [])
-                    found.append(main_text(value, known[host]))
+                hosts, refs, decided = part.column(3).to_pylist(), part.column(4), part.column(5)
+                found = [main_text(value, wrapper(hosts[i], refs[i], decided[i]))
+                         for i, value in enumerate(texts.to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), T.string_column(found),
                      pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])

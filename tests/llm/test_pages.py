@@ -158,3 +158,62 @@ def test_template_of_short_pages():
     # a reference that shares the page's own blocks is still a copy
     copies = pages.Wrapper([pages.shape_of(pages.parse(page(k)))[0].dump() for k in (1, 2, 99)])
     assert "own 99" in pages.main_text(page(99), copies)
+
+
+# ---- counts over all pages of a host
+
+def story(rng, n=6):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n * 3))
+
+
+def counted_page(rng, box=None, by="by Ann", title=None):
+    extra = f"<div class='c7'><span>{box}</span></div>" if box else ""
+    body = "".join(f"<p>{story(rng)}</p>" for _ in range(rng.randint(2, 5)))
+    return (f"<body><div class='w'><div class='h9'>{title or story(rng, 2)}</div><div class='b3'>{by}</div>{extra}"
+            f"<div class='s1'>{body}</div></div></body>")
+
+
+def test_a_constant_node_of_few_pages_is_template(spark):
+    """A node on a tenth of the pages, mostly of one text, is found from the
+    counts; a page with a text of its own there keeps it."""
+    rng = random.Random(4)
+    boxes = [("Own words" if i == 130 else "Tell your friends of us") if i % 10 == 0 else None for i in range(300)]
+    rows = [(i, f"https://many.example/{i}", counted_page(rng, box=boxes[i], by=f"by {rng.choice(['Ann', 'Bo', 'Cy'])}"))
+            for i in range(300)]
+    got = texts(pages.extract(rows_of(spark, rows)))
+    assert not any("Tell your friends" in t for t in got.values())
+    assert "Own words" in got[130]
+    assert all("by " in t for t in got.values())  # a text that varies between a few is content
+
+
+def test_near_copies_count_once(spark):
+    """A third of a host's pages share all but one paragraph: no template."""
+    rng = random.Random(5)
+    title, shared = story(rng, 2), "".join(f"<p>{story(rng)}</p>" for _ in range(9))
+    copy = ("<body><div class='w'><div class='h9'>{t}</div><div class='b3'>by Ann</div><div class='s1'>{s}<p>{o}</p></div>"
+            "</div></body>")
+    rows = [(i, f"https://third.example/{i}", copy.format(t=title, s=shared, o=story(rng)) if i % 3 == 0
+             else counted_page(rng)) for i in range(150)]
+    got = texts(pages.extract(rows_of(spark, rows)))
+    assert all(title in got[i] for i in range(0, 150, 3))
+    assert not any("by Ann" in t for t in got.values())
+
+
+def test_counts_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, f"https://{'ab'[i % 4 == 0]}.example/{i}", counted_page(rng, box="Box" if i % 3 else None)) for i in range(90)]
+    df = rows_of(spark, rows)
+    frames = pages.cut_lineage(pages.wrappers(df, "page_id", "url", "html"))
+    wrappers = {r["host"]: pages.Wrapper(r["refs"]) for r in frames.collect()}
+    seen = set()
+    for _, url, html in rows:
+        host = url.split("/")[2]
+        frame, sign, said = wrappers[host].evidence(pages.shape_of(pages.parse(html))[0])
+        seen |= {(host, frame, y, own, sign) for y, own in said}
+    want = {}
+    for host, frame, y, own, _ in seen:
+        want.setdefault((host, frame, y), []).append(own)
+    want = {k: next((t for t in set(v) if v.count(t) >= 0.9 * len(v)), None) for k, v in want.items() if len(v) >= 8}
+    got = {(r["host"], x["frame"], x["node"]): x["own"]
+           for r in pages.slots(df, frames, "url", "html").collect() for x in r["slots"]}
+    assert got == want and any(v is not None for v in want.values()) and None in want.values()

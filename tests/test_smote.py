@@ -4,6 +4,7 @@ properties: balanced classes, synthetic rows on their segments."""
 import numpy as np
 from pyspark.sql import functions as F
 
+from riskloom.operators import smote as S
 from riskloom.operators.smote import SplitTree, knn, knn_exact, smote, split_tree
 
 
@@ -57,6 +58,36 @@ def test_best_first_search_visits_few_pairs(spark):
     assert report["leaves"] >= 40 and report["visited_share"] < 0.35  # a third of the rows are one point
 
 
+def test_rows_travel_once_a_block_not_once_a_leaf(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pts = [(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(1600, 8)) + 1e4)]  # far from the origin
+    names = [f"x{i}" for i in range(8)]
+    df = spark.createDataFrame(pts, "id long, " + ", ".join(f"{c} double" for c in names))
+    sent, visits = [], S._visits
+
+    def counted(*args, **kw):
+        out = visits(*args, **kw)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "_visits", counted)
+    report = {}
+    got = {}
+    for r in knn_exact(df, "id", names, k=3, block_size=8, report=report).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = round(r["dist"], 9)
+    assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == _brute(pts, 3)
+    # a row may have to see most of the leaves, but there are few blocks
+    assert report["leaves"] >= 200 and sum(sent) <= len(pts) * S.FEW_BLOCKS
+
+
+def test_missing_values_hide_no_neighbours(spark):
+    rows = [(i, float(i), 0.0) for i in range(4)] + [(10 + i, None, 1.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = {(r["id"], r["rank"]): (r["nbr_key"], r["dist"]) for r in knn_exact(df, "id", ["a", "b"], k=5).collect()}
+    assert {q for q, _ in got} == {0, 1, 2, 3} and len(got) == 12
+    assert got[(0, 1)] == (1, 1.0) and got[(0, 3)] == (3, 3.0)
+
+
 def test_keys_of_any_type(spark):
     pts, names = _cloud(spark, 300, 3)
     df = spark.createDataFrame([(f"k{p[0]:04d}", *p[1:]) for p in pts], "name string, " + ", ".join(f"{c} double" for c in names))

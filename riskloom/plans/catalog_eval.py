@@ -236,7 +236,7 @@ FROM (""" + " UNION ALL ".join(
     f"FROM tr GROUP BY {c}" for c in _TE_COLS) + """) s, (SELECT avg(CAST(readmitted_binary AS DOUBLE)) AS prior FROM tr) p""",
     "feat", extra=split_cte()))
 def f3_target_encoding(spark, sf_dir):
-    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL)
+    df = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL, keep=[H.KEY, H.LABEL, *_TE_COLS])
     return P.target_encode_fit(df.filter(~F.col("is_test")), _TE_COLS, H.LABEL)
 
 

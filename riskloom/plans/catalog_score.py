@@ -10,6 +10,7 @@ from riskloom.functions.clinical import AGE_BIN_EDGES, AGE_BIN_LABELS, bin_right
 from riskloom.operators import explain as J
 from riskloom.operators import prep as P
 from riskloom.operators import train as G
+from riskloom.operators.features import FEATURES
 from riskloom.operators.compile import ObliviousTrees, SavedLinear, trees_sql
 from riskloom.plans import hospital as H
 from riskloom.plans.oracle import AGE_GROUP_SQL, split_cte, with_views
@@ -52,13 +53,15 @@ def saved_sql(select: str) -> str:
     return with_views(select, "feat", extra=split_cte() + ",\n" + SAVED_SQL)
 
 
-def _test_rows(spark, sf_dir):
-    """Unscaled test rows of the exact split."""
-    return P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL, exact=True).filter(F.col("is_test"))
+def _split_rows(spark, sf_dir):
+    """Unscaled rows of the exact split: training and test."""
+    split = P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL, exact=True,
+                               keep=[H.KEY, H.LABEL, "race", "gender", *FEATURES])
+    return split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
 
 
-def _train_rows(spark, sf_dir):
-    return P.stratified_split(H.hospital_features(spark, sf_dir), H.KEY, H.LABEL, exact=True).filter(~F.col("is_test"))
+def _test_rows(spark, sf_dir):
+    return _split_rows(spark, sf_dir)[1]
 
 
 def _saved_scores(spark, sf_dir):
@@ -152,8 +155,9 @@ g{n} AS (
 def g2_oblivious_tree_scores(spark, sf_dir):
     """Trees fitted by aggregates on the training rows, compiled to SQL and
     scored on every test row."""
-    trees, weights = ENSEMBLE.fit(_train_rows(spark, sf_dir), H.LABEL)
-    return _test_rows(spark, sf_dir).select(H.KEY, F.expr(trees_sql(trees, weights, TREE_FEATURES)).alias("prob"))
+    train, test = _split_rows(spark, sf_dir)
+    trees, weights = ENSEMBLE.fit(train, H.LABEL)
+    return test.select(H.KEY, F.expr(trees_sql(trees, weights, TREE_FEATURES)).alias("prob"))
 
 
 def _coalition_sql() -> str:
@@ -184,8 +188,9 @@ JOIN tb USING (encounter_id) JOIN (SELECT encounter_id, e AS base FROM whole WHE
 def j3_tree_shap_coalitions(spark, sf_dir):
     """J3 by value: the leaf-path attribution of five features for every test
     row, which the SQL computes over all coalitions."""
-    trees, weights = ENSEMBLE.fit(_train_rows(spark, sf_dir), H.LABEL)
-    shap = J.tree_attribution(_test_rows(spark, sf_dir), H.KEY, TREE_FEATURES, trees, weights)
+    train, test = _split_rows(spark, sf_dir)
+    trees, weights = ENSEMBLE.fit(train, H.LABEL)
+    shap = J.tree_attribution(test, H.KEY, TREE_FEATURES, trees, weights)
     base = J.expected_value(trees, weights)
     return shap.select("row_id", "feature", "value", (F.round("phi", 9) + F.lit(0.0)).alias("phi"),
                        F.round(F.lit(base), 9).alias("base_value"))

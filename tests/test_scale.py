@@ -69,3 +69,21 @@ def test_no_scenarios_and_equal_scenarios(spark):
     assert K.cost_benefit(conf, K.scenarios(spark, [])).count() == 0
     twice = [("s", 10.0, 1.0, 1.0, 0.5)] * 2
     assert K.cost_benefit(conf, K.scenarios(spark, twice)).count() == 2
+
+
+def test_split_carries_only_the_columns_read_afterwards(spark, monkeypatch):
+    """The exact split of a wide table moves the named columns alone and
+    marks the same rows, also where keys repeat or are null."""
+    from riskloom.operators import prefix
+    from riskloom.operators import prep as P
+
+    rows = [(None if i % 10 == 0 else i // 2, i % 3 == 0 and 1 or 0, float(i), f"long text {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, wide string")
+    want = sorted((r["a"], r["is_test"]) for r in P.stratified_split(df, "id", "y").collect())
+    seen, cut = [], prefix.cut_lineage
+    monkeypatch.setattr(prefix, "cut_lineage", lambda d: (seen.append(d.columns), cut(d))[1])
+    narrow = P.stratified_split(df, "id", "y", keep=["id", "y", "a"])
+    assert "wide" not in narrow.columns
+    assert sorted((r["a"], r["is_test"]) for r in narrow.collect()) == want
+    P.prepare_features(df, "id", "y", ["a"])
+    assert seen and not any("wide" in c for c in seen)

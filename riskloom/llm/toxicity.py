@@ -7,8 +7,9 @@ chi-square of the term against the label, so a term that tells little counts
 little, but none is left out. A text's terms that no example holds count in
 its length. The examples lie in a block-max inverted index (see ``Index``):
 every text with a word is searched, blocks whose bound cannot reach its 25th
-neighbour are skipped, the others are scored in full, so the neighbours are
-exact.
+neighbour are skipped, the others are scored in full, in single precision with
+a bound on its error, and all that may be neighbours again in double, so the
+neighbours are exact.
 The 25 nearest vote by the inverse of their distance, and examples that tie at
 the last place share it, so ids decide nothing; the votes, smoothed by the base
 rate, are the score, and the nearest examples are its evidence.
@@ -28,6 +29,7 @@ read, so other columns cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +49,7 @@ NEIGHBOURS = 25
 DENSE = 0.08           # share of the examples from which a term is scored by the matrix product
 QUERIES = 64           # texts in a matrix product
 BLOCK = 256            # examples of a block
+POSTINGS = 1 << 19     # postings worked on at once while an index is made
 COMPONENTS = 5         # leading components that lay the examples out
 NEAR = 0.05            # distance that is added to each, so equal vectors do not vote alone
 SMOOTH = 0.5           # votes that the base rate adds
@@ -158,6 +161,16 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
+def _spans(at: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Runs of whole lists, of at most ``POSTINGS`` postings or one list: the
+    span of their postings, and the list of each."""
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + POSTINGS, side="right")) - 1)
+        yield slice(int(at[i]), int(at[j])), np.repeat(np.arange(i, j), np.diff(at[i:j + 1]))
+        i = j
+
+
 class Index:
     """Block-max inverted index over the unit vectors of the examples.
 
@@ -166,7 +179,7 @@ class Index:
     count / length of its examples, a term its weight. The examples are laid
     out by their leading components, so that a block of ``BLOCK`` holds texts
     of one kind, and each list has its largest value in every block. Lists of
-    many examples are rows of a matrix, the others cells by block. An example
+    many examples are columns of a matrix of counts, the others cells by block. An example
     without any term is no neighbour, it counts in the rate of texts without
     terms."""
 
@@ -181,16 +194,16 @@ class Index:
         self.weight = (np.log((len(labels) + 1) / (toxic + clean + 1)) + 1) * telling(toxic, clean, sample[1], sample[0])
         self.outside = (np.log(len(labels) + 1) + 1) * FLOOR
         square = np.bincount(self.group, weights=self.weight ** 2, minlength=len(at) - 1)
-        lists = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        norm = np.bincount(example, weights=count.astype(float) ** 2 * square[lists], minlength=len(labels))
+        norm = np.zeros(len(labels))
+        for span, lists in _spans(at):
+            norm += np.bincount(example[span], weights=count[span].astype(float) ** 2 * square[lists], minlength=len(labels))
         known = norm > 0
         none = [share[y] * float((~known & (labels == y)).sum()) for y in (0, 1)]
         weight = totals.get(0, 0) + totals.get(1, 0)
         self.base = totals.get(1, 0) / weight if weight else 0.0
         self.empty = (none[1] + SMOOTH * self.base) / (none[0] + none[1] + SMOOTH)
-        value = count / np.sqrt(norm)[example]
         often = np.diff(at) >= max(2, DENSE * known.sum())
-        order = _layout(lists, example, value * np.sqrt(square)[lists], often, known)
+        order = _layout(at, example, count, square, norm, often)
         self.docs = [docs[i] for i in order]
         self.toxic = np.where(labels == 1, share[1], 0.0)[order]
         self.clean = np.where(labels == 1, 0.0, share[0])[order]
@@ -199,9 +212,12 @@ class Index:
         self.blocks = -(-n // BLOCK)
         self.often, self.at, self.length = often, at.astype(np.int64), 1 / np.sqrt(norm[order])
         # postings by (list, place) in the smallest types, which is what travels
-        by = np.lexsort((place[example], lists))
-        self.place = place[example[by]].astype(np.min_scalar_type(max(n, 1)))
-        self.count = count[by].astype(np.min_scalar_type(int(count.max(initial=0))))
+        self.place = np.empty(len(example), np.min_scalar_type(max(n, 1)))
+        self.count = np.empty(len(example), np.min_scalar_type(int(count.max(initial=0))))
+        for span, lists in _spans(at):
+            where = place[example[span]]
+            by = np.lexsort((where, lists))
+            self.place[span], self.count[span] = where[by], count[span][by]
         self.dense = None
 
     def __getstate__(self) -> dict:
@@ -213,26 +229,37 @@ class Index:
         """The matrix, the cells and the block maxima, made in linear time
         where they are first used."""
         n = len(self.docs)
-        lists = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
-        place = self.place.astype(np.int64)
-        value = self.count * self.length[place] if n else np.zeros(0)
-        # row of the matrix, or -1; postings of the others by (list, block, place)
+        # column of the matrix, or -1; postings of the others by (list, block, place)
         self.row = np.where(self.often, np.cumsum(self.often) - 1, -1).astype(np.int32)
-        on = self.often[lists]
-        self.dense = np.zeros((int(self.often.sum()), n))
-        self.dense[self.row[lists[on]], place[on]] = value[on]
-        self.dense_max = np.zeros((len(self.dense), self.blocks))
+        self.dense = np.zeros((n, int(self.often.sum())), np.float32)
+        rest = int(np.diff(self.at)[~self.often].sum())
+        self.vec, self.val, filled = np.empty(rest, np.int32), np.empty(rest), 0
+        cells = []
+        for span, lists in _spans(self.at):
+            place, count, on = self.place[span].astype(np.int32), self.count[span], self.often[lists]
+            self.dense[place[on], self.row[lists[on]]] = count[on]
+            lists, place, count = lists[~on], place[~on], count[~on]
+            self.vec[filled:filled + len(place)] = place
+            self.val[filled:filled + len(place)] = count * self.length[place] if n else 0.0
+            cell = lists * max(self.blocks, 1) + place // BLOCK
+            new = np.ones(len(cell), bool)
+            new[1:] = cell[1:] != cell[:-1]
+            first = np.flatnonzero(new)
+            cells.append((first + filled, cell[first]))
+            filled += len(place)
+        first, cell = (np.concatenate([x[i] for x in cells] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        self.dense_max = np.zeros((self.dense.shape[1], self.blocks))
         for b in range(self.blocks):
-            self.dense_max[:, b] = self.dense[:, b * BLOCK:(b + 1) * BLOCK].max(axis=1, initial=0)
-        lists, self.vec, self.val = lists[~on], place[~on].astype(np.int32), value[~on]
-        cell = lists * max(self.blocks, 1) + self.vec // BLOCK
-        new = np.ones(len(cell), bool)
-        new[1:] = cell[1:] != cell[:-1]
-        first = np.flatnonzero(new)
-        self.cell_at = np.append(first, len(cell)).astype(np.int64)
-        self.cell_block = (cell[first] % max(self.blocks, 1)).astype(np.int32)
+            span = slice(b * BLOCK, (b + 1) * BLOCK)
+            self.dense_max[:, b] = (self.dense[span] * self.length[span, None]).max(axis=0, initial=0)
+        # sums of rows of positive products in single precision are this near, relatively
+        self.slack = (self.dense.shape[1] + 8) * 2.0 ** -24
+        self.cell_at = np.append(first, rest).astype(np.int64)
+        self.cell_block = (cell % max(self.blocks, 1)).astype(np.int32)
         self.cell_max = np.maximum.reduceat(self.val, first) if len(first) else np.zeros(0)
-        self.list_at = np.searchsorted(lists[first], np.arange(len(self.at)))
+        self.list_at = np.searchsorted(cell // max(self.blocks, 1), np.arange(len(self.at)))
+        self.list_first = self.cell_at[self.list_at]
+        self.list_size = np.diff(self.list_first)
 
     def coefficients(self, idx: np.ndarray, tf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
         """(lists, their factors) of a text of unit length, counted with the
@@ -243,13 +270,22 @@ class Index:
         return lists, np.bincount(at.reshape(-1), weights=w, minlength=len(lists))
 
     def cosines(self, queries: list[tuple], k: int = NEIGHBOURS, touched: list | None = None) -> np.ndarray:
-        """Exact cosines of queries (terms, counts, other) with the examples;
-        -1 in blocks whose bound stays below the k-th found. A query's most
+        """Cosines of queries (terms, counts, other) with the examples, exact
+        where they may be among the k largest; -1 in blocks whose bound stays
+        below the k-th found."""
+        out, near = self._scored(queries, k, touched)
+        for row, (ids, cos) in zip(out, near, strict=True):
+            row[ids] = cos
+        return out
+
+    def _scored(self, queries: list[tuple], k: int, touched: list | None = None) -> tuple[np.ndarray, list[tuple]]:
+        """The cosines within ``slack``, and for each query the examples that
+        may be among the k nearest, with their exact cosines. A query's most
         promising block is scored first, which gives its threshold."""
         if self.dense is None:
             self.build()
         n, size = len(self.docs), len(queries)
-        dense = np.zeros((size, len(self.dense)))
+        dense = np.zeros((size, self.dense.shape[1]))
         rare = []
         for i, q in enumerate(queries):
             lists, c = self.coefficients(*q)
@@ -257,57 +293,79 @@ class Index:
             dense[i, row[row >= 0]] = c[row >= 0]
             lists, c = lists[row < 0], c[row < 0]
             of, cells = _ranges(self.list_at[lists], self.list_at[lists + 1])
-            rare.append((c[of], cells, self.cell_block[cells]))
+            rare.append((c[of], cells, self.cell_block[cells], lists, c))
         bound = dense @ self.dense_max
-        for i, (c, cells, block) in enumerate(rare):
+        for i, (c, cells, block, *_) in enumerate(rare):
             bound[i] += np.bincount(block, weights=c * self.cell_max[cells], minlength=self.blocks)
-        out = np.full((size, n), -1.0)
+        out, sums = np.full((size, n), -1.0), np.zeros((size, n))
         lead = bound.argmax(axis=1)
         done = np.zeros((size, self.blocks), bool)
         done[np.arange(size), lead] = True
-        self._score(out, dense, rare, done, touched)
+        single = dense.astype(np.float32)
+        self._score(out, sums, single, rare, done, touched)
         least = np.full(size, -1.0)
         for i, b in enumerate(lead):
-            own = out[i, b * BLOCK:(b + 1) * BLOCK]
+            span = slice(b * BLOCK, (b + 1) * BLOCK)
+            own = out[i, span] + sums[i, span]
             if len(own) >= k:
-                least[i] = np.partition(own, len(own) - k)[len(own) - k]
-        self._score(out, dense, rare, (bound >= least[:, None] - 1e-7) & ~done, touched)
-        return out
-
-    def _score(self, out: np.ndarray, dense: np.ndarray, rare: list, live: np.ndarray, touched: list | None) -> None:
-        """Fill in the cosines of the live (query, block) cells."""
+                least[i] = np.partition(own, len(own) - k)[len(own) - k] * (1 - self.slack)
+        self._score(out, sums, single, rare, (bound >= least[:, None] - 1e-7) & ~done, touched)
+        np.add(out, sums, out=out, where=out > -1)
+        near = []
+        for i, row in enumerate(out):
+            least = np.partition(row, n - k)[n - k] if n > k else -1.0
+            ids = np.flatnonzero(row >= least - 2 * self.slack * abs(least) - 1e-8)
+            on = np.flatnonzero(dense[i])
+            near.append((ids, (self.dense[ids[:, None], on] @ dense[i, on]) * self.length[ids] + sums[i, ids]))
+        return out, near
+
+    def _score(self, out: np.ndarray, sums: np.ndarray, dense: np.ndarray, rare: list, live: np.ndarray,
+               touched: list | None) -> None:
+        """Fill in the parts of the cosines of the live (query, block) cells:
+        the matrix product in ``out``, the other lists in ``sums``."""
         n = len(self.docs)
         for b in np.flatnonzero(live.any(axis=0)):
             span = slice(b * BLOCK, min((b + 1) * BLOCK, n))
             if live[:, b].all():
-                out[:, span] = dense @ self.dense[:, span]
+                out[:, span] = (dense @ self.dense[span].T) * self.length[span]
             else:
                 own = np.flatnonzero(live[:, b])
-                out[own, span] = dense[own] @ self.dense[:, span]
-        for i, (c, cells, block) in enumerate(rare):
+                out[own, span] = (dense[own] @ self.dense[span].T) * self.length[span]
+        for i, (c, cells, block, lists, factor) in enumerate(rare):
             on = live[i, block]
-            if on.any():
+            if 2 * np.count_nonzero(on) > len(on):
+                # most of the cells: the lists in one piece each, once more where they were met
+                size = self.list_size[lists]
+                at = np.repeat(self.list_first[lists] - np.cumsum(size) + size, size)
+                at += np.arange(len(at))
+                weights = np.repeat(factor, size)
+                weights *= self.val[at]
+                sums[i] = np.bincount(self.vec[at], weights=weights, minlength=n)
+                if touched is not None:
+                    touched.append(len(at))
+            elif on.any():
                 of, at = _ranges(self.cell_at[cells[on]], self.cell_at[cells[on] + 1])
-                out[i] += np.bincount(self.vec[at], weights=c[on][of] * self.val[at], minlength=n)
+                sums[i] += np.bincount(self.vec[at], weights=c[on][of] * self.val[at], minlength=n)
                 if touched is not None:
                     touched.append(len(at))
 
     def nearest(self, idx: np.ndarray, tf: np.ndarray, other: float,
                 k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Examples of the k largest cosines, their cosines and shares."""
-        return self._best(self.cosines([(idx, tf, other)])[0], k)
+        return self._best(*self._scored([(idx, tf, other)], k)[1][0], k)
 
-    def _best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _best(self, ids: np.ndarray, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All examples that reach the k-th cosine, by cosine. Those that tie
         at it share the places that are left, so nothing but the texts decides
         who votes."""
         cos = np.round(cos, 9)  # the order of a sum does not break ties
-        least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else -np.inf
-        ids = np.flatnonzero(cos >= least)
-        ids = ids[np.argsort(-cos[ids], kind="stable")]
-        tied = cos[ids] == least
+        least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(self.docs) > k else -np.inf
+        ids, cos = ids[cos >= least], cos[cos >= least]
+        order = np.argsort(-cos, kind="stable")
+        ids, cos = ids[order], cos[order]
+        tied = cos == least
         share = np.where(tied, (k - (~tied).sum()) / max(tied.sum(), 1), 1.0)
-        return ids, cos[ids], share
+        return ids, cos, share
 
     def votes(self, queries: list[tuple]) -> list[tuple[float, list]]:
         """Score in [0, 1] and the ids of three nearest examples (of equally
@@ -316,17 +374,17 @@ class Index:
         for lo in range(0, len(queries), QUERIES):
             part = queries[lo: lo + QUERIES]
             asked = [q for q in part if len(q[0])] if self.docs else []
-            cosines = iter(self.cosines(asked) if asked else [])
+            near = iter(self._scored(asked, NEIGHBOURS)[1] if asked else [])
             for idx, _, other in part:
                 if not len(idx) or not self.docs:
                     out.append((self.base if other else self.empty, []))
                     continue
-                ids, cos, share = self._best(next(cosines))
+                ids, cos, share = self._best(*next(near))
                 some = cos > 0
                 ids, cos, share = ids[some], cos[some], share[some]
-                near = share * NEAR / (NEAR + np.maximum(1 - cos, 0))
+                vote = share * NEAR / (NEAR + np.maximum(1 - cos, 0))
                 # rounded, as equal votes may be added in another order
-                toxic, clean = (round(float((near * y[ids]).sum()), 9) for y in (self.toxic, self.clean))
+                toxic, clean = (round(float((vote * y[ids]).sum()), 9) for y in (self.toxic, self.clean))
                 score = (toxic + SMOOTH * self.base) / (toxic + clean + SMOOTH)
                 out.append((float(min(max(score, 0.0), 1.0)), [self.docs[i] for i in ids[:3]]))
         return out
@@ -344,20 +402,23 @@ class Index:
         return [(at[a:b], count[a:b], float(o)) for a, b, o in zip(ends[:-1], ends[1:], outside, strict=True)]
 
 
-def _layout(lists: np.ndarray, example: np.ndarray, value: np.ndarray, often: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _layout(at: np.ndarray, example: np.ndarray, count: np.ndarray, square: np.ndarray, norm: np.ndarray,
+            often: np.ndarray) -> np.ndarray:
     """The examples that have terms, in an order in which neighbours are alike:
     by the signs of their leading components over the frequent lists, then
     by the first of them. The order only decides how many blocks are met."""
-    on = often[lists]
-    row = (np.cumsum(often) - 1)[lists[on]]
-    m = np.zeros((int(often.sum()), len(known)))
-    m[row, example[on]] = value[on]
-    m = m[:, known]
+    known = norm > 0
+    column, row = np.cumsum(known) - 1, np.cumsum(often) - 1
+    m = np.zeros((int(often.sum()), int(known.sum())), np.float32)
+    for span, lists in _spans(at):
+        on = often[lists]
+        lists, texts = lists[on], example[span][on]
+        m[row[lists], column[texts]] = count[span][on] * np.sqrt(square[lists] / norm[texts])
     if not m.size:
         return np.flatnonzero(known)
     m -= m.mean(axis=1, keepdims=True)
     few = min(COMPONENTS, *m.shape)
-    part = np.random.default_rng(0).normal(size=(m.shape[0], few))
+    part = np.random.default_rng(0).normal(size=(m.shape[0], few)).astype(np.float32)
     for _ in range(4):
         part = np.linalg.qr(m @ (m.T @ part))[0]
     z = part.T @ m
@@ -393,41 +454,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     # read from the cut table, so the numbers stay the same in every job
     numbered = vectors.withColumn("_ex", F.monotonically_increasing_id())
     known = numbered.select("_ex", "doc_id", "y").orderBy("doc_id", "_ex").toArrow()  # the bounded sample
-    postings = (numbered.select("_ex", "y", F.explode(F.arrays_zip("t", "n")).alias("_t"))
-                .groupBy(F.col("_t.t").alias("t"))
-                .agg(F.array_sort(F.collect_list(F.struct("_ex", F.col("_t.n").alias("n")))).alias("p"),
-                     F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")))
-    # flat columns, whose size follows the bounded sample
-    found = postings.select("t", "toxic", "clean", F.xxhash64("p").alias("h"), F.col("p._ex").alias("ex"),
-                            F.col("p.n").alias("n")).toArrow()
-    return _assemble(found, known, totals)
-
-
-def _assemble(found: pa.Table, known: pa.Table, totals: dict[int, int]) -> Index:
-    """The index from one row a term (its postings as arrays) and one row an
-    example; terms with equal postings become one list."""
-    name = found["t"].to_numpy().view(np.uint64)
-    sort = np.argsort(name)
-    ex, n = (found[c].combine_chunks() for c in ("ex", "n"))
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ex).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    names = known["_ex"].to_numpy()
-    by = np.argsort(names)
-    example = by[np.searchsorted(names[by], ex.flatten().to_numpy())].astype(np.int32)
-    count = n.flatten().to_numpy()
-    _, first, group = np.unique(found["h"].to_numpy(), return_index=True, return_inverse=True)
-    group = group.reshape(-1)
-    # the hash only proposes: a list that differs from its group's is an error
-    size = np.diff(ends)
-    if (size != size[first][group]).any():
-        raise RuntimeError("two posting lists share a hash")
-    _, twin = _ranges(ends[first][group], ends[first + 1][group])
-    if (example[twin] != example).any() or (count[twin] != count).any():
+    places = pa.table({"_ex": known["_ex"], "ex": pa.array(np.arange(len(known), dtype=np.int32))})
+    placed = numbered.join(F.broadcast(docs.sparkSession.createDataFrame(places)), "_ex")
+    postings = cut_lineage(
+        placed.select("ex", "y", F.explode(F.arrays_zip("t", "n")).alias("_t"))
+        .groupBy(F.col("_t.t").alias("t"))
+        .agg(F.array_sort(F.collect_list(F.struct("ex", F.col("_t.n").alias("n")))).alias("p"),
+             F.sum("y").cast("int").alias("toxic"), F.sum(1 - F.col("y")).cast("int").alias("clean"))
+        .withColumn("h", F.xxhash64("p")))
+    # terms with equal postings share a list, so that a list comes once; flat
+    # columns, whose size follows the bounded sample. The hash only proposes
+    lists = (postings.groupBy("h").agg(F.min("p").alias("p"), F.max("p").alias("_q"))
+             .select("h", F.col("p.ex").alias("ex"), F.col("p.n").alias("n"), (F.col("p") == F.col("_q")).alias("same")))
+    return _assemble(postings.select("t", "toxic", "clean", "h").toArrow(), lists.toArrow(), known, totals)
+
+
+def _assemble(terms: pa.Table, lists: pa.Table, known: pa.Table, totals: dict[int, int]) -> Index:
+    """The index from one row a term, one row a posting list (the terms of a
+    list have its hash) and one row an example, in the order of their numbers."""
+    if not pc.all(lists["same"], min_count=0).as_py():
         raise RuntimeError("two posting lists share a hash")
-    _, kept = _ranges(ends[first], ends[first + 1])
-    at = np.concatenate([[0], np.cumsum(size[first])]).astype(np.int64)
-    return Index(name[sort], group[sort], found["toxic"].to_numpy()[sort].astype(float),
-                 found["clean"].to_numpy()[sort].astype(float), at, example[kept], count[kept],
-                 known["doc_id"].to_pylist(), known["y"].to_numpy(), totals)
+    lists = lists.drop_columns("same").sort_by("h").combine_chunks()
+    terms = terms.take(np.argsort(terms["t"].to_numpy().view(np.uint64)))
+    ex, n = (lists[c].combine_chunks() for c in ("ex", "n"))
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(ex).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return Index(terms["t"].to_numpy().view(np.uint64), np.searchsorted(lists["h"].to_numpy(), terms["h"].to_numpy()),
+                 terms["toxic"].to_numpy().astype(float), terms["clean"].to_numpy().astype(float), at,
+                 ex.flatten().to_numpy(), n.flatten().to_numpy(), known["doc_id"].to_pylist(), known["y"].to_numpy(), totals)
 
 
 def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",

@@ -125,6 +125,24 @@ def test_what_travels_is_small_and_scores_alike():
     assert b"dense_max" not in sent and pickle.loads(sent).votes(queries) == want
 
 
+def test_index_is_made_in_little_memory():
+    """What is needed beside the postings follows ``POSTINGS``, not their number."""
+    import tracemalloc
+
+    lists, each, examples = 40_000, 100, 4_000
+    at = np.arange(lists + 1, dtype=np.int64) * each
+    example = ((np.arange(lists, dtype=np.int32)[:, None] * 7 + np.arange(each, dtype=np.int32) * 40) % examples).ravel()
+    count = np.ones(len(example), np.int32)
+    labels = np.arange(examples) % 2
+    half = np.full(lists, each / 2)
+    tracemalloc.start()
+    index = toxicity.Index(np.arange(lists, dtype=np.uint64), np.arange(lists), half, half, at, example, count,
+                           list(range(examples)), labels, {0: 2_000, 1: 2_000})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.place) == lists * each and peak < 20 * lists * each
+
+
 def test_ids_decide_nothing():
     """Examples that tie at the last place share it, whatever their ids."""
     rows = [(i % 2, [1, 2], [1, 1]) for i in range(60)]

@@ -273,15 +273,17 @@ class Index:
         """Cosines of queries (terms, counts, other) with the examples, exact
         where they may be among the k largest; -1 in blocks whose bound stays
         below the k-th found."""
-        out, near = self._scored(queries, k, touched)
-        for row, (ids, cos) in zip(out, near, strict=True):
+        out = np.full((len(queries), len(self.docs)), -1.0)
+        for row, (ids, cos) in zip(out, self._scored(queries, k, touched, out), strict=True):
             row[ids] = cos
         return out
 
-    def _scored(self, queries: list[tuple], k: int, touched: list | None = None) -> tuple[np.ndarray, list[tuple]]:
-        """The cosines within ``slack``, and for each query the examples that
-        may be among the k nearest, with their exact cosines. A query's most
-        promising block is scored first, which gives its threshold."""
+    def _scored(self, queries: list[tuple], k: int, touched: list | None = None,
+                every: np.ndarray | None = None) -> list[tuple]:
+        """For each query the examples that may be among the k nearest, with
+        their exact cosines; ``every`` takes the cosines met, within ``slack``.
+        A query's most promising block is scored first, which gives its
+        threshold."""
         if self.dense is None:
             self.build()
         n, size = len(self.docs), len(queries)
@@ -297,62 +299,65 @@ class Index:
         bound = dense @ self.dense_max
         for i, (c, cells, block, *_) in enumerate(rare):
             bound[i] += np.bincount(block, weights=c * self.cell_max[cells], minlength=self.blocks)
-        out, sums = np.full((size, n), -1.0), np.zeros((size, n))
+        # a block that is not met keeps -2, below 0 with all that is added
+        out, single = np.full((size, n), -2.0, np.float32), dense.astype(np.float32)
         lead = bound.argmax(axis=1)
         done = np.zeros((size, self.blocks), bool)
         done[np.arange(size), lead] = True
-        single = dense.astype(np.float32)
-        self._score(out, sums, single, rare, done, touched)
+        self._multiply(out, single, done)
         least = np.full(size, -1.0)
         for i, b in enumerate(lead):
-            span = slice(b * BLOCK, (b + 1) * BLOCK)
-            own = out[i, span] + sums[i, span]
+            own = out[i, b * BLOCK:(b + 1) * BLOCK]
             if len(own) >= k:
+                own = own + self._rest(rare[i], rare[i][2] == b, touched)[b * BLOCK:(b + 1) * BLOCK]
                 least[i] = np.partition(own, len(own) - k)[len(own) - k] * (1 - self.slack)
-        self._score(out, sums, single, rare, (bound >= least[:, None] - 1e-7) & ~done, touched)
-        np.add(out, sums, out=out, where=out > -1)
+        live = (bound >= least[:, None] - 1e-7) | done
+        self._multiply(out, single, live & ~done)
         near = []
         for i, row in enumerate(out):
-            least = np.partition(row, n - k)[n - k] if n > k else -1.0
-            ids = np.flatnonzero(row >= least - 2 * self.slack * abs(least) - 1e-8)
+            rest = self._rest(rare[i], live[i, rare[i][2]], touched)
+            cos = rest + row
+            least = np.partition(cos, n - k)[n - k] if n > k else -1.0
+            ids = np.flatnonzero(cos >= least - 2 * self.slack * abs(least) - 1e-8)
             on = np.flatnonzero(dense[i])
-            near.append((ids, (self.dense[ids[:, None], on] @ dense[i, on]) * self.length[ids] + sums[i, ids]))
-        return out, near
+            near.append((ids, (self.dense[ids[:, None], on] @ dense[i, on]) * self.length[ids] + rest[ids]))
+            if every is not None:
+                np.copyto(every[i], cos, where=row > -2)
+        return near
 
-    def _score(self, out: np.ndarray, sums: np.ndarray, dense: np.ndarray, rare: list, live: np.ndarray,
-               touched: list | None) -> None:
-        """Fill in the parts of the cosines of the live (query, block) cells:
-        the matrix product in ``out``, the other lists in ``sums``."""
-        n = len(self.docs)
+    def _multiply(self, out: np.ndarray, dense: np.ndarray, live: np.ndarray) -> None:
+        """The matrix product for the live (query, block) cells of ``out``."""
         for b in np.flatnonzero(live.any(axis=0)):
-            span = slice(b * BLOCK, min((b + 1) * BLOCK, n))
+            span = slice(b * BLOCK, min((b + 1) * BLOCK, len(self.docs)))
+            length = self.length[span].astype(np.float32)
             if live[:, b].all():
-                out[:, span] = (dense @ self.dense[span].T) * self.length[span]
+                np.multiply(dense @ self.dense[span].T, length, out=out[:, span])
             else:
                 own = np.flatnonzero(live[:, b])
-                out[own, span] = (dense[own] @ self.dense[span].T) * self.length[span]
-        for i, (c, cells, block, lists, factor) in enumerate(rare):
-            on = live[i, block]
-            if 2 * np.count_nonzero(on) > len(on):
-                # most of the cells: the lists in one piece each, once more where they were met
-                size = self.list_size[lists]
-                at = np.repeat(self.list_first[lists] - np.cumsum(size) + size, size)
-                at += np.arange(len(at))
-                weights = np.repeat(factor, size)
-                weights *= self.val[at]
-                sums[i] = np.bincount(self.vec[at], weights=weights, minlength=n)
-                if touched is not None:
-                    touched.append(len(at))
-            elif on.any():
-                of, at = _ranges(self.cell_at[cells[on]], self.cell_at[cells[on] + 1])
-                sums[i] += np.bincount(self.vec[at], weights=c[on][of] * self.val[at], minlength=n)
-                if touched is not None:
-                    touched.append(len(at))
+                out[own, span] = (dense[own] @ self.dense[span].T) * length
+
+    def _rest(self, rare: tuple, on: np.ndarray, touched: list | None) -> np.ndarray:
+        """What the lists outside the matrix add to each example, at least in
+        the cells that are on. Where these are most of them, the lists are
+        read in one piece each."""
+        c, cells, _, lists, factor = rare
+        if 2 * np.count_nonzero(on) > len(on):
+            size = self.list_size[lists]
+            at = np.repeat(self.list_first[lists] - np.cumsum(size) + size, size)
+            at += np.arange(len(at))
+            weights = np.repeat(factor, size)
+        else:
+            of, at = _ranges(self.cell_at[cells[on]], self.cell_at[cells[on] + 1])
+            weights = c[on][of]
+        weights *= self.val[at]
+        if touched is not None:
+            touched.append(len(at))
+        return np.bincount(self.vec[at], weights=weights, minlength=len(self.docs))
 
     def nearest(self, idx: np.ndarray, tf: np.ndarray, other: float,
                 k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Examples of the k largest cosines, their cosines and shares."""
-        return self._best(*self._scored([(idx, tf, other)], k)[1][0], k)
+        return self._best(*self._scored([(idx, tf, other)], k)[0], k)
 
     def _best(self, ids: np.ndarray, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All examples that reach the k-th cosine, by cosine. Those that tie
@@ -374,7 +379,7 @@ class Index:
         for lo in range(0, len(queries), QUERIES):
             part = queries[lo: lo + QUERIES]
             asked = [q for q in part if len(q[0])] if self.docs else []
-            near = iter(self._scored(asked, NEIGHBOURS)[1] if asked else [])
+            near = iter(self._scored(asked, NEIGHBOURS) if asked else [])
             for idx, _, other in part:
                 if not len(idx) or not self.docs:
                     out.append((self.base if other else self.empty, []))

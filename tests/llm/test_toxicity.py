@@ -99,6 +99,30 @@ def test_nearest_is_exact(monkeypatch):
         assert np.allclose(got, np.sort(want[want >= least])[::-1]) and np.isclose(share.sum(), 25)
 
 
+def test_two_blocks(monkeypatch):
+    """The first block met holds most cells of a text: none counts twice."""
+    monkeypatch.setattr(toxicity, "BLOCK", 40)
+    monkeypatch.setattr(toxicity, "DENSE", 2)
+    rng = random.Random(6)
+    rows = sample(rng, 50, lambda i: range(12) if i < 40 else range(30))
+    index = built(rows, {0: 30, 1: 20})
+    where = {e: i for i, e in enumerate(index.docs)}
+    held = len(index.terms)
+    for _ in range(40):
+        t = np.array(sorted(rng.sample(range(held), 4)))
+        c = np.array([rng.randint(1, 3) for _ in t])
+        w = c * index.weight[t]
+        w = w / np.sqrt((w * w).sum() + 2 * index.outside ** 2)
+        cos = index.cosines([(t, c, 2.0)])[0]
+        want = np.zeros(50)
+        for e, (_, terms, counts) in enumerate(rows):
+            x = dict(zip(np.searchsorted(index.terms, terms), counts * index.weight[np.searchsorted(index.terms, terms)]))
+            want[where[e]] = sum(a * x.get(b, 0.0) for a, b in zip(w, t)) / np.sqrt(sum(v * v for v in x.values()))
+        ids, got, _ = index.nearest(t, c, 2.0)
+        assert np.allclose(got, want[ids], atol=1e-8) and np.isclose(got[-1], np.sort(want)[-25], atol=1e-8)
+        assert (cos <= want + 1e-5).all()
+
+
 def test_blocks_of_other_kinds_are_skipped(monkeypatch):
     """Two kinds of texts without a common term: a text meets the postings of
     its own kind only."""

@@ -43,6 +43,7 @@ BANDS, ROWS = 25, 5    # 0.8 ** 5: a pair at the threshold is missed 5 times in
 # in them: at 0.8 the mean is 24 with a deviation of 4.4; four above.
 PLANES, MAX_DIFFER = 4, 41
 LARGE = 64             # members of a bucket beyond which pairs are verified inside the join
+CELL = 128             # members of a large bucket that one cell of that join holds
 PAIRS_PER_SALT = 20_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -288,16 +289,33 @@ def _apart(met: DataFrame, meeting: DataFrame, known: DataFrame, edges: DataFram
     open_pair = (x("root") != y("root")) & (~y("_rest") | (x("node") < y("node")))
     may = F.when(open_pair & _close(x("bits"), y("bits")), first).otherwise(F.lit(False))
 
-    def pairs(part: DataFrame, condition: Column) -> DataFrame:
-        return (part.filter("_rest").alias("x").join(part.alias("y"), (x("bucket") == y("bucket")) & condition)
-                .select(y("node").alias("a"), x("node").alias("b")))
+    def pairs(some: DataFrame, others: DataFrame, met_in: Column, condition: Column) -> DataFrame:
+        return some.alias("x").join(others.alias("y"), met_in & condition).select(y("node").alias("a"), x("node").alias("b"))
 
-    few = pairs(still.filter(F.col("n") <= LARGE), may)
+    same = x("bucket") == y("bucket")
+    small = still.filter(F.col("n") <= LARGE)
+    few = pairs(small.filter("_rest"), small, same, may)
     large = cut_lineage(still.filter(F.col("n") > LARGE).join(known, "node"))
-    many = pairs(large, F.when(may, similar(x("items"), y("items"), threshold)).otherwise(F.lit(False)))
+    some, others = in_cells(large)
+    similar_pair = F.when(may, similar(x("items"), y("items"), threshold)).otherwise(F.lit(False))
+    many = pairs(some, others, same & (x("_cell") == y("_cell")), similar_pair)
     return verified(few, known, threshold).unionByName(many)
 
 
+def in_cells(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of large buckets that still look for others, and all
+    members, dealt so that each of the former meets each of the latter once:
+    a member lies in one cell of its bucket, of about ``CELL`` members, and who
+    looks visits them all. Cells are even, so both sides are partitioned by
+    them for good: a bucket that is hot on both sides would be split on both by
+    the adaptive join, into the product of the splits."""
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = F.ceil(F.col("n") / CELL)
+    others = large.withColumn("_cell", F.pmod(F.xxhash64("node", "bucket"), cells))
+    some = large.filter("_rest").withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    return tuple(side.repartition(parts, "bucket", "_cell") for side in (some, others))
+
+
 def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text",
             threshold: float = THRESHOLD) -> DataFrame:
     """(doc, ver, class_id, root): one row per input row; the class is its

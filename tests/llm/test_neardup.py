@@ -96,6 +96,49 @@ def test_large_bucket_is_verified_inside_the_join(make_docs, monkeypatch):
     assert found(make_docs(rows)) == brute(rows)
 
 
+HOT = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+       "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+       "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "24"}
+
+
+def test_large_bucket_hot_on_both_sides_is_not_split_into_a_product(spark, monkeypatch):
+    """One bucket in which most members look for others: every link is found,
+    and the join has a few tasks, not the product of the splits of its sides."""
+    monkeypatch.setattr(neardup, "LARGE", 4)
+    monkeypatch.setattr(neardup, "CELL", 16)
+    n = 240
+    name = lambda i: b"%016d" % i
+    items = [[(i // 2) * 1_000 + k for k in range(90)] + [-(i * 1_000 + k) for k in range(10)] for i in range(n)]
+    before = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    try:
+        met = spark.createDataFrame([(1, n, name(i), name(0)) for i in range(n)], "bucket long, n long, node binary, a binary")
+        meeting = spark.createDataFrame([(name(i), [0] * 8, [1]) for i in range(n)],
+                                        "node binary, bits array<long>, buckets array<long>")
+        known = spark.createDataFrame([(name(i), x) for i, x in enumerate(items)], "node binary, items array<long>")
+        edges = spark.createDataFrame([], "a binary, b binary")
+        roots = spark.createDataFrame([], "node binary, root binary")
+        out = neardup._apart(met, meeting, known, edges, roots, 0.8)
+        pairs = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in out.collect()}
+        assert pairs == {frozenset((name(i), name(i + 1))) for i in range(0, n, 2)}
+        assert out.rdd.getNumPartitions() <= 4 * 24
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 700])
+def test_cells_of_a_bucket_pair_all_members_once(spark, n):
+    rows = spark.createDataFrame([(7, n, b"%d" % i, i % 3 == 0) for i in range(n)],
+                                 "bucket long, n long, node binary, _rest boolean")
+    some, others = neardup.in_cells(rows)
+    met = some.join(others.select("bucket", "_cell", others["node"].alias("other")), ["bucket", "_cell"])
+    met = [(bytes(r["node"]), bytes(r["other"])) for r in met.select("node", "other").collect()]
+    assert sorted(met) == sorted((b"%d" % i, b"%d" % j) for i in range(0, n, 3) for j in range(n))
+
+
 def test_odd_rows(make_docs, odd_rows):
     rows = [*odd_rows, (None, "lonely text of nobody at all"), (20, "One two THREE"), (21, "one\ttwo three")]
     assert found(make_docs(rows)) == brute(rows)

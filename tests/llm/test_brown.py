@@ -133,3 +133,105 @@ def test_no_training_text(make_docs):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = brown.score(make_docs([(held, "a b")])).collect()[0]
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and abs(r["base_score"]) < 1e-12
+
+
+def xlogx(x):
+    return x * math.log(x) if x > 0 else 0.0
+
+
+def brute_all(rows, classes, seed):
+    """Scores with a class for every training word, word by word: the words
+    beyond the seed join the class that raises the likelihood most."""
+    train = [tokens(t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    c = Counter(w for ws in train for w in ws)
+    n, v = sum(c.values()), len(c)
+    top = sorted((w for w in c if w != "\n"), key=lambda w: (-c[w], int(np.uint64(word_hash(w)).view(np.int64))))[:seed]
+    top.sort(key=word_hash)
+    ident = {w: k for k, w in enumerate(top)}
+    of = lambda w: len(top) + 1 if w == "\n" else ident.get(w, len(top))
+    pairs = np.zeros((len(top) + 2, len(top) + 2))
+    bigrams = [(a, b) for ws in train for a, b in zip(["\n", *ws[:-1]], ws, strict=True)]
+    for a, b in bigrams:
+        pairs[of(a), of(b)] += 1
+    cls = brown.exchange(pairs, np.array([c[w] for w in top], float), classes)
+    k = int(cls.max()) + 1
+    table = np.zeros((k, k))
+    for a, b in bigrams:
+        table[cls[of(a)], cls[of(b)]] += 1
+    known = {w: int(cls[ident[w]]) for w in top}
+    for w in c:
+        if w in ident or w == "\n":
+            continue
+        after, before = Counter(), Counter()
+        for a, b in bigrams:
+            if a == w:
+                after[int(cls[of(b)])] += 1
+            if b == w:
+                before[int(cls[of(a)])] += 1
+        gains = []
+        for to in range(k - 2):
+            cells = Counter({(to, j): x for j, x in after.items()}) + Counter({(i, to): x for i, x in before.items()})
+            gain = sum(xlogx(table[x] + m) - xlogx(table[x]) for x, m in cells.items())
+            for total in (table[to].sum(), table[:, to].sum()):
+                gain -= xlogx(total + c[w]) - xlogx(total)
+            gains.append(round(gain, 9))
+        known[w] = gains.index(max(gains))
+    kind = lambda w: k - 1 if w == "\n" else known.get(w, k - 2)
+    table = np.zeros((k, k))
+    for a, b in bigrams:
+        table[kind(a), kind(b)] += 1
+    out = []
+    for i, t in rows:
+        ws = tokens(t)
+        score = 0.0
+        for a, b in zip(["\n", *ws[:-1]], ws, strict=True):
+            x, y = kind(a), kind(b)
+            score += math.log10((table[x, y] + brown.ALPHA) / (table[x].sum() + brown.ALPHA * k))
+            if b in known:
+                score += math.log10(c[b] / table[:, y].sum())
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        out.append((i, len(ws), sum(c[w] > 0 for w in ws), n, base, score))
+    return out
+
+
+def check_all(rows, docs, **sizes):
+    key = lambda r: repr(r[:4]) + f"{r[4]:.6f}"
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
+                  for r in brown.score(docs, classes=4, **sizes).collect()), key=key)
+    want = sorted(brute_all(rows, 4, sizes.get("seed", brown.SEED)), key=key)
+    assert [x[:4] for x in got] == [y[:4] for y in want]
+    for x, y in zip(got, want, strict=True):
+        assert abs(x[4] - y[4]) < 1e-6 * max(1, abs(y[4])) and abs(x[5] - y[5]) < 1e-6 * max(1, abs(y[5]))
+
+
+def varied(n):
+    rng = np.random.default_rng(5)
+    return [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 5 + i % 20) % 200)) for i in range(n)]
+
+
+def test_every_training_word_has_a_class(make_docs):
+    rows = varied(120)
+    check_all(rows, make_docs(rows), seed=10, head=25)
+
+
+def test_all_words_odd_rows(make_docs, odd_rows):
+    check_all(odd_rows, make_docs(odd_rows), seed=3, head=5)
+
+
+def test_the_head_changes_no_score(make_docs):
+    """Whether a word's class travels to the tasks or comes by the join."""
+    rows = varied(80)
+    one, two = ({(r["doc_id"]): (r["n_known"], round(r["score"], 6)) for r in
+                 brown.score(make_docs(rows), classes=4, seed=10, head=h).collect()} for h in (10, 500))
+    assert one == two
+
+
+def test_rare_words_are_told_apart(make_docs):
+    """Words beyond the seed that stand in different places get different
+    classes: a text that keeps to their places is likelier than one that swaps them."""
+    rows = [(i, "the cat runs fast and sees dogs today" if i % 2 else f"the x{i % 40} runs fast and sees y{i % 40} today")
+            for i in range(400)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows += [(held[0], "the x4 runs fast and sees y8 today"), (held[1], "the y8 runs fast and sees x4 today")]
+    got = {r["doc_id"]: r["score"] for r in brown.score(make_docs(rows), classes=8, seed=8, head=20).collect()}
+    assert got[held[0]] > got[held[1]] + 1

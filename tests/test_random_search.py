@@ -1,6 +1,7 @@
 """The random search: a resumable trial table, undefined folds, the winner."""
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from riskloom.operators import train as G
@@ -84,3 +85,15 @@ def test_held_out_rows_end_the_rounds(spark, tables):
 def test_min_samples_split_bounds_the_children():
     assert G._min_instances({}) == 1
     assert G._min_instances({"min_samples_split": 20, "minInstancesPerNode": 3}) == 10
+
+
+def test_boosted_fits_keep_no_node_ids(spark, tables):
+    """They cost a pass a level; without them the trees are the same."""
+    models = G.base_models(fast=True)
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(tables[0].withColumn("__w", F.lit(1.0)))
+    for name in ("gbt6", "gbt8"):
+        est = models[name].make({"maxIter": 3}).setFeaturesCol("features").setLabelCol("y")
+        assert not est.getCacheNodeIds()
+        one, two = (e.fit(data.coalesce(1)).toDebugString.split("\n", 1)[1] for e in (est, est.copy({est.cacheNodeIds: True})))
+        assert one == two
+    assert models["forest"].make({}).getCacheNodeIds()

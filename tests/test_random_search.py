@@ -97,3 +97,21 @@ def test_boosted_fits_keep_no_node_ids(spark, tables):
         one, two = (e.fit(data.coalesce(1)).toDebugString.split("\n", 1)[1] for e in (est, est.copy({est.cacheNodeIds: True})))
         assert one == two
     assert models["forest"].make({}).getCacheNodeIds()
+
+
+def test_a_fold_is_laid_out_once(spark, tables, monkeypatch):
+    calls = []
+    real = G.fit_layout
+    monkeypatch.setattr(G, "fit_layout", lambda *a, **kw: calls.append(1) or real(*a, **kw))
+    search(tables, n=4)
+    assert len(calls) == 2 + 1  # two folds, and the final fit
+
+
+def test_a_laid_out_table_gives_the_same_model(spark, tables):
+    models = G.base_models(fast=True)
+    for name in ("logreg", "forest", "gbt6"):
+        args = (models[name], tables[0], "id", "y", ["a", "b"])
+        laid = G.lay_out(tables[0], "id", "y", ["a", "b"], models[name].weighting)
+        one, two = G.fit_model(*args), G.fit_model(*args, laid=laid)
+        got = [[(r["id"], r["prob"]) for r in G.score(m, tables[1]).orderBy("id").collect()] for m in (one, two)]
+        assert got[0] == got[1] and len(got[0]) == 60

@@ -159,16 +159,14 @@ def brute_all(rows, classes, seed):
     for a, b in bigrams:
         table[cls[of(a)], cls[of(b)]] += 1
     known = {w: int(cls[ident[w]]) for w in top}
+    afters, befores = ({w: Counter() for w in c} for _ in range(2))
+    for a, b in bigrams:
+        afters[a][int(cls[of(b)])] += 1
+        befores[b][int(cls[of(a)])] += 1
     for w in c:
         if w in ident or w == "\n":
             continue
-        after, before = Counter(), Counter()
-        for a, b in bigrams:
-            if a == w:
-                after[int(cls[of(b)])] += 1
-            if b == w:
-                before[int(cls[of(a)])] += 1
-        gains = []
+        after, before, gains = afters[w], befores[w], []
         for to in range(k - 2):
             cells = Counter({(to, j): x for j, x in after.items()}) + Counter({(i, to): x for i, x in before.items()})
             gain = sum(xlogx(table[x] + m) - xlogx(table[x]) for x, m in cells.items())
